@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("byte_bpe", "packing")
+MODULES = ("byte_bpe", "packing", "quality_rules")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
