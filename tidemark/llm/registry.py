@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("byte_bpe", "packing", "quality_rules", "jaccard_rtree", "toxicity")
+MODULES = ("byte_bpe", "packing", "quality_rules", "jaccard_rtree", "toxicity", "language_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
