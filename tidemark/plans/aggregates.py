@@ -11,18 +11,24 @@ from tidemark.sources.tables import events, table
 
 HOUR = 3_600_000_000
 EV = "ev AS (SELECT event_id, user_id, epoch_us(ts) AS t, event_type, value FROM events)"
-BAND = F.when(F.col("o_totalprice") < 50000, "low").when(F.col("o_totalprice") < 150000, "mid").otherwise("high")
 BAND_SQL = "CASE WHEN o_totalprice < 50000 THEN 'low' WHEN o_totalprice < 150000 THEN 'mid' ELSE 'high' END"
-ERR = F.round(F.abs(F.col("o_totalprice") - 100000.0), 2)
 ERR_SQL = "round(abs(o_totalprice - 100000.0::DOUBLE), 2)"
 
 
+def band():
+    return F.when(F.col("o_totalprice") < 50000, "low").when(F.col("o_totalprice") < 150000, "mid").otherwise("high")
+
+
+def error():
+    return F.round(F.abs(F.col("o_totalprice") - 100000.0), 2)
+
+
 def r6(x, name: str):
     return F.round(x, 6).alias(name)
 
 
 def metrics_global(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders").select(ERR.alias("e"), (F.col("o_orderstatus") == "F").alias("done"))
+    o = table(spark, sf, "orders").select(error().alias("e"), (F.col("o_orderstatus") == "F").alias("done"))
     return o.agg(F.count("*").alias("n"), r6(F.avg("e"), "mean"), r6(A.pct("e", 0.5), "median"), r6(A.pct("e", 0.95), "p95"), r6(F.avg(F.when(F.col("done"), (F.col("e") <= 50000).cast("double"))), "accuracy_done"))
 
 
@@ -35,7 +41,7 @@ def metrics_weighted_scopes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def error_cdf_by_band(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders").select(BAND.alias("band"), ERR.alias("e"))
+    o = table(spark, sf, "orders").select(band().alias("band"), error().alias("e"))
     shares = [F.round(A.share_within(F.col("e"), t), 6).alias(f"within_{t}") for t in (1000, 10000, 50000)]
     out = o.groupBy("band").agg(F.count("*").alias("n"), r6(A.pct("e", 0.5), "median"), r6(F.avg("e"), "mean"), F.max("e").alias("most"), *shares)
     return out.join(A.nearest_rank(o, ["band"], "e", 0.95, "p95"), "band")
@@ -153,7 +159,7 @@ def pair_auc(spark: SparkSession, sf: str) -> DataFrame:
     p = F.least(F.greatest(F.col("score"), F.lit(1e-6)), F.lit(1 - 1e-6))
     loss = -F.when(F.col("positive") == 1, F.log(p)).otherwise(F.log(1 - p))
     g = r.groupBy("lang").agg(F.sum(F.when(F.col("positive") == 1, F.col("r"))).alias("s"), F.sum(F.col("positive").cast("long")).alias("n1"), F.sum((1 - F.col("positive")).cast("long")).alias("n0"), F.avg(loss).alias("l"))
-    return g.select("lang", r6((F.col("s") - F.col("n1") * (F.col("n1") + 1) / 2) / (F.col("n1") * F.col("n0")), "auc"), r6(F.col("l"), "log_loss"))
+    return g.select("lang", r6(F.try_divide(F.col("s") - F.col("n1") * (F.col("n1") + 1) / 2, F.col("n1") * F.col("n0")), "auc"), r6(F.col("l"), "log_loss"))
 
 
 def majority_phase(spark: SparkSession, sf: str) -> DataFrame:
