@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,11 +16,27 @@ from pyspark.sql import functions as F
 
 #: Texts are worked on in slices of about so many bytes, so that temporaries stay small whatever the batch holds.
 SLICE_BYTES = 4 << 20
+BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2500
 #: No more labelled rows than this are used to fit a model.
 MAX_TRAIN_ROWS = 20_000
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Python workers get at most BATCH_ROWS rows at once: whole texts may be long, and executors small."""
+    if int(spark.conf.get(BATCH_CONF)) > BATCH_ROWS:
+        spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
+
+
+def released(batches: Iterator) -> Iterator:
+    """The batches; then what the worker no longer uses goes back to the system, as Spark keeps idle workers for later tasks."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -90,6 +108,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """The rows written as Parquet in the shared folder and read again; cuts lineage and survives lost executors."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import MAX_TRAIN_ROWS, bounded_sample, fold, plain, read, slices
+from tidemark.llm._common import MAX_TRAIN_ROWS, bounded_sample, fold, plain, read, released, slices
 
 DIMENSIONS = 1024
 SHARPNESS = 30.0
@@ -120,7 +120,7 @@ def fit(docs: DataFrame, most: int = MAX_TRAIN_ROWS) -> Profiles:
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in released(batches):
             at = 0
             for part in slices(plain(batch.column(1))):
                 x, _ = bundles(part)
@@ -143,7 +143,7 @@ def language(text: Column | str, profiles: Profiles) -> Column:
 
     @F.arrow_udf("struct<lang:string,score:double>")
     def predicted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in released(batches):
             names, scores = [], [np.zeros(0)]
             for part in slices(plain(batch), 2 << 20):
                 n, s = profiles.predict(part)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import materialise, plain, read, slices
+from tidemark.llm._common import materialise, plain, read, released, slices
 from tidemark.llm.byte_bpe import encoder
 
 SEQUENCE = 1024
@@ -147,7 +147,7 @@ def tokens_of(docs: DataFrame, path: str, text: str, source: str, key: str, end_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, count = encoder(path), TaskContext.get().partitionId(), defaultdict(int)
         kind = np.dtype("<u2" if len(enc.lengths) <= 1 << 16 else "<u4")
-        for batch in batches:
+        for batch in released(batches):
             at = 0
             for texts in slices(plain(batch.column(2)), 8 << 20):
                 ids, offsets = enc.encode(texts)
@@ -209,7 +209,7 @@ def pack(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         layout = Layout(plan, window)
-        for batch in batches:
+        for batch in released(batches):
             out: list[tuple] = []
             for doc, src, q, x, n, ids in zip(*(batch.column(i).to_pylist() for i in range(5)), batch.column(5), strict=True):
                 data = ids.as_buffer()

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import bounded_sample, mix, plain, read, slices, words_of
+from tidemark.llm._common import bounded_sample, mix, plain, read, released, slices, words_of
 
 MAX_TRAIN_DOCS = 3000
 MIN_SHARE = 0.5
@@ -206,7 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN_DOCS) -> Crf:
 
     @F.arrow_udf("binary")
     def codes_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in released(batches):
             out = []
             for part in slices(plain(batch)):
                 _, codes, _, offsets = measure(part)
@@ -231,7 +231,7 @@ def judge(text: Column | str, model: Crf, min_share: float = MIN_SHARE) -> Colum
 
     @F.arrow_udf(f"struct<{','.join(f'{k}:bigint' for k in FIELDS)},content_share:double,base_failed:boolean,kept:boolean>")
     def judged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in released(batches):
             out = []
             for part in slices(plain(batch)) if len(batch) else []:
                 counts, codes, words, offsets = measure(part)

@@ -23,12 +23,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import MAX_TRAIN_ROWS, bounded_sample, fold, plain, read, slices, spread, words_of
+from tidemark.llm._common import MAX_TRAIN_ROWS, bounded_sample, fold, plain, read, released, slices, spread, words_of
 
 LANDMARKS = 128
 DECAY, SPAN, FLOOR = 0.6, 7, 0.5
+#: Distinct words and bytes of text that are worked on at once.
+CHUNK, TEXT_BYTES = 8192, 4 << 20
 #: A word becomes a landmark only if so many toxic training documents have it.
 LEAST_DOCS = 3
+#: … and if the likelihood ratio statistic of its link with the label is so large.
+LEAST_GAIN = 15.0
 #: (second, third letter's distance from the first, weight)
 STEPS = [(a, b, DECAY ** (b - 2)) for b in range(2, SPAN) for a in range(1, b)]
 
@@ -98,38 +102,33 @@ class Landmarks:
 
     def alike(self, vocab: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word, landmark, kernel) of all pairs of a word and a landmark whose kernel is FLOOR or more, by word."""
+        parts = [(at, self._alike(vocab.slice(at, CHUNK))) for at in range(0, len(vocab), CHUNK)] or [(0, (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)))]
+        return np.concatenate([x[0] + at for at, x in parts]), np.concatenate([x[1] for _, x in parts]), np.concatenate([x[2] for _, x in parts])
+
+    def _alike(self, vocab: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         code, offsets = letters(vocab)
         n, m = len(vocab), len(self.words)
-        total, known, found = np.zeros(n), np.zeros(n), []
+        sizes, known = np.diff(offsets), np.zeros(n)
+        total = sum(np.maximum(sizes - b, 0) * w**2 for _, b, w in STEPS)
         for word, triple, weight in triples(code, offsets):
-            row = self.row[triple]
-            hit = np.flatnonzero(row)
-            total += np.bincount(word, minlength=n) * weight**2
-            known += np.bincount(word[hit], minlength=n) * weight**2
-            found.append((word, triple, row, hit, weight))
+            known += np.bincount(word[self.row[triple] > 0], minlength=n) * weight**2
         # the part of a word's vector on landmarks' triples bounds its kernels
-        near = known >= (0.9 * FLOOR) ** 2 * np.maximum(total, 1e-9)
-        rank = np.cumsum(near) - 1
-        some = [(word[h], row[h], weight) for word, _, row, hit, weight in found for h in [hit[near[word[hit]]]]]
-        word = rank[np.concatenate([w for w, _, _ in some])]
-        row = np.concatenate([r for _, r, _ in some])
-        weight = np.concatenate([np.full(len(w), x) for w, _, x in some])
-        size = np.diff(self.at)[row]
+        near = np.flatnonzero(known >= (0.9 * FLOOR) ** 2 * np.maximum(total, 1e-9))
+        code, offsets = code[spread(offsets[near], sizes[near])], np.concatenate([[0], np.cumsum(sizes[near])])
+        found = [(w, t, np.full(len(w), x)) for w, t, x in triples(code, offsets)]
+        word, triple, weight = (np.concatenate([f[i] for f in found]) for i in range(3))
+        # a triple that comes twice in a word counts with its summed weight
+        distinct, where = np.unique((word.astype(np.int64) << 18) | triple, return_inverse=True)
+        norm = np.sqrt(np.bincount(distinct >> 18, np.bincount(where, weight) ** 2, len(near)))
+        row = self.row[triple]
+        hit = row > 0
+        row, size = row[hit], np.diff(self.at)[row[hit]]
         place = spread(self.at[row], size)
-        kernel = np.bincount(np.repeat(word * m, size) + self.mark[place], np.repeat(weight, size) * self.part[place], int(near.sum()) * m)
+        kernel = np.bincount(np.repeat(word[hit] * m, size) + self.mark[place], np.repeat(weight[hit], size) * self.part[place], len(near) * m)
         pair = np.flatnonzero(kernel)
-        # a triple that comes twice in a word counts with its summed weight
-        close = np.zeros(int(near.sum()), bool)
-        close[pair[kernel[pair] >= FLOOR * np.sqrt(total[near])[pair // m]] // m] = True
-        own = [(rank[w], t, x) for w, t, _, _, x in ((word[k], t[k], r, h, x) for word, t, r, h, x in found for k in [np.flatnonzero(near[word])])]
-        key = np.concatenate([(w[close[w]].astype(np.int64) << 18) | t[close[w]] for w, t, _ in own])
-        summed = np.concatenate([np.full(int(close[w].sum()), x) for w, _, x in own])
-        distinct, where = np.unique(key, return_inverse=True)
-        norm = np.sqrt(np.bincount(distinct >> 18, np.bincount(where, summed) ** 2, len(close)))
-        pair = pair[close[pair // m]]
         value = kernel[pair] / np.maximum(norm[pair // m], 1e-9)
         keep = value >= FLOOR
-        return np.flatnonzero(near)[pair[keep] // m], pair[keep] % m, value[keep]
+        return near[pair[keep] // m], pair[keep] % m, value[keep]
 
     def of_texts(self, texts: pa.Array) -> np.ndarray:
         """Kernels of the texts with the landmarks: the largest of their words'."""
@@ -207,9 +206,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN_ROWS, landmark
 
     @F.arrow_udf("array<string>")
     def words(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in released(batches):
             out: list[list[str]] = []
-            for part in slices(plain(batch)):
+            for part in slices(plain(batch), TEXT_BYTES):
                 index, vocab, at = text_words(part)
                 names = vocab.to_pylist()
                 out += [[names[i] for i in np.unique(index[a:b]) if len(names[i]) >= 4] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
@@ -222,7 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN_ROWS, landmark
     seen = train.select("toxic", F.explode(words("text")).alias("word")).groupBy("word").agg(F.sum("toxic").cast("double").alias("a"), F.sum(1 - F.col("toxic")).cast("double").alias("b"))
     part = lambda k, n: F.when(k > 0, k * F.log(k / n / ((F.col("a") + F.col("b")) / (n1 + n0)))).otherwise(0.0)
     gain = 2 * (part(F.col("a"), n1) + part(F.col("b"), n0))
-    best = seen.where((F.col("a") >= LEAST_DOCS) & (F.col("a") * n0 > F.col("b") * n1)).orderBy(F.desc(gain), "word").limit(landmarks).collect()
+    best = seen.where((F.col("a") >= LEAST_DOCS) & (F.col("a") * n0 > F.col("b") * n1) & (gain >= LEAST_GAIN)).orderBy(F.desc(gain), "word").limit(landmarks).collect()
     if not best:
         return Model([])
     names = [r.word for r in best]
@@ -230,8 +229,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN_ROWS, landmark
     @F.arrow_udf("binary")
     def kernels(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         marks = Landmarks(names)
-        for batch in batches:
-            yield pa.array([x.tobytes() for part in slices(plain(batch)) for x in marks.of_texts(part)], pa.binary())
+        for batch in released(batches):
+            yield pa.array([x.tobytes() for part in slices(plain(batch), TEXT_BYTES) for x in marks.of_texts(part)], pa.binary())
 
     rows = train.select("doc_id", "toxic", kernels("text").alias("k")).collect()
     rows.sort(key=lambda r: (r.doc_id, r.k))
@@ -248,8 +247,8 @@ def toxicity(text: Column | str, model: Model) -> Column:
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         of = model.scorer()
-        for batch in batches:
-            yield pa.array(np.concatenate([np.zeros(0), *(of(part) for part in slices(plain(batch)))]))
+        for batch in released(batches):
+            yield pa.array(np.concatenate([np.zeros(0), *(of(part) for part in slices(plain(batch), TEXT_BYTES))]))
 
     return score.asNondeterministic()(text)
 
