@@ -21,10 +21,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import binaries, plain, read, slices, spread
+from tidemark.llm._common import binaries, plain, read, released, slices, spread
 
 #: Distinct pieces that a worker remembers; beyond it starts again.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 
 
 def byte_characters() -> list[str]:
@@ -92,8 +92,11 @@ class Encoder:
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
+        found = list(map(known.get, pieces))
+        if None not in found:
+            return found
         new, own = [], []
-        for p in dict.fromkeys(p for p in pieces if p not in known):
+        for p in dict.fromkeys(p for p, x in zip(pieces, found, strict=True) if x is None):
             # many pieces go as one text, where none can join with the next
             (new if p[:1] == " " and len(p) > 1 and not p[-1].isspace() else own).append(p)
         for p in own:
@@ -109,7 +112,7 @@ class Encoder:
                 for p, to in zip(group, (cuts * 4).tolist(), strict=True):
                     known[p] = data[at:to]
                     at = to
-        return [known[p] for p in pieces]
+        return [x or known[p] for p, x in zip(pieces, found, strict=True)]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the texts' offsets into them."""
@@ -169,7 +172,7 @@ def encode(text: Column | str, path: str, pattern: str | None = None) -> Column:
     @F.arrow_udf("struct<n_tokens:bigint,ids:binary>")
     def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         enc = encoder(path, pattern)
-        for batch in batches:
+        for batch in released(batches):
             counts, out = [np.empty(0, np.int64)], []
             for part in slices(plain(batch), 8 << 20):
                 ids, offsets = enc.encode(part)
@@ -186,7 +189,7 @@ def encode_with_offsets(text: Column | str, path: str, pattern: str | None = Non
     @F.arrow_udf("array<struct<id:int,start:int,end:int>>")
     def tokens_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         enc = encoder(path, pattern)
-        for batch in batches:
+        for batch in released(batches):
             out = []
             for part in slices(plain(batch)):
                 ids, offsets = enc.encode(part)
@@ -209,7 +212,7 @@ def decode(ids: Column | str, path: str, pattern: str | None = None) -> Column:
     @F.arrow_udf("binary")
     def bytes_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         enc = encoder(path, pattern)
-        for batch in batches:
+        for batch in released(batches):
             out = []
             for part in slices(pc.fill_null(batch.cast(pa.large_binary()), b"")):
                 sizes = pc.binary_length(part).to_numpy(zero_copy_only=False).astype(np.int64) // 4
