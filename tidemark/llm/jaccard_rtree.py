@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import binaries, materialise, mix, plain, read, slices, words_of
+from tidemark.llm._common import binaries, materialise, mix, plain, read, released, slices, words_of
 from tidemark.llm.components import components
 
 N_WORDS = 4
@@ -184,7 +184,7 @@ def features(text: Column | str, n: int = N_WORDS, percent: int = PERCENT) -> Co
     @F.arrow_udf("struct<n:bigint,k1:bigint,k2:bigint,vector:binary,places:array<bigint>>")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         put: set[int] = set()  # sets that this task has put in their places: copies needn't be put there again
-        for batch in batches:
+        for batch in released(batches):
             out = []
             for part in slices(plain(batch)):
                 key, at = grams(part, n)
@@ -194,7 +194,7 @@ def features(text: Column | str, n: int = N_WORDS, percent: int = PERCENT) -> Co
                 for salt in (11, 23):
                     s = np.concatenate([[0], np.cumsum(mix(key + np.uint64(salt)), dtype=np.uint64)]).astype(np.uint64)
                     sums.append(mix(s[at[1:]] - s[at[:-1]] + size.astype(np.uint64)).astype(np.int64))
-                if len(put) > 2_000_000:
+                if len(put) > 500_000:
                     put.clear()
                 new = np.zeros(len(part), bool)
                 for i, k in enumerate(sums[0].tolist()):
@@ -216,7 +216,7 @@ def sets_of(text: Column | str, n: int = N_WORDS) -> Column:
 
     @F.arrow_udf("binary")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in released(batches):
             out = [binaries(*grams(part, n)) for part in slices(plain(batch))]
             yield pa.chunked_array(out, pa.large_binary()).combine_chunks().cast(pa.binary())
 

@@ -114,6 +114,7 @@ class Profiles:
 
 def fit(docs: DataFrame, most: int = MAX_TRAIN_ROWS) -> Profiles:
     """A vector of each value of lang, from documents whose fold is not 0."""
+    docs = docs.select("doc_id", "text", "lang")
     ids = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).where(fold("doc_id") != 0).select("doc_id").distinct()
     chosen = F.broadcast(bounded_sample(ids, "doc_id", most).withColumnRenamed("doc_id", "of"))
     train = docs.where(F.col("lang").isNotNull()).join(chosen, F.col("doc_id") == F.col("of")).select("lang", "text")
