@@ -1,57 +1,76 @@
-"""Order-dependent operators: each row's fate depends on rows kept before it, so a group is walked in one pass (applyInPandas).
+"""Order-dependent operators: each row's fate depends on rows kept before it, so a stretch of a group is walked in one pass.
 
-Groups are tracks; a group must fit a task. Long streams are cut at gaps wider than the operator's radius first (`cut_at_gaps`), which changes no
-result, since nothing reaches over such a gap; so one hot track doesn't land in one task whole.
+Groups are tracks. They are cut at gaps wider than the operator's reach (`stretches`), which changes no result, since nothing reaches
+over such a gap; CHUNK stretches at a time go to one call. So a hot track is spread over tasks, and short stretches don't each cost a call.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Stretches of a group that one call walks.
+CHUNK = 512
+
 
-def cut_at_gaps(rows: DataFrame, by: str, t: str, radius: float) -> DataFrame:
-    """The rows with `_part`, a number that grows at each gap of more than `radius`."""
+def stretches(rows: DataFrame, by: str, t: str, radius: float) -> DataFrame:
+    """The rows with `_part`, a number that grows at each gap of more than `radius` in the group, and `_chunk`, CHUNK parts each."""
     w = W.partitionBy(by).orderBy(t)
-    return rows.withColumn("_cut", F.coalesce((F.col(t) - F.lag(t).over(w) > radius).cast("long"), F.lit(0))).withColumn("_part", F.sum("_cut").over(w.rangeBetween(W.unboundedPreceding, 0))).drop("_cut")
+    cut = F.coalesce((F.col(t) - F.lag(t).over(w) > radius).cast("long"), F.lit(0))
+    put = rows.withColumn("_cut", cut).withColumn("_part", F.sum("_cut").over(w.rangeBetween(W.unboundedPreceding, 0))).drop("_cut")
+    return put.withColumn("_chunk", F.floor(F.col("_part") / CHUNK))
+
 
+def spans(g: pd.DataFrame, *order: str) -> tuple[pd.DataFrame, Iterator[tuple[int, int]]]:
+    """The rows by part and order, and each part's first place and the place after its last."""
+    g = g.sort_values(["_part", *order])
+    edge = np.flatnonzero(np.diff(g["_part"].to_numpy(), prepend=-1, append=-1))
+    return g, zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)
 
-def _suppress(t: np.ndarray, order: np.ndarray, gap: float) -> np.ndarray:
-    kept: list[int] = []
-    for i in order:
-        if all(abs(t[i] - t[j]) >= gap for j in kept):
-            kept.append(i)
-    out = np.zeros(len(t), bool)
-    out[kept] = True
-    return out
+
+def walked(rows: DataFrame, by: str, t: str, radius: float, walk: Callable[[pd.DataFrame], pd.DataFrame], schema) -> DataFrame:
+    return stretches(rows, by, t, radius).groupBy(by, "_chunk").applyInPandas(walk, schema)
 
 
 def nms(rows: DataFrame, by: str, t: str, quality: str, key: str, gap: float) -> DataFrame:
     """Greedy suppression: rows by falling quality (ties: time, key) stay unless a kept one is less than `gap` away."""
 
     def walk(g: pd.DataFrame) -> pd.DataFrame:
-        order = np.lexsort((g[key], g[t], -g[quality]))
-        return g[_suppress(g[t].to_numpy(), order, gap)].drop(columns="_part")
+        g, parts = spans(g, t, key)
+        x, falling, kept = g[t].to_numpy(), -g[quality].to_numpy(), np.zeros(len(g), bool)
+        for a, b in parts:
+            times: list = []
+            for i in (a + np.argsort(falling[a:b], kind="stable")).tolist():
+                at = bisect_left(times, x[i])
+                if (at == 0 or x[i] - times[at - 1] >= gap) and (at == len(times) or times[at] - x[i] >= gap):
+                    insort(times, x[i])
+                    kept[i] = True
+        return g[kept].drop(columns=["_part", "_chunk"])
 
-    return cut_at_gaps(rows, by, t, gap).groupBy(by, "_part").applyInPandas(walk, rows.schema)
+    return walked(rows, by, t, gap, walk, rows.schema)
 
 
 def thin(rows: DataFrame, by: str, t: str, key: str, gap: float) -> DataFrame:
     """From left to right, rows at least `gap` after the last kept one."""
 
     def walk(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values([t, key])
-        kept, last = [], -np.inf
-        for i, x in enumerate(g[t].to_numpy()):
-            if x - last >= gap:
-                kept.append(i)
-                last = x
-        return g.iloc[kept].drop(columns="_part")
+        g, parts = spans(g, t, key)
+        x, kept = g[t].to_numpy(), []
+        for a, b in parts:
+            last = None
+            for i in range(a, b):
+                if last is None or x[i] - last >= gap:
+                    kept.append(i)
+                    last = x[i]
+        return g.iloc[kept].drop(columns=["_part", "_chunk"])
 
-    return cut_at_gaps(rows, by, t, gap).groupBy(by, "_part").applyInPandas(walk, rows.schema)
+    return walked(rows, by, t, gap, walk, rows.schema)
 
 
 def lower_weighted_median(x: np.ndarray, w: np.ndarray) -> float:
@@ -63,53 +82,109 @@ def lower_weighted_median(x: np.ndarray, w: np.ndarray) -> float:
 def online_clusters(rows: DataFrame, by: str, t: str, weight: str, key: str, radius: float) -> DataFrame:
     """In time order, each row joins the nearest cluster whose running weighted median lies within `radius`, else begins one.
 
-    Adds cluster (by first time, from 0 within the group's part) and centre (the median in the end). Medians stay between their rows, so
-    gaps over the radius can be cut.
+    Adds part, cluster (by first time, from 0 in the part) and centre (the median in the end). Medians stay between their
+    rows, so gaps over the radius can be cut.
     """
 
     def walk(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values([t, key])
+        g, parts = spans(g, t, key)
         x, w = g[t].to_numpy(float), g[weight].to_numpy(float)
-        members: list[list[int]] = []
-        centres: list[float] = []
-        put = []
-        for i in range(len(x)):
-            near = min(range(len(centres)), key=lambda c: (abs(centres[c] - x[i]), c), default=None)
-            if near is None or abs(centres[near] - x[i]) > radius:
-                members.append([i])
-                centres.append(x[i])
-                put.append(len(members) - 1)
-            else:
-                members[near].append(i)
-                centres[near] = lower_weighted_median(x[members[near]], w[members[near]])
-                put.append(near)
-        part = g["_part"].iloc[0]
-        return g.assign(part=part, cluster=put, centre=[centres[c] for c in put]).drop(columns="_part")
+        put, centre = np.zeros(len(g), np.int64), np.zeros(len(g))
+        for a, b in parts:
+            members: list[list[int]] = []
+            centres: list[float] = []
+            for i in range(a, b):
+                near = min(range(len(centres)), key=lambda c, i=i: (abs(centres[c] - x[i]), c), default=None)
+                if near is None or abs(centres[near] - x[i]) > radius:
+                    near = len(members)
+                    members.append([i])
+                    centres.append(x[i])
+                else:
+                    members[near].append(i)
+                    centres[near] = lower_weighted_median(x[members[near]], w[members[near]])
+                put[i] = near
+            centre[a:b] = np.array(centres)[put[a:b]]
+        return g.assign(part=g["_part"], cluster=put, centre=centre).drop(columns=["_part", "_chunk"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", part long, cluster long, centre double"
-    return cut_at_gaps(rows, by, t, radius).groupBy(by, "_part").applyInPandas(walk, schema)
+    return walked(rows, by, t, radius, walk, schema)
 
 
 def one_to_one(reference: DataFrame, estimate: DataFrame, by: str, t: str, tolerance: float) -> DataFrame:
     """Greedy two-pointer matching of sorted times, each used once: by, reference_t, estimate_t, error; unmatched ones are not in it."""
 
     def walk(g: pd.DataFrame) -> pd.DataFrame:
-        a, b = (np.sort(g.loc[g["side"] == s, t].to_numpy()) for s in (0, 1))
-        i = j = 0
-        out = []
-        while i < len(a) and j < len(b):
-            d = b[j] - a[i]
-            if abs(d) <= tolerance:
-                out.append((a[i], b[j], d))
-                i, j = i + 1, j + 1
-            elif d < 0:
-                j += 1
-            else:
-                i += 1
+        g, parts = spans(g, "side", t)
+        x, side, out = g[t].to_numpy(), g["side"].to_numpy(), []
+        for a, b in parts:
+            i = a
+            j = middle = a + int((side[a:b] == 0).sum())
+            while i < middle and j < b:
+                d = x[j] - x[i]
+                if abs(d) <= tolerance:
+                    out.append((x[i], x[j], d))
+                    i, j = i + 1, j + 1
+                elif d < 0:
+                    j += 1
+                else:
+                    i += 1
         k = pd.DataFrame(out, columns=["reference_t", "estimate_t", "error"])
         k.insert(0, by, g[by].iloc[0])
         return k
 
     both = reference.select(by, t, F.lit(0).alias("side")).unionByName(estimate.select(by, t, F.lit(1).alias("side")))
     kind, time = both.schema[by].dataType.simpleString(), both.schema[t].dataType.simpleString()
-    return cut_at_gaps(both, by, t, tolerance).groupBy(by, "_part").applyInPandas(walk, f"{by} {kind}, reference_t {time}, estimate_t {time}, error {time}")
+    return walked(both, by, t, tolerance, walk, f"{by} {kind}, reference_t {time}, estimate_t {time}, error {time}")
+
+
+def merge_running(rows: DataFrame, by: str, t: str, key: str, gap: float) -> DataFrame:
+    """From left to right, a row within `gap` of the merged value joins it, and the value moves half way to it: by, value, n."""
+
+    def walk(g: pd.DataFrame) -> pd.DataFrame:
+        g, parts = spans(g, t, key)
+        x, out = g[t].to_numpy(float), []
+        for a, b in parts:
+            first = len(out)
+            for i in range(a, b):
+                if len(out) > first and x[i] - out[-1][0] <= gap:
+                    out[-1] = ((out[-1][0] + x[i]) / 2, out[-1][1] + 1)
+                else:
+                    out.append((x[i], 1))
+        k = pd.DataFrame(out, columns=["value", "n"])
+        k.insert(0, by, g[by].iloc[0])
+        return k
+
+    return walked(rows, by, t, gap, walk, f"{by} {rows.schema[by].dataType.simpleString()}, value double, n long")
+
+
+def append_apart(kept: DataFrame, more: DataFrame, by: str, t: str, key: str, radius: float) -> DataFrame:
+    """The kept rows, and those of `more`, in order of time and key, that lie over `radius` from all kept so far."""
+
+    def walk(g: pd.DataFrame) -> pd.DataFrame:
+        g, parts = spans(g, "_later", t, key)
+        x, later, chosen = g[t].to_numpy(), g["_later"].to_numpy(), np.zeros(len(g), bool)
+        for a, b in parts:
+            times: list = []
+            for i in range(a, b):
+                at = bisect_left(times, x[i])
+                if not later[i] or (at == 0 or x[i] - times[at - 1] > radius) and (at == len(times) or times[at] - x[i] > radius):
+                    insort(times, x[i])
+                    chosen[i] = True
+        return g[chosen].drop(columns=["_part", "_chunk", "_later"])
+
+    both = kept.withColumn("_later", F.lit(0)).unionByName(more.withColumn("_later", F.lit(1)))
+    return walked(both, by, t, radius, walk, kept.schema)
+
+
+def diversified(rows: DataFrame, by: str, source: str, score: str, key: str, most: int, front: int, cap: int) -> DataFrame:
+    """At most `most` rows of a group: the best `front`, then by score at most `cap` of a source, then what is left by score.
+
+    All three steps are ranks, so no group is walked: a row's place in its source decides whether the cap lets it by.
+    """
+    order = [F.desc(score), F.col(key)]
+    ranked = rows.withColumn("_k", F.row_number().over(W.partitionBy(by).orderBy(*order)))
+    # places in a source among the rows behind the front, after the front's own rows of that source
+    ranked = ranked.withColumn("_s", F.row_number().over(W.partitionBy(by, source).orderBy(*order)))
+    stage = F.when(F.col("_k") <= front, 0).when(F.col("_s") <= cap, 1).otherwise(2)
+    placed = ranked.withColumn("_stage", stage).withColumn("place", F.row_number().over(W.partitionBy(by).orderBy("_stage", *order)).cast("long"))
+    return placed.where(F.col("place") <= most).drop("_k", "_s", "_stage")

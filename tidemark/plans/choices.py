@@ -256,6 +256,11 @@ ORACLE = {
     "calibration_points": f"""WITH {LAB}, p AS (SELECT doc_id, CASE WHEN quality = 1 THEN 2 ELSE 0 END + CASE WHEN toxic = 0 THEN 1 ELSE 0 END + CASE WHEN n_chars BETWEEN 200 AND 5000 THEN 1 ELSE 0 END AS p FROM lab) SELECT doc_id, CASE WHEN p >= 4 THEN 'HIGH' WHEN p >= 2 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM p""",
     "review_score": f"""WITH {LAB}, p AS (SELECT *, list_filter([1.0::DOUBLE - quality, toxic::DOUBLE, CASE WHEN n_chars < 1000 THEN 1 - n_chars / 1000.0::DOUBLE END], lambda x: x IS NOT NULL) AS h FROM lab), d AS (SELECT *, CASE WHEN len(h) > 0 THEN list_sum(list_transform(h, lambda x: least(greatest(x, 0), 1))) / len(h) ELSE 0 END AS d FROM p)
         SELECT doc_id, round(d, 6)::DOUBLE AS deficit, round(d + CASE WHEN quality IS NULL THEN 0.25 ELSE 0 END::DOUBLE + CASE WHEN source = 'src0' THEN 0.1 ELSE 0 END::DOUBLE, 6)::DOUBLE AS value FROM d""",
+    "nms_suppress": f"""WITH RECURSIVE {EV}, walk AS (SELECT user_id, list({{'t': t, 'id': event_id}} ORDER BY value DESC, t, event_id) AS l FROM ev GROUP BY 1
+        UNION ALL SELECT user_id, list_filter(l, lambda x: abs(x.t - l[1].t) >= 21600000000) FROM walk WHERE len(l) > 0) SELECT user_id, l[1].id AS event_id FROM walk WHERE len(l) > 0""",
+    "one_to_one_match": f"""WITH RECURSIVE {EV}, r AS (SELECT user_id, list(t ORDER BY t) FILTER (WHERE event_type = 'purchase') AS a, list(t ORDER BY t) FILTER (WHERE event_type = 'click') AS b FROM ev GROUP BY 1),
+        walk AS (SELECT user_id, a, b, 1 AS i, 1 AS j FROM r UNION ALL SELECT user_id, a, b, CASE WHEN b[j] - a[i] >= -21600000000 THEN i + 1 ELSE i END, CASE WHEN b[j] - a[i] <= 21600000000 THEN j + 1 ELSE j END FROM walk WHERE i <= len(a) AND j <= len(b))
+        SELECT user_id, a[i] AS reference_t, b[j] AS estimate_t, b[j] - a[i] AS error FROM walk WHERE i <= len(a) AND j <= len(b) AND abs(b[j] - a[i]) <= 21600000000""",
     "min_gap_thin": f"""WITH RECURSIVE {EV}, walk AS (SELECT user_id, min(t) AS t FROM ev GROUP BY 1 UNION ALL SELECT w.user_id, (SELECT min(e.t) FROM ev e WHERE e.user_id = w.user_id AND e.t >= w.t + 21600000000) FROM walk w WHERE w.t IS NOT NULL),
         r AS (SELECT ev.user_id, event_id, row_number() OVER (PARTITION BY ev.user_id, ev.t ORDER BY event_id) AS k FROM ev JOIN walk ON walk.user_id = ev.user_id AND walk.t = ev.t) SELECT user_id, event_id FROM r WHERE k = 1""",
 }
