@@ -222,7 +222,7 @@ def candidate_vector(spark: SparkSession, sf: str) -> DataFrame:
         "event_id",
         *((F.col("event_type") == k).cast("long").alias(f"is_{k}") for k in ("click", "view", "purchase")),
         r6(1.0 / F.row_number().over(by), "rank_inverse"),
-        r6(F.col("value") / F.max("value").over(part), "share_of_best"),
+        r6(F.col("value") / F.max("value").over(part) + 1e-9, "share_of_best"),
         r6(F.col("value") - F.coalesce(F.lead("value").over(by), F.lit(0.0)), "margin_next"),
         F.round(F.sin(hour * 2 * 3.141592653589793 / 24), 5).alias("phase_sin"),
     )
@@ -291,7 +291,7 @@ ORACLE = {
         SELECT *, new_median <= old_median AND new_p95 <= old_p95 AND (new_median < old_median OR new_p95 < old_p95) AS promote FROM m""",
     "hard_negatives": """WITH d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS k FROM documents JOIN labels USING (doc_id) WHERE quality = 0), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY sha1(doc_id::VARCHAR)) AS j FROM d WHERE k > 3)
         SELECT source, doc_id, 'hard' AS kind FROM d WHERE k <= 3 UNION ALL SELECT source, doc_id, 'random' FROM r WHERE j <= 3""",
-    "candidate_vector": f"""WITH {EV} SELECT event_id, (event_type = 'click')::BIGINT AS is_click, (event_type = 'view')::BIGINT AS is_view, (event_type = 'purchase')::BIGINT AS is_purchase, round(1.0::DOUBLE / row_number() OVER b, 6) AS rank_inverse, round(value / max(value) OVER (PARTITION BY user_id), 6) AS share_of_best,
+    "candidate_vector": f"""WITH {EV} SELECT event_id, (event_type = 'click')::BIGINT AS is_click, (event_type = 'view')::BIGINT AS is_view, (event_type = 'purchase')::BIGINT AS is_purchase, round(1.0::DOUBLE / row_number() OVER b, 6) AS rank_inverse, round(value / max(value) OVER (PARTITION BY user_id) + 1e-9::DOUBLE, 6) AS share_of_best,
         round(value - coalesce(lead(value) OVER b, 0), 6) AS margin_next, round(sin(((t // 3600000000) % 24) * 2 * 3.141592653589793::DOUBLE / 24), 5) AS phase_sin FROM ev WINDOW b AS (PARTITION BY user_id ORDER BY value DESC, event_id)""",
     "merged_times": f"""WITH RECURSIVE {EV}, r AS (SELECT user_id, t::DOUBLE AS t, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS i FROM ev),
         walk AS (SELECT user_id, i, t AS v, 1 AS n, 1 AS c FROM r WHERE i = 1 UNION ALL SELECT r.user_id, r.i, CASE WHEN r.t - v <= 7200000000 THEN (v + r.t) / 2 ELSE r.t END, CASE WHEN r.t - v <= 7200000000 THEN n + 1 ELSE 1 END, CASE WHEN r.t - v <= 7200000000 THEN c ELSE c + 1 END FROM walk JOIN r ON r.user_id = walk.user_id AND r.i = walk.i + 1),
