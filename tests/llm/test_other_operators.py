@@ -137,6 +137,18 @@ def test_queries_run_on_the_smallest_tables(spark, name):
     assert rows
 
 
+def test_scratch_tables_are_dropped(spark):
+    import os
+
+    from tidemark.llm import _common
+
+    rows = _common.materialise(spark.range(3).toDF("doc_id"), "gone")
+    path = _common._scratch[-1].removeprefix("file:")
+    assert rows.count() == 3 and os.path.isdir(path)
+    _common.drop_scratch(spark)
+    assert not os.path.isdir(path) and not _common._scratch
+
+
 def test_pipeline_as_its_stages_one_by_one(spark):
     import corpus_pipeline as C
     from tidemark.llm import jaccard_rtree, quality_rules, toxicity

@@ -35,6 +35,9 @@ def released(batches: Iterator) -> Iterator:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+_scratch: list[str] = []
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -74,8 +77,10 @@ def words_of(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Array
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Positions of the concatenation of ranges [start, start + length)."""
     total = int(lengths.sum())
-    begin = np.cumsum(lengths) - lengths
-    return np.repeat(starts - begin, lengths) + np.arange(total)
+    kind = np.int32 if max(total, int(np.max(starts + lengths, initial=0))) < 2**31 else np.int64
+    out = np.repeat((starts - (np.cumsum(lengths) - lengths)).astype(kind), lengths)
+    out += np.arange(total, dtype=kind)
+    return out
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -102,7 +107,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     if not base:
         base = tempfile.gettempdir() + "/tidemark-checkpoints"
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _scratch.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _scratch[-1]
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Deletes the tables that this program's jobs wrote for themselves; call it when no result that rests on them is still to be read."""
+    while _scratch:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
