@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from tidemark.sources import files, sinks
 from tidemark.streaming import sessions
 
-PROJECT = """<Ableton><AudioClip><Name Value="drop"/><IsWarped Value="true"/><SampleRef><FileRef><Path Value="/x/drums.wav"/></FileRef></SampleRef>
+PROJECT = """<Live><AudioClip><Name Value="drop"/><IsWarped Value="true"/><SampleRef><FileRef><Path Value="/x/drums.wav"/></FileRef></SampleRef>
 <WarpMarkers><WarpMarker BeatTime="4" SecTime="3"/><WarpMarker BeatTime="-4" SecTime="1"/><WarpMarker BeatTime="x" SecTime="9"/></WarpMarkers></AudioClip>
 <AudioClip><Name Value="none"/><IsWarped Value="true"/></AudioClip>
-<AudioClip><Name Value="flat"/><IsWarped Value="false"/><WarpMarkers><WarpMarker BeatTime="0" SecTime="7"/></WarpMarkers></AudioClip></Ableton>"""
+<AudioClip><Name Value="flat"/><IsWarped Value="false"/><WarpMarkers><WarpMarker BeatTime="0" SecTime="7"/></WarpMarkers></AudioClip></Live>"""
 
 
 def test_project_clips(spark, tmp_path):

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import aggregates, choices, extras, joins, reports, windows
+from tidemark.plans import aggregates, choices, extras, joins, reports, streams, windows
 
-MODULES = (joins, aggregates, windows, choices, reports, extras)
+MODULES = (joins, aggregates, windows, choices, reports, extras, streams)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE: dict[str, str] = {k: s for m in MODULES for k, s in m.ORACLE.items()}
