@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.tables import shared_folder
 from tidemark.streaming import sessions as S
 
 
 def ended(spark: SparkSession, sf: str, stream: Callable[[DataFrame], DataFrame], schema: str) -> DataFrame:
     """Rows that the stream has put out once it has read everything; what its watermark hasn't passed is not among them."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/tidemark-streams").rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     source = spark.readStream.schema(S.EVENTS).option("pathGlobFilter", "events*.parquet").parquet(sf).withColumn("ts", F.col("ts").cast("timestamp"))
     query = stream(source).writeStream.outputMode("append").option("checkpointLocation", f"{base}/state").format("parquet").trigger(availableNow=True).start(f"{base}/out")
     query.awaitTermination()
