@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -14,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.tables import shared_folder
+
 #: Texts are worked on in slices of about so many bytes, so that temporaries stay small whatever the batch holds.
 SLICE_BYTES = 4 << 20
 BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2500
@@ -103,11 +104,7 @@ def binaries(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path for a table that a job writes and reads again, in the folder that all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.gettempdir() + "/tidemark-checkpoints"
-        spark.sparkContext.setCheckpointDir(base)
-    _scratch.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    _scratch.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
     return _scratch[-1]
 
 

@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm._common import binaries, plain, read, released, slices, spread
 
-#: Distinct pieces that a worker remembers; beyond it starts again.
+#: Distinct parts that a worker remembers; beyond it starts again.
 REMEMBERED = 500_000
+#: Stands between parts.
+MARK = "\0"
 
 
 def byte_characters() -> list[str]:
@@ -77,10 +79,11 @@ def load(path: str, pattern: str | None = None) -> tuple[object, np.ndarray, np.
 
 
 class Encoder:
-    """Encodes texts by the distinct pieces between single spaces.
+    """Encodes texts by the distinct parts of their words.
 
-    The pattern never joins what stands before a space and another character than a space to what follows, so a piece with
-    the space before it is encoded once for all its places. Texts with two spaces in a row go to the library whole.
+    The pattern never joins what stands before a space and another character than a space to what follows, nor a letter to a point or
+    comma, nor a single line break to its neighbours; so each distinct part is encoded once for all its places. Texts with two
+    spaces in a row go to the library whole.
     """
 
     def __init__(self, path: str, pattern: str | None = None):
@@ -88,56 +91,69 @@ class Encoder:
         self.lengths = np.diff(self.offsets)
         self.known: dict[str, bytes] = {}
 
-    def _ids(self, pieces: list[str]) -> list[bytes]:
+    def _ids(self, parts: list[str]) -> list[bytes]:
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
-        found = list(map(known.get, pieces))
-        if None not in found:
-            return found
-        new, own = [], []
-        for p in dict.fromkeys(p for p, x in zip(pieces, found, strict=True) if x is None):
-            # many pieces go as one text, where none can join with the next
-            (new if p[:1] == " " and len(p) > 1 and not p[-1].isspace() else own).append(p)
-        for p in own:
-            known[p] = np.array(self.tok.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
-        groups = [new[i : i + 1000] for i in range(0, len(new), 1000)]
-        for i in range(0, len(groups), 16):
-            coded = self.tok.encode_batch_fast(["".join(g) for g in groups[i : i + 16]], add_special_tokens=False)
-            for group, e in zip(groups[i : i + 16], coded, strict=True):
+        found = list(map(known.get, parts))
+        # many parts go as one text, where none can join with the next
+        new = [p for p, x in zip(parts, found, strict=True) if x is None]
+        joined = [p for p in new if p[:1] == " " and not p[-1].isspace()]
+        for i in range(0, len(joined), 16_000):
+            groups = [joined[j : j + 1000] for j in range(i, min(i + 16_000, len(joined)), 1000)]
+            for group, e in zip(groups, self.tok.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
                 ids = np.array(e.ids, "<u4")
-                ends = np.cumsum(self.lengths[ids])
-                cuts = np.searchsorted(ends, np.cumsum([len(p.encode()) for p in group])) + 1
-                data, at = ids.tobytes(), 0
-                for p, to in zip(group, (cuts * 4).tolist(), strict=True):
-                    known[p] = data[at:to]
-                    at = to
-        return [x or known[p] for p, x in zip(pieces, found, strict=True)]
+                sizes = np.fromiter((len(p.encode()) for p in group), np.int64, len(group))
+                cuts = (np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(sizes)) + 1) * 4
+                data = ids.tobytes()
+                known.update(zip(group, map(data.__getitem__, map(slice, np.append(0, cuts[:-1]).tolist(), cuts.tolist())), strict=True))
+        if len(joined) < len(new):
+            alone = [p for p in new if p not in known]
+            for i in range(0, len(alone), 4096):
+                coded = self.tok.encode_batch_fast(alone[i : i + 4096], add_special_tokens=False)
+                known.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(alone[i : i + 4096], coded, strict=True))
+        return [known[p] if x is None else x for p, x in zip(parts, found, strict=True)] if new else found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the texts' offsets into them."""
-        lists = pc.split_pattern(texts, " ")
+        whole = np.flatnonzero(pc.match_substring(texts, "  ").to_numpy(zero_copy_only=False))
+        if len(whole):
+            mask = np.ones(len(texts), bool)
+            mask[whole] = False
+            lists = pc.split_pattern(pc.if_else(pa.array(mask), texts, pa.scalar("", texts.type)), " ")
+        else:
+            lists = pc.split_pattern(texts, " ")
         counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-        flat = pc.list_flatten(lists).dictionary_encode()
-        vocab = [" " + p for p in flat.dictionary.to_pylist()]
-        index = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         ends = np.cumsum(counts)
-        double = pc.match_substring(texts, "  ").to_numpy(zero_copy_only=False)
-        firsts = pc.list_element(lists, 0).to_pylist()
-        whole = np.flatnonzero(double)
-        for row in whole:
-            firsts[row] = ""
-        table = self._ids(vocab) + self._ids(firsts)
-        if len(whole):
-            for row, text in zip(whole, texts.take(pa.array(whole)).to_pylist(), strict=True):
-                table[len(vocab) + row] = np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        first = np.zeros(int(ends[-1]), bool)
+        first[ends - counts] = True
+        blank, none = (pa.scalar(x, texts.type) for x in (" ", ""))
+        pieces = pc.binary_join_element_wise(pc.if_else(pa.array(first), none, blank), pc.list_flatten(lists), none).dictionary_encode()
+        vocab = pieces.dictionary
+        # parts of the distinct pieces, between marks
+        plainly = pc.invert(pc.match_substring(vocab, MARK))
+        marked = pc.replace_substring_regex(vocab, r"(\p{L})([.,])", rf"\1{MARK}\2")
+        broken = pc.match_substring_regex(vocab, r"^ ?[\p{L}\p{N}\p{P}\p{S}]+(\n[\p{L}\p{N}\p{P}\p{S}]+)+$")
+        marked = pc.if_else(broken, pc.replace_substring(marked, "\n", f"{MARK}\n{MARK}"), marked)
+        split = pc.split_pattern(pc.if_else(plainly, marked, vocab), MARK)
+        if not pc.all(plainly).as_py():
+            split = pa.array([[p] if MARK in p else x for p, x in zip(vocab.to_pylist(), split.to_pylist(), strict=True)], split.type)
+        n_parts = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+        parts = pc.list_flatten(split).dictionary_encode()
+        names = parts.dictionary.to_pylist()
+        table = self._ids(names)
+        for text in texts.take(pa.array(whole)).to_pylist() if len(whole) else []:
+            table.append(np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
         sizes = np.fromiter(map(len, table), np.int64, len(table)) // 4
-        starts = np.cumsum(sizes) - sizes
-        index[ends - counts] = len(vocab) + np.arange(len(texts))
-        lengths = sizes[index]
-        if len(whole):
-            lengths[spread((ends - counts)[whole] + 1, counts[whole] - 1)] = 0
-        ids = np.frombuffer(b"".join(table), "<u4")[spread(starts[index], lengths)]
+        index = pieces.indices.to_numpy(zero_copy_only=False)
+        lengths = n_parts[index]
+        at = parts.indices.to_numpy(zero_copy_only=False)[spread((np.cumsum(n_parts) - n_parts)[index], lengths)]
+        ends = np.cumsum(lengths)[ends - 1]
+        if len(whole):  # a text that is left out has one empty part
+            at = at.copy()
+            at[ends[whole] - 1] = len(names) + np.arange(len(whole))
+        lengths = sizes[at]
+        ids = np.frombuffer(b"".join(table), "<u4")[spread((np.cumsum(sizes) - sizes)[at], lengths)]
         offsets = np.zeros(len(texts) + 1, np.int64)
         offsets[1:] = np.cumsum(lengths)[ends - 1]
         return ids, offsets
@@ -174,7 +190,7 @@ def encode(text: Column | str, path: str, pattern: str | None = None) -> Column:
         enc = encoder(path, pattern)
         for batch in released(batches):
             counts, out = [np.empty(0, np.int64)], []
-            for part in slices(plain(batch), 8 << 20):
+            for part in slices(plain(batch)):
                 ids, offsets = enc.encode(part)
                 counts.append(np.diff(offsets))
                 out.append(binaries(ids, offsets))

@@ -28,7 +28,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -45,8 +44,8 @@ CLASS_RATIO = 1.5
 LEAF = 32
 #: Rows at a place, and n-grams in a tree, up to which one task takes them; beyond, blocks.
 PLACE_ROWS, TREE_GRAMS = 10_000, 3_000_000
-#: Rows of a table of ids up to which it is broadcast (8 bytes each).
-BROADCAST_IDS = 2_000_000
+#: Rows of the table of compared documents (some 80 bytes each) up to which it is broadcast.
+BROADCAST_IDS = 500_000
 
 
 def grams(texts: pa.Array, n: int = N_WORDS) -> tuple[np.ndarray, np.ndarray]:

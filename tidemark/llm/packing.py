@@ -149,7 +149,7 @@ def tokens_of(docs: DataFrame, path: str, text: str, source: str, key: str, end_
         kind = np.dtype("<u2" if len(enc.lengths) <= 1 << 16 else "<u4")
         for batch in released(batches):
             at = 0
-            for texts in slices(plain(batch.column(2)), 8 << 20):
+            for texts in slices(plain(batch.column(2))):
                 ids, offsets = enc.encode(texts)
                 rows = batch.slice(at, len(texts))
                 at += len(texts)
