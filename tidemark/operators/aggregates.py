@@ -51,9 +51,12 @@ def sweep(rows: DataFrame, score: str, positive: str, thresholds: list[float]) -
     for i, t in enumerate(sorted(thresholds)):
         level = F.when(F.col(score) >= t, i).otherwise(level)
     counts = rows.groupBy(F.coalesce(level, F.lit(-1)).alias("level")).agg(F.sum(F.col(positive).cast("long")).alias("p"), F.sum((1 - F.col(positive)).cast("long")).alias("n"))
-    at = rows.sparkSession.createDataFrame([(i, float(t)) for i, t in enumerate(sorted(thresholds))], "i int, threshold double")
-    total = counts.agg(F.sum("p").alias("all_p"))
-    got = at.join(counts, F.col("level") >= F.col("i"), "left").groupBy("i", "threshold").agg(F.coalesce(F.sum("p"), F.lit(0)).alias("tp"), F.coalesce(F.sum("n"), F.lit(0)).alias("fp")).join(total)
+    at = rows.sparkSession.createDataFrame([(i, 0, 0, float(t)) for i, t in enumerate(sorted(thresholds))], "level int, p long, n long, threshold double")
+    # one row per level: as many as there are thresholds, and one for what reaches none
+    levels = counts.withColumn("threshold", F.lit(None).cast("double")).unionByName(at).groupBy("level").agg(F.sum("p").alias("p"), F.sum("n").alias("n"), F.max("threshold").alias("threshold"))
+    one = W.partitionBy(F.lit(0))
+    above = one.orderBy(F.desc("level")).rowsBetween(W.unboundedPreceding, 0)
+    got = levels.select("threshold", F.sum("p").over(above).alias("tp"), F.sum("n").over(above).alias("fp"), F.sum("p").over(one).alias("all_p")).where("threshold is not null")
     precision, recall = F.when(F.col("tp") + F.col("fp") > 0, F.col("tp") / (F.col("tp") + F.col("fp"))).otherwise(0.0), F.when(F.col("all_p") > 0, F.col("tp") / F.col("all_p")).otherwise(0.0)
     f1 = F.when(precision + recall > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0)
     return got.select("threshold", "tp", "fp", (F.col("all_p") - F.col("tp")).alias("fn"), precision.alias("precision"), recall.alias("recall"), f1.alias("f1"))

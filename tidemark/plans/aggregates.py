@@ -50,8 +50,8 @@ def error_cdf_by_band(spark: SparkSession, sf: str) -> DataFrame:
 def provider_weights(spark: SparkSession, sf: str) -> DataFrame:
     """Each role's mean score over the mean of these means, within 0.35 and 2.5."""
     by = events(spark, sf).groupBy("event_type").agg(F.avg("value").alias("m"))
-    whole = by.agg(F.avg("m").alias("all"))
-    return by.crossJoin(F.broadcast(whole)).select("event_type", r6(F.least(F.greatest(F.col("m") / F.col("all"), F.lit(0.35)), F.lit(2.5)), "weight"))
+    whole = F.avg("m").over(W.partitionBy(F.lit(0)))  # one row per role
+    return by.select("event_type", r6(F.least(F.greatest(F.col("m") / whole, F.lit(0.35)), F.lit(2.5)), "weight"))
 
 
 def weighted_median(spark: SparkSession, sf: str) -> DataFrame:
