@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import jaccard_rtree, packing, pii, quality_rules, toxicity
-from tidemark.llm._common import materialise, read
+from tidemark.llm._common import bounded_batches, materialise, read
 
 #: Ids (8 bytes) or spans (some 100 bytes a document) up to which a table is broadcast; beyond, Spark joins by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Workers of all stages live side by side with what the JVM took for earlier ones, so they get less at once than in the single queries.
+BATCH_ROWS, TEXT_BYTES, REMEMBERED = 1000, 2 << 20, 100_000
 
 
 def small(rows: DataFrame, name: str, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -53,15 +55,28 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 1024 tokens in the sources' proportions."""
     import public_tokenizers as public
 
-    return packing.pack(docs, public.path("byte_bpe_50k.json"))
+    return packing.pack(docs, public.path("byte_bpe_50k.json"), remembered=REMEMBERED, text_bytes=TEXT_BYTES)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("quality_rules", quality),
-    ("toxicity", clean),
-    ("ngram_jaccard", distinct),
-    ("pii", private),
-    ("packing", packed),
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def lean(stage: Stage) -> Stage:
+    """The stage, with small batches for Python workers."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bounded_batches(spark, BATCH_ROWS)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", lean(quality)),
+    ("toxicity", lean(clean)),
+    ("ngram_jaccard", lean(distinct)),
+    ("pii", lean(private)),
+    ("packing", lean(packed)),
 ]
 
 #: The trained stages have no SQL form; tests hold the pipeline against a plain version.

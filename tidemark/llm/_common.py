@@ -22,10 +22,10 @@ BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2500
 MAX_TRAIN_ROWS = 20_000
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Python workers get at most BATCH_ROWS rows at once: whole texts may be long, and executors small."""
-    if int(spark.conf.get(BATCH_CONF)) > BATCH_ROWS:
-        spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
+def bounded_batches(spark: SparkSession, most: int = BATCH_ROWS) -> None:
+    """Python workers get at most `most` rows at once: whole texts may be long, and executors small."""
+    if int(spark.conf.get(BATCH_CONF)) > most:
+        spark.conf.set(BATCH_CONF, str(most))
 
 
 def released(batches: Iterator) -> Iterator:

@@ -86,14 +86,15 @@ class Encoder:
     spaces in a row go to the library whole.
     """
 
-    def __init__(self, path: str, pattern: str | None = None):
+    def __init__(self, path: str, pattern: str | None = None, remembered: int = REMEMBERED):
         self.tok, self.bytes, self.offsets = load(path, pattern)
+        self.remembered = remembered
         self.lengths = np.diff(self.offsets)
         self.known: dict[str, bytes] = {}
 
     def _ids(self, parts: list[str]) -> list[bytes]:
         known = self.known
-        if len(known) > REMEMBERED:
+        if len(known) > self.remembered:
             known.clear()
         found = list(map(known.get, parts))
         # many parts go as one text, where none can join with the next
@@ -178,8 +179,8 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, pattern: str | None = None) -> Encoder:
-    return Encoder(path, pattern)
+def encoder(path: str, pattern: str | None = None, remembered: int = REMEMBERED) -> Encoder:
+    return Encoder(path, pattern, remembered)
 
 
 def encode(text: Column | str, path: str, pattern: str | None = None) -> Column:

@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import materialise, plain, read, released, slices
-from tidemark.llm.byte_bpe import encoder
+from tidemark.llm._common import SLICE_BYTES, materialise, plain, read, released, slices
+from tidemark.llm.byte_bpe import REMEMBERED, encoder
 
 SEQUENCE = 1024
 #: Sequences of a window: the span over which proportions hold.
@@ -141,15 +141,15 @@ def cuts(place: int, n: int, total: int, sequence: int) -> Iterator[tuple[int, i
         place, n = place + take, n - take
 
 
-def tokens_of(docs: DataFrame, path: str, text: str, source: str, key: str, end_id: int) -> DataFrame:
+def tokens_of(docs: DataFrame, path: str, text: str, source: str, key: str, end_id: int, remembered: int = REMEMBERED, text_bytes: int = SLICE_BYTES) -> DataFrame:
     """doc_id, source, part, before (tokens of that source earlier in the partition), n, ids (16 or 32 bits each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, count = encoder(path), TaskContext.get().partitionId(), defaultdict(int)
+        enc, part, count = encoder(path, None, remembered), TaskContext.get().partitionId(), defaultdict(int)
         kind = np.dtype("<u2" if len(enc.lengths) <= 1 << 16 else "<u4")
         for batch in released(batches):
             at = 0
-            for texts in slices(plain(batch.column(2))):
+            for texts in slices(plain(batch.column(2)), text_bytes):
                 ids, offsets = enc.encode(texts)
                 rows = batch.slice(at, len(texts))
                 at += len(texts)
@@ -178,15 +178,18 @@ def pack(
     text: str = "text",
     source: str = "source",
     key: str = "doc_id",
+    remembered: int = REMEMBERED,
+    text_bytes: int = SLICE_BYTES,
 ) -> DataFrame:
     """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source.
 
     targets: proportions by source; None: those of the corpus. Sources not named get what they hold of the corpus.
+    remembered, text_bytes: parts of words that a worker keeps, and text that it encodes at once; less memory for more time.
     """
     window = sequence * window_sequences
     if most_queues**2 > window:
         raise ValueError("windows must hold most_queues squared tokens at least, so that every queue's share only grows")
-    coded = materialise(tokens_of(docs, path, text, source, key, end_id), "packing")
+    coded = materialise(tokens_of(docs, path, text, source, key, end_id, remembered, text_bytes), "packing")
     parts = materialise(coded.groupBy("part", "source").agg(F.sum("n").alias("tokens")), "packing-parts")
     sums = parts.groupBy("source").agg(F.sum("tokens").alias("tokens"))
     top = sums.orderBy(F.desc("tokens"), "source").limit(most_queues - 1).collect()
