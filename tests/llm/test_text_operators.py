@@ -197,6 +197,36 @@ def test_jaccard_join_as_brute_force(spark, monkeypatch, rows):
     assert got == dict(enumerate(want))
 
 
+def test_jaccard_join_of_a_hot_group(spark, monkeypatch):
+    """Many near copies in several blocks, and a chain that drifts away from them, whose links cross blocks."""
+    monkeypatch.setattr(J, "PLACE_ROWS", 10)
+    monkeypatch.setattr(J, "TREE_GRAMS", 1500)
+    repeated, plain_rest = [], J.Blocks.rest
+
+    def rest(self, rows, edges):
+        out = plain_rest(self, rows, edges)
+        repeated.append(None if out is None else out.selectExpr("count(*)", "sum(size(pieces))").first())
+        return out
+
+    monkeypatch.setattr(J.Blocks, "rest", rest)
+    rng = random.Random(4)
+    base = [f"v{i}" for i in range(100)]
+    texts = []
+    for k in range(60):
+        copy = list(base)
+        copy[rng.randrange(100)] = f"x{k}"
+        texts.append(" ".join(copy))
+    drift = list(base)
+    for k in range(40):
+        drift[(2 * k) % 100] = f"y{k}"
+        texts.append(" ".join(drift))
+    rng.shuffle(texts)
+    want = plain_components(texts)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.link_components(docs(spark, texts)).collect()}
+    assert got == dict(enumerate(want))
+    assert len(repeated) == 2 and any(repeated)  # both levels had groups of several blocks, and rows outside the largest part
+
+
 def test_jaccard_join_of_nothing(spark):
     assert J.link_components(docs(spark, [])).count() == 0
     assert {(r.n_shingles, r.component_id) for r in J.link_components(docs(spark, [None, ""])).collect()} == {(0, 0), (0, 1)}

@@ -13,8 +13,10 @@ A document is the set of its distinct word n-grams (64-bit hashes). Equal sets a
 3. Verification. Sets in one tree of that forest are compared exactly, again breadth first: what remains is a
    spanning forest of the true links. Its components are those of all links.
 
-Places and trees of more than a fixed number of rows are cut into blocks, and all pairs of blocks are joined, so memory is bounded and no
-pair is lost. No pair of a group is emitted beyond a forest's edges.
+Places and trees of more than a fixed number of rows are cut into blocks, so memory is bounded. First each block is searched by itself, with two rows
+that go to all blocks of the group; so a group of near copies becomes one part at once. Then the rows outside the group's largest part meet all
+blocks. Rows that are joined already needn't be compared, so no link between parts is lost, and a hot group isn't repeated for each of its blocks.
+No pair of a group is emitted beyond a forest's edges.
 
 Defined results: null, empty or wordless texts have no set, link with nothing and are their own component; with fewer words than n, the
 whole sequence is the only n-gram; repeated documents share a component; ids must be distinct integers; other columns are ignored.
@@ -23,7 +25,8 @@ whole sequence is the only n-gram; repeated documents share a component; ids mus
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -222,12 +225,54 @@ def sets_of(text: Column | str, n: int = N_WORDS) -> Column:
     return of.asNondeterministic()(text)
 
 
-def blocks(rows: DataFrame, group: str, weight: str, most: int) -> DataFrame:
-    """The rows with `pieces`, the pairs of blocks that a row goes to: any two rows of a group meet in one; a group up to `most` has one."""
-    total = rows.groupBy(group).agg(F.ceil(F.sum(weight) / most).cast("int").alias("n_blocks"))
-    mine = F.pmod(F.xxhash64("k1"), F.col("n_blocks")).cast("int")
-    pieces = F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda j: F.least(mine, j) * F.col("n_blocks") + F.greatest(mine, j))
-    return rows.join(total, group).withColumn("pieces", pieces).drop("n_blocks")
+@dataclass
+class Blocks:
+    """Groups of more than `most` weight: into how many blocks each is cut, and its two outermost rows, which go to all of its blocks."""
+
+    group: str
+    weight: str
+    most: int
+    large: DataFrame
+    n_large: int
+
+    @staticmethod
+    def of(rows: DataFrame, group: str, weight: str, most: int) -> Blocks:
+        sums = rows.groupBy(group).agg(F.ceil(F.sum(weight) / most).cast("long").alias("n_blocks"), F.min("k1").alias("low"), F.max("k1").alias("high"))
+        large = materialise(sums.where("n_blocks > 1"), "jaccard-large")
+        return Blocks(group, weight, most, hinted(large, n := large.count()), n)
+
+    def first(self, rows: DataFrame) -> DataFrame:
+        """The rows with `pieces`: the block of each. A group up to `most` is one block."""
+        if not self.n_large:
+            return rows.withColumn("pieces", F.array(F.lit(0).cast("long")))
+        outer = F.when((F.col("k1") == F.col("low")) | (F.col("k1") == F.col("high")), F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1))
+        own = F.array(F.pmod(F.xxhash64("k1"), F.coalesce("n_blocks", F.lit(1).cast("long"))))
+        return rows.join(self.large, self.group, "left").withColumn("pieces", F.coalesce(outer, own)).drop("n_blocks", "low", "high")
+
+    def rest(self, rows: DataFrame, edges: DataFrame) -> DataFrame | None:
+        """Rows of the large groups with the `pieces` in which each row outside its group's largest part, as the edges join them, meets every other row.
+
+        Rows of the largest part are joined already and needn't meet, so they are repeated only as often as there are blocks of others.
+        """
+        if not self.n_large:
+            return None
+        parts = components(edges).withColumnRenamed("node", "k1")
+        mine = rows.join(self.large.select(self.group), self.group).join(parts, "k1", "left").withColumn("part", F.coalesce("component", "k1")).drop("component")
+        sums = mine.groupBy(self.group, "part").agg(F.sum(self.weight).alias("w"))
+        top = sums.groupBy(self.group).agg(F.max_by("part", F.struct("w", "part")).alias("largest"), F.max("w").alias("inner"), (F.sum("w") - F.max("w")).alias("outer"))
+        top = materialise(top.where("outer > 0").select(self.group, "largest", *(F.ceil(F.col(c) / self.most).cast("long").alias(c) for c in ("inner", "outer"))), "jaccard-rest")
+        if not (n := top.count()):
+            return None
+        h, n_blocks, is_outer = F.xxhash64("k1"), F.col("inner") + F.col("outer"), F.col("part") != F.col("largest")
+        block = F.when(is_outer, F.pmod(h, "outer")).otherwise(F.col("outer") + F.pmod(h, "inner"))
+        others = F.sequence(F.lit(0).cast("long"), F.when(is_outer, n_blocks).otherwise(F.col("outer")) - 1)
+        pieces = F.transform(others, lambda j: F.least(block, j) * n_blocks + F.greatest(block, j))
+        return mine.join(hinted(top, n), self.group).withColumn("pieces", pieces).drop("part", "largest", "inner", "outer")
+
+
+def hinted(rows: DataFrame, n: int) -> DataFrame:
+    """The rows, with a broadcast hint if they are few."""
+    return F.broadcast(rows) if n <= BROADCAST_IDS else rows
 
 
 def bound_edges(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
@@ -258,6 +303,17 @@ def true_edges(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame({"u": [k[a] for a, _ in edges], "v": [k[b] for _, b in edges]}, dtype="int64")
 
 
+def both(rows: DataFrame, group: str, weight: str, most: int, edges: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """Edges found within the blocks of all groups and, if groups have several, those of what is left outside their largest parts."""
+    cut = Blocks.of(rows, group, weight, most)
+    found = edges(cut.first(rows))
+    if not cut.n_large:
+        return found
+    found = materialise(found, name)
+    rest = cut.rest(rows, found)
+    return found if rest is None else found.union(edges(rest))
+
+
 def link_components(docs: DataFrame, *, n: int = N_WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
     source = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
@@ -271,16 +327,20 @@ def link_components(docs: DataFrame, *, n: int = N_WORDS, percent: int = PERCENT
     members = shared.where("low <> high").select(F.xxhash64("low", "high", "s1", "s2").alias("place"), "k1").distinct()
     vectors = some.join(nodes.select(F.col("first").alias("doc_id")), "doc_id").select("k1", "n", "vector")
     rows = materialise(members.join(vectors, "k1"), "jaccard-places")
-    near = blocks(rows.withColumn("one", F.lit(1)), "place", "one", PLACE_ROWS).withColumn("piece", F.explode("pieces")).groupBy("place", "piece").applyInPandas(lambda x: bound_edges(x, percent), "u long, v long")
+    def near(put: DataFrame) -> DataFrame:
+        return put.withColumn("piece", F.explode("pieces")).groupBy("place", "piece").applyInPandas(lambda x: bound_edges(x, percent), "u long, v long")
+
+    wanted = both(rows.withColumn("one", F.lit(1)), "place", "one", PLACE_ROWS, near, "jaccard-near")
+    trees = materialise(components(wanted), "jaccard-trees")
+    members = trees.join(nodes.select(F.col("k1").alias("node"), "first", "n"), "node")
+    members = materialise(members.select(F.col("first").alias("doc_id"), F.col("node").alias("k1"), "n", F.col("component").alias("tree")), "jaccard-wanted")
 
-    trees = materialise(components(near), "jaccard-trees")
-    wanted = trees.join(nodes.select(F.col("k1").alias("node"), "first", "n"), "node").select(F.col("first").alias("doc_id"), F.col("node").alias("k1"), "n", F.col("component").alias("tree"))
-    wanted = materialise(blocks(wanted, "tree", "n", TREE_GRAMS), "jaccard-wanted")
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    sets = source.join(wanted, "doc_id").select("k1", "n", "tree", "pieces", sets_of("text", n).alias("grams"))
-    true = sets.withColumn("piece", F.explode("pieces")).groupBy("tree", "piece").applyInPandas(lambda x: true_edges(x, percent), "u long, v long")
+    def verified(put: DataFrame) -> DataFrame:
+        put = materialise(put, "jaccard-pieces")
+        sets = source.join(hinted(put, put.count()), "doc_id").select("k1", "n", "tree", "pieces", sets_of("text", n).alias("grams"))
+        return sets.withColumn("piece", F.explode("pieces")).groupBy("tree", "piece").applyInPandas(lambda x: true_edges(x, percent), "u long, v long")
 
+    true = both(members, "tree", "n", TREE_GRAMS, verified, "jaccard-true")
     parts = materialise(components(true), "jaccard-components")
     of_node = nodes.join(parts, nodes.k1 == parts.node, "left").select("k1", "k2", "first", F.coalesce("component", "k1").alias("part"))
     least = of_node.groupBy("part").agg(F.min("first").alias("component_id"))
