@@ -1,13 +1,14 @@
 """Media columns: local image descriptors find cropped or edited copies.
 
-An image is a row of grey bytes with its height and width. Corners are the local maxima of a Harris response at two scales (the
-strongest CORNERS of each scale describe an image); the intensity centroid around a corner gives its angle, and BITS
-binary comparisons of smoothed points, turned by that angle, its descriptor. Queries and all images meet in Hamming tables: the
-descriptor is cut into WORDS words, and descriptors at most WORDS - 1 bits apart agree in a word. A query finds an image if enough
-of their matched corners agree on one scale and shift (geometric consensus by voting in a grid).
+An image is a row of grey bytes with its height and width. Corners are the local maxima of a Harris response at SCALES (the
+strongest of each scale describe an image, more for larger ones); the intensity centroid around a corner gives its angle, and BITS
+binary comparisons of smoothed points, turned by that angle, its descriptor. All pairs of descriptors of queries and images at most NEAR_BITS
+bits apart are matches: blocks of images meet blocks of queries, and a block's pairs are compared by exclusive or and bit counts. (Tables of words
+would need words so short, for this radius, that they met as many pairs.) A query finds an image if at least VOTES of their corners, and SHARE of the
+corners of the image with fewer, agree on one turn, scale and shift.
 
-Images with the same bytes are one gallery entry; their rows all come back by membership. A match counts once however often
-it is met. Word values that many corners share join by adaptive skew splitting, and no image is dropped for it.
+Rows with the same bytes are one image, and one query; their rows all come back by membership. A match counts once. The work is the
+product of the corners of queries and of images, in blocks of equal size whatever the images hold, and no image is dropped for it.
 
 Defined results: null, empty or too small images, images whose bytes don't fill height x width, and images without corners have no
 descriptors and are found by nothing; repeated rows are all found; an empty table gives no rows; other columns are ignored.
@@ -18,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,11 +27,19 @@ from pyspark.sql import functions as F
 from tidemark.llm._common import materialise, read, released
 
 CORNERS, BITS, WORDS = 24, 256, 4
-RADIUS, SCALES = 8, (1, 2)
-#: Corners that must agree, and the width in pixels of a cell of shifts.
-VOTES, CELL = 4, 4
+RADIUS, SCALES = 8, (1, 1.4, 2)
+#: Bits by which descriptors of the same corner may differ.
+NEAR_BITS = 25
+#: Corners that must agree, as a number and as a share of the corners of the image with fewer, and within how many pixels; the grid of the shifts.
+VOTES, SHARE, CELL, GRID = 3, 0.15, 2, 4
+#: How far the matches that fit one proposal may be off it: in angle, log of the scale, and place (as a part of the distance).
+TURN, STRETCH, SLACK = 0.12, 0.2, 0.12
 SEED = 99
-ANGLES = 16
+ANGLES = 64
+#: An image has one corner a scale more than CORNERS for each so many pixels beyond CORNERS times as many.
+PIXELS = 216
+#: Corners of a block of images or queries, of a query at once, of a strip of a block; proposals times matches at once.
+BLOCK_CORNERS, QUERY_CORNERS, STRIP, PROPOSALS = 65_536, 256, 4096, 1 << 20
 
 
 def pattern() -> np.ndarray:
@@ -64,17 +74,34 @@ def corners(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             if dy or dx:
                 peak &= r >= np.roll(r, (dy, dx), (0, 1))
     y, x_ = np.nonzero(peak)
-    best = np.argsort(-r[y, x_], kind="stable")[:CORNERS]
+    best = np.argsort(-r[y, x_], kind="stable")[: max(CORNERS, x.size // PIXELS)]
     return y[best], x_[best]
 
 
-def describe(image: np.ndarray, tests: np.ndarray) -> list[tuple[float, float, int, np.ndarray]]:
-    """(row, column, scale, descriptor words) of an image's corners, in pixels of the image itself."""
-    out, (v, u) = [], np.mgrid[-RADIUS : RADIUS + 1, -RADIUS : RADIUS + 1]
+def shrunk(image: np.ndarray, scale: float) -> np.ndarray:
+    """The image in pixels `scale` times as wide: means of whole squares, or else between the nearest four points of a smoothed one."""
+    if scale == int(scale):
+        k = int(scale)
+        h, w = image.shape[0] // k * k, image.shape[1] // k * k
+        return image[:h, :w].reshape(h // k, k, w // k, k).mean((1, 3))
+    y, x = ((np.arange(int(n / scale)) + 0.5) * scale - 0.5 for n in image.shape)
+    if not len(y) or not len(x) or min(image.shape) < 3:
+        return np.zeros((0, 0))
+    padded = np.pad(image, 1, "edge")
+    rows = (padded[:-2] + 2 * padded[1:-1] + padded[2:]) / 4
+    soft = (rows[:, :-2] + 2 * rows[:, 1:-1] + rows[:, 2:]) / 4
+    i, j = (np.clip(c.astype(int), 0, n - 2) for c, n in zip((y, x), image.shape, strict=True))
+    fy, fx = (y - i)[:, None], (x - j)[None]
+    low, high = soft[i], soft[i + 1]
+    return (low[:, j] * (1 - fx) + low[:, j + 1] * fx) * (1 - fy) + (high[:, j] * (1 - fx) + high[:, j + 1] * fx) * fy
+
+
+def describe(image: np.ndarray, tests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column, scale, angle) and descriptor words of an image's corners, in pixels of the image itself."""
+    out, (v, u) = [(np.zeros((0, 4), "<f4"), np.zeros((0, WORDS), "<u8"))], np.mgrid[-RADIUS : RADIUS + 1, -RADIUS : RADIUS + 1]
     disc = v * v + u * u <= RADIUS * RADIUS
     for scale in SCALES:
-        h, w = image.shape[0] // scale * scale, image.shape[1] // scale * scale
-        x = image[:h, :w].reshape(h // scale, scale, w // scale, scale).mean((1, 3))
+        x = shrunk(image, scale)
         if min(x.shape) < 2 * RADIUS + 4:
             continue
         smooth = box(x, 1)
@@ -82,65 +109,210 @@ def describe(image: np.ndarray, tests: np.ndarray) -> list[tuple[float, float, i
         if not len(ys):
             continue
         patch = x[ys[:, None, None] + v, xs[:, None, None] + u] * disc
-        turn = np.rint(np.arctan2((patch * v).sum((1, 2)), (patch * u).sum((1, 2))) / (2 * np.pi) * ANGLES).astype(int) % ANGLES
-        at = tests[turn]
+        angle = np.arctan2((patch * v).sum((1, 2)), (patch * u).sum((1, 2)))
+        at = tests[np.rint(angle / (2 * np.pi) * ANGLES).astype(int) % ANGLES]
         first, second = (smooth[ys[:, None] + at[:, :, e, 0], xs[:, None] + at[:, :, e, 1]] for e in (0, 1))
-        bits = np.packbits(first < second, axis=1).view(">u8").astype(np.int64)
-        out += [(float(y * scale), float(c * scale), scale, b) for y, c, b in zip(ys, xs, bits, strict=True)]
-    return out
+        bits = np.packbits(first < second, axis=1).view("<u8")
+        middle = (scale - 1) / 2
+        out.append((np.stack([ys * scale + middle, xs * scale + middle, np.full(len(ys), scale), angle], 1).astype("<f4"), bits))
+    return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
 
-CORNER = "struct<y:double,x:double,scale:int,words:array<bigint>>"
+CORNERS_OF = "struct<n:int,at:binary,words:binary>"
 
 
 def descriptors(image: Column | str, height: Column | str, width: Column | str) -> Column:
-    """Column of array<struct(y, x, scale, words)>."""
-    kind = pa.struct([("y", pa.float64()), ("x", pa.float64()), ("scale", pa.int32()), ("words", pa.list_(pa.int64()))])
+    """Column of struct(n, at, words): the number of corners, their rows, columns, scales and angles, and their descriptors."""
+    kind = pa.struct([("n", pa.int32()), ("at", pa.binary()), ("words", pa.binary())])
 
-    @F.arrow_udf(f"array<{CORNER}>")
+    @F.arrow_udf(CORNERS_OF)
     def described(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         tests = pattern()
         for images, heights, widths in released(batches):
-            done = []
-            for at in range(0, len(images), 256):
-                out = []
-                for data, h, w in zip(*(x.slice(at, 256) for x in (images, heights, widths)), strict=True):
-                    data, h, w = data.as_py(), h.as_py(), w.as_py()
-                    fits = data and h and w and len(data) == h * w
-                    found = describe(np.frombuffer(data, np.uint8).reshape(h, w).astype(float), tests) if fits else []
-                    out.append([{"y": y, "x": x, "scale": s, "words": b.tolist()} for y, x, s, b in found])
-                done.append(pa.array(out, pa.list_(kind)))
-            yield pa.chunked_array(done, pa.list_(kind)).combine_chunks()
+            out = []
+            for data, h, w in zip(images, heights, widths, strict=True):
+                data, h, w = data.as_py(), h.as_py(), w.as_py()
+                fits = data and h and w and len(data) == h * w
+                at, words = describe(np.frombuffer(data, np.uint8).reshape(h, w).astype(float), tests) if fits else (b"", b"")
+                out.append({"n": len(words), "at": bytes(at), "words": bytes(words)})
+            yield pa.array(out, kind)
 
     return described.asNondeterministic()(image, height, width)
 
 
-def find_copies(images: DataFrame, queries: DataFrame, *, key: str = "media_id", votes: int = VOTES) -> DataFrame:
-    """query_id, media_id, votes, scale, dy, dx: the images in which a query's corners are found again, and where.
+def near(q: np.ndarray, g: np.ndarray, bits: int = NEAR_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of all pairs of descriptors at most `bits` bits apart. g: a row for each word."""
+    qs, gs = [], []
+    for at in range(0, g.shape[1], STRIP):
+        part = g[:, at : at + STRIP]
+        few = np.bitwise_count(q[:, :1] ^ part[0])
+        few += np.bitwise_count(q[:, 1:2] ^ part[1])  # at most 128
+        i, j = np.divmod(np.flatnonzero(few <= bits), part.shape[1])
+        far = few[i, j].astype(int)
+        for k in range(2, WORDS):
+            far += np.bitwise_count(q[i, k] ^ part[k, j])
+        hit = far <= bits
+        qs.append(i[hit])
+        gs.append(j[hit] + at)
+    return np.concatenate(qs), np.concatenate(gs)
+
+
+def distinct(ok: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """For each row of flags, how many values of `of` have a set flag."""
+    order = np.argsort(of, kind="stable")
+    starts = np.flatnonzero(np.diff(of[order], prepend=-1))
+    return np.logical_or.reduceat(ok[:, order], starts, axis=1).sum(1)
 
-    images, queries: (key, image binary, height, width). A corner of a query at p is expected at p * scale + shift.
+
+def agree(qi: np.ndarray, gi: np.ndarray, q: np.ndarray, g: np.ndarray, votes: int) -> tuple[int, float, float, float, float] | None:
+    """(votes, scale, angle, dy, dx) of the turn, scale and shift on which most matched corners of two images agree; None: fewer than votes.
+
+    Every match proposes what its own corners' places, scales and angles say; those that roughly agree fit it by least squares, and
+    those within CELL of the fit count.
+    """
+    p, r = q[qi, 1] + 1j * q[qi, 0], g[gi, 1] + 1j * g[gi, 0]
+    ratio, turn = g[gi, 2] / q[qi, 2], g[gi, 3] - q[qi, 3]
+    own = ratio * np.exp(1j * turn)
+    best = None
+    for at in range(0, len(qi), max(1, PROPOSALS // len(qi))):
+        i = slice(at, at + max(1, PROPOSALS // len(qi)))
+        apart = p[None] - p[i, None]
+        alike = own[None] / own[i, None]
+        ok = (abs(np.angle(alike)) <= TURN) & (abs(np.log(abs(alike))) <= STRETCH)
+        ok &= abs(r[i, None] + own[i, None] * apart - r[None]) <= CELL + SLACK * abs(own[i, None] * apart)
+        for _ in range(2):
+            ok = ok[np.minimum(distinct(ok, qi), distinct(ok, gi)) >= votes]
+            if not len(ok):
+                break
+            n, sp, sr = ok.sum(1), ok @ p, ok @ r
+            spread = ok @ (abs(p) ** 2) - abs(sp) ** 2 / n
+            a = (ok @ (p.conj() * r) - sp.conj() * sr / n) / np.where(spread > 1e-3, spread, np.inf)
+            b = (sr - a * sp) / n
+            like = own[None] / np.where(a == 0, 1e-9, a)[:, None]
+            ok = (abs(a[:, None] * p + b[:, None] - r) <= CELL * np.maximum(1, abs(a))[:, None]) & (abs(np.angle(like)) <= TURN) & (abs(np.log(abs(like))) <= STRETCH)
+        if len(ok):
+            n = np.minimum(distinct(ok, qi), distinct(ok, gi))
+            k = int(n.argmax())
+            if n[k] >= votes and (best is None or n[k] > best[0]):
+                best = int(n[k]), float(abs(a[k])), float(np.degrees(np.angle(a[k]))), float(b[k].imag), float(b[k].real)
+    return best
+
+
+def enough(cell: np.ndarray, match: np.ndarray, n: int, need: np.ndarray, each: int, qi: np.ndarray, gi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What is in cells (of n, `each` for every entry of need) with enough matches, and enough distinct corners of either side."""
+    for of in (None, qi, gi):  # all matches first, as this is cheap and leaves little
+        width = int(of.max(initial=0)) + 1 if of is not None else 1
+        one = cell if of is None else np.unique(cell * width + of[match]) // width
+        keep = np.bincount(one, minlength=n)[cell] >= need[cell // each]
+        cell, match = cell[keep], match[keep]
+    return cell, match
+
+
+def promising(image: np.ndarray, qi: np.ndarray, gi: np.ndarray, own: np.ndarray, p: np.ndarray, r: np.ndarray, need: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(image, its matches) of every two by two neighbouring cells of turns and scales, and of shifts, that hold enough distinct corners of either side.
+
+    What agrees is at most TURN and STRETCH off one turn and scale, which bounds how far its own shifts are off, and a cell is twice as
+    wide as that, so nothing that agrees is parted.
+    """
+    sectors = int(np.pi / TURN)
+    a = np.floor(np.mod(np.angle(own), 2 * np.pi) / (2 * np.pi) * sectors).astype(np.int64) % sectors
+    b = np.floor(np.log(abs(own)) / (2 * STRETCH) + 0.5).astype(np.int64)
+    low = int(b.min(initial=0)) - 1
+    b -= low
+    high = int(b.max(initial=0)) + 1
+    cell = np.concatenate([(image * sectors + (a + i) % sectors) * high + b - j for i in (0, 1) for j in (0, 1)])
+    match = np.tile(np.arange(len(image)), 4)
+    cell, match = enough(cell, match, len(need) * sectors * high, need, sectors * high, qi, gi)
+    if len(p):
+        p = p - (p.real.max() + p.real.min() + 1j * (p.imag.max() + p.imag.min())) / 2
+    most = np.exp((cell % high + low + 1.5) * 2 * STRETCH)
+    wide = 2 * (abs(np.exp(STRETCH + 1j * TURN) - 1) * abs(p).max(initial=0) + CELL) * np.maximum(1, most)
+    shift = (r - own * p)[match] / wide
+    y, x = (np.floor(c).astype(np.int64) for c in (shift.imag, shift.real))
+    y, x = y - y.min(initial=0) + 1, x - x.min(initial=0) + 1
+    rows, columns = int(y.max(initial=0)) + 1, int(x.max(initial=0)) + 1
+    cell = np.concatenate([(cell * rows + y - i) * columns + x - j for i in (0, 1) for j in (0, 1)])
+    _, index = np.unique(cell, return_inverse=True)
+    image_of = np.zeros(int(index.max(initial=-1)) + 1, np.int64)
+    image_of[index] = cell // (sectors * high * rows * columns)
+    cell, match = enough(index, np.tile(match, 4), len(image_of), need[image_of], 1, qi, gi)
+    order = np.lexsort((match, cell))
+    cell, match = cell[order], match[order]
+    ends = (np.flatnonzero(np.diff(cell, append=-1)) + 1).tolist()
+    for start, end in zip([0, *ends[:-1]], ends, strict=True) if ends else ():
+        yield int(image_of[cell[start]]), match[start:end]
+
+
+def searched(gallery: pd.DataFrame, queries: pd.DataFrame, votes: int) -> Iterator[tuple]:
+    """(query, image, votes, scale, angle, dy, dx) of the pairs of a block of images and a block of queries."""
+    g = np.frombuffer(b"".join(gallery["at"]), "<f4").reshape(-1, 4).astype(float)
+    words = np.ascontiguousarray(np.frombuffer(b"".join(gallery["words"]), "<u8").reshape(-1, WORDS).T)
+    sizes = gallery["n"].to_numpy()
+    of = np.repeat(np.arange(len(gallery)), sizes)
+    ids = gallery["id"].to_numpy()
+    for row in queries.itertuples():
+        q = np.frombuffer(row.at, "<f4").reshape(-1, 4).astype(float)
+        bits = np.frombuffer(row.words, "<u8").reshape(-1, WORDS)
+        met = [near(bits[k : k + QUERY_CORNERS], words) for k in range(0, len(bits), QUERY_CORNERS)]
+        qi, gi = np.concatenate([x + k * QUERY_CORNERS for k, (x, _) in enumerate(met)]), np.concatenate([y for _, y in met])
+        need = np.maximum(votes, np.ceil(SHARE * np.minimum(sizes, len(bits)))).astype(np.int64)
+        order = np.lexsort((qi, of[gi]))
+        qi, gi = qi[order], gi[order]
+        own = g[gi, 2] / q[qi, 2] * np.exp(1j * (g[gi, 3] - q[qi, 3]))
+        best: dict[int, tuple] = {}
+        for k, m in promising(of[gi], qi, gi, own, q[qi, 1] + 1j * q[qi, 0], g[gi, 1] + 1j * g[gi, 0], need):
+            if (got := agree(qi[m], gi[m], q, g, int(need[k]))) and got > best.get(k, ()):
+                best[k] = got
+        yield from ((row.id, ids[k], *got) for k, got in best.items())
+
+
+def places(images: DataFrame, name: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """(id, first) of every row with an image, and (id, n, at, words) of the first row with given bytes that has corners."""
+    rows = images.select(F.col(key).alias("id"), F.sha2("image", 256).alias("bytes"), "image", "height", "width").where("image is not null")
+    rows = materialise(rows.select("id", "bytes", "height", "width", descriptors("image", "height", "width").alias("c")), name)
+    one = rows.groupBy("bytes", "height", "width").agg(F.min_by(F.struct("id", "c"), "id").alias("o"))
+    first = materialise(one.select("bytes", "height", "width", F.col("o.id").alias("first"), "o.c.*"), f"{name}-first")
+    same = F.col("r.height").eqNullSafe(F.col("f.height")) & F.col("r.width").eqNullSafe(F.col("f.width"))
+    members = rows.alias("r").join(first.alias("f"), (F.col("r.bytes") == F.col("f.bytes")) & same).select("r.id", "f.first")
+    return members, first.where("n > 0").select(F.col("first").alias("id"), "n", "at", "words")
+
+
+def blocks(rows: DataFrame) -> int:
+    """Into how many blocks the images go, by their number of corners."""
+    return max(1, -(-(rows.agg(F.sum("n")).first()[0] or 0) // BLOCK_CORNERS))
+
+
+def search(images: DataFrame, queries: DataFrame, *, key: str = "media_id", votes: int = VOTES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The hits between different images, (query_id, media_id, votes, scale, angle, dy, dx), and (id, first) of all images and of all queries.
+
+    images, queries: (key, image binary, height, width). A corner of a query at p is expected at p * scale, turned by angle, + shift. Rows with
+    the same bytes are one image and one query, `first`; each block of images meets each block of queries in a task of its own.
     """
-    gallery = images.select(F.col(key).alias("media_id"), F.sha2("image", 256).alias("bytes"), "image", "height", "width").where("image is not null")
-    members = materialise(gallery.select("media_id", "bytes", "height", "width"), "media-members")
-    one = members.groupBy("bytes", "height", "width").agg(F.min("media_id").alias("first"))
-    corner = materialise(gallery.select("media_id", descriptors("image", "height", "width").alias("c")).where(F.size("c") > 0), "media-corners")
-    corner = corner.join(one.select(F.col("first").alias("media_id")), "media_id").select("media_id", F.explode("c").alias("c"))
-    asked = materialise(queries.select(F.col(key).alias("query_id"), descriptors("image", "height", "width").alias("c")), "media-queries").select("query_id", F.explode("c").alias("c"))
-
-    def words(rows: DataFrame, name: str) -> DataFrame:
-        return rows.select("*", F.posexplode("c.words").alias("word", "value")).withColumnRenamed("c", name)
-
-    far = F.aggregate(F.arrays_zip(F.col("q.words").alias("a"), F.col("g.words").alias("b")), F.lit(0), lambda n, z: n + F.bit_count(z["a"].bitwiseXOR(z["b"])))
-    # a pair that agrees in several words is met at the first of them
-    first = F.array_position(F.zip_with("q.words", "g.words", lambda a, b: a == b), True) - 1
-    met = words(asked, "q").join(words(corner, "g"), ["word", "value"]).where((far < WORDS) & (F.col("word") == first))
-    ratio = (F.col("g.scale") / F.col("q.scale")).alias("scale")
-    pairs = met.select("query_id", "media_id", ratio, F.col("q.y").alias("qy"), F.col("q.x").alias("qx"), F.col("g.y").alias("gy"), F.col("g.x").alias("gx")).distinct()
-    shift = lambda g, q: F.floor((F.col(g) - F.col(q) * F.col("scale")) / CELL + 0.5) * CELL
-    agreed = pairs.groupBy("query_id", "media_id", "scale", shift("gy", "qy").alias("dy"), shift("gx", "qx").alias("dx")).agg(F.countDistinct("qy", "qx").alias("votes"))
-    best = agreed.groupBy("query_id", "media_id").agg(F.max(F.struct("votes", "scale", "dy", "dx")).alias("b")).where(F.col("b.votes") >= votes)
-    found = best.select("query_id", F.col("media_id").alias("first"), F.col("b.votes").alias("votes"), F.col("b.scale").alias("scale"), F.col("b.dy").alias("dy"), F.col("b.dx").alias("dx"))
-    return members.join(one, ["bytes", "height", "width"]).select("media_id", "first").join(found, "first").select("query_id", "media_id", "votes", "scale", "dy", "dx")
+    members, gallery = places(images, "media-members", key)
+    asking, asked = places(queries, "media-queries", key)
+    n_g, n_q = blocks(gallery), blocks(asked)
+    kind = images.schema[key].dataType.simpleString()
+
+    def dealt(rows: DataFrame, mine: str, n: int, other: str, m: int) -> DataFrame:
+        return rows.withColumn(mine, F.pmod(F.xxhash64("id"), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))).groupBy("gb", "qb")
+
+    def met(g: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(searched(g, q, votes) if len(g) and len(q) else [], columns=HITS)
+
+    hits = dealt(gallery, "gb", n_g, "qb", n_q).cogroup(dealt(asked, "qb", n_q, "gb", n_g)).applyInPandas(met, f"query_id {kind}, media_id {kind}, votes long, scale double, angle double, dy double, dx double")
+    hits = hits.select("query_id", "media_id", "votes", F.round("scale", 1).alias("scale"), F.round("angle").alias("angle"), *((F.round(F.col(c) / GRID) * GRID).cast("long").alias(c) for c in ("dy", "dx")))
+    return materialise(hits, "media-hits"), members, asking
+
+
+HITS = ["query_id", "media_id", "votes", "scale", "angle", "dy", "dx"]
+
+
+def find_copies(images: DataFrame, queries: DataFrame, *, key: str = "media_id", votes: int = VOTES) -> DataFrame:
+    """query_id, media_id, votes, scale, angle, dy, dx: the images in which a query's corners are found again, and where; one row per pair."""
+    hits, members, asking = search(images, queries, key=key, votes=votes)
+    one = hits.withColumnsRenamed({"query_id": "q", "media_id": "g"})
+    every = one.join(asking.select(F.col("id").alias("query_id"), F.col("first").alias("q")), "q")
+    return every.join(members.select(F.col("id").alias("media_id"), F.col("first").alias("g")), "g").select(HITS)
 
 
 def strongest(found: DataFrame) -> DataFrame:
