@@ -53,3 +53,15 @@ def test_near_finds_all_pairs_within_the_radius():
     i, j = D.near(q, np.ascontiguousarray(g.T))
     want = (bits[:, None] != other[None]).sum(2) <= D.NEAR_BITS
     assert set(zip(i.tolist(), j.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(want)), strict=True)) and want.sum() > D.NEAR_BITS
+
+
+def test_no_hit_is_lost_where_queries_share_an_image(spark):
+    images = frame(spark, [(i, PICTURES[i % 3]) for i in range(6)])
+    queries = frame(spark, [(i, PICTURES[i % 2] * light) for i, light in ((10, 1), (11, 1), (12, 1), (20, 0.8))])
+    pairs = {(r.query_id, r.media_id) for r in D.find_copies(images, queries).collect()}
+    assert pairs == {(q, m) for q in (10, 11, 12, 20) for m in range(6) if m % 3 == q % 2}
+    rows = D.grouped_copies(images, queries).collect()
+    of = {kind: {(r[f"{'query' if kind == 'query' else 'media'}_id"], r["first"]) for r in rows if r.kind == kind} for kind in ("query", "image")}
+    hits = {(r.query_id, r.media_id) for r in rows if r.kind == "hit"}
+    assert {(q, m) for q, a in of["query"] for m, b in of["image"] if (a, b) in hits} == pairs and len(hits) == 3
+    assert D.grouped_copies(images.limit(0), queries).count() == 0

@@ -315,6 +315,23 @@ def find_copies(images: DataFrame, queries: DataFrame, *, key: str = "media_id",
     return every.join(members.select(F.col("id").alias("media_id"), F.col("first").alias("g")), "g").select(HITS)
 
 
+def grouped_copies(images: DataFrame, queries: DataFrame, *, key: str = "media_id", votes: int = VOTES) -> DataFrame:
+    """All of find_copies without its product of exact copies: rows of kind `hit` between first images, and of kinds `query` and `image` that name a row's first.
+
+    find_copies has (query_id, media_id) if and only if a hit joins their firsts.
+    """
+    hits, members, asking = search(images, queries, key=key, votes=votes)
+    out = hits.select(F.lit("hit").alias("kind"), *HITS)
+    for kind, column, other, rows in (("query", "query_id", "media_id", asking), ("image", "media_id", "query_id", members)):
+        firsts = hits.select(F.col(column).alias("first")).distinct()
+        named = rows.join(firsts, "first")
+        of = {"query_id": F.col("id") if kind == "query" else F.lit(None).cast(hits.schema["query_id"].dataType), "media_id": F.col("id") if kind == "image" else F.lit(None).cast(hits.schema["media_id"].dataType)}
+        empty = [F.lit(None).cast(hits.schema[c].dataType).alias(c) for c in HITS[2:]]
+        out = out.withColumn("first", F.lit(None).cast(hits.schema["query_id"].dataType)) if "first" not in out.columns else out
+        out = out.union(named.select(F.lit(kind), of["query_id"], of["media_id"], *empty, "first"))
+    return out
+
+
 def strongest(found: DataFrame) -> DataFrame:
     """One row per found image: media_id, its query with most votes (ties: the smallest id), how it lies, and how many queries find it."""
     best = F.max(F.struct("votes", (-F.col("query_id")).alias("q"), "scale", "dy", "dx")).alias("b")
@@ -351,9 +368,9 @@ def rendered(vectors: DataFrame, crop: tuple[int, int, int, int] | None = None,
 
 
 def op5_local_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row whose id is divisible by 50 is cropped and darkened, and searched for among all rows; one row per image found."""
+    """Every row whose id is divisible by 50 is cropped and darkened, and searched for among all rows; all hits, as in grouped_copies."""
     vectors = read(spark, sf_dir, "embeddings")
-    return strongest(find_copies(rendered(vectors), rendered(vectors.where("vec_id % 50 = 0"), (8, 68, 4, 66), 0.8)))
+    return grouped_copies(rendered(vectors), rendered(vectors.where("vec_id % 50 = 0"), (8, 68, 4, 66), 0.8))
 
 
 QUERIES = {"op5_local_descriptors": op5_local_descriptors}
