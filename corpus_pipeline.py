@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir), works on all its predecessor kept and returns rows; all but the last return the columns
 of documents. Labels of documents that an earlier stage dropped are not used.
+
+Defined results: every row is judged, redacted and packed by its own text, whether its id is null or repeated. Repeated rows are near copies of each
+other, so of them one is left; a row without an id has no labels, and counts as a near copy like any other.
 """
 
 from __future__ import annotations
@@ -36,16 +39,26 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, read(spark, sf_dir, "labels")).where("toxicity < 0.5").select(docs.columns)
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """The rows, written once with a number of their own, `_row`: ids may be null or repeated."""
+    return materialise(docs.withColumn("_row", F.monotonically_increasing_id()), name)
+
+
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies."""
-    copies = jaccard_rtree.link_components(docs).where("doc_id <> component_id").select("doc_id")
-    return docs.join(small(copies, "copies"), "doc_id", "left_anti").select(docs.columns)
+    """One row of each group of near copies: that with the smallest id (null: after all others), the first of those."""
+    rows = numbered(docs, "distinct-rows")
+    linked = materialise(jaccard_rtree.link_components(rows, key="_row").select(F.col("doc_id").alias("_row"), "component_id"), "distinct-linked")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
+    kept = linked.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(first["_row"].alias("_row")).select("_row")
+    copies = linked.select("_row").join(kept, "_row", "left_anti")
+    return rows.join(small(copies, "copies"), "_row", "left_anti").select(docs.columns)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with the kind in place of each span of personal data; n_chars follows the text."""
-    found = pii.find(docs).select(F.col("doc_id").alias("_of"), pii.written("spans").alias("_spans")).where("_spans <> ''")
-    rows = docs.join(small(found, "spans"), F.col("doc_id") == F.col("_of"), "left")
+    """All rows, with the kind in place of each span of personal data; n_chars follows the text."""
+    rows = numbered(docs, "private-rows")
+    found = pii.find(rows, key="_row").select(F.col("doc_id").alias("_of"), pii.written("spans").alias("_spans")).where("_spans <> ''")
+    rows = rows.join(small(found, "spans"), F.col("_row") == F.col("_of"), "left")
     text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(pii.redact("text", "_spans"))
     changed = F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text"))
     return rows.withColumn("text", text).withColumn("n_chars", changed.cast("long")).select(docs.columns)
