@@ -9,8 +9,9 @@ rest go on at their rates (a phase each).
 
 Sequences are full but for the last tokens of all, which are cut into sequences of powers of two, so nothing is padded.
 
-Bounds: the named queues are the `most_queues - 1` sources with most tokens, all further ones share one queue; so the
-table of queues on the driver is bounded. The table of partition starts is broadcast below 32 MB and joined by a shuffle beyond.
+Every source has a queue, and a window grows with the squared number of queues; the table of queues is on the driver. Where `most_queues` is
+given, the sources with targets and then those with most tokens have one each, and all further ones share one; targets that get none are refused.
+The table of partition starts is broadcast below 32 MB and joined by a shuffle beyond.
 
 Defined results: a null text counts as empty and has its end token alone; a null source is a source of its own; repeated
 documents are all packed; an empty table has no pieces; other columns are ignored. The order within a source follows the partitions of the
@@ -38,7 +39,6 @@ from tidemark.llm.byte_bpe import REMEMBERED, encoder
 SEQUENCE = 1024
 #: Sequences of a window: the span over which proportions hold.
 WINDOW_SEQUENCES = 64
-MOST_QUEUES = 64
 #: Bytes of the table of partition starts up to which it is broadcast.
 BROADCAST_BYTES = 32 << 20
 
@@ -173,7 +173,7 @@ def pack(
     targets: dict[str, float] | None = None,
     sequence: int = SEQUENCE,
     window_sequences: int = WINDOW_SEQUENCES,
-    most_queues: int = MOST_QUEUES,
+    most_queues: int | None = None,
     end_id: int = 0,
     text: str = "text",
     source: str = "source",
@@ -186,13 +186,20 @@ def pack(
     targets: proportions by source; None: those of the corpus. Sources not named get what they hold of the corpus.
     remembered, text_bytes: parts of words that a worker keeps, and text that it encodes at once; less memory for more time.
     """
-    window = sequence * window_sequences
-    if most_queues**2 > window:
+    window, targets = sequence * window_sequences, targets or {}
+    if most_queues and most_queues**2 > window:
         raise ValueError("windows must hold most_queues squared tokens at least, so that every queue's share only grows")
     coded = materialise(tokens_of(docs, path, text, source, key, end_id, remembered, text_bytes), "packing")
     parts = materialise(coded.groupBy("part", "source").agg(F.sum("n").alias("tokens")), "packing-parts")
     sums = parts.groupBy("source").agg(F.sum("tokens").alias("tokens"))
-    top = sums.orderBy(F.desc("tokens"), "source").limit(most_queues - 1).collect()
+    named = F.col("source").isin(list(targets)) & F.col("source").isNotNull() if targets else F.lit(False)
+    top = sums.orderBy(F.desc(F.coalesce(named, F.lit(False))), F.desc("tokens"), "source")
+    top = (top.limit(most_queues - 1) if most_queues else top).collect()
+    if left := set(targets) - {r.source for r in top}:
+        if left := [r.source for r in sums.where(F.col("source").isin(list(left))).collect()]:
+            raise ValueError(f"most_queues leaves no queue to the targets of {left}")
+    # every queue's share only grows if a window holds the squared number of queues
+    window = max(window, -(-((len(top) + 1) ** 2) // sequence) * sequence)
     rest = (parts.agg(F.sum("tokens")).first()[0] or 0) - sum(r.tokens for r in top)
     sizes = [r.tokens for r in top] + ([rest] if rest else [])
     rates = sizes
@@ -200,11 +207,10 @@ def pack(
         unit = sum(sizes)
         rates = [round(targets[r.source] * unit) if r.source in targets else r.tokens for r in top] + ([rest] if rest else [])
     plan, total = phases(sizes, rates), sum(sizes)
-    queue = F.lit(len(top))
-    for i, r in enumerate(top):
-        queue = F.when(F.col("source").eqNullSafe(F.lit(r.source)), i).otherwise(queue)
+    queues = docs.sparkSession.createDataFrame([(r.source, i) for i, r in enumerate(top)], "named string, q int")
+    queued = parts.join(queues, F.col("source").eqNullSafe(F.col("named")), "left").withColumn("queue", F.coalesce("q", F.lit(len(top))))
     order = W.partitionBy("queue").orderBy("part", "source").rowsBetween(W.unboundedPreceding, -1)
-    starts = parts.withColumn("queue", queue).select("part", F.col("source").alias("of"), "queue", F.coalesce(F.sum("tokens").over(order), F.lit(0)).alias("first"))
+    starts = queued.select("part", F.col("source").alias("of"), "queue", F.coalesce(F.sum("tokens").over(order), F.lit(0)).alias("first"))
     n_starts = parts.agg(F.count("*"), F.sum(F.length("source"))).first()
     if n_starts[0] * 64 + (n_starts[1] or 0) <= BROADCAST_BYTES:
         starts = F.broadcast(starts)
