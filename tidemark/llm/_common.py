@@ -108,11 +108,25 @@ def scratch(spark: SparkSession, name: str) -> str:
     return _scratch[-1]
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Deletes the tables that this program's jobs wrote for themselves; call it when no result that rests on them is still to be read."""
-    while _scratch:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def drop_scratch(spark: SparkSession, keep: int = 0) -> None:
+    """Deletes the tables that this program's jobs wrote for themselves, but for the first `keep`; call it when no result that rests on them is still to be read."""
+    while len(_scratch) > keep:
+        _delete(spark, _scratch.pop())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def scratch_space(spark: SparkSession) -> Iterator[None]:
+    """Around a query and the reading of its result: drops the tables that were written meanwhile."""
+    had = len(_scratch)
+    try:
+        yield
+    finally:
+        drop_scratch(spark, had)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -121,7 +135,24 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     bounded_batches(spark)
     path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the table behind a frame of `materialise` once nothing rests on it any more."""
+    if (path := getattr(df, "_scratch_path", None)) in _scratch:
+        _scratch.remove(path)
+        _delete(df.sparkSession, path)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it where a column of the frame has it; case does not count."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def fold(doc_id: Column | str) -> Column:
@@ -131,5 +162,13 @@ def fold(doc_id: Column | str) -> Column:
 
 
 def bounded_sample(ids: DataFrame, key: str, most: int = MAX_TRAIN_ROWS) -> DataFrame:
-    """At most `most` rows, picked by the hash of their key; small enough, whatever the input, to be broadcast."""
-    return ids.orderBy(F.xxhash64(key), key).limit(most)
+    """At most `most` of the distinct rows: those whose key has the smallest hashes; small enough, whatever the input, to be broadcast.
+
+    The rows are counted first, and only about twice as many as are wanted, by the range of their hashes, are made distinct and sorted: so
+    no task meets more of them when the input grows. Null keys are left out.
+    """
+    h = F.shiftrightunsigned(F.xxhash64(key), 1)
+    ids = ids.where(F.col(key).isNotNull())
+    if (n := ids.count()) > 2 * most:
+        ids = ids.where(h <= int(2**63 * (2 * most / n)))
+    return ids.distinct().orderBy(h, key).limit(most)
