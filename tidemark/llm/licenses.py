@@ -1,32 +1,43 @@
 """License scans: sparse word n-gram logistic regression names each paragraph's licence family; templates confirm it.
 
-Paragraphs are lines. Only lines with a cue word can be a licence notice, so only they are scored (all of them, in all
-documents). Words and word pairs are hashed to a sparse vector; MLlib's multinomial logistic regression is trained on the
-templates below, whole, in part and amid other words, and on lines that are no notice (class `unknown`): fixed ones with cue words, and
-the first lines of at most UNKNOWN_LINES documents (picked by hash) without. A family is named if its probability reaches a threshold calibrated on held-back lines, so that
-none of the unknown ones there does; else the line is `unknown`. It is confirmed if the line holds at least SIMILAR of the words of one of the family's templates.
-
-Everything runs in the JVM as DataFrame and MLlib operations, without a shuffle of the documents.
-
-Defined results: null, empty and cueless texts give no row; a line that comes again gives a row each time; an empty table gives no rows; other
-columns are ignored.
+A paragraph is a line, with the lines that it is wrapped into: a line of at most WRAP characters that doesn't end a sentence goes on in the next one, if
+that isn't blank. Every paragraph of every document is scored, and where a paragraph has several lines each of them too, as short lines need not be
+wrapped ones. Words and word pairs of the templates below and of OTHER_LINES are the vocabulary of a sparse vector; MLlib's multinomial logistic
+regression is trained on the templates, whole, in part and amid other words, and on what is no notice: OTHER_LINES, and paragraphs
+without a cue word of at most UNKNOWN_DOCS documents (at most UNKNOWN_LINES paragraphs, picked by hash). A third of each is held back from the fit. On
+these the probabilities are calibrated (one temperature, by likelihood), and the threshold is set: the lowest of 0.5, 0.55, ... 0.95 at
+which no family is named for what is no notice; if there is none, nothing is named. A family is named if its probability reaches the threshold; the class is
+`unknown` if it does not, but a notice is likelier than none. A notice is confirmed if it holds at least SIMILAR of the words of one of its family's templates.
+
+Everything runs in the JVM as DataFrame and MLlib operations; only found notices are shuffled, by document.
+
+Defined results: null and empty texts, and paragraphs that are likelier no notice, give no row; a notice that comes again gives a row each time,
+and so does a document that comes again; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, NGram
+from dataclasses import dataclass
+
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.feature import CountVectorizerModel, NGram
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm._common import bounded_sample, materialise, read
 
 SIMILAR = 0.7
-UNKNOWN_LINES = 2000
-#: Width of the hashed vectors; the templates hold some 600 words and pairs.
-FEATURES = 1 << 13
-CUES = ("licen", "copyright", "warrant", "redistribut", "permission", "public domain", "creative commons", "spdx", "all rights reserved", "cc by", "cc-by")
+UNKNOWN_DOCS, UNKNOWN_LINES = 1000, 4000
+#: Characters of a line that may be wrapped.
+WRAP = 120
+#: Stands for a line break within a paragraph.
+BREAK = "\ue000"
+#: Words by which training paragraphs of documents are taken for possible notices, and left out.
+CUES = ("licen", "copyright", "warrant", "redistribut", "permission", "public domain", "creative commons", "spdx", "all rights reserved", "cc by", "cc-by", "gpl", "lizenz")
+TEMPERATURES = (0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0)
+THRESHOLDS = tuple(x / 20 for x in range(10, 20))
 
 # Notices by which the licences are known.
 TEMPLATES = {
@@ -44,11 +55,13 @@ TEMPLATES = {
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License, either version 3 of the License, or any later version.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "Distributed under the terms of the GNU GPL version 3 (GPLv3).",
     ),
     "GPL-2.0": (
         "Licensed under the GNU General Public License, version 2.",
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License; either version 2 of the License.",
         "SPDX-License-Identifier: GPL-2.0-only",
+        "Distributed under the terms of the GNU GPL version 2 (GPLv2).",
     ),
     "LGPL": ("Licensed under the GNU Lesser General Public License, version 2.1.", "This library is free software under the terms of the GNU Lesser General Public License."),
     "AGPL-3.0": ("Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-only"),
@@ -63,7 +76,7 @@ TEMPLATES = {
     "CC-BY-NC": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "CC0": ("Released under CC0 1.0 Universal license.", "To the extent possible under law, the author has waived all copyright and dedicated this work to the public domain."),
     "ISC": ("Licensed under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    "all-rights-reserved": ("Copyright. All rights reserved.", "All rights reserved. No part of this publication may be reproduced without prior written permission of the publisher."),
+    "all-rights-reserved": ("All rights reserved.", "Copyright. All rights reserved.", "All rights reserved. No part of this publication may be reproduced without prior written permission of the publisher."),
 }
 # Lines with cue words that are no notice.
 OTHER_LINES = (
@@ -89,10 +102,9 @@ def words_of(line: Column) -> Column:
     return F.filter(F.split(F.lower(line), r"[^\p{L}\p{N}.+-]+|\.(?!\p{N})"), lambda w: F.length(w) > 0)
 
 
-def vectors(lines: DataFrame) -> DataFrame:
-    """The lines (column line) with `_words` and a sparse vector of their words and word pairs."""
-    pairs = NGram(n=2, inputCol="_words", outputCol="_pairs").transform(lines.withColumn("_words", words_of(F.col("line"))))
-    return HashingTF(numFeatures=FEATURES, binary=True, inputCol="_grams", outputCol="_vector").transform(pairs.withColumn("_grams", F.concat("_words", "_pairs"))).drop("_pairs", "_grams")
+def grams(lines: DataFrame) -> DataFrame:
+    """The lines (column line) with `_words`, and `_grams`: these and their pairs."""
+    return NGram(n=2, inputCol="_words", outputCol="_pairs").transform(lines.withColumn("_words", words_of(F.col("line")))).withColumn("_grams", F.concat("_words", "_pairs")).drop("_pairs")
 
 
 def variants(template: str) -> list[str]:
@@ -111,48 +123,95 @@ def has_cue(text: Column) -> Column:
     return out
 
 
-def lines_of(docs: DataFrame, text: str, key: str) -> DataFrame:
-    return docs.select(F.col(key).alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("paragraph", "line"))
+def paragraphs(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """doc_id, row (a number of the document's row), paragraph (from 0), unit (0: the whole paragraph, else its line from 1), line (its text)."""
+    wrapped = rf"\n(?<=(?:^|\n)[^\n]{{0,{WRAP - 1}}}[^\n\s.!?:;][ \t\r]{{0,3}}\n)(?=[ \t]*\S)"
+    rows = docs.select(F.col(key).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.regexp_replace(F.col(text), wrapped, BREAK).alias("text"))
+    each = rows.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("paragraph", "whole")).where("trim(whole) <> ''")
+    lines = F.split("whole", BREAK)
+    whole = F.array(F.struct(F.lit(0).alias("unit"), F.col("whole").alias("line")))
+    parts = F.when(F.size(lines) > 1, F.transform(lines, lambda x, i: F.struct((i + 1).alias("unit"), x.alias("line")))).otherwise(F.array())
+    return each.select("doc_id", "row", "paragraph", F.explode(F.concat(whole, parts)).alias("u")).select("doc_id", "row", "paragraph", "u.*")
+
+
+@dataclass
+class Fitted:
+    """Vocabulary, model, the families by class (0: none), temperature, and the probability from which a family is named."""
 
+    vectors: CountVectorizerModel
+    model: LogisticRegressionModel
+    names: list[str]
+    temperature: float
+    threshold: float
 
-def train(docs: DataFrame, text: str, key: str) -> tuple[object, dict[int, str], float]:
-    """The model, the families by class, and the probability from which a family is named."""
-    names = ["unknown", *TEMPLATES]
+    def notices(self, lines: DataFrame) -> DataFrame:
+        """The lines that are likelier a notice than none, with `_words` and `p`, the calibrated probabilities."""
+        raw = self.model.transform(self.vectors.transform(grams(lines))).withColumn("_p", vector_to_array("_probability"))
+        n = len(self.names) - 1
+        # of n families one must have at least this part of what none has, or they don't outweigh it at any rate; leaves little to calibrate
+        some = raw.where(F.array_max(F.slice("_p", 2, n)) * float(n) ** self.temperature >= F.col("_p")[0])
+        return some.withColumn("p", calibrated("_p", self.temperature)).where(F.col("p")[0] < 0.5).drop("_grams", "_vector", "_raw", "_probability", "_class", "_p")
+
+
+def calibrated(p: str, temperature: float) -> Column:
+    """Probabilities at a temperature: their powers, made to sum to 1."""
+    e = F.transform(p, lambda v: F.pow(v, F.lit(1 / temperature)))
+    return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda t, w: t + w))
+
+
+def train(docs: DataFrame, text: str, key: str) -> Fitted:
+    names = ["none", *TEMPLATES]
     rows = [(names.index(f), v, i % 3 == 2) for f, ts in TEMPLATES.items() for t in ts for i, v in enumerate(variants(t))]
     rows += [(0, f"{v}{tail}", i % 3 == 2) for i, v in enumerate(OTHER_LINES) for tail in ("", " It was so in every year.")]
     fixed = docs.sparkSession.range(1).select(F.explode(F.array(*(F.struct(F.lit(c).alias("label"), F.lit(v).alias("line"), F.lit(b).alias("back")) for c, v, b in rows))).alias("r")).select("r.*")
-    docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    chosen = F.broadcast(bounded_sample(docs.select(F.col("doc_id").alias("of")).distinct(), "of", UNKNOWN_LINES))
-    some = docs.join(chosen, F.col("doc_id") == F.col("of")).where(~has_cue(F.col("text"))).select(F.lit(0).alias("label"), F.split("text", "\n")[0].alias("line"))
-    some = some.select("label", "line", (F.pmod(F.xxhash64("line"), F.lit(3)) == 0).alias("back"))
-    known = materialise(fixed.union(some), "license-train")
-    known = vectors(known)
-    model = LogisticRegression(featuresCol="_vector", probabilityCol="_probability", rawPredictionCol="_raw", predictionCol="_class", family="multinomial", regParam=1e-3, maxIter=40).fit(known.where("not back or label > 0"))
-    family = vector_to_array("_probability")
-    worst = model.transform(known.where("back and label = 0")).agg(F.max(F.array_max(F.slice(family, 2, len(names))))).first()[0]
-    return model, dict(enumerate(names)), min(0.9, max(0.5, (worst or 0.0) + 0.05))
+    chosen = F.broadcast(bounded_sample(docs.select(F.col(key).alias("of")), "of", UNKNOWN_DOCS))
+    some = docs.select(F.col(key).alias("of"), F.col(text).alias("text")).join(chosen, "of")
+    some = bounded_sample(paragraphs(some, "text", "of").where(~has_cue(F.col("line"))).select("line"), "line", UNKNOWN_LINES)
+    some = some.select(F.lit(0).alias("label"), "line", (F.pmod(F.xxhash64("line"), F.lit(3)) == 0).alias("back"))
+    vocabulary = sorted(r.g for r in grams(fixed.where("not back")).select(F.explode("_grams").alias("g")).distinct().collect())
+    vectors = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="_grams", outputCol="_vector").setBinary(True)
+    known = vectors.transform(grams(materialise(fixed.union(some).coalesce(1), "license-train").coalesce(1))).select("label", "back", "_vector").cache()
+    fit = LogisticRegression(featuresCol="_vector", probabilityCol="_probability", rawPredictionCol="_raw", predictionCol="_class", family="multinomial", regParam=1e-3, maxIter=60)
+    model = fit.fit(known.where("not back"))
+    held = model.transform(known.where("back")).select("label", vector_to_array("_probability").alias("_p"))
+    power = lambda t: F.aggregate("_p", F.lit(0.0), lambda s, v: s + F.pow(v, F.lit(1 / t)))
+    loss = lambda t: F.avg(F.log(power(t)) - F.log(F.greatest(F.element_at("_p", F.col("label") + 1), F.lit(1e-300))) / t)
+    losses = held.agg(*(loss(t).alias(f"t{i}") for i, t in enumerate(TEMPERATURES))).first()
+    temperature = min(zip(losses, TEMPERATURES, strict=True))[1]
+    worst = held.where("label = 0").agg(F.max(F.array_max(F.slice(calibrated("_p", temperature), 2, len(names))))).first()[0] or 0.0
+    known.unpersist()
+    return Fitted(vectors, model, names, temperature, min((t for t in THRESHOLDS if t > worst), default=2.0))
 
 
 def scan(docs: DataFrame, *, text: str = "text", key: str = "doc_id", similar: float = SIMILAR) -> DataFrame:
-    """doc_id, paragraph (from 0), family, probability, similarity, confirmed: one row per line with a cue word."""
-    model, names, least = train(docs, text, key)
-    lines = lines_of(docs.where(has_cue(F.col(text))), text, key).where(has_cue(F.col("line")))
-    scored = model.transform(vectors(lines)).withColumn("p", vector_to_array("_probability"))
+    """doc_id, paragraph (from 0), line (in the paragraph from 1; 0: all of it), family, probability, similarity, confirmed: one row per notice.
+
+    Of a paragraph and its lines, confirmed lines are returned if there are any, else the paragraph if it is a notice, else its lines.
+    """
+    fitted = train(docs, text, key)
+    names = fitted.names
     family = F.slice("p", 2, len(names) - 1)
-    best = F.array_max(family)
-    scored = scored.withColumn("best", best).withColumn("class", F.when(best >= least, F.array_position(family, best).cast("int")).otherwise(0))
-    lists = {i: [sorted(set(_plain_words(t))) for t in TEMPLATES[n]] for i, n in names.items() if i}
+    found = fitted.notices(paragraphs(docs, text, key)).withColumn("best", F.array_max(family))
+    found = found.withColumn("class", F.when(F.col("best") >= fitted.threshold, F.array_position(family, F.col("best")).cast("int")).otherwise(0))
+    lists = {i: [sorted(set(_plain_words(t))) for t in TEMPLATES[n]] for i, n in enumerate(names) if i}
     templates = F.create_map(*(x for i, ts in lists.items() for x in (F.lit(i), F.array(*(F.array(*map(F.lit, t)) for t in ts)))))
-    share = F.array_max(F.transform(templates[F.col("class")], lambda t: F.size(F.array_intersect("_words", t)) / F.size(t)))
-    named = F.element_at(F.create_map(*(F.lit(x) for kv in names.items() for x in kv)), F.col("class"))
-    return scored.select(
+    share = F.coalesce(F.array_max(F.transform(templates[F.col("class")], lambda t: F.size(F.array_intersect("_words", t)) / F.size(t))), F.lit(0.0))
+    named = F.element_at(F.array(*map(F.lit, ["unknown", *names[1:]])), F.col("class") + 1)
+    found = found.select(
         "doc_id",
+        "row",
         F.col("paragraph").cast("long").alias("paragraph"),
+        F.col("unit").cast("long").alias("line"),
         named.alias("family"),
-        F.when(F.col("class") > 0, F.col("best")).otherwise(F.col("p")[0]).alias("probability"),
-        F.coalesce(share, F.lit(0.0)).alias("similarity"),
-        F.coalesce(share >= similar, F.lit(False)).alias("confirmed"),
+        F.when(F.col("class") > 0, F.col("best")).otherwise(1 - F.col("p")[0]).alias("probability"),
+        share.alias("similarity"),
+        (share >= similar).alias("confirmed"),
     )
+    here = W.partitionBy("row", "paragraph")
+    some = lambda x: F.coalesce(F.bool_or(x).over(here), F.lit(False))
+    marked = found.withColumn("_sure", some((F.col("line") > 0) & F.col("confirmed"))).withColumn("_whole", some(F.col("line") == 0))
+    kept = F.when(F.col("_sure"), (F.col("line") > 0) & F.col("confirmed")).otherwise((F.col("line") == 0) | ~F.col("_whole"))
+    return marked.where(kept).drop("row", "_sure", "_whole")
 
 
 def _plain_words(template: str) -> list[str]:
