@@ -5,7 +5,8 @@ A byte is one printable character to the library (the byte-to-character table);
 of a character that is split over several ids.
 
 Defined results: a null or empty text has no ids; ids outside the vocabulary raise an error; a text of any length is
-encoded whole; rows that are alike get the same result; other columns are kept.
+encoded whole; rows that are alike get the same result; a JSON vocabulary's added tokens are recognised in texts, as by its library, a rank file has none;
+other columns are kept, but one with the result's own name is replaced.
 """
 
 from __future__ import annotations
@@ -59,8 +60,7 @@ def load(path: str, pattern: str | None = None) -> tuple[object, np.ndarray, np.
 
     char = byte_characters()
     if path.endswith(".json"):
-        tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True
+        tok = Tokenizer.from_file(path)  # added tokens in a text, like an end mark, are one id each, as the library has it
         back = {c: b for b, c in enumerate(char)}
         tokens = [tok.id_to_token(i) or "" for i in range(tok.get_vocab_size())]
         table = [bytes(back[c] for c in t) if all(c in back for c in t) else t.encode() for t in tokens]
@@ -251,9 +251,9 @@ def decode_text(data: Column | str) -> Column:
     return text_of(data)
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str | None = None) -> DataFrame:
-    """The rows with `bpe` = struct(n_tokens, ids)."""
-    return docs.withColumn("bpe", encode("text", path, pattern))
+def encode_documents(docs: DataFrame, path: str, pattern: str | None = None, *, into: str = "bpe") -> DataFrame:
+    """The rows with `into` = struct(n_tokens, ids)."""
+    return docs.withColumn(into, encode("text", path, pattern))
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

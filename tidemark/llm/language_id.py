@@ -9,7 +9,7 @@ Learned from at most MAX_TRAIN_ROWS documents, picked by hash, whose fold is not
 computed from the letters' when they are met, so there is no table of trigrams; texts are taken in slices.
 
 Defined results: null or a text without letters: `und` and score 0; without training texts every text is `und`; a text of any length is read
-whole; repeated documents get the same result; other columns are kept.
+whole; repeated documents get the same result; other columns are kept, but one with the result's own name is replaced.
 """
 
 from __future__ import annotations
@@ -115,7 +115,7 @@ class Profiles:
 def fit(docs: DataFrame, most: int = MAX_TRAIN_ROWS) -> Profiles:
     """A vector of each value of lang, from documents whose fold is not 0."""
     docs = docs.select("doc_id", "text", "lang")
-    ids = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).where(fold("doc_id") != 0).select("doc_id").distinct()
+    ids = docs.where(F.col("lang").isNotNull()).where(fold("doc_id") != 0).select("doc_id")
     chosen = F.broadcast(bounded_sample(ids, "doc_id", most).withColumnRenamed("doc_id", "of"))
     train = docs.where(F.col("lang").isNotNull()).join(chosen, F.col("doc_id") == F.col("of")).select("lang", "text")
 
@@ -155,9 +155,9 @@ def language(text: Column | str, profiles: Profiles) -> Column:
     return predicted.asNondeterministic()(text)
 
 
-def identify(docs: DataFrame) -> DataFrame:
-    """The rows with `language`, by profiles learned from them."""
-    return docs.withColumn("language", language("text", fit(docs)))
+def identify(docs: DataFrame, *, into: str = "language") -> DataFrame:
+    """The rows with `into`, by profiles learned from them."""
+    return docs.withColumn(into, language("text", fit(docs)))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ lines are at least `MIN_SHARE` of its words and no base rule fails (fewer than 5
 3-word windows).
 
 Defined results: null, empty or wordless texts have zero counts and fail the base rules; without labels of both kinds all lines are content;
-repeated documents get the same result; other columns are kept.
+repeated documents get the same result; other columns are kept, but one with the result's own name is replaced.
 """
 
 from __future__ import annotations
@@ -248,9 +248,9 @@ def judge(text: Column | str, model: Crf, min_share: float = MIN_SHARE) -> Colum
     return judged.asNondeterministic()(text)
 
 
-def judge_documents(docs: DataFrame, labels: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
-    """The rows with `quality_rules`, by a field trained on their labelled ones."""
-    return docs.withColumn("quality_rules", judge("text", fit(docs, labels), min_share))
+def judge_documents(docs: DataFrame, labels: DataFrame, min_share: float = MIN_SHARE, *, into: str = "quality_rules") -> DataFrame:
+    """The rows with `into`, by a field trained on their labelled ones."""
+    return docs.withColumn(into, judge("text", fit(docs, labels), min_share))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ kernel, a linear squared-hinge machine separates them, and a sigmoid fitted on i
 Bounds: at most MAX_TRAIN_ROWS labelled documents, picked by hash, and LANDMARKS landmarks; all words of all documents are scored.
 
 Defined results: null, empty and wordless texts have no words and so get the score of a text without insults; without labels of both kinds
-every score is 0; repeated documents get the same score; other columns are kept.
+every score is 0; repeated documents get the same score; other columns are kept, but one with the result's own name is replaced.
 """
 
 from __future__ import annotations
@@ -253,9 +253,9 @@ def toxicity(text: Column | str, model: Model) -> Column:
     return score.asNondeterministic()(text)
 
 
-def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows with `toxicity`, the score by a machine trained on their labelled ones."""
-    return docs.withColumn("toxicity", toxicity("text", fit(docs, labels)))
+def score_documents(docs: DataFrame, labels: DataFrame, *, into: str = "toxicity") -> DataFrame:
+    """The rows with `into`, the score by a machine trained on their labelled ones."""
+    return docs.withColumn(into, toxicity("text", fit(docs, labels)))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
