@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import jaccard_rtree, packing, pii, quality_rules, toxicity
-from tidemark.llm._common import bounded_batches, materialise, read
+from tidemark.llm._common import bounded_batches, materialise, read, unused
 
 #: Ids (8 bytes) or spans (some 100 bytes a document) up to which a table is broadcast; beyond, Spark joins by a shuffle.
 BROADCAST_ROWS = 500_000
@@ -31,12 +31,14 @@ def small(rows: DataFrame, name: str, most: int = BROADCAST_ROWS) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality_rules.judge_documents(docs, read(spark, sf_dir, "labels")).where("quality_rules.kept").select(docs.columns)
+    name = unused(docs, "_quality")
+    return quality_rules.judge_documents(docs, read(spark, sf_dir, "labels"), into=name).where(F.col(name)["kept"]).select(docs.columns)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity below 0.5."""
-    return toxicity.score_documents(docs, read(spark, sf_dir, "labels")).where("toxicity < 0.5").select(docs.columns)
+    name = unused(docs, "_toxicity")
+    return toxicity.score_documents(docs, read(spark, sf_dir, "labels"), into=name).where(F.col(name) < 0.5).select(docs.columns)
 
 
 def numbered(docs: DataFrame, name: str) -> DataFrame:
