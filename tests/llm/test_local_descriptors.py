@@ -44,15 +44,34 @@ def test_edited_copies_are_found(spark, edit):
     assert found <= {(i, i) for i in range(len(PICTURES))} and len(found) >= LEAST.get(edit, len(PICTURES))
 
 
-def test_near_finds_all_pairs_within_the_radius():
-    bits = RNG.integers(0, 2, (40, D.BITS)).astype(bool)
+def test_tables_meet_as_brute_force(spark):
+    """Matches are the pairs of corners that share a word of a table and are near enough, each once."""
+    bits = RNG.integers(0, 2, (60, D.BITS)).astype(bool)
     other = bits.copy()
     for k, row in enumerate(other):
-        row[RNG.permutation(D.BITS)[:k]] ^= True
-    q, g = (np.packbits(x, axis=1).view("<u8") for x in (bits, other))
-    i, j = D.near(q, np.ascontiguousarray(g.T))
-    want = (bits[:, None] != other[None]).sum(2) <= D.NEAR_BITS
-    assert set(zip(i.tolist(), j.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(want)), strict=True)) and want.sum() > D.NEAR_BITS
+        row[RNG.permutation(D.BITS)[: k // 2]] ^= True
+    other[50:] = other[:10]
+    side = lambda x: [(no, [(float(k), 0.0, 1.0, 0.0, *map(int, w)) for k, w in enumerate(np.packbits(x[no * 10 : no * 10 + 10], axis=1).view("<i8"))]) for no in range(6)]
+    q, g = (spark.createDataFrame(side(x), f"no long, corners array<struct<{D.CORNER}>>") for x in (bits, other))
+    got = [(r.q_no * 10 + r.qk, r.g_no * 10 + r.gk) for r in D.matches(g, q).collect()]
+    picked = np.unpackbits(np.array(D.masks(), "<i8").view(np.uint8).reshape(D.TABLES, -1), axis=1).astype(bool)
+    apart = (bits[:, None] != other[None]).sum(2)
+    meet = np.array([[any((a[m] == b[m]).all() for m in picked) for b in other] for a in bits])
+    assert len(got) == len(set(got)) and set(got) == set(zip(*(x.tolist() for x in np.nonzero((apart <= D.NEAR_BITS) & meet)), strict=True))
+    assert (picked.sum(1) == D.WORD_BITS).all() and len(got) > 50
+
+
+def test_shuffled_tables_give_the_same(spark, monkeypatch):
+    images, queries = frame(spark, list(enumerate(PICTURES))), frame(spark, [(i, p * 0.9) for i, p in enumerate(PICTURES)])
+    want = sorted(map(tuple, D.find_copies(images, queries).collect()))
+    monkeypatch.setattr(D, "BROADCAST_POSTINGS", 0)
+    assert sorted(map(tuple, D.find_copies(images, queries).collect())) == want and len(want) >= len(PICTURES)
+
+
+def test_an_id_with_two_images(spark):
+    images = frame(spark, [(1, PICTURES[0]), (1, PICTURES[1]), (2, PICTURES[2])])
+    pairs = {(r.query_id, r.media_id) for r in D.find_copies(images, frame(spark, [(7, PICTURES[0]), (8, PICTURES[1])])).collect()}
+    assert pairs == {(7, 1), (8, 1)}
 
 
 def test_no_hit_is_lost_where_queries_share_an_image(spark):

@@ -240,16 +240,6 @@ def test_cropped_and_edited_copies_are_found(spark):
     assert D.strongest(D.find_copies(none, none)).count() == 0
 
 
-def test_words_are_hamming_tables():
-    rng = np.random.default_rng(1)
-    bits = rng.integers(0, 2, D.BITS).astype(bool)
-    for _ in range(50):
-        other = bits.copy()
-        other[rng.permutation(D.BITS)[: D.WORDS - 1]] ^= True
-        a, b = (np.packbits(x).view(">u8") for x in (bits, other))
-        assert len(a) == D.WORDS and (a == b).any()
-
-
 @pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_queries_run_on_the_smallest_tables(spark, name):
     rows = registry.queries()[name](spark, DATA).collect()

@@ -2,24 +2,29 @@
 
 An image is a row of grey bytes with its height and width. Corners are the local maxima of a Harris response at SCALES (the
 strongest of each scale describe an image, more for larger ones); the intensity centroid around a corner gives its angle, and BITS
-binary comparisons of smoothed points, turned by that angle, its descriptor. All pairs of descriptors of queries and images at most NEAR_BITS
-bits apart are matches: blocks of images meet blocks of queries, and a block's pairs are compared by exclusive or and bit counts. (Tables of words
-would need words so short, for this radius, that they met as many pairs.) A query finds an image if at least VOTES of their corners, and SHARE of the
-corners of the image with fewer, agree on one turn, scale and shift.
+binary comparisons of smoothed points, turned by that angle, its descriptor. The compared points lie all over the patch but near each other, so
+that the bits say more than the patch's slope, and images are told apart.
 
-Rows with the same bytes are one image, and one query; their rows all come back by membership. A match counts once. The work is the
-product of the corners of queries and of images, in blocks of equal size whatever the images hold, and no image is dropped for it.
+Hamming tables: each of TABLES tables picks WORD_BITS of a descriptor's bits, and the descriptor stands there under their values. Queries' and images'
+descriptors that meet in a table (an equi-join on table and word; a pair counts in its first table only) are compared as a whole, by exclusive or and
+bit counts, and match if at most NEAR_BITS bits apart. Two descriptors d bits apart meet with a chance of 1 - (1 - (1 - d / BITS) ** WORD_BITS) ** TABLES: 0.99 at
+12 bits, 0.92 at 20, 0.5 at 32; an image's search needs a few of its corners only. A query finds an image if at least VOTES of their corners, and SHARE of the corners of the image with fewer, agree on one turn, scale and shift.
+
+Rows with the same bytes are one image, and one query; their rows all come back by membership. The queries' side of the join is broadcast
+while it has at most BROADCAST_POSTINGS rows, counted beforehand; beyond, both sides are shuffled by word, and adaptive execution splits hot words.
+No word, image or query is left out.
 
 Defined results: null, empty or too small images, images whose bytes don't fill height x width, and images without corners have no
-descriptors and are found by nothing; repeated rows are all found; an empty table gives no rows; other columns are ignored.
+descriptors and are found by nothing; repeated rows are all found; an id with several images has the hits of each; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,24 +32,33 @@ from pyspark.sql import functions as F
 from tidemark.llm._common import materialise, read, released
 
 CORNERS, BITS, WORDS = 24, 256, 4
-RADIUS, SCALES = 8, (1, 1.4, 2)
+RADIUS, SCALES = 8, (1.4, 2, 2.8, 4)
+#: Pixels between the compared points at most.
+APART = 8
+#: Tables, and the bits of a descriptor, picked by SEED, that are its word in each.
+TABLES, WORD_BITS = 16, 24
 #: Bits by which descriptors of the same corner may differ.
-NEAR_BITS = 25
+NEAR_BITS = 32
 #: Corners that must agree, as a number and as a share of the corners of the image with fewer, and within how many pixels; the grid of the shifts.
-VOTES, SHARE, CELL, GRID = 3, 0.15, 2, 4
+VOTES, SHARE, CELL, GRID = 4, 0.1, 2, 4
 #: How far the matches that fit one proposal may be off it: in angle, log of the scale, and place (as a part of the distance).
 TURN, STRETCH, SLACK = 0.12, 0.2, 0.12
 SEED = 99
 ANGLES = 64
 #: An image has one corner a scale more than CORNERS for each so many pixels beyond CORNERS times as many.
 PIXELS = 216
-#: Corners of a block of images or queries, of a query at once, of a strip of a block; proposals times matches at once.
-BLOCK_CORNERS, QUERY_CORNERS, STRIP, PROPOSALS = 65_536, 256, 4096, 1 << 20
+#: Proposals times matches of two images that are worked on at once.
+PROPOSALS = 1 << 20
+#: Rows of the queries' tables (some 80 bytes each) up to which they are broadcast.
+BROADCAST_POSTINGS = 500_000
 
 
 def pattern() -> np.ndarray:
-    """Pairs of points within the patch, turned by each angle: (angle, bit, end, y and x)."""
-    points = np.clip(np.random.default_rng(SEED).normal(0, RADIUS / 2.5, (BITS, 2, 2)), -RADIUS * 0.65, RADIUS * 0.65)
+    """Pairs of points within the patch, at most APART pixels from each other, turned by each angle: (angle, bit, end, y and x)."""
+    rng = np.random.default_rng(SEED)
+    angle, reach = rng.uniform(0, 2 * np.pi, (16 * BITS, 2)), 0.75 * RADIUS * np.sqrt(rng.uniform(0, 1, (16 * BITS, 2)))
+    points = np.stack([reach * np.sin(angle), reach * np.cos(angle)], -1)
+    points = points[np.linalg.norm(points[:, 0] - points[:, 1], axis=1) < APART][:BITS]
     turn = 2 * np.pi * np.arange(ANGLES) / ANGLES
     spin = np.stack([np.stack([np.cos(turn), np.sin(turn)], -1), np.stack([-np.sin(turn), np.cos(turn)], -1)], -2)
     return np.rint(np.einsum("aij,bej->abei", spin, points)).astype(int)
@@ -104,7 +118,7 @@ def describe(image: np.ndarray, tests: np.ndarray) -> tuple[np.ndarray, np.ndarr
         x = shrunk(image, scale)
         if min(x.shape) < 2 * RADIUS + 4:
             continue
-        smooth = box(x, 1)
+        smooth = box(x, 2)
         ys, xs = corners(x)
         if not len(ys):
             continue
@@ -118,45 +132,34 @@ def describe(image: np.ndarray, tests: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
 
-CORNERS_OF = "struct<n:int,at:binary,words:binary>"
+CORNER = "y:float,x:float,scale:float,angle:float,w0:bigint,w1:bigint,w2:bigint,w3:bigint"
 
 
 def descriptors(image: Column | str, height: Column | str, width: Column | str) -> Column:
-    """Column of struct(n, at, words): the number of corners, their rows, columns, scales and angles, and their descriptors."""
-    kind = pa.struct([("n", pa.int32()), ("at", pa.binary()), ("words", pa.binary())])
+    """Column of array<struct(y, x, scale, angle, w0 ... w3)>: the corners and their descriptors."""
+    names = [c.split(":")[0] for c in CORNER.split(",")]
 
-    @F.arrow_udf(CORNERS_OF)
+    @F.arrow_udf(f"array<struct<{CORNER}>>")
     def described(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         tests = pattern()
         for images, heights, widths in released(batches):
-            out = []
+            sizes, places, words = [0], [np.zeros((0, 4), "<f4")], [np.zeros((0, WORDS), "<u8")]
             for data, h, w in zip(images, heights, widths, strict=True):
                 data, h, w = data.as_py(), h.as_py(), w.as_py()
-                fits = data and h and w and len(data) == h * w
-                at, words = describe(np.frombuffer(data, np.uint8).reshape(h, w).astype(float), tests) if fits else (b"", b"")
-                out.append({"n": len(words), "at": bytes(at), "words": bytes(words)})
-            yield pa.array(out, kind)
+                if data and h and w and len(data) == h * w:
+                    at, bits = describe(np.frombuffer(data, np.uint8).reshape(h, w).astype(float), tests)
+                    places.append(at)
+                    words.append(bits)
+                    sizes.append(sizes[-1] + len(bits))
+                else:
+                    sizes.append(sizes[-1])
+            at, bits = np.concatenate(places), np.concatenate(words).view("<i8")
+            columns = [pa.array(np.ascontiguousarray(at[:, k])) for k in range(4)] + [pa.array(np.ascontiguousarray(bits[:, k])) for k in range(WORDS)]
+            yield pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.StructArray.from_arrays(columns, names))
 
     return described.asNondeterministic()(image, height, width)
 
 
-def near(q: np.ndarray, g: np.ndarray, bits: int = NEAR_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of all pairs of descriptors at most `bits` bits apart. g: a row for each word."""
-    qs, gs = [], []
-    for at in range(0, g.shape[1], STRIP):
-        part = g[:, at : at + STRIP]
-        few = np.bitwise_count(q[:, :1] ^ part[0])
-        few += np.bitwise_count(q[:, 1:2] ^ part[1])  # at most 128
-        i, j = np.divmod(np.flatnonzero(few <= bits), part.shape[1])
-        far = few[i, j].astype(int)
-        for k in range(2, WORDS):
-            far += np.bitwise_count(q[i, k] ^ part[k, j])
-        hit = far <= bits
-        qs.append(i[hit])
-        gs.append(j[hit] + at)
-    return np.concatenate(qs), np.concatenate(gs)
-
-
 def distinct(ok: np.ndarray, of: np.ndarray) -> np.ndarray:
     """For each row of flags, how many values of `of` have a set flag."""
     order = np.argsort(of, kind="stable")
@@ -167,11 +170,11 @@ def distinct(ok: np.ndarray, of: np.ndarray) -> np.ndarray:
 def agree(qi: np.ndarray, gi: np.ndarray, q: np.ndarray, g: np.ndarray, votes: int) -> tuple[int, float, float, float, float] | None:
     """(votes, scale, angle, dy, dx) of the turn, scale and shift on which most matched corners of two images agree; None: fewer than votes.
 
-    Every match proposes what its own corners' places, scales and angles say; those that roughly agree fit it by least squares, and
-    those within CELL of the fit count.
+    qi, gi: the matches' corners; q, g: their rows, columns, scales and angles. Every match proposes what its own corners say; those that roughly
+    agree fit it by least squares, and those within CELL of the fit count.
     """
-    p, r = q[qi, 1] + 1j * q[qi, 0], g[gi, 1] + 1j * g[gi, 0]
-    ratio, turn = g[gi, 2] / q[qi, 2], g[gi, 3] - q[qi, 3]
+    p, r = q[:, 1] + 1j * q[:, 0], g[:, 1] + 1j * g[:, 0]
+    ratio, turn = g[:, 2] / q[:, 2], g[:, 3] - q[:, 3]
     own = ratio * np.exp(1j * turn)
     best = None
     for at in range(0, len(qi), max(1, PROPOSALS // len(qi))):
@@ -198,110 +201,82 @@ def agree(qi: np.ndarray, gi: np.ndarray, q: np.ndarray, g: np.ndarray, votes: i
     return best
 
 
-def enough(cell: np.ndarray, match: np.ndarray, n: int, need: np.ndarray, each: int, qi: np.ndarray, gi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What is in cells (of n, `each` for every entry of need) with enough matches, and enough distinct corners of either side."""
-    for of in (None, qi, gi):  # all matches first, as this is cheap and leaves little
-        width = int(of.max(initial=0)) + 1 if of is not None else 1
-        one = cell if of is None else np.unique(cell * width + of[match]) // width
-        keep = np.bincount(one, minlength=n)[cell] >= need[cell // each]
-        cell, match = cell[keep], match[keep]
-    return cell, match
+def agreements(matches: Column | str, need: Column | str) -> Column:
+    """Column of struct(votes, scale, angle, dy, dx), or null, of arrays of matches (qk, gk, and qy, qx, qs, qa, gy, gx, gs, ga)."""
+    kind = pa.struct([("votes", pa.int64()), *((c, pa.float64()) for c in ("scale", "angle", "dy", "dx"))])
 
+    @F.arrow_udf("struct<votes:bigint,scale:double,angle:double,dy:double,dx:double>")
+    def agreed(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for lists, needs in released(batches):
+            flat = lists.flatten()
+            qk, gk = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("qk", "gk"))
+            q, g = (np.stack([flat.field(f"{side}{c}").to_numpy(zero_copy_only=False) for c in "yxsa"], 1).astype(float) if len(flat) else np.zeros((0, 4)) for side in "qg")
+            ends, out = np.cumsum([len(x) for x in lists]), []
+            for a, b, n in zip([0, *ends[:-1]], ends, needs.to_pylist(), strict=True):
+                order = a + np.lexsort((gk[a:b], qk[a:b]))
+                out.append(agree(qk[order], gk[order], q[order], g[order], n))
+            yield pa.array([x and dict(zip(kind.names, x, strict=True)) for x in out], kind)
 
-def promising(image: np.ndarray, qi: np.ndarray, gi: np.ndarray, own: np.ndarray, p: np.ndarray, r: np.ndarray, need: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(image, its matches) of every two by two neighbouring cells of turns and scales, and of shifts, that hold enough distinct corners of either side.
-
-    What agrees is at most TURN and STRETCH off one turn and scale, which bounds how far its own shifts are off, and a cell is twice as
-    wide as that, so nothing that agrees is parted.
-    """
-    sectors = int(np.pi / TURN)
-    a = np.floor(np.mod(np.angle(own), 2 * np.pi) / (2 * np.pi) * sectors).astype(np.int64) % sectors
-    b = np.floor(np.log(abs(own)) / (2 * STRETCH) + 0.5).astype(np.int64)
-    low = int(b.min(initial=0)) - 1
-    b -= low
-    high = int(b.max(initial=0)) + 1
-    cell = np.concatenate([(image * sectors + (a + i) % sectors) * high + b - j for i in (0, 1) for j in (0, 1)])
-    match = np.tile(np.arange(len(image)), 4)
-    cell, match = enough(cell, match, len(need) * sectors * high, need, sectors * high, qi, gi)
-    if len(p):
-        p = p - (p.real.max() + p.real.min() + 1j * (p.imag.max() + p.imag.min())) / 2
-    most = np.exp((cell % high + low + 1.5) * 2 * STRETCH)
-    wide = 2 * (abs(np.exp(STRETCH + 1j * TURN) - 1) * abs(p).max(initial=0) + CELL) * np.maximum(1, most)
-    shift = (r - own * p)[match] / wide
-    y, x = (np.floor(c).astype(np.int64) for c in (shift.imag, shift.real))
-    y, x = y - y.min(initial=0) + 1, x - x.min(initial=0) + 1
-    rows, columns = int(y.max(initial=0)) + 1, int(x.max(initial=0)) + 1
-    cell = np.concatenate([(cell * rows + y - i) * columns + x - j for i in (0, 1) for j in (0, 1)])
-    _, index = np.unique(cell, return_inverse=True)
-    image_of = np.zeros(int(index.max(initial=-1)) + 1, np.int64)
-    image_of[index] = cell // (sectors * high * rows * columns)
-    cell, match = enough(index, np.tile(match, 4), len(image_of), need[image_of], 1, qi, gi)
-    order = np.lexsort((match, cell))
-    cell, match = cell[order], match[order]
-    ends = (np.flatnonzero(np.diff(cell, append=-1)) + 1).tolist()
-    for start, end in zip([0, *ends[:-1]], ends, strict=True) if ends else ():
-        yield int(image_of[cell[start]]), match[start:end]
-
-
-def searched(gallery: pd.DataFrame, queries: pd.DataFrame, votes: int) -> Iterator[tuple]:
-    """(query, image, votes, scale, angle, dy, dx) of the pairs of a block of images and a block of queries."""
-    g = np.frombuffer(b"".join(gallery["at"]), "<f4").reshape(-1, 4).astype(float)
-    words = np.ascontiguousarray(np.frombuffer(b"".join(gallery["words"]), "<u8").reshape(-1, WORDS).T)
-    sizes = gallery["n"].to_numpy()
-    of = np.repeat(np.arange(len(gallery)), sizes)
-    ids = gallery["id"].to_numpy()
-    for row in queries.itertuples():
-        q = np.frombuffer(row.at, "<f4").reshape(-1, 4).astype(float)
-        bits = np.frombuffer(row.words, "<u8").reshape(-1, WORDS)
-        met = [near(bits[k : k + QUERY_CORNERS], words) for k in range(0, len(bits), QUERY_CORNERS)]
-        qi, gi = np.concatenate([x + k * QUERY_CORNERS for k, (x, _) in enumerate(met)]), np.concatenate([y for _, y in met])
-        need = np.maximum(votes, np.ceil(SHARE * np.minimum(sizes, len(bits)))).astype(np.int64)
-        order = np.lexsort((qi, of[gi]))
-        qi, gi = qi[order], gi[order]
-        own = g[gi, 2] / q[qi, 2] * np.exp(1j * (g[gi, 3] - q[qi, 3]))
-        best: dict[int, tuple] = {}
-        for k, m in promising(of[gi], qi, gi, own, q[qi, 1] + 1j * q[qi, 0], g[gi, 1] + 1j * g[gi, 0], need):
-            if (got := agree(qi[m], gi[m], q, g, int(need[k]))) and got > best.get(k, ()):
-                best[k] = got
-        yield from ((row.id, ids[k], *got) for k, got in best.items())
+    return agreed.asNondeterministic()(matches, need)
 
 
 def places(images: DataFrame, name: str, key: str) -> tuple[DataFrame, DataFrame]:
-    """(id, first) of every row with an image, and (id, n, at, words) of the first row with given bytes that has corners."""
+    """(id, no) of every row with an image, and (no, first, corners) of each image with corners; no: its number, first: its smallest id."""
     rows = images.select(F.col(key).alias("id"), F.sha2("image", 256).alias("bytes"), "image", "height", "width").where("image is not null")
-    rows = materialise(rows.select("id", "bytes", "height", "width", descriptors("image", "height", "width").alias("c")), name)
-    one = rows.groupBy("bytes", "height", "width").agg(F.min_by(F.struct("id", "c"), "id").alias("o"))
-    first = materialise(one.select("bytes", "height", "width", F.col("o.id").alias("first"), "o.c.*"), f"{name}-first")
+    rows = materialise(rows.select("id", "bytes", "height", "width", descriptors("image", "height", "width").alias("corners")), name)
+    one = rows.groupBy("bytes", "height", "width").agg(F.min("id").alias("first"), F.any_value("corners").alias("corners")).withColumn("no", F.monotonically_increasing_id())
+    one = materialise(one, f"{name}-first")
     same = F.col("r.height").eqNullSafe(F.col("f.height")) & F.col("r.width").eqNullSafe(F.col("f.width"))
-    members = rows.alias("r").join(first.alias("f"), (F.col("r.bytes") == F.col("f.bytes")) & same).select("r.id", "f.first")
-    return members, first.where("n > 0").select(F.col("first").alias("id"), "n", "at", "words")
+    members = rows.alias("r").join(one.alias("f"), (F.col("r.bytes") == F.col("f.bytes")) & same).select("r.id", "f.no")
+    return members, one.where(F.size("corners") > 0).select("no", "first", "corners")
+
 
+def masks() -> list[list[int]]:
+    """The bits of each table, as WORDS signed 64-bit masks."""
+    rng, out = np.random.default_rng(SEED + 1), []
+    for _ in range(TABLES):
+        bits = np.zeros(BITS, np.uint8)
+        bits[rng.permutation(BITS)[:WORD_BITS]] = 1
+        out.append(np.packbits(bits).view("<i8").tolist())
+    return out
 
-def blocks(rows: DataFrame) -> int:
-    """Into how many blocks the images go, by their number of corners."""
-    return max(1, -(-(rows.agg(F.sum("n")).first()[0] or 0) // BLOCK_CORNERS))
+
+def postings(images: DataFrame, side: str) -> DataFrame:
+    """The images' corners in all tables: word (with its table), number, n, and the corner's fields, whose names begin with the side."""
+    each = images.select(F.col("no").alias(f"{side}_no"), F.size("corners").alias(f"{side}_n"), F.posexplode("corners").alias(f"{side}k", "c"))
+    word = lambda t, m: F.xxhash64(F.lit(t), *(F.col("c")[f"w{k}"].bitwiseAND(F.lit(m[k])) for k in range(WORDS)))
+    words = [word(t, m) for t, m in enumerate(masks())]
+    fields = [F.col("c")[f].alias(f"{side}{n}") for f, n in zip(("y", "x", "scale", "angle", "w0", "w1", "w2", "w3"), ("y", "x", "s", "a", "0", "1", "2", "3"), strict=True)]
+    return each.select(f"{side}_no", f"{side}_n", f"{side}k", *fields, F.posexplode(F.array(*words)).alias(f"{side}t", "word"))
+
+
+def matches(gallery: DataFrame, asked: DataFrame) -> DataFrame:
+    """Pairs of corners that meet in a table and are at most NEAR_BITS bits apart, each once."""
+    q = postings(asked, "q")
+    q = F.broadcast(q) if q.count() <= BROADCAST_POSTINGS else q
+    met = postings(gallery, "g").join(q, "word")
+    apart = [F.col(f"q{k}").bitwiseXOR(F.col(f"g{k}")) for k in range(WORDS)]
+    differ = [reduce(Column.bitwiseOR, (x.bitwiseAND(F.lit(m[k])) for k, x in enumerate(apart))) for m in masks()]
+    first = F.coalesce(*(F.when(x == 0, t) for t, x in enumerate(differ)))
+    bits = sum((F.bit_count(x) for x in apart[1:]), F.bit_count(apart[0]))
+    return met.where((first == F.col("gt")) & (F.col("gt") == F.col("qt")) & (bits <= NEAR_BITS))
 
 
 def search(images: DataFrame, queries: DataFrame, *, key: str = "media_id", votes: int = VOTES) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The hits between different images, (query_id, media_id, votes, scale, angle, dy, dx), and (id, first) of all images and of all queries.
+    """The hits between different images, (q, g, query_id, media_id, votes, scale, angle, dy, dx), and (id, no) of all images and of all queries.
 
     images, queries: (key, image binary, height, width). A corner of a query at p is expected at p * scale, turned by angle, + shift. Rows with
-    the same bytes are one image and one query, `first`; each block of images meets each block of queries in a task of its own.
+    the same bytes are one image and one query; q and g are their numbers, query_id and media_id their smallest ids.
     """
     members, gallery = places(images, "media-members", key)
     asking, asked = places(queries, "media-queries", key)
-    n_g, n_q = blocks(gallery), blocks(asked)
-    kind = images.schema[key].dataType.simpleString()
-
-    def dealt(rows: DataFrame, mine: str, n: int, other: str, m: int) -> DataFrame:
-        return rows.withColumn(mine, F.pmod(F.xxhash64("id"), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))).groupBy("gb", "qb")
-
-    def met(g: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(searched(g, q, votes) if len(g) and len(q) else [], columns=HITS)
-
-    hits = dealt(gallery, "gb", n_g, "qb", n_q).cogroup(dealt(asked, "qb", n_q, "gb", n_g)).applyInPandas(met, f"query_id {kind}, media_id {kind}, votes long, scale double, angle double, dy double, dx double")
-    hits = hits.select("query_id", "media_id", "votes", F.round("scale", 1).alias("scale"), F.round("angle").alias("angle"), *((F.round(F.col(c) / GRID) * GRID).cast("long").alias(c) for c in ("dy", "dx")))
-    return materialise(hits, "media-hits"), members, asking
+    need = F.greatest(F.lit(votes), F.ceil(SHARE * F.least("q_n", "g_n"))).cast("int")
+    fields = F.struct("qk", "gk", *(f"{side}{c}" for side in "qg" for c in "yxsa"))
+    pairs = matches(gallery, asked).groupBy("q_no", "g_no").agg(F.collect_list(fields).alias("m"), F.first(need).alias("need")).where(F.size("m") >= F.col("need"))
+    found = pairs.select(F.col("q_no").alias("q"), F.col("g_no").alias("g"), agreements("m", "need").alias("a")).where("a is not null").select("q", "g", "a.*")
+    found = found.join(asked.select(F.col("no").alias("q"), F.col("first").alias("query_id")), "q").join(gallery.select(F.col("no").alias("g"), F.col("first").alias("media_id")), "g")
+    rounded = [F.round("scale", 1).alias("scale"), F.round("angle").alias("angle"), *((F.round(F.col(c) / GRID) * GRID).cast("long").alias(c) for c in ("dy", "dx"))]
+    return materialise(found.select("q", "g", "query_id", "media_id", "votes", *rounded), "media-hits"), members, asking
 
 
 HITS = ["query_id", "media_id", "votes", "scale", "angle", "dy", "dx"]
@@ -310,25 +285,22 @@ HITS = ["query_id", "media_id", "votes", "scale", "angle", "dy", "dx"]
 def find_copies(images: DataFrame, queries: DataFrame, *, key: str = "media_id", votes: int = VOTES) -> DataFrame:
     """query_id, media_id, votes, scale, angle, dy, dx: the images in which a query's corners are found again, and where; one row per pair."""
     hits, members, asking = search(images, queries, key=key, votes=votes)
-    one = hits.withColumnsRenamed({"query_id": "q", "media_id": "g"})
-    every = one.join(asking.select(F.col("id").alias("query_id"), F.col("first").alias("q")), "q")
-    return every.join(members.select(F.col("id").alias("media_id"), F.col("first").alias("g")), "g").select(HITS)
+    one = hits.drop("query_id", "media_id")
+    every = one.join(asking.select(F.col("id").alias("query_id"), F.col("no").alias("q")), "q")
+    return every.join(members.select(F.col("id").alias("media_id"), F.col("no").alias("g")), "g").select(HITS)
 
 
 def grouped_copies(images: DataFrame, queries: DataFrame, *, key: str = "media_id", votes: int = VOTES) -> DataFrame:
-    """All of find_copies without its product of exact copies: rows of kind `hit` between first images, and of kinds `query` and `image` that name a row's first.
+    """All of find_copies without its product of exact copies: rows of kind `hit` between first ids, and of kinds `query` and `image` that name a row's first id.
 
     find_copies has (query_id, media_id) if and only if a hit joins their firsts.
     """
     hits, members, asking = search(images, queries, key=key, votes=votes)
-    out = hits.select(F.lit("hit").alias("kind"), *HITS)
-    for kind, column, other, rows in (("query", "query_id", "media_id", asking), ("image", "media_id", "query_id", members)):
-        firsts = hits.select(F.col(column).alias("first")).distinct()
-        named = rows.join(firsts, "first")
-        of = {"query_id": F.col("id") if kind == "query" else F.lit(None).cast(hits.schema["query_id"].dataType), "media_id": F.col("id") if kind == "image" else F.lit(None).cast(hits.schema["media_id"].dataType)}
-        empty = [F.lit(None).cast(hits.schema[c].dataType).alias(c) for c in HITS[2:]]
-        out = out.withColumn("first", F.lit(None).cast(hits.schema["query_id"].dataType)) if "first" not in out.columns else out
-        out = out.union(named.select(F.lit(kind), of["query_id"], of["media_id"], *empty, "first"))
+    kinds = {c: hits.schema[c].dataType for c in HITS}
+    out = hits.select(F.lit("hit").alias("kind"), *HITS, F.lit(None).cast(kinds["query_id"]).alias("first"))
+    for kind, number, column, rows in (("query", "q", "query_id", asking), ("image", "g", "media_id", members)):
+        named = rows.join(hits.select(F.col(number).alias("no"), F.col(column).alias("first")).distinct(), "no")
+        out = out.union(named.select(F.lit(kind), *((F.col("id") if c == column else F.lit(None)).cast(kinds[c]) for c in HITS), "first"))
     return out
 
 
