@@ -33,10 +33,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import SLICE_BYTES, materialise, plain, read, released, slices
+from tidemark.llm._common import materialise, plain, read, released, slices
 from tidemark.llm.byte_bpe import REMEMBERED, encoder
 
 SEQUENCE = 1024
+#: Text that a worker encodes at once: fewer parts of words come again in another slice.
+TEXT_BYTES = 8 << 20
 #: Sequences of a window: the span over which proportions hold.
 WINDOW_SEQUENCES = 64
 #: Bytes of the table of partition starts up to which it is broadcast.
@@ -141,7 +143,7 @@ def cuts(place: int, n: int, total: int, sequence: int) -> Iterator[tuple[int, i
         place, n = place + take, n - take
 
 
-def tokens_of(docs: DataFrame, path: str, text: str, source: str, key: str, end_id: int, remembered: int = REMEMBERED, text_bytes: int = SLICE_BYTES) -> DataFrame:
+def tokens_of(docs: DataFrame, path: str, text: str, source: str, key: str, end_id: int, remembered: int = REMEMBERED, text_bytes: int = TEXT_BYTES) -> DataFrame:
     """doc_id, source, part, before (tokens of that source earlier in the partition), n, ids (16 or 32 bits each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +181,7 @@ def pack(
     source: str = "source",
     key: str = "doc_id",
     remembered: int = REMEMBERED,
-    text_bytes: int = SLICE_BYTES,
+    text_bytes: int = TEXT_BYTES,
 ) -> DataFrame:
     """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source.
 
