@@ -1,5 +1,7 @@
 """Order-dependent operators and edge cases against plain versions."""
 
+import random
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import signal as G
 from tidemark.functions import text as T
 from tidemark.operators import joins as J
+from tidemark.operators import ranking as R
 from tidemark.operators import sequences as S
 
 
@@ -98,3 +101,68 @@ def test_frame_table(spark):
     df = spark.createDataFrame(pd.DataFrame({"k": ["a", "b"], "x": [[0.0] * 2048, [1.0] * 100]}))
     got = G.frame_table(df, "k", "x").collect()
     assert [(r.k, r.frame, r.rms) for r in got] == [("a", 0, 0.0), ("a", 1, 0.0), ("a", 2, 0.0)]
+
+
+def plain_clusters(rows, radius):
+    """Online clustering as its definition says, by lists."""
+    out, clusters = {}, []
+    for t, w, key in rows:
+        near = min(((abs(c["centre"] - t), k) for k, c in enumerate(clusters)), default=(None, None))
+        if near[0] is None or near[0] > radius:
+            clusters.append({"members": [], "centre": t})
+            k = len(clusters) - 1
+        else:
+            k = near[1]
+        c = clusters[k]
+        c["members"] = sorted([*c["members"], (t, w)])
+        half, total = sum(x[1] for x in c["members"]) / 2, 0
+        for v, weight in c["members"]:
+            total += weight
+            if total >= half:
+                c["centre"] = v
+                break
+        out[key] = k
+    return {key: (clusters[k]["centre"], tuple(sorted(x for x, y in out.items() if y == k))) for key, k in out.items()}
+
+
+def test_online_clusters_as_plain_version(spark):
+    rng = random.Random(14)
+    rows, key = [], 0
+    for user in range(12):
+        for _ in range(rng.choice([0, 1, 5, 60, 400])):
+            rows.append((user, rng.randrange(0, rng.choice([300, 3000])), rng.choice([1, 1, 2, 5]), key))
+            key += 1
+    df = spark.createDataFrame(rows, "user_id long, t long, w long, key long")
+    got = S.online_clusters(df, "user_id", "t", "w", "key", 20).collect()
+    members = {}
+    for r in got:
+        members.setdefault((r.user_id, r.part, r.cluster), []).append(r.key)
+    want = {}
+    for user in {r[0] for r in rows}:
+        want |= plain_clusters(sorted((t, w, k) for u, t, w, k in rows if u == user), 20)
+    assert len(got) == len(rows)
+    for r in got:
+        assert want[r.key] == (r.centre, tuple(sorted(members[r.user_id, r.part, r.cluster])))
+
+
+def test_stretches_as_plain_version(spark, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK", 3)
+    rng = random.Random(15)
+    rows = [(u, t) for u in range(5) for t in sorted(rng.randrange(-2000, 2000) for _ in range(rng.choice([1, 30, 200])))]
+    got = S.stretches(spark.createDataFrame(rows, "u long, t long"), "u", "t", 10).collect()
+    assert len(got) == len(rows)
+    for u in range(5):
+        part, last, want = 0, None, {}
+        for t in sorted({t for v, t in rows if v == u}):
+            part += last is not None and t - last > 10
+            want[t], last = part, t
+        assert {(r.t, r._part) for r in got if r.u == u} == set(want.items())
+
+
+def test_places_as_a_sort(spark):
+    rng = random.Random(16)
+    rows = [(i, rng.choice([None, 1, 2, 3]), rng.random()) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, a int, v double")
+    got = {r.id: r.place for r in R.places(df, [F.col("a"), -F.floor(F.col("v") * 4)], [F.desc("v"), F.col("id")]).collect()}
+    order = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, -r[2], r[0]))
+    assert got == {r[0]: k for k, r in enumerate(order, 1)}

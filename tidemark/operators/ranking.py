@@ -64,3 +64,19 @@ def wide_array_union(*arrays: Column) -> Column:
     for a in arrays[1:]:
         out = F.array_union(out, a)
     return F.array_distinct(out)
+
+
+def places(rows: DataFrame, coarse: list[Column], order: list[Column], name: str = "place") -> DataFrame:
+    """The rows with their place, from 1, in the order of `coarse` and then `order`, without sorting them in one task.
+
+    coarse: columns (descending ones negated) that cut the rows into groups, which follow each other; only the groups' counts, as many as there are
+    distinct values of them, are summed in one place, and rows are ranked within their group.
+    """
+    names = [f"_g{i}" for i in range(len(coarse))]
+    put = rows.withColumns(dict(zip(names, coarse, strict=True)))
+    before = W.orderBy(*names).rowsBetween(W.unboundedPreceding, -1)
+    starts = put.groupBy(*names).agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    own = F.row_number().over(W.partitionBy(*names).orderBy(*order))
+    same = [F.col(f"_a.{n}").eqNullSafe(F.col(f"_b.{n}")) for n in names]
+    ranked = put.withColumn("_k", own).alias("_a").join(starts.alias("_b"), same)
+    return ranked.select(*(F.col(f"_a.{c}") for c in rows.columns), (F.col("_b._start") + F.col("_a._k")).cast("long").alias(name))

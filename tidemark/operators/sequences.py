@@ -1,12 +1,13 @@
 """Order-dependent operators: each row's fate depends on rows kept before it, so a stretch of a group is walked in one pass.
 
 Groups are tracks. They are cut at gaps wider than the operator's reach (`stretches`), which changes no result, since nothing reaches
-over such a gap; CHUNK stretches at a time go to one call. So a hot track is spread over tasks, and short stretches don't each cost a call.
+over such a gap; CHUNK stretches at a time go to one call. So a hot track with gaps is spread over tasks, and short stretches don't each cost a call.
+A stretch without a wide gap is walked by one task, in time n log n: its rows must fit there, as the result depends on their order.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,14 +18,25 @@ from pyspark.sql import functions as F
 
 #: Stretches of a group that one call walks.
 CHUNK = 512
+#: Time blocks, in radii, within which rows are compared with the one before.
+BLOCK = 1024
 
 
 def stretches(rows: DataFrame, by: str, t: str, radius: float) -> DataFrame:
-    """The rows with `_part`, a number that grows at each gap of more than `radius` in the group, and `_chunk`, CHUNK parts each."""
-    w = W.partitionBy(by).orderBy(t)
-    cut = F.coalesce((F.col(t) - F.lag(t).over(w) > radius).cast("long"), F.lit(0))
-    put = rows.withColumn("_cut", cut).withColumn("_part", F.sum("_cut").over(w.rangeBetween(W.unboundedPreceding, 0))).drop("_cut")
-    return put.withColumn("_chunk", F.floor(F.col("_part") / CHUNK))
+    """The rows with `_part`, a number that grows at each gap of more than `radius` in the group, and `_chunk`, CHUNK parts each.
+
+    Gaps are found within blocks of time and, by the blocks' first and last times, between them, so no task needs a whole track.
+    """
+    put = rows.withColumn("_block", F.floor(F.col(t) / (radius * BLOCK)))
+    inner = W.partitionBy(by, "_block").orderBy(t)
+    put = put.withColumn("_cut", F.coalesce((F.col(t) - F.lag(t).over(inner) > radius).cast("long"), F.lit(0)))
+    blocks = W.partitionBy(by).orderBy("_block")
+    edges = put.groupBy(by, "_block").agg(F.min(t).alias("_first"), F.max(t).alias("_last"), F.sum("_cut").alias("_cuts"))
+    edges = edges.withColumn("_jump", F.coalesce((F.col("_first") - F.lag("_last").over(blocks) > radius).cast("long"), F.lit(0)))
+    start = F.sum("_jump").over(blocks) + F.coalesce(F.sum("_cuts").over(blocks.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    put = put.join(edges.select(F.col(by).alias("_by"), F.col("_block").alias("_of"), start.alias("_start")), F.col(by).eqNullSafe(F.col("_by")) & (F.col("_block") == F.col("_of")))
+    put = put.withColumn("_part", F.col("_start") + F.sum("_cut").over(inner.rangeBetween(W.unboundedPreceding, 0)))
+    return put.withColumn("_chunk", F.floor(F.col("_part") / CHUNK)).drop("_block", "_cut", "_by", "_of", "_start")
 
 
 def spans(g: pd.DataFrame, *order: str) -> tuple[pd.DataFrame, Iterator[tuple[int, int]]]:
@@ -73,36 +85,68 @@ def thin(rows: DataFrame, by: str, t: str, key: str, gap: float) -> DataFrame:
     return walked(rows, by, t, gap, walk, rows.schema)
 
 
-def lower_weighted_median(x: np.ndarray, w: np.ndarray) -> float:
-    order = np.argsort(x, kind="stable")
-    c = np.cumsum(w[order])
-    return float(x[order][np.searchsorted(c, c[-1] / 2)])
+class Cluster:
+    """Values in order with their weights, summed in blocks, for the running lower weighted median."""
+
+    SIZE = 512
+
+    def __init__(self):
+        self.values, self.weights, self.sums, self.total = [[]], [[]], [0.0], 0.0
+
+    def add(self, x: float, w: float) -> float:
+        """Adds a value; the median then: the first value, in order, at which half the weight is reached."""
+        k = max(0, bisect_right([v[0] for v in self.values if v], x) - 1)
+        i = bisect_right(self.values[k], x)
+        self.values[k].insert(i, x)
+        self.weights[k].insert(i, w)
+        self.sums[k] += w
+        self.total += w
+        if len(self.values[k]) > self.SIZE:
+            half = self.SIZE // 2
+            for lists in (self.values, self.weights):
+                lists.insert(k + 1, lists[k][half:])
+                del lists[k][half:]
+            self.sums[k : k + 1] = [sum(self.weights[k]), sum(self.weights[k + 1])]
+        c = 0.0
+        for values, weights, part in zip(self.values, self.weights, self.sums, strict=True):
+            if c + part >= self.total / 2:
+                for v, weight in zip(values, weights, strict=True):
+                    c += weight
+                    if c >= self.total / 2:
+                        return v
+            else:
+                c += part
+        return self.values[-1][-1]
 
 
 def online_clusters(rows: DataFrame, by: str, t: str, weight: str, key: str, radius: float) -> DataFrame:
-    """In time order, each row joins the nearest cluster whose running weighted median lies within `radius`, else begins one.
+    """In time order, each row joins the nearest cluster whose running weighted median lies within `radius` (ties: the one begun first), else begins one.
 
     Adds part, cluster (by first time, from 0 in the part) and centre (the median in the end). Medians stay between their
-    rows, so gaps over the radius can be cut.
+    rows, so gaps over the radius can be cut. As rows come in time order, only centres in reach of the row's time are looked at.
     """
 
     def walk(g: pd.DataFrame) -> pd.DataFrame:
         g, parts = spans(g, t, key)
-        x, w = g[t].to_numpy(float), g[weight].to_numpy(float)
+        x, w = g[t].to_numpy(float).tolist(), g[weight].to_numpy(float).tolist()
         put, centre = np.zeros(len(g), np.int64), np.zeros(len(g))
         for a, b in parts:
-            members: list[list[int]] = []
+            clusters: list[Cluster] = []
             centres: list[float] = []
+            order: list[tuple[float, int]] = []  # the centres, sorted
             for i in range(a, b):
-                near = min(range(len(centres)), key=lambda c, i=i: (abs(centres[c] - x[i]), c), default=None)
-                if near is None or abs(centres[near] - x[i]) > radius:
-                    near = len(members)
-                    members.append([i])
+                low = bisect_left(order, (x[i] - radius, -1))
+                near = min(((abs(c - x[i]), k) for c, k in order[low : bisect_right(order, (x[i] + radius, len(clusters)))]), default=None)
+                if near is None:
+                    k = len(clusters)
+                    clusters.append(Cluster())
                     centres.append(x[i])
                 else:
-                    members[near].append(i)
-                    centres[near] = lower_weighted_median(x[members[near]], w[members[near]])
-                put[i] = near
+                    k = near[1]
+                    del order[bisect_left(order, (centres[k], k))]
+                centres[k] = clusters[k].add(x[i], w[i])
+                insort(order, (centres[k], k))
+                put[i] = k
             centre[a:b] = np.array(centres)[put[a:b]]
         return g.assign(part=g["_part"], cluster=put, centre=centre).drop(columns=["_part", "_chunk"])
 

@@ -49,10 +49,9 @@ def coverage_trim(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def catalogue_order(spark: SparkSession, sf: str) -> DataFrame:
-    """Parts ordered by size, brand number, brand letter, price (missing last), name; the first 200 with their place."""
+    """Parts ordered by size, brand number, brand letter, price (missing last), name, with their place."""
     p = table(spark, sf, "part").select("p_partkey", "p_size", F.regexp_extract("p_brand", r"(\d+)", 1).cast("int").alias("k"), "p_name", F.when(F.col("p_size") % 7 > 0, F.col("p_retailprice")).alias("energy"))
-    top = p.orderBy("p_size", "k", F.col("energy").asc_nulls_last(), "p_name", "p_partkey").limit(200)
-    return top.withColumn("place", F.row_number().over(W.orderBy("p_size", "k", F.col("energy").asc_nulls_last(), "p_name", "p_partkey")).cast("long")).select("p_partkey", "place")
+    return R.places(p, [F.col("p_size"), F.col("k")], [F.col("energy").asc_nulls_last(), F.col("p_name"), F.col("p_partkey")]).select("p_partkey", "place")
 
 
 def key_neighbours(spark: SparkSession, sf: str) -> DataFrame:
@@ -225,7 +224,7 @@ ORACLE = {
     "near_best_earliest": f"WITH {EV}, x AS (SELECT *, max(value) OVER (PARTITION BY user_id) AS m FROM ev), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS k FROM x WHERE value >= m * 0.9::DOUBLE) SELECT user_id, event_id, value FROM r WHERE k = 1",
     "coverage_trim": f"""WITH {EV}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS k FROM ev), o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM r WHERE k > 13)
         SELECT user_id, event_id, 'top' AS part FROM r WHERE k <= 13 UNION ALL SELECT user_id, event_id, 'spread' FROM o WHERE n <= 7 OR floor(i * 7.0::DOUBLE / n) <> floor((i - 1) * 7.0::DOUBLE / n)""",
-    "catalogue_order": r"""WITH p AS (SELECT p_partkey, row_number() OVER (ORDER BY p_size, regexp_extract(p_brand, '(\d+)', 1)::INT, CASE WHEN p_size % 7 > 0 THEN p_retailprice END ASC NULLS LAST, p_name, p_partkey) AS place FROM part) SELECT * FROM p WHERE place <= 200""",
+    "catalogue_order": r"""WITH p AS (SELECT p_partkey, row_number() OVER (ORDER BY p_size, regexp_extract(p_brand, '(\d+)', 1)::INT, CASE WHEN p_size % 7 > 0 THEN p_retailprice END ASC NULLS LAST, p_name, p_partkey) AS place FROM part) SELECT * FROM p""",
     "key_neighbours": """WITH p AS (SELECT p_partkey, p_size % 12 + 1 AS k, CASE WHEN p_partkey % 2 = 0 THEN 'A' ELSE 'B' END AS l FROM part)
         SELECT p_partkey, k || l || ',' || (k % 12 + 1) || l || ',' || ((k + 10) % 12 + 1) || l || ',' || k || CASE WHEN l = 'A' THEN 'B' ELSE 'A' END AS keys FROM p""",
     "relative_pass": f"WITH {EV}, x AS (SELECT *, max((value >= 400)::INT) OVER (PARTITION BY user_id) AS s, max(value) OVER (PARTITION BY user_id) AS m FROM ev) SELECT user_id, event_id FROM x WHERE CASE WHEN s = 1 THEN value >= 400 ELSE value >= 0.8::DOUBLE * m END",

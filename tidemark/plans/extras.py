@@ -115,11 +115,11 @@ def later_stronger(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queue_order(spark: SparkSession, sf: str) -> DataFrame:
-    """Review queue of orders: status first, then expected value (price by risk), then key; the first 100 with their place and reason."""
+    """Review queue of orders: status first, then expected value (price by risk), then key, with their place and reason."""
     risk = F.when(F.col("o_orderpriority").startswith("1"), 1.0).when(F.col("o_orderpriority").startswith("2"), 0.8).otherwise(0.3)
     rows = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "O", 0).when(F.col("o_orderstatus") == "P", 1).otherwise(2).alias("s"), F.round(F.col("o_totalprice") * risk, 2).alias("v"))
-    top = rows.orderBy("s", F.desc("v"), "o_orderkey").limit(100)
-    return top.select("o_orderkey", F.row_number().over(W.orderBy("s", F.desc("v"), "o_orderkey")).cast("long").alias("place"), F.concat(F.element_at(F.array(F.lit("open"), F.lit("partial"), F.lit("done")), F.col("s") + 1), F.lit(":"), F.when(F.col("v") >= 200000, "high").otherwise("normal")).alias("reason"))
+    reason = F.concat(F.element_at(F.array(F.lit("open"), F.lit("partial"), F.lit("done")), F.col("s") + 1), F.lit(":"), F.when(F.col("v") >= 200000, "high").otherwise("normal")).alias("reason")
+    return R.places(rows, [F.col("s"), -F.floor(F.col("v") / 5000)], [F.desc("v"), F.col("o_orderkey")]).select("o_orderkey", "place", reason)
 
 
 def artist_caps(spark: SparkSession, sf: str) -> DataFrame:
@@ -130,12 +130,21 @@ def artist_caps(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def next_track(spark: SparkSession, sf: str) -> DataFrame:
-    """For parts of size 1: the best next part of the same brand, size up to 4 larger, nearest in price (ties by a stable hash)."""
-    p = table(spark, sf, "part").select("p_partkey", "p_brand", "p_size", "p_retailprice")
-    a = p.where("p_size = 1")
-    b = p.select("p_brand", F.col("p_partkey").alias("next"), F.col("p_size").alias("size2"), F.col("p_retailprice").alias("price2"))
-    both = a.join(b, "p_brand").where("next <> p_partkey and size2 between p_size and p_size + 4").withColumn("d", F.round(F.abs(F.col("p_retailprice") - F.col("price2")), 2))
-    return J.ranked(both, ["p_partkey"], F.col("d"), F.sha1(F.col("next").cast("string").cast("binary"))).where("rank = 1").select("p_partkey", "next", "d")
+    """For each part: the best next part of the same brand, size up to 4 larger, nearest in price (ties by a stable hash).
+
+    By brand and size, a part sees the nearest price below, its own and the nearest above; parts of one price are represented by the two that come first by hash,
+    so no pairs of brand-mates are made.
+    """
+    p = table(spark, sf, "part").select("p_partkey", "p_brand", "p_size", F.round(F.col("p_retailprice") * 100).cast("long").alias("cents"))
+    mates = J.ranked(p.withColumn("h", F.sha1(F.col("p_partkey").cast("string").cast("binary"))), ["p_brand", "p_size", "cents"], F.col("h")).where("rank <= 2")
+    mates = mates.select("p_brand", F.col("p_size").alias("size2"), F.col("cents").alias("cents2"), F.col("p_partkey").alias("next"), "h")
+    asks = p.withColumn("size2", F.explode(F.sequence(F.col("p_size"), F.col("p_size") + 4)))
+    both = asks.withColumn("has", F.lit(None).cast("long")).unionByName(mates.select("p_brand", "size2", F.col("cents2").alias("cents"), F.col("cents2").alias("has")).distinct(), allowMissingColumns=True)
+    by = W.partitionBy("p_brand", "size2").orderBy("cents")
+    seen = both.select("*", F.max("has").over(by.rangeBetween(W.unboundedPreceding, -1)).alias("below"), F.max("has").over(by.rangeBetween(0, 0)).alias("same"), F.min("has").over(by.rangeBetween(1, W.unboundedFollowing)).alias("above"))
+    near = seen.where("p_partkey is not null").select("p_partkey", "p_brand", "size2", "cents", F.explode(F.array("below", "same", "above")).alias("cents2")).where("cents2 is not null")
+    found = near.join(mates, ["p_brand", "size2", "cents2"]).where("next <> p_partkey").withColumn("d", F.abs(F.col("cents") - F.col("cents2")) / 100)
+    return J.ranked(found, ["p_partkey"], F.col("d"), F.col("h")).where("rank = 1").select("p_partkey", "next", F.round("d", 2).alias("d"))
 
 
 def number_formats(spark: SparkSession, sf: str) -> DataFrame:
@@ -202,8 +211,8 @@ def detector_tiers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def top_bags(spark: SparkSession, sf: str) -> DataFrame:
-    """The ten commonest word pairs of the documents' first lines, ties by the pair."""
-    w = F.filter(F.split(F.lower(F.substring_index("text", "\n", 1)), r"[^a-z]+"), lambda x: x != "")
+    """The ten commonest pairs of neighbouring words of the documents' whole texts, ties by the pair; counted in each task before the shuffle."""
+    w = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda x: x != "")
     pairs = table(spark, sf, "documents").select(w.alias("w")).where("size(w) > 1").select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1)))).alias("pair"))
     return pairs.groupBy("pair").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "pair").limit(10)
 
@@ -234,9 +243,9 @@ ORACLE = {
     "later_stronger": f"""WITH {EV}, f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS k FROM ev WHERE value >= 150) WHERE k = 1), l AS (SELECT ev.user_id, ev.event_id, row_number() OVER (PARTITION BY ev.user_id ORDER BY ev.t, ev.event_id) AS k FROM ev JOIN f USING (user_id) WHERE ev.t > f.t AND ev.t <= f.t + 604800000000 AND ev.value >= 1.5::DOUBLE * f.value)
         SELECT f.user_id, coalesce(l.event_id, f.event_id) AS event_id, l.event_id IS NOT NULL AS overridden FROM f LEFT JOIN l ON l.user_id = f.user_id AND l.k = 1""",
     "queue_order": """WITH o AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 0 WHEN 'P' THEN 1 ELSE 2 END AS s, round(o_totalprice * CASE WHEN o_orderpriority LIKE '1%' THEN 1.0::DOUBLE WHEN o_orderpriority LIKE '2%' THEN 0.8::DOUBLE ELSE 0.3::DOUBLE END, 2) AS v FROM orders),
-        r AS (SELECT *, row_number() OVER (ORDER BY s, v DESC, o_orderkey) AS place FROM o) SELECT o_orderkey, place, ['open', 'partial', 'done'][s + 1] || ':' || CASE WHEN v >= 200000 THEN 'high' ELSE 'normal' END AS reason FROM r WHERE place <= 100""",
+        r AS (SELECT *, row_number() OVER (ORDER BY s, v DESC, o_orderkey) AS place FROM o) SELECT o_orderkey, place, ['open', 'partial', 'done'][s + 1] || ':' || CASE WHEN v >= 200000 THEN 'high' ELSE 'normal' END AS reason FROM r""",
     "artist_caps": "WITH k AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS k FROM part) SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS place FROM k WHERE k <= 3",
-    "next_track": """WITH b AS (SELECT a.p_partkey, b.p_partkey AS next, round(abs(a.p_retailprice - b.p_retailprice), 2) AS d FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey AND b.p_size BETWEEN a.p_size AND a.p_size + 4 WHERE a.p_size = 1),
+    "next_track": """WITH b AS (SELECT a.p_partkey, b.p_partkey AS next, round(abs(a.p_retailprice - b.p_retailprice), 2) AS d FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey AND b.p_size BETWEEN a.p_size AND a.p_size + 4),
         r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY d, sha1(next::VARCHAR)) AS k FROM b) SELECT p_partkey, next, d FROM r WHERE k = 1""",
     "number_formats": r"""WITH l AS (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey, l_discount, l_orderkey || '|' || l_partkey || '|' || l_suppkey AS k FROM lineitem WHERE l_linenumber = 1)
         SELECT DISTINCT l_orderkey, l_partkey, l_suppkey, regexp_replace(regexp_replace(printf('%.6f', l_discount), '0+$', ''), '\.$', '') AS discount, substr(sha1(k), 1, 10) AS row_id, round(('0x' || substr(sha1(k), 1, 8))::BIGINT::DOUBLE / 4294967295.0::DOUBLE, 6) AS bucket FROM l""",
@@ -252,5 +261,5 @@ ORACLE = {
         a AS (SELECT source, n, concat_ws(';', CASE WHEN c < 0.4 THEN 'label' END, CASE WHEN t > 0.1 THEN 'check_toxicity' END, CASE WHEN q < 0.85 THEN 'retrain' END) AS a FROM m) SELECT source, n, CASE WHEN a = '' THEN 'none' ELSE a END AS actions FROM a""",
     "detector_tiers": f"""WITH p AS (SELECT {FOLD} AS bpm, p_retailprice FROM part), b AS (SELECT CASE WHEN bpm < 100 THEN 'slow' WHEN bpm < 140 THEN 'mid' ELSE 'fast' END AS band, p_retailprice FROM p)
         SELECT coalesce(band, 'all') AS band, count(*)::BIGINT AS n, round(avg(p_retailprice), 6) AS mean_price FROM b GROUP BY ROLLUP (band)""",
-    "top_bags": r"""WITH w AS (SELECT list_filter(regexp_split_to_array(lower(split_part(text, chr(10), 1)), '[^a-z]+'), lambda x: x <> '') AS w FROM documents), p AS (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS pair FROM w WHERE len(w) > 1) SELECT pair, count(*)::BIGINT AS n FROM p GROUP BY 1 ORDER BY n DESC, pair LIMIT 10""",
+    "top_bags": r"""WITH w AS (SELECT list_filter(regexp_split_to_array(lower(text), '[^\p{L}]+'), lambda x: x <> '') AS w FROM documents), p AS (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS pair FROM w WHERE len(w) > 1) SELECT pair, count(*)::BIGINT AS n FROM p GROUP BY 1 ORDER BY n DESC, pair LIMIT 10""",
 }

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import joins as J
+from tidemark.operators import ranking as R
 from tidemark.sources.tables import events, table
 
 HOUR = 3_600_000_000
@@ -54,12 +55,12 @@ def coverage_diff(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def active_queue(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents to review: unlabelled first, then low quality, then long; scored and ordered."""
+    """Documents to review: unlabelled first, then low quality, then long; scored, with their place by score and id."""
     rows = table(spark, sf, "documents").select("doc_id", "n_chars", "source").join(table(spark, sf, "labels"), "doc_id", "left").where("quality is null or quality = 0 or toxic = 1")
     score = F.when(F.col("quality").isNull(), 1.0).otherwise(0.0) + F.when(F.col("toxic") == 1, 0.5).otherwise(0.0) + F.least(F.col("n_chars") / 10000.0, F.lit(1.0))
     reason = F.when(F.col("quality").isNull(), "unlabelled").when(F.col("toxic") == 1, "toxic").otherwise("low_quality")
     out = rows.select("doc_id", reason.alias("reason"), F.round(score, 6).alias("score"))
-    return out.orderBy(F.desc("score"), "doc_id").limit(100)
+    return R.places(out, [-F.floor(F.col("score") * 100)], [F.desc("score"), F.col("doc_id")])
 
 
 def three_tier_lookup(spark: SparkSession, sf: str) -> DataFrame:
@@ -108,15 +109,15 @@ def pair_fanout(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pairwise_diff(spark: SparkSession, sf: str) -> DataFrame:
-    """Ordered pairs within a user's five best candidates: difference of score and time."""
+    """Ordered pairs within a user's five best candidates: difference of score and time. All pairs of a group would be quadratic; the five are the operator's parameter."""
     top = candidates(spark, sf).where("rank <= 5")
     other = top.select("user_id", F.col("rank").alias("rank2"), F.col("value").alias("value2"), F.col("t").alias("t2"))
     return top.join(other, "user_id").where("rank <> rank2").select("user_id", "rank", "rank2", F.round(F.col("value") - F.col("value2"), 6).alias("d_value"), (F.col("t") - F.col("t2")).alias("d_t"))
 
 
 def oracle_pairs_weighted(spark: SparkSession, sf: str) -> DataFrame:
-    """Best candidate against the others of its group, at least an hour apart, as positive and negative pairs with weights."""
-    top = candidates(spark, sf).where("rank <= 5")
+    """Best candidate against all others of its group, at least an hour apart, as positive and negative pairs with weights."""
+    top = candidates(spark, sf)
     best = top.where("rank = 1").select("user_id", F.col("value").alias("best_value"), F.col("t").alias("best_t"))
     rows = top.where("rank > 1").join(best, "user_id").where(F.abs(F.col("t") - F.col("best_t")) >= HOUR)
     d = F.col("best_value") - F.col("value")
@@ -135,14 +136,25 @@ def ab_compare(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def token_match(spark: SparkSession, sf: str) -> DataFrame:
-    """Part names that share tokens: containment and Jaccard of token sets with the names of brand-mates, best match with ambiguity rejected."""
-    p = table(spark, sf, "part").where("p_partkey % 10 = 0").select("p_partkey", "p_brand", F.array_distinct(F.split(F.lower("p_name"), "[^a-z0-9]+")).alias("tokens"))
-    q = p.select(F.col("p_partkey").alias("other"), "p_brand", F.col("tokens").alias("tokens2"))
-    both = p.join(q, "p_brand").where("p_partkey <> other")
-    same = F.size(F.array_intersect("tokens", "tokens2"))
-    score = F.greatest(same / F.least(F.size("tokens"), F.size("tokens2")), same / F.size(F.array_union("tokens", "tokens2")))
-    best = J.ranked(both.select("p_partkey", "other", F.round(score, 6).alias("score")), ["p_partkey"], F.desc("score"), F.col("other")).where("rank <= 2")
-    return best.groupBy("p_partkey").agg(F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("score"), F.max(F.when(F.col("rank") == 1, F.col("other"))).alias("other"), F.min("score").alias("second"))
+    """Each part's best match among brand-mates that share a token with its name: containment or Jaccard of the token sets; a match less than 0.05 ahead of the next is rejected.
+
+    Parts with the same tokens are one set, and only sets that share a token meet (a join on brand and token, counted per pair), so a hot name costs no
+    pairs of its parts. Of a set its first three keys are kept: enough for the best and the second of every part outside of itself.
+    """
+    tokens = F.array_sort(F.array_distinct(F.filter(F.split(F.lower("p_name"), "[^a-z0-9]+"), lambda x: x != "")))
+    p = table(spark, sf, "part").select("p_partkey", "p_brand", tokens.alias("tokens")).withColumn("set", F.array_join("tokens", " "))
+    keys = J.ranked(p.where("set <> ''"), ["p_brand", "set"], F.col("p_partkey")).where("rank <= 3").select("p_brand", "set", "tokens", F.col("p_partkey").alias("other"))
+    sets = keys.select("p_brand", "set", "tokens").distinct()
+    each = sets.select("p_brand", "set", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    mate = each.select("p_brand", "token", F.col("set").alias("set2"), F.col("n").alias("n2"))
+    shared = each.join(mate, ["p_brand", "token"]).groupBy("p_brand", "set", "set2", "n", "n2").agg(F.count("*").alias("same"))
+    score = F.round(F.greatest(F.col("same") / F.least("n", "n2"), F.col("same") / (F.col("n") + F.col("n2") - F.col("same"))), 6)
+    found = shared.select("p_brand", "set", "set2", score.alias("score")).join(keys.select("p_brand", F.col("set").alias("set2"), "other"), ["p_brand", "set2"])
+    top = J.ranked(found, ["p_brand", "set"], F.desc("score"), F.col("other")).where("rank <= 3").groupBy("p_brand", "set").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "other"))).alias("top"))
+    near = p.join(top, ["p_brand", "set"], "left").select("p_partkey", F.filter("top", lambda x: x["other"] != F.col("p_partkey")).alias("c"))
+    first, second = F.get("c", F.lit(0)), -F.get("c", F.lit(1))["s"]
+    sure = second.isNull() | (-first["s"] - second >= 0.05)
+    return near.select("p_partkey", (-first["s"]).alias("score"), second.alias("second"), F.when(sure, first["other"]).alias("match"))
 
 
 def phase_overlap(spark: SparkSession, sf: str) -> DataFrame:
@@ -178,9 +190,9 @@ ORACLE = {
     "coverage_diff": """WITH l AS (SELECT DISTINCT doc_id FROM documents WHERE n_chars > 800), r AS (SELECT doc_id, count(*) AS n FROM labels GROUP BY 1),
         s AS (SELECT 'missing' AS side, doc_id FROM l WHERE doc_id NOT IN (SELECT doc_id FROM r) UNION ALL SELECT 'extra', doc_id FROM r WHERE doc_id NOT IN (SELECT doc_id FROM l) UNION ALL SELECT 'repeated', doc_id FROM r WHERE n > 1 AND doc_id IN (SELECT doc_id FROM l))
         SELECT side, count(*)::BIGINT AS n, min(doc_id) AS first, max(doc_id) AS last FROM s GROUP BY side""",
-    "active_queue": """SELECT doc_id, CASE WHEN quality IS NULL THEN 'unlabelled' WHEN toxic = 1 THEN 'toxic' ELSE 'low_quality' END AS reason,
+    "active_queue": """WITH q AS (SELECT doc_id, CASE WHEN quality IS NULL THEN 'unlabelled' WHEN toxic = 1 THEN 'toxic' ELSE 'low_quality' END AS reason,
         round((CASE WHEN quality IS NULL THEN 1.0 ELSE 0.0 END + CASE WHEN toxic = 1 THEN 0.5 ELSE 0.0 END)::DOUBLE + least(n_chars::DOUBLE / 10000.0::DOUBLE, 1.0::DOUBLE), 6) AS score
-        FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NULL OR quality = 0 OR toxic = 1 ORDER BY score DESC, doc_id LIMIT 100""",
+        FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NULL OR quality = 0 OR toxic = 1) SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM q""",
     "three_tier_lookup": r"""WITH k AS (SELECT page_id, url AS exact, regexp_extract(url, '^[^?#]*') AS stem, regexp_extract(url, '://(?:www\.|m\.|blog\.)?([^/]*)', 1) AS slug FROM pages),
         c AS (SELECT * FROM k WHERE page_id % 2 = 0),
         a1 AS (SELECT exact, min(page_id) AS v FROM c GROUP BY 1 HAVING count(DISTINCT page_id) = 1), a2 AS (SELECT stem, min(page_id) AS v FROM c GROUP BY 1 HAVING count(DISTINCT page_id) = 1), a3 AS (SELECT slug, min(page_id) AS v FROM c GROUP BY 1 HAVING count(DISTINCT page_id) = 1)
@@ -199,14 +211,15 @@ ORACLE = {
         SELECT event_id, other_id, rank FROM r WHERE rank <= 3""",
     "pairwise_diff": f"WITH {CAND} SELECT a.user_id, a.rank, b.rank AS rank2, round(a.value - b.value, 6) AS d_value, a.t - b.t AS d_t FROM cand a JOIN cand b ON a.user_id = b.user_id AND a.rank <> b.rank WHERE a.rank <= 5 AND b.rank <= 5",
     "oracle_pairs_weighted": f"""WITH {CAND} SELECT a.user_id, a.rank, s.sign, round((b.value - a.value) * s.sign, 6) AS diff, round(least(2.0::DOUBLE, 0.5::DOUBLE + (b.value - a.value) / 100.0::DOUBLE), 6) AS weight
-        FROM cand a JOIN cand b ON a.user_id = b.user_id AND b.rank = 1, (SELECT unnest([1, -1])::BIGINT AS sign) s WHERE a.rank BETWEEN 2 AND 5 AND abs(a.t - b.t) >= {H}""",
+        FROM cand a JOIN cand b ON a.user_id = b.user_id AND b.rank = 1, (SELECT unnest([1, -1])::BIGINT AS sign) s WHERE a.rank >= 2 AND abs(a.t - b.t) >= {H}""",
     "ab_compare": """WITH d AS (SELECT o_orderpriority, round(abs(o_totalprice - 100000.0::DOUBLE) - abs(o_totalprice * 0.9::DOUBLE - 100000.0::DOUBLE), 4) AS d FROM orders)
         SELECT o_orderpriority, CASE WHEN d > 0 THEN 'improved' WHEN d < 0 THEN 'worse' ELSE 'unchanged' END AS outcome, count(*)::BIGINT AS n, round(avg(d), 4) AS mean_gain, round(max(abs(d)), 4) AS most FROM d GROUP BY 1, 2""",
-    "token_match": """WITH p AS (SELECT p_partkey, p_brand, list_distinct(regexp_split_to_array(lower(p_name), '[^a-z0-9]+')) AS t FROM part WHERE p_partkey % 10 = 0),
+    "token_match": """WITH p AS (SELECT p_partkey, p_brand, list_filter(list_distinct(regexp_split_to_array(lower(p_name), '[^a-z0-9]+')), lambda x: x <> '') AS t FROM part),
         x AS (SELECT a.p_partkey, b.p_partkey AS other, len(list_intersect(a.t, b.t)) AS same, len(a.t) AS la, len(b.t) AS lb FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey),
-        s AS (SELECT *, round(greatest(same::DOUBLE / least(la, lb), same::DOUBLE / (la + lb - same)), 6) AS score FROM x),
-        r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, other) AS k FROM s)
-        SELECT p_partkey, max(CASE WHEN k = 1 THEN score END) AS score, max(CASE WHEN k = 1 THEN other END) AS other, min(score) AS second FROM r WHERE k <= 2 GROUP BY 1""",
+        s AS (SELECT *, round(greatest(same::DOUBLE / least(la, lb), same::DOUBLE / (la + lb - same)), 6) AS score FROM x WHERE same > 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, other) AS k FROM s),
+        b AS (SELECT p_partkey, max(CASE WHEN k = 1 THEN score END) AS score, max(CASE WHEN k = 2 THEN score END) AS second, max(CASE WHEN k = 1 THEN other END) AS other FROM r WHERE k <= 2 GROUP BY 1)
+        SELECT p_partkey, score, second, CASE WHEN second IS NULL OR score - second >= 0.05::DOUBLE THEN other END AS match FROM p LEFT JOIN b USING (p_partkey)""",
     "phase_overlap": f"""WITH {EV}, c AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS k FROM ev WHERE event_type = 'click')
         SELECT user_id, round(avg(CASE WHEN EXISTS (SELECT 1 FROM ev v WHERE v.event_type = 'view' AND v.user_id = c.user_id AND abs(v.t - c.t) <= {H}) THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS overlap FROM c WHERE k <= 64 GROUP BY 1""",
     "seen_exclusion": "WITH k AS (SELECT page_id, regexp_extract(url, '://([^/]*)', 1) AS host FROM pages) SELECT page_id, host FROM k WHERE page_id % 2 = 1 AND host NOT IN (SELECT host FROM k WHERE page_id % 2 = 0)",

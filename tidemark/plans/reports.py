@@ -161,9 +161,9 @@ def url_fields(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def monotone_check(spark: SparkSession, sf: str) -> DataFrame:
-    """Users whose values never fall along their first five events, and where the first fall is."""
+    """Users whose values never fall from one event to the next, and where the first fall is."""
     w = W.partitionBy("user_id").orderBy("t", "event_id")
-    rows = events(spark, sf).withColumn("i", F.row_number().over(w)).withColumn("fall", F.col("value") < F.lag("value").over(w)).where("i <= 5")
+    rows = events(spark, sf).withColumn("i", F.row_number().over(w)).withColumn("fall", F.col("value") < F.lag("value").over(w))
     return rows.groupBy("user_id").agg(F.coalesce(~F.bool_or("fall"), F.lit(True)).alias("monotone"), F.min(F.when(F.col("fall"), F.col("i"))).cast("long").alias("first_fall"))
 
 
@@ -278,7 +278,7 @@ ORACLE = {
         a AS (SELECT *, bool_or(ok) OVER (PARTITION BY user_id) AS anyone FROM o) SELECT user_id, count(*)::BIGINT AS n, min(event_id) AS first FROM a WHERE ok OR NOT anyone GROUP BY 1""",
     "url_fields": r"""SELECT page_id, try_cast(coalesce(nullif(regexp_extract(url, '[?&]page=(\d+)', 1), ''), nullif(regexp_extract(url, '/(\d+)', 1), '')) AS INT) AS number,
         CASE WHEN regexp_extract(url, '://([^./]+)\.', 1) IN ('www', 'm', 'blog') THEN regexp_extract(url, '://([^./]+)\.', 1) ELSE 'main' END AS role, nullif(regexp_extract(url, '://[^/]+/([a-z]{2})/', 1), '') AS lang FROM pages""",
-    "monotone_check": f"""WITH {EV}, r AS (SELECT user_id, row_number() OVER w AS i, value < lag(value) OVER w AS fall FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)) SELECT user_id, coalesce(NOT bool_or(fall), true) AS monotone, min(CASE WHEN fall THEN i END) AS first_fall FROM r WHERE i <= 5 GROUP BY 1""",
+    "monotone_check": f"""WITH {EV}, r AS (SELECT user_id, row_number() OVER w AS i, value < lag(value) OVER w AS fall FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)) SELECT user_id, coalesce(NOT bool_or(fall), true) AS monotone, min(CASE WHEN fall THEN i END) AS first_fall FROM r GROUP BY 1""",
     "bar_prior": f"""WITH {EV}, s AS (SELECT *, (t + 10800000000) // 21600000000 AS slot FROM ev), p AS (SELECT event_id, value, CASE WHEN slot % 16 = 0 THEN 1.0::DOUBLE WHEN slot % 4 = 0 THEN 0.6::DOUBLE ELSE 0.2::DOUBLE END * exp(-abs(t - slot * 21600000000) / 7200000000.0::DOUBLE) AS p FROM s)
         SELECT event_id, round(p, 6) AS prior, round(value * (1 + 0.25::DOUBLE * p), 4) AS adjusted FROM p""",
     "cluster_alternates": f"""WITH {EV}, r AS (SELECT *, t // 86400000000 AS day, row_number() OVER (PARTITION BY user_id, t // 86400000000 ORDER BY value DESC, event_id) AS k FROM ev)

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.num import rank_norm
+from tidemark.operators import joins as J
 from tidemark.operators import windows as V
 from tidemark.sources.tables import events
 
@@ -136,11 +137,14 @@ def gap_sessions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def local_first_strong(spark: SparkSession, sf: str) -> DataFrame:
-    """For each signup: first event from 6 hours before to 12 after whose value reaches 0.56 of the largest there."""
-    time = W.partitionBy("user_id").orderBy("t").rangeBetween(-6 * HOUR, 12 * HOUR)
-    ev = events(spark, sf).withColumn("peak", F.max("value").over(time)).withColumn("around", F.collect_list(F.struct("t", "event_id", "value")).over(time))
-    at = F.array_sort(F.filter("around", lambda s: s["value"] >= 0.56 * F.col("peak")))
-    return ev.where("event_type = 'signup'").select("event_id", at[0]["event_id"].alias("first_id"))
+    """For each signup: first event from 6 hours before to 12 after whose value reaches the larger of the 72nd percentile and 0.56 of the largest there."""
+    ev = events(spark, sf)
+    around = ev.where("event_type = 'signup'").select("user_id", F.col("event_id").alias("signup"), (F.col("t") - 6 * HOUR).alias("start"), (F.col("t") + 12 * HOUR).alias("end"))
+    near = J.in_intervals(ev.select("user_id", "t", "event_id", "value"), around, "user_id", "t", "start", "end", 24 * HOUR, closed=True)
+    here = W.partitionBy("signup")
+    least = F.greatest(F.percentile("value", F.lit(0.72)).over(here), 0.56 * F.max("value").over(here))
+    strong = near.withColumn("least", least).where("value >= least - 1e-9")
+    return strong.groupBy("signup").agg(F.min(F.struct("t", "event_id")).alias("f")).select(F.col("signup").alias("event_id"), F.col("f.event_id").alias("first_id"))
 
 
 def lattice_snap(spark: SparkSession, sf: str) -> DataFrame:
@@ -222,8 +226,9 @@ ORACLE = {
         SELECT user_id, count(CASE WHEN i % 2 = 0 THEN 1 END)::BIGINT AS n_half, max(CASE WHEN i % 2 = 0 THEN t END) AS last_half, (count(*) + count(mid))::BIGINT AS n_double, min(mid) AS first_off FROM x GROUP BY 1""",
     "gap_sessions": f"""WITH {EV}, x AS (SELECT *, CASE WHEN t - lag(t) OVER w > 43200000000 THEN 1 ELSE 0 END AS c FROM ev {WIN}), s AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS session FROM x)
         SELECT user_id, session, count(*)::BIGINT AS n, min(t) AS start, max(t) AS end, count(DISTINCT event_type)::BIGINT AS roles, round(stddev_pop(value), 6) AS spread FROM s GROUP BY 1, 2""",
-    "local_first_strong": f"""WITH {EV}, s AS (SELECT a.event_id, b.event_id AS o, b.t, b.value, max(b.value) OVER (PARTITION BY a.event_id) AS m FROM ev a JOIN ev b ON a.user_id = b.user_id AND b.t BETWEEN a.t - 21600000000 AND a.t + 43200000000 WHERE a.event_type = 'signup'),
-        r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY t, o) AS k FROM s WHERE value >= 0.56::DOUBLE * m) SELECT event_id, o AS first_id FROM r WHERE k = 1""",
+    "local_first_strong": f"""WITH {EV}, n AS (SELECT s.event_id, e.event_id AS other, e.t, e.value FROM ev s JOIN ev e ON s.user_id = e.user_id AND e.t BETWEEN s.t - 6 * 3600000000 AND s.t + 12 * 3600000000 WHERE s.event_type = 'signup'),
+        h AS (SELECT event_id, greatest(quantile_cont(value, 0.72), 0.56::DOUBLE * max(value)) AS least FROM n GROUP BY 1), r AS (SELECT event_id, other, row_number() OVER (PARTITION BY event_id ORDER BY t, other) AS k FROM n JOIN h USING (event_id) WHERE value >= least - 1e-9::DOUBLE)
+        SELECT event_id, other AS first_id FROM r WHERE k = 1""",
     "lattice_snap": f"""WITH {EV}, x AS (SELECT *, (t + 10800000000) // 21600000000 AS slot FROM ev), y AS (SELECT *, abs(t - slot * 21600000000) AS off FROM x), r AS (SELECT *, row_number() OVER (PARTITION BY user_id, slot ORDER BY off, t, event_id) AS k FROM y WHERE off <= 7200000000)
         SELECT user_id, slot, event_id, off FROM r WHERE k = 1""",
     "gap_fill": f"WITH {EV}, s AS (SELECT DISTINCT user_id, t // 21600000000 AS slot FROM ev), n AS (SELECT user_id, slot, lead(slot) OVER (PARTITION BY user_id ORDER BY slot) AS nxt FROM s) SELECT user_id, unnest(range(slot + 1, nxt)) AS slot FROM n WHERE nxt > slot + 1",
