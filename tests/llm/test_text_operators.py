@@ -32,7 +32,7 @@ def docs(spark, texts, lang=None, source=None):
 
 def wide(df):
     """Columns whose names might clash with the operators' own."""
-    for c in ("of", "n", "k1", "first", "row", "base", "spans", "part", "queue", "score", "f"):
+    for c in ("of", "n", "k1", "first", "row", "base", "spans", "part", "queue", "score", "f", "bpe", "toxicity", "quality_rules", "language", "id", "set", "place"):
         df = df.withColumn(c, df.doc_id)
     return df
 
@@ -47,7 +47,7 @@ def test_coding_equals_tiktoken_and_round_trips(spark):
     import tiktoken
 
     enc = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=B.read_ranks(MULTI), special_tokens={})
-    texts = ODD + random_texts() + ["a" * n for n in range(1, 40)]
+    texts = ODD + random_texts() + ["a" * n for n in range(1, 40)] + ["a few words, and more. " * 100_000, "<|endoftext|> x"]
     df = B.encode_documents(wide(docs(spark, texts)), MULTI, public.PATTERN)
     df = df.withColumn("back", B.decode("bpe.ids", MULTI, public.PATTERN))
     for r in df.collect():
@@ -94,6 +94,19 @@ def test_packing_places_every_id_once(spark):
     assert P.pack(docs(spark, texts).limit(0), BPE).count() == 0
 
 
+def test_packing_codes_added_tokens_as_the_library(spark):
+    from tokenizers import Tokenizer
+
+    rng, tok = random.Random(4), Tokenizer.from_file(BPE)
+    bits = ["<|endoftext|>", "<|endoftext", "|>", " ", "  ", "\n", "a", "word", ".", ",", "é", "x\ny"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 12))) for _ in range(400)]
+    rows = P.pack(docs(spark, texts), BPE).toPandas()
+    assert any("<|endoftext|>" in t for t in texts)
+    for i, g in rows.sort_values("start").groupby("doc_id"):
+        want = np.array([*tok.encode(texts[i], add_special_tokens=False).ids, 0], "<u4")
+        assert g.length.sum() == len(want) and all(zlib.crc32(want[a : a + n]) == c for a, n, c in zip(g.start, g.length, g.ids_crc32, strict=True))
+
+
 def test_phases_give_what_queues_hold():
     rng = random.Random(2)
     for _ in range(200):
@@ -232,6 +245,36 @@ def test_jaccard_join_of_nothing(spark):
     assert {(r.n_shingles, r.component_id) for r in J.link_components(docs(spark, [None, ""])).collect()} == {(0, 0), (0, 1)}
 
 
+def test_jaccard_join_of_repeated_and_null_ids(spark):
+    """An id's rows have the components of their own texts."""
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(400)}" for _ in range(60)]
+    other = [f"u{rng.randrange(400)}" for _ in range(60)]
+    near = [*base[:-1], "end"]
+    rows = [(5, base), (5, other), (7, near), (9, [*other[:-1], "end"]), (None, [*base[:-2], "x", "y"]), (None, ["alone"] * 6), (11, near)]
+    df = spark.createDataFrame([(i, " ".join(w), k) for k, (i, w) in enumerate(rows)], "doc_id long, text string, k1 int")
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in J.link_components(df).collect())
+    assert sum(got.values()) == len(rows) and {x[2] for x in got if x[0] in (5, 7, 9, 11)} == {5}
+    assert {x[2] for x in got if x[0] is None} == {5, None}
+
+
+def test_tree_search_as_brute_force():
+    """What the tree leaves is what the bound leaves, and inner nodes spare comparisons."""
+    rng = np.random.default_rng(8)
+    centres = rng.integers(0, 12, (40, J.GROUPS))
+    points = np.maximum(centres[rng.integers(0, 40, 5000)] + rng.integers(-1, 2, (5000, J.GROUPS)), 0)
+    sizes = points.sum(1)
+    tree = J.RTree(points, sizes, 85)
+    assert len(tree.levels) > 1
+    tree.take(np.arange(0, 5000, 3))
+    for at in range(0, 5000, 97):
+        bound = np.minimum(tree.points, tree.points[at]).sum(1) >= J.need(sizes[tree.order[at]], tree.sizes, 85)
+        ok = bound & tree.open & (100 * tree.sizes >= 85 * tree.sizes[at]) & (85 * tree.sizes <= 100 * tree.sizes[at])
+        got = set(tree.near(at).tolist())
+        assert set(np.flatnonzero(ok).tolist()) <= got <= set(np.flatnonzero(bound & tree.open).tolist())
+    assert tree.compared[1] < 0.5 * 52 * 5000
+
+
 def test_places_meet_for_every_linked_pair():
     rng = np.random.default_rng(4)
     for n in (1, 2, 5, 6, 7, 9, 13, 20, 45, 120, 700):

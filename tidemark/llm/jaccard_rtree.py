@@ -7,9 +7,10 @@ A document is the set of its distinct word n-grams (64-bit hashes). Equal sets a
    filter) one of the d + 1 fullest groups of either set does. A set is put under the hashes of those groups' contents. This is the
    tree's directory: a plain R-tree over the counts prunes next to nothing above its leaves, as counts of many groups hardly
    differ in any one coordinate. Places with the same members are one place.
-2. Leaves. At each place the count vectors are tiled into an R-tree (sorted by size, then by their first coordinates; a node keeps
-   its coordinates' maxima). The sum of the coordinates' minima bounds the overlap from above; a breadth-first search that takes nodes
-   out when it meets them gives a spanning forest of the pairs that the bound leaves, never all pairs.
+2. R-trees. At each place the count vectors are tiled into an R-tree (sorted by size, then by their first coordinates): leaves of LEAF points under
+   nodes of FAN children, which keep their coordinates' maxima and their smallest and largest size. A search goes down from the root where the summed
+   minima of the coordinates, a bound of the overlap from above, and the sizes allow a link; points that were met are taken out of all nodes above
+   them, so a breadth-first search gives a spanning forest of the pairs that the bound leaves, never all pairs.
 3. Verification. Sets in one tree of that forest are compared exactly, again breadth first: what remains is a
    spanning forest of the true links. Its components are those of all links.
 
@@ -19,7 +20,8 @@ blocks. Rows that are joined already needn't be compared, so no link between par
 No pair of a group is emitted beyond a forest's edges.
 
 Defined results: null, empty or wordless texts have no set, link with nothing and are their own component; with fewer words than n, the
-whole sequence is the only n-gram; repeated documents share a component; ids must be distinct integers; other columns are ignored.
+whole sequence is the only n-gram; repeated documents share a component; ids are integers, and a repeated id stands for each of its texts: its rows have the
+components of their own texts; a null id links like any other, and a component of null ids alone is null; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +34,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm._common import binaries, materialise, mix, plain, read, released, slices, words_of
@@ -42,9 +43,12 @@ N_WORDS = 4
 PERCENT = 85
 #: Coordinates of a count vector.
 GROUPS = 64
+#: Of the two halves of a set's 128-bit hash.
+SALTS = (11, 23)
 #: Sizes of a class grow by this factor from its smallest to its largest.
 CLASS_RATIO = 1.5
-LEAF = 32
+#: Points of a leaf, and children of an inner node.
+LEAF, FAN = 32, 16
 #: Rows at a place, and n-grams in a tree, up to which one task takes them; beyond, blocks.
 PLACE_ROWS, TREE_GRAMS = 10_000, 3_000_000
 #: Rows of the table of compared documents (some 80 bytes each) up to which it is broadcast.
@@ -130,7 +134,7 @@ def need(a: np.ndarray | int, b: np.ndarray | int, percent: int) -> np.ndarray |
 
 
 class RTree:
-    """Count vectors in leaves of LEAF points; a leaf keeps its coordinates' maxima and its smallest size."""
+    """Count vectors in leaves of LEAF points under inner nodes of FAN children; every node keeps its coordinates' maxima, its sizes' range and what is open."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray, percent: int):
         lead = np.argsort(-points.var(0), kind="stable")[:2]
@@ -140,24 +144,38 @@ class RTree:
         rank[by_size] = np.arange(len(points)) // tile
         self.order = np.lexsort((points[:, lead[1]], points[:, lead[0]], rank))
         self.points, self.sizes, self.percent = points[self.order].astype(np.int32), sizes[self.order], percent
-        edge = np.arange(0, len(points), LEAF)
-        self.high, self.least = np.maximum.reduceat(self.points, edge), np.minimum.reduceat(self.sizes, edge)
-        self.most = np.maximum.reduceat(self.sizes, edge)
         self.open = np.ones(len(points), bool)
-        self.left = np.add.reduceat(self.open.astype(int), edge)
+        #: From the leaves up: points under a node, maxima, smallest and largest sizes, open points.
+        self.levels = []
+        width, high, least, most, left = 1, self.points, self.sizes, self.sizes, self.open.astype(np.int64)
+        while not self.levels or len(high) > FAN:
+            step = FAN if self.levels else LEAF
+            edge = np.arange(0, len(high), step)
+            width *= step
+            high, least, most, left = (f.reduceat(x, edge) for f, x in ((np.maximum, high), (np.minimum, least), (np.maximum, most), (np.add, left)))
+            self.levels.append((width, high, least, most, left))
+        #: Nodes and points compared so far.
+        self.compared = [0, 0]
 
     def take(self, at: np.ndarray) -> None:
         self.open[at] = False
-        np.subtract.at(self.left, at // LEAF, 1)
+        for width, *_, left in self.levels:
+            np.subtract.at(left, at // width, 1)
 
     def near(self, at: int) -> np.ndarray:
         """Open points that the bound doesn't tell from the point."""
         p, n = self.points[at], self.sizes[at]
-        leaf = np.flatnonzero((self.left > 0) & (100 * self.least <= 100 * 100 * n // self.percent) & (100 * self.most >= self.percent * n))
-        leaf = leaf[np.minimum(self.high[leaf], p).sum(1) >= need(n, self.least[leaf], self.percent)]
-        rows = (leaf[:, None] * LEAF + np.arange(LEAF)).ravel()
-        rows = rows[rows < len(self.points)]
-        rows = rows[self.open[rows]]
+        nodes = np.arange(len(self.levels[-1][1]))
+        for k in range(len(self.levels) - 1, -1, -1):
+            _, high, least, most, left = self.levels[k]
+            nodes = nodes[(left[nodes] > 0) & (self.percent * least[nodes] <= 100 * n) & (100 * most[nodes] >= self.percent * n)]
+            self.compared[0] += len(nodes)
+            nodes = nodes[np.minimum(high[nodes], p).sum(1) >= need(n, least[nodes], self.percent)]
+            step, below = (FAN, len(self.levels[k - 1][1])) if k else (LEAF, len(self.points))
+            nodes = (nodes[:, None] * step + np.arange(step)).ravel()
+            nodes = nodes[nodes < below]
+        rows = nodes[self.open[nodes]]
+        self.compared[1] += len(rows)
         return rows[np.minimum(self.points[rows], p).sum(1) >= need(n, self.sizes[rows], self.percent)]
 
 
@@ -180,6 +198,13 @@ def forest(points: np.ndarray, sizes: np.ndarray, percent: int, linked=None) ->
     return edges
 
 
+def named(key: np.ndarray, at: np.ndarray, salt: int) -> np.ndarray:
+    """A 64-bit hash of each set."""
+    s = np.zeros(len(key) + 1, np.uint64)  # sums wrap around
+    np.cumsum(mix(key + np.uint64(salt)), out=s[1:])
+    return mix(s[at[1:]] - s[at[:-1]] + np.diff(at).astype(np.uint64)).astype(np.int64)
+
+
 def features(text: Column | str, n: int = N_WORDS, percent: int = PERCENT) -> Column:
     """Column of struct(n, k1, k2: the set's 128-bit hash, vector, places)."""
 
@@ -192,10 +217,7 @@ def features(text: Column | str, n: int = N_WORDS, percent: int = PERCENT) -> Co
                 key, at = grams(part, n)
                 size = np.diff(at)
                 owner = np.repeat(np.arange(len(part)), size)
-                sums = []
-                for salt in (11, 23):
-                    s = np.concatenate([[0], np.cumsum(mix(key + np.uint64(salt)), dtype=np.uint64)]).astype(np.uint64)
-                    sums.append(mix(s[at[1:]] - s[at[:-1]] + size.astype(np.uint64)).astype(np.int64))
+                sums = [named(key, at, salt) for salt in SALTS]
                 if len(put) > 500_000:
                     put.clear()
                 new = np.zeros(len(part), bool)
@@ -214,13 +236,17 @@ def features(text: Column | str, n: int = N_WORDS, percent: int = PERCENT) -> Co
 
 
 def sets_of(text: Column | str, n: int = N_WORDS) -> Column:
-    """Binary column: the sorted 64-bit hashes of the text's n-grams."""
+    """Column of struct(k1: the first half of the set's hash, grams: the sorted 64-bit hashes of the text's n-grams)."""
 
-    @F.arrow_udf("binary")
+    @F.arrow_udf("struct<k1:bigint,grams:binary>")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in released(batches):
-            out = [binaries(*grams(part, n)) for part in slices(plain(batch))]
-            yield pa.chunked_array(out, pa.large_binary()).combine_chunks().cast(pa.binary())
+            sets, names = [], [np.zeros(0, np.int64)]
+            for part in slices(plain(batch)):
+                key, at = grams(part, n)
+                sets.append(binaries(key, at))
+                names.append(named(key, at, SALTS[0]))
+            yield pa.StructArray.from_arrays([pa.array(np.concatenate(names)), pa.chunked_array(sets, pa.large_binary()).combine_chunks().cast(pa.binary())], ["k1", "grams"])
 
     return of.asNondeterministic()(text)
 
@@ -275,6 +301,12 @@ def hinted(rows: DataFrame, n: int) -> DataFrame:
     return F.broadcast(rows) if n <= BROADCAST_IDS else rows
 
 
+def dealt(rows: DataFrame, group: str):
+    """The rows by group and piece, in as many tasks as shuffles have: these groups cost time rather than bytes, so tasks aren't joined by their bytes."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.withColumn("piece", F.explode("pieces")).repartition(n, group, "piece").groupBy(group, "piece")
+
+
 def bound_edges(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     rows = rows.drop_duplicates("k1")
     k = rows.k1.to_numpy()
@@ -322,13 +354,16 @@ def link_components(docs: DataFrame, *, n: int = N_WORDS, percent: int = PERCENT
     nodes = materialise(some.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("first")), "jaccard-nodes")
 
     put = some.select(F.explode("places").alias("place"), "k1")
-    at = W.partitionBy("place")
-    shared = put.select("k1", *(f(F.xxhash64("k1", F.lit(s)) % 4_000_000_007 if s else F.col("k1")).over(at).alias(c) for c, f, s in (("low", F.min, 0), ("high", F.max, 0), ("s1", F.sum, 1), ("s2", F.sum, 2))))
-    members = shared.where("low <> high").select(F.xxhash64("low", "high", "s1", "s2").alias("place"), "k1").distinct()
-    vectors = some.join(nodes.select(F.col("first").alias("doc_id")), "doc_id").select("k1", "n", "vector")
+    # a place's members by four aggregates: partly aggregated before the shuffle, so that no task gathers a place
+    sums = [f(F.xxhash64("k1", F.lit(s)) % 4_000_000_007 if s else F.col("k1")).alias(c) for c, f, s in (("low", F.min, 0), ("high", F.max, 0), ("s1", F.sum, 1), ("s2", F.sum, 2))]
+    shared = put.groupBy("place").agg(*sums).where("low <> high").select(F.col("place").alias("at"), F.xxhash64("low", "high", "s1", "s2").alias("members"))
+    members = put.join(shared, F.col("place") == F.col("at")).select(F.col("members").alias("place"), "k1").distinct()
+    mine = nodes.select(F.col("first").alias("id"), F.col("k1").alias("set"))
+    vectors = some.join(mine, (F.col("k1") == F.col("set")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("k1", "n", "vector")
     rows = materialise(members.join(vectors, "k1"), "jaccard-places")
+
     def near(put: DataFrame) -> DataFrame:
-        return put.withColumn("piece", F.explode("pieces")).groupBy("place", "piece").applyInPandas(lambda x: bound_edges(x, percent), "u long, v long")
+        return dealt(put, "place").applyInPandas(lambda x: bound_edges(x, percent), "u long, v long")
 
     wanted = both(rows.withColumn("one", F.lit(1)), "place", "one", PLACE_ROWS, near, "jaccard-near")
     trees = materialise(components(wanted), "jaccard-trees")
@@ -337,8 +372,11 @@ def link_components(docs: DataFrame, *, n: int = N_WORDS, percent: int = PERCENT
 
     def verified(put: DataFrame) -> DataFrame:
         put = materialise(put, "jaccard-pieces")
-        sets = source.join(hinted(put, put.count()), "doc_id").select("k1", "n", "tree", "pieces", sets_of("text", n).alias("grams"))
-        return sets.withColumn("piece", F.explode("pieces")).groupBy("tree", "piece").applyInPandas(lambda x: true_edges(x, percent), "u long, v long")
+        # an id may stand for other texts too, so a text's own hash must be the wanted one
+        wanted = hinted(put.select(F.col("doc_id").alias("id"), "k1", "n", "tree", "pieces"), put.count())
+        sets = source.join(wanted, F.col("doc_id").eqNullSafe(F.col("id"))).select("k1", "n", "tree", "pieces", sets_of("text", n).alias("s"))
+        sets = sets.where(F.col("s.k1") == F.col("k1")).select("k1", "n", "tree", "pieces", "s.grams")
+        return dealt(sets, "tree").applyInPandas(lambda x: true_edges(x, percent), "u long, v long")
 
     true = both(members, "tree", "n", TREE_GRAMS, verified, "jaccard-true")
     parts = materialise(components(true), "jaccard-components")
