@@ -2,22 +2,25 @@
 
 A rule (verdict, host/path) fits its host and all subdomains where the URL's path starts with the rule's; the longest fitting rule wins.
 The URLs that rules decide are the labelled URLs from which MLlib's boosted trees learn: lengths, depth, shares of digits and hyphens,
-character entropy, parameters, and the suffix's share of blocked URLs. At most MAX_TRAIN_ROWS labelled URLs, picked by
-hash, and the MOST_SUFFIXES commonest suffixes among them are used; every URL is judged. All work is done by Spark SQL
-and MLlib in the JVM, without a shuffle of the table.
+character entropy, parameters, and suffix statistics: how common the host's suffix is, and its share of blocked URLs, where URLs that no rule
+decides count with the mean share, so that a suffix of a few rules does not decide by itself. The suffix statistics are counted over all URLs, and kept for
+the MOST_SUFFIXES commonest ones; the trees see at most MAX_TRAIN_ROWS distinct labelled URLs, picked by hash. Every URL is judged. All work is done by
+Spark SQL and MLlib in the JVM; only counts by suffix are shuffled. `held_out` measures the trees on labelled URLs that they did not see.
 
 Defined results: a null URL or one without `://` has an empty host and path and fits no rule; without labelled URLs of both verdicts the
-method allows; repeated rows each get their verdict; other columns are kept.
+method allows; repeated rows each get their verdict; URLs of any length are read whole; other columns are kept, but one with the result's own name is replaced.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier
+from dataclasses import dataclass
+
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import MAX_TRAIN_ROWS, materialise, read
+from tidemark.llm._common import MAX_TRAIN_ROWS, bounded_sample, materialise, read, unused
 
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 MOST_SUFFIXES = 100
@@ -77,32 +80,77 @@ def lexical(url: Column, host: Column, path: Column) -> list[Column]:
     ]
 
 
-def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, *, url: str = "url", most: int = MAX_TRAIN_ROWS) -> DataFrame:
-    """The rows with `filtered` = struct(host, path, rule, score, verdict)."""
+@dataclass
+class Filter:
+    """The rules, the trees (None: no labelled URLs of both kinds), and by suffix the share of blocked URLs and the part of all URLs."""
+
+    rules: tuple[tuple[str, str], ...]
+    model: GBTClassificationModel | None
+    shares: dict[str, tuple[float, float]]
+    prior: float
+
+    def vector(self, url: Column, host: Column, path: Column) -> Column:
+        suffix, known = F.substring_index(host, ".", -1), F.create_map(*(F.lit(x) for s, v in self.shares.items() for x in (s, F.array(*map(F.lit, v)))))
+        at = lambda k, other: F.coalesce(known[suffix][k], F.lit(other)) if self.shares else F.lit(other)
+        return array_to_vector(F.concat(F.array(*lexical(url, host, path)), F.array(F.length(suffix).cast("double"), at(0, self.prior), at(1, 0.0))))
+
+    def score(self, rows: DataFrame, url: str, into: str) -> DataFrame:
+        """The rows with `into`, the trees' probability of a block."""
+        if self.model is None:
+            return rows.withColumn(into, F.lit(0.0))
+        names = [unused(rows, f"_url_{c}") for c in ("features", "raw", "probability", "prediction")]
+        model = self.model.copy()
+        model.setFeaturesCol(names[0]).setPredictionCol(names[3])
+        model.setRawPredictionCol(names[1]).setProbabilityCol(names[2])
+        rows = model.transform(rows.withColumn(names[0], self.vector(F.col(url), host_of(F.col(url)), path_of(F.col(url)))))
+        return rows.withColumn(into, vector_to_array(names[2])[1]).drop(*names)
+
+
+def blocked(url: Column, rules: tuple[tuple[str, str], ...]) -> Column:
+    """1: a rule blocks the URL, 0: a rule allows it, null: no rule fits."""
+    verdicts = F.create_map(*(F.lit(x) for verdict, rule in rules for x in (rule, int(verdict == "block"))))
+    return verdicts[rule_of(host_of(url), path_of(url), rules)]
+
+
+def fit(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, *, url: str = "url", most: int = MAX_TRAIN_ROWS, suffixes: bool = True) -> Filter:
+    """The trees, learned from the URLs that the rules decide; suffixes: whether they see suffix statistics."""
+    urls = pages.select(F.col(url).alias("url"))
+    label = blocked(F.col("url"), rules)
+    counts = urls.groupBy(F.substring_index(host_of(F.col("url")), ".", -1).alias("suffix")).agg(F.coalesce(F.sum(label), F.lit(0)).alias("blocked"), F.count(label).alias("known"), F.count("*").alias("n"))
+    total = counts.agg(F.sum("blocked"), F.sum("known"), F.sum("n")).first()
+    if not total[1] or total[0] in (0, total[1]):
+        return Filter(rules, None, {}, 0.0)
+    prior = total[0] / total[1]
+    common = counts.orderBy(F.desc("n"), "suffix").limit(MOST_SUFFIXES if suffixes else 0).collect()
+    out = Filter(rules, None, {r.suffix: ((r.blocked + (r.n - r.known + 4) * prior) / (r.n + 4), r.n / total[2]) for r in common}, prior)
+    known = bounded_sample(urls.where(label.isNotNull()), "url", most)
+    known = materialise(known.select(label.alias("label"), out.vector(F.col("url"), host_of(F.col("url")), path_of(F.col("url"))).alias("_vector")).coalesce(1), "url-train").coalesce(1)
+    if known.agg(F.countDistinct("label")).first()[0] == 2:
+        out.model = GBTClassifier(featuresCol="_vector", labelCol="label", maxIter=15, maxDepth=4, stepSize=0.2, seed=11).fit(known)
+    return out
+
+
+def held_out(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, *, url: str = "url", suffixes: bool = True) -> tuple[float, float]:
+    """Accuracy of the trees on the fifth of the labelled URLs (by hash) that they did not see, and the share of the commoner verdict there."""
+    aside = F.pmod(F.xxhash64(url), F.lit(5)) == 0
+    trained = fit(pages.where(~aside), rules, url=url, suffixes=suffixes)
+    label = blocked(F.col(url), rules)
+    rows = trained.score(pages.where(aside & label.isNotNull()).select(url, label.alias("_label")), url, "_score")
+    right, share = rows.agg(F.avg(((F.col("_score") >= 0.5).cast("int") == F.col("_label")).cast("double")), F.avg("_label")).first()
+    return right, max(share, 1 - share)
+
+
+def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, *, url: str = "url", most: int = MAX_TRAIN_ROWS, into: str = "filtered") -> DataFrame:
+    """The rows with `into` = struct(host, path, rule, verdict, score)."""
+    trained = fit(pages, rules, url=url, most=most)
+    score = unused(pages, "_url_score")
+    rows = trained.score(pages, url, score)
     host, path = host_of(F.col(url)), path_of(F.col(url))
     verdicts = F.create_map(*(F.lit(x) for verdict, rule in rules for x in (rule, verdict)))
-    rows = pages.withColumn("filtered", F.struct(host.alias("host"), path.alias("path")))
-    f = F.col("filtered")
-    rows = rows.withColumn("filtered", f.withField("rule", rule_of(f["host"], f["path"], rules)))
-    suffix = F.substring_index(f["host"], ".", -1)
-    features = F.array(*lexical(F.col(url), f["host"], f["path"]))
-    known = rows.where(f["rule"].isNotNull()).orderBy(F.xxhash64(url), url).limit(most)
-    known = materialise(known.select((verdicts[f["rule"]] == "block").cast("int").alias("label"), suffix.alias("suffix"), features.alias("x")), "url-train")
-    ruled = verdicts[f["rule"]]
-    if known.agg(F.countDistinct("label")).first()[0] < 2:
-        return rows.withColumn("filtered", f.withField("score", F.lit(0.0)).withField("verdict", F.coalesce(ruled, F.lit("allow"))))
-    common = known.groupBy("suffix").agg(F.sum("label").alias("blocked"), F.count("*").alias("n")).orderBy(F.desc("n"), "suffix").limit(MOST_SUFFIXES).collect()
-    total = sum(r.blocked for r in common), sum(r.n for r in common)
-    prior = total[0] / total[1]
-    shares = F.create_map(*(F.lit(x) for r in common for x in (r.suffix, (r.blocked + 4 * prior) / (r.n + 4))))
-    vector = lambda s, x: array_to_vector(F.concat(x, F.array(F.coalesce(shares[s], F.lit(prior)))))
-    trees = GBTClassifier(featuresCol="_vector", labelCol="label", predictionCol="_prediction", maxIter=15, maxDepth=4, stepSize=0.2, seed=11)
-    trees.setRawPredictionCol("_raw").setProbabilityCol("_probability")
-    model = trees.fit(known.select("label", vector(F.col("suffix"), F.col("x")).alias("_vector")))
-    scored = model.transform(rows.withColumn("_vector", vector(suffix, features)))
-    score = vector_to_array("_probability")[1]
-    verdict = F.coalesce(ruled, F.when(score >= 0.5, "block").otherwise("allow"))
-    return scored.withColumn("filtered", f.withField("score", score).withField("verdict", verdict)).drop("_vector", "_raw", "_probability", "_prediction")
+    rule = rule_of(host, path, rules)
+    verdict = F.coalesce(verdicts[rule], F.when(F.col(score) >= 0.5, "block").otherwise("allow"))
+    whole = F.struct(host.alias("host"), path.alias("path"), rule.alias("rule"), verdict.alias("verdict"), F.col(score).alias("score"))
+    return rows.withColumn(into, whole).drop(score)
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
