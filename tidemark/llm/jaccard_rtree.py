@@ -180,7 +180,21 @@ class RTree:
 
 
 def forest(points: np.ndarray, sizes: np.ndarray, percent: int, linked=None) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the pairs within the bound (and linked, if asked)."""
+    """Edges of a spanning forest of the pairs within the bound (and linked, if asked). What fits in a leaf needs no tree."""
+    if len(points) <= LEAF:
+        near = np.minimum(points[:, None], points[None]).sum(2) >= need(sizes[:, None], sizes[None], percent)
+        open_, edges = np.ones(len(points), bool), []
+        for seed in range(len(points)):
+            stack, open_[seed] = ([seed] if open_[seed] else []), False
+            while stack:
+                at = stack.pop()
+                found = np.flatnonzero(near[at] & open_)
+                if linked and len(found):
+                    found = found[linked(at, found)]
+                open_[found] = False
+                stack += found.tolist()
+                edges += [(at, x) for x in found.tolist()]
+        return edges
     tree, edges = RTree(points, sizes, percent), []
     for seed in range(len(points)):
         if not tree.open[seed]:
@@ -307,19 +321,22 @@ def dealt(rows: DataFrame, group: str):
     return rows.withColumn("piece", F.explode("pieces")).repartition(n, group, "piece").groupBy(group, "piece")
 
 
-def bound_edges(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
-    rows = rows.drop_duplicates("k1")
-    k = rows.k1.to_numpy()
-    edges = forest(np.frombuffer(b"".join(rows.vector), "<u4").reshape(-1, GROUPS).astype(np.int64), rows.n.to_numpy(), percent)
-    return pd.DataFrame({"u": [k[a] for a, _ in edges], "v": [k[b] for _, b in edges]}, dtype="int64")
+def edges_of(k: np.ndarray, edges: list[tuple[int, int]]) -> pa.Table:
+    at = np.array(edges, np.int64).reshape(-1, 2)
+    return pa.table({"u": k[at[:, 0]], "v": k[at[:, 1]]})
+
+
+def bound_edges(rows: pa.Table, percent: int) -> pa.Table:
+    k, first = np.unique(rows["k1"].to_numpy(), return_index=True)
+    points = np.frombuffer(b"".join(rows["vector"].to_pylist()), "<u4").reshape(-1, GROUPS)[first].astype(np.int32)
+    return edges_of(k, forest(points, rows["n"].to_numpy()[first], percent))
 
 
-def true_edges(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
-    rows = rows.drop_duplicates("k1")
-    k, n = rows.k1.to_numpy(), rows.n.to_numpy()
-    sets = [np.frombuffer(x, "<u8") for x in rows.grams]
-    at = np.concatenate([[0], np.cumsum(n)])
-    points = counts(np.concatenate(sets), at)
+def true_edges(rows: pa.Table, percent: int) -> pa.Table:
+    k, first = np.unique(rows["k1"].to_numpy(), return_index=True)
+    n = rows["n"].to_numpy()[first]
+    sets = [np.frombuffer(rows["grams"][i].as_py(), "<u8") for i in first.tolist()]
+    points = counts(np.concatenate(sets), np.concatenate([[0], np.cumsum(n)]))
 
     def linked(a: int, others: np.ndarray) -> np.ndarray:
         mine, out = sets[a], np.zeros(len(others), bool)
@@ -331,8 +348,7 @@ def true_edges(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
             out[i] = 100 * same >= percent * (len(mine) + len(theirs) - same)
         return out
 
-    edges = forest(points, n, percent, linked)
-    return pd.DataFrame({"u": [k[a] for a, _ in edges], "v": [k[b] for _, b in edges]}, dtype="int64")
+    return edges_of(k, forest(points, n, percent, linked))
 
 
 def both(rows: DataFrame, group: str, weight: str, most: int, edges: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
@@ -363,7 +379,7 @@ def link_components(docs: DataFrame, *, n: int = N_WORDS, percent: int = PERCENT
     rows = materialise(members.join(vectors, "k1"), "jaccard-places")
 
     def near(put: DataFrame) -> DataFrame:
-        return dealt(put, "place").applyInPandas(lambda x: bound_edges(x, percent), "u long, v long")
+        return dealt(put, "place").applyInArrow(lambda x: bound_edges(x, percent), "u long, v long")
 
     wanted = both(rows.withColumn("one", F.lit(1)), "place", "one", PLACE_ROWS, near, "jaccard-near")
     trees = materialise(components(wanted), "jaccard-trees")
@@ -376,7 +392,7 @@ def link_components(docs: DataFrame, *, n: int = N_WORDS, percent: int = PERCENT
         wanted = hinted(put.select(F.col("doc_id").alias("id"), "k1", "n", "tree", "pieces"), put.count())
         sets = source.join(wanted, F.col("doc_id").eqNullSafe(F.col("id"))).select("k1", "n", "tree", "pieces", sets_of("text", n).alias("s"))
         sets = sets.where(F.col("s.k1") == F.col("k1")).select("k1", "n", "tree", "pieces", "s.grams")
-        return dealt(sets, "tree").applyInPandas(lambda x: true_edges(x, percent), "u long, v long")
+        return dealt(sets, "tree").applyInArrow(lambda x: true_edges(x, percent), "u long, v long")
 
     true = both(members, "tree", "n", TREE_GRAMS, verified, "jaccard-true")
     parts = materialise(components(true), "jaccard-components")
