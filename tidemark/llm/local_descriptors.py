@@ -8,7 +8,7 @@ that the bits say more than the patch's slope, and images are told apart.
 Hamming tables: each of TABLES tables picks WORD_BITS of a descriptor's bits, and the descriptor stands there under their values. Queries' and images'
 descriptors that meet in a table (an equi-join on table and word; a pair counts in its first table only) are compared as a whole, by exclusive or and
 bit counts, and match if at most NEAR_BITS bits apart. Two descriptors d bits apart meet with a chance of 1 - (1 - (1 - d / BITS) ** WORD_BITS) ** TABLES: 0.99 at
-12 bits, 0.92 at 20, 0.5 at 32; an image's search needs a few of its corners only. A query finds an image if at least VOTES of their corners, and SHARE of the corners of the image with fewer, agree on one turn, scale and shift.
+12 bits, 0.92 at 20, 0.77 at 25; an image's search needs a few of its corners only. A query finds an image if at least VOTES of their corners, and SHARE of the corners of the image with fewer, agree on one turn, scale and shift.
 
 Rows with the same bytes are one image, and one query; their rows all come back by membership. The queries' side of the join is broadcast
 while it has at most BROADCAST_POSTINGS rows, counted beforehand; beyond, both sides are shuffled by word, and adaptive execution splits hot words.
@@ -34,11 +34,11 @@ from tidemark.llm._common import materialise, read, released
 CORNERS, BITS, WORDS = 24, 256, 4
 RADIUS, SCALES = 8, (1.4, 2, 2.8, 4)
 #: Pixels between the compared points at most.
-APART = 8
+APART = 6
 #: Tables, and the bits of a descriptor, picked by SEED, that are its word in each.
 TABLES, WORD_BITS = 16, 24
 #: Bits by which descriptors of the same corner may differ.
-NEAR_BITS = 32
+NEAR_BITS = 25
 #: Corners that must agree, as a number and as a share of the corners of the image with fewer, and within how many pixels; the grid of the shifts.
 VOTES, SHARE, CELL, GRID = 4, 0.1, 2, 4
 #: How far the matches that fit one proposal may be off it: in angle, log of the scale, and place (as a part of the distance).
@@ -56,7 +56,7 @@ BROADCAST_POSTINGS = 500_000
 def pattern() -> np.ndarray:
     """Pairs of points within the patch, at most APART pixels from each other, turned by each angle: (angle, bit, end, y and x)."""
     rng = np.random.default_rng(SEED)
-    angle, reach = rng.uniform(0, 2 * np.pi, (16 * BITS, 2)), 0.75 * RADIUS * np.sqrt(rng.uniform(0, 1, (16 * BITS, 2)))
+    angle, reach = rng.uniform(0, 2 * np.pi, (16 * BITS, 2)), 0.93 * RADIUS * np.sqrt(rng.uniform(0, 1, (16 * BITS, 2)))
     points = np.stack([reach * np.sin(angle), reach * np.cos(angle)], -1)
     points = points[np.linalg.norm(points[:, 0] - points[:, 1], axis=1) < APART][:BITS]
     turn = 2 * np.pi * np.arange(ANGLES) / ANGLES
@@ -201,23 +201,24 @@ def agree(qi: np.ndarray, gi: np.ndarray, q: np.ndarray, g: np.ndarray, votes: i
     return best
 
 
-def agreements(matches: Column | str, need: Column | str) -> Column:
-    """Column of struct(votes, scale, angle, dy, dx), or null, of arrays of matches (qk, gk, and qy, qx, qs, qa, gy, gx, gs, ga)."""
+def agreements(matched: Column | str, q: Column | str, g: Column | str, need: Column | str) -> Column:
+    """Column of struct(votes, scale, angle, dy, dx), or null, of the matches (places in q << 32 | places in g) of the corners of two images."""
     kind = pa.struct([("votes", pa.int64()), *((c, pa.float64()) for c in ("scale", "angle", "dy", "dx"))])
 
     @F.arrow_udf("struct<votes:bigint,scale:double,angle:double,dy:double,dx:double>")
-    def agreed(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for lists, needs in released(batches):
-            flat = lists.flatten()
-            qk, gk = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("qk", "gk"))
-            q, g = (np.stack([flat.field(f"{side}{c}").to_numpy(zero_copy_only=False) for c in "yxsa"], 1).astype(float) if len(flat) else np.zeros((0, 4)) for side in "qg")
-            ends, out = np.cumsum([len(x) for x in lists]), []
-            for a, b, n in zip([0, *ends[:-1]], ends, needs.to_pylist(), strict=True):
-                order = a + np.lexsort((gk[a:b], qk[a:b]))
-                out.append(agree(qk[order], gk[order], q[order], g[order], n))
+    def agreed(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for matches, *corners, needs in released(batches):
+            flat = matches.flatten().to_numpy(zero_copy_only=False)
+            ends, out = np.cumsum([len(x) for x in matches]), []
+            places = [np.stack([x.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("y", "x", "scale", "angle")], 1).astype(float) for x in corners]
+            starts = [np.cumsum([0, *(len(x) for x in c)]) for c in corners]
+            for i, (a, b, n) in enumerate(zip([0, *ends[:-1]], ends, needs.to_pylist(), strict=True)):
+                m = np.sort(flat[a:b])
+                qk, gk = m >> 32, m & 0xFFFFFFFF
+                out.append(agree(qk, gk, places[0][starts[0][i] + qk], places[1][starts[1][i] + gk], n))
             yield pa.array([x and dict(zip(kind.names, x, strict=True)) for x in out], kind)
 
-    return agreed.asNondeterministic()(matches, need)
+    return agreed.asNondeterministic()(matched, q, g, need)
 
 
 def places(images: DataFrame, name: str, key: str) -> tuple[DataFrame, DataFrame]:
@@ -242,39 +243,41 @@ def masks() -> list[list[int]]:
 
 
 def postings(images: DataFrame, side: str) -> DataFrame:
-    """The images' corners in all tables: word (with its table), number, n, and the corner's fields, whose names begin with the side."""
-    each = images.select(F.col("no").alias(f"{side}_no"), F.size("corners").alias(f"{side}_n"), F.posexplode("corners").alias(f"{side}k", "c"))
+    """The images' corners in all tables: table, word, the image's number, the corner's place in it, and the descriptor; names begin with the side."""
+    each = images.select(F.col("no").alias(f"{side}_no"), F.posexplode("corners").alias(f"{side}k", "c"))
     word = lambda t, m: F.xxhash64(F.lit(t), *(F.col("c")[f"w{k}"].bitwiseAND(F.lit(m[k])) for k in range(WORDS)))
     words = [word(t, m) for t, m in enumerate(masks())]
-    fields = [F.col("c")[f].alias(f"{side}{n}") for f, n in zip(("y", "x", "scale", "angle", "w0", "w1", "w2", "w3"), ("y", "x", "s", "a", "0", "1", "2", "3"), strict=True)]
-    return each.select(f"{side}_no", f"{side}_n", f"{side}k", *fields, F.posexplode(F.array(*words)).alias(f"{side}t", "word"))
+    fields = [F.col("c")[f"w{k}"].alias(f"{side}{k}") for k in range(WORDS)]
+    return each.select(f"{side}_no", f"{side}k", *fields, F.posexplode(F.array(*words)).alias(f"{side}t", "word"))
 
 
-def matches(gallery: DataFrame, asked: DataFrame) -> DataFrame:
-    """Pairs of corners that meet in a table and are at most NEAR_BITS bits apart, each once."""
+def matches(gallery: DataFrame, asked: DataFrame, bits: int = NEAR_BITS) -> DataFrame:
+    """Pairs of corners that meet in a table and are at most `bits` bits apart, each once."""
     q = postings(asked, "q")
     q = F.broadcast(q) if q.count() <= BROADCAST_POSTINGS else q
     met = postings(gallery, "g").join(q, "word")
     apart = [F.col(f"q{k}").bitwiseXOR(F.col(f"g{k}")) for k in range(WORDS)]
     differ = [reduce(Column.bitwiseOR, (x.bitwiseAND(F.lit(m[k])) for k, x in enumerate(apart))) for m in masks()]
     first = F.coalesce(*(F.when(x == 0, t) for t, x in enumerate(differ)))
-    bits = sum((F.bit_count(x) for x in apart[1:]), F.bit_count(apart[0]))
-    return met.where((first == F.col("gt")) & (F.col("gt") == F.col("qt")) & (bits <= NEAR_BITS))
+    far = sum((F.bit_count(x) for x in apart[1:]), F.bit_count(apart[0]))
+    return met.where((first == F.col("gt")) & (F.col("gt") == F.col("qt")) & (far <= bits))
 
 
-def search(images: DataFrame, queries: DataFrame, *, key: str = "media_id", votes: int = VOTES) -> tuple[DataFrame, DataFrame, DataFrame]:
+def search(images: DataFrame, queries: DataFrame, *, key: str = "media_id", votes: int = VOTES, bits: int = NEAR_BITS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The hits between different images, (q, g, query_id, media_id, votes, scale, angle, dy, dx), and (id, no) of all images and of all queries.
 
-    images, queries: (key, image binary, height, width). A corner of a query at p is expected at p * scale, turned by angle, + shift. Rows with
+    images, queries: (key, image binary, height, width). bits: how far descriptors that match may be apart; hard-edged pictures that are turned
+    need more than others, at the price of more matches. A corner of a query at p is expected at p * scale, turned by angle, + shift. Rows with
     the same bytes are one image and one query; q and g are their numbers, query_id and media_id their smallest ids.
     """
     members, gallery = places(images, "media-members", key)
     asking, asked = places(queries, "media-queries", key)
-    need = F.greatest(F.lit(votes), F.ceil(SHARE * F.least("q_n", "g_n"))).cast("int")
-    fields = F.struct("qk", "gk", *(f"{side}{c}" for side in "qg" for c in "yxsa"))
-    pairs = matches(gallery, asked).groupBy("q_no", "g_no").agg(F.collect_list(fields).alias("m"), F.first(need).alias("need")).where(F.size("m") >= F.col("need"))
-    found = pairs.select(F.col("q_no").alias("q"), F.col("g_no").alias("g"), agreements("m", "need").alias("a")).where("a is not null").select("q", "g", "a.*")
-    found = found.join(asked.select(F.col("no").alias("q"), F.col("first").alias("query_id")), "q").join(gallery.select(F.col("no").alias("g"), F.col("first").alias("media_id")), "g")
+    place = F.shiftleft(F.col("qk").cast("long"), 32).bitwiseOR(F.col("gk").cast("long"))
+    met = matches(gallery, asked, bits).groupBy("q_no", "g_no").agg(F.collect_list(place).alias("m")).where(F.size("m") >= votes)
+    q, g = (x.select(F.col("no").alias(f"{s}_no"), F.col("corners").alias(f"{s}c"), F.col("first").alias(c)) for x, s, c in ((asked, "q", "query_id"), (gallery, "g", "media_id")))
+    need = F.greatest(F.lit(votes), F.ceil(SHARE * F.least(F.size("qc"), F.size("gc")))).cast("int")
+    pairs = met.join(q, "q_no").join(g, "g_no").where(F.size("m") >= need)
+    found = pairs.select(F.col("q_no").alias("q"), F.col("g_no").alias("g"), "query_id", "media_id", agreements("m", "qc", "gc", need).alias("a")).where("a is not null").select("q", "g", "query_id", "media_id", "a.*")
     rounded = [F.round("scale", 1).alias("scale"), F.round("angle").alias("angle"), *((F.round(F.col(c) / GRID) * GRID).cast("long").alias(c) for c in ("dy", "dx"))]
     return materialise(found.select("q", "g", "query_id", "media_id", "votes", *rounded), "media-hits"), members, asking
 
@@ -282,20 +285,20 @@ def search(images: DataFrame, queries: DataFrame, *, key: str = "media_id", vote
 HITS = ["query_id", "media_id", "votes", "scale", "angle", "dy", "dx"]
 
 
-def find_copies(images: DataFrame, queries: DataFrame, *, key: str = "media_id", votes: int = VOTES) -> DataFrame:
+def find_copies(images: DataFrame, queries: DataFrame, *, key: str = "media_id", votes: int = VOTES, bits: int = NEAR_BITS) -> DataFrame:
     """query_id, media_id, votes, scale, angle, dy, dx: the images in which a query's corners are found again, and where; one row per pair."""
-    hits, members, asking = search(images, queries, key=key, votes=votes)
+    hits, members, asking = search(images, queries, key=key, votes=votes, bits=bits)
     one = hits.drop("query_id", "media_id")
     every = one.join(asking.select(F.col("id").alias("query_id"), F.col("no").alias("q")), "q")
     return every.join(members.select(F.col("id").alias("media_id"), F.col("no").alias("g")), "g").select(HITS)
 
 
-def grouped_copies(images: DataFrame, queries: DataFrame, *, key: str = "media_id", votes: int = VOTES) -> DataFrame:
+def grouped_copies(images: DataFrame, queries: DataFrame, *, key: str = "media_id", votes: int = VOTES, bits: int = NEAR_BITS) -> DataFrame:
     """All of find_copies without its product of exact copies: rows of kind `hit` between first ids, and of kinds `query` and `image` that name a row's first id.
 
     find_copies has (query_id, media_id) if and only if a hit joins their firsts.
     """
-    hits, members, asking = search(images, queries, key=key, votes=votes)
+    hits, members, asking = search(images, queries, key=key, votes=votes, bits=bits)
     kinds = {c: hits.schema[c].dataType for c in HITS}
     out = hits.select(F.lit("hit").alias("kind"), *HITS, F.lit(None).cast(kinds["query_id"]).alias("first"))
     for kind, number, column, rows in (("query", "q", "query_id", asking), ("image", "g", "media_id", members)):
