@@ -2,8 +2,8 @@
 
 A rule (verdict, host/path) fits its host and all subdomains where the URL's path starts with the rule's; the longest fitting rule wins.
 The URLs that rules decide are the labelled URLs from which MLlib's boosted trees learn: lengths, depth, shares of digits and hyphens,
-character entropy, parameters, and suffix statistics: how common the host's suffix is, and its share of blocked URLs, where URLs that no rule
-decides count with the mean share, so that a suffix of a few rules does not decide by itself. The suffix statistics are counted over all URLs, and kept for
+character entropy, parameters, and suffix statistics: the length of the host's suffix, and its share of blocked URLs, where URLs that no rule
+decides count as half blocked, so that a suffix of a few rules does not decide by itself. Both verdicts have the same weight. The suffix statistics are counted over all URLs, and kept for
 the MOST_SUFFIXES commonest ones; the trees see at most MAX_TRAIN_ROWS distinct labelled URLs, picked by hash. Every URL is judged. All work is done by
 Spark SQL and MLlib in the JVM; only counts by suffix are shuffled. `held_out` measures the trees on labelled URLs that they did not see.
 
@@ -82,17 +82,16 @@ def lexical(url: Column, host: Column, path: Column) -> list[Column]:
 
 @dataclass
 class Filter:
-    """The rules, the trees (None: no labelled URLs of both kinds), and by suffix the share of blocked URLs and the part of all URLs."""
+    """The rules, the trees (None: no labelled URLs of both kinds), and by suffix the share of blocked URLs."""
 
     rules: tuple[tuple[str, str], ...]
     model: GBTClassificationModel | None
-    shares: dict[str, tuple[float, float]]
+    shares: dict[str, float]
     prior: float
 
     def vector(self, url: Column, host: Column, path: Column) -> Column:
-        suffix, known = F.substring_index(host, ".", -1), F.create_map(*(F.lit(x) for s, v in self.shares.items() for x in (s, F.array(*map(F.lit, v)))))
-        at = lambda k, other: F.coalesce(known[suffix][k], F.lit(other)) if self.shares else F.lit(other)
-        return array_to_vector(F.concat(F.array(*lexical(url, host, path)), F.array(F.length(suffix).cast("double"), at(0, self.prior), at(1, 0.0))))
+        suffix, known = F.substring_index(host, ".", -1), F.create_map(*(F.lit(x) for kv in self.shares.items() for x in kv))
+        return array_to_vector(F.concat(F.array(*lexical(url, host, path)), F.array(F.length(suffix).cast("double"), F.coalesce(known[suffix], F.lit(self.prior)) if self.shares else F.lit(self.prior))))
 
     def score(self, rows: DataFrame, url: str, into: str) -> DataFrame:
         """The rows with `into`, the trees' probability of a block."""
@@ -117,27 +116,32 @@ def fit(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, *, url: st
     urls = pages.select(F.col(url).alias("url"))
     label = blocked(F.col("url"), rules)
     counts = urls.groupBy(F.substring_index(host_of(F.col("url")), ".", -1).alias("suffix")).agg(F.coalesce(F.sum(label), F.lit(0)).alias("blocked"), F.count(label).alias("known"), F.count("*").alias("n"))
-    total = counts.agg(F.sum("blocked"), F.sum("known"), F.sum("n")).first()
+    total = counts.agg(F.sum("blocked"), F.sum("known")).first()
     if not total[1] or total[0] in (0, total[1]):
         return Filter(rules, None, {}, 0.0)
     prior = total[0] / total[1]
     common = counts.orderBy(F.desc("n"), "suffix").limit(MOST_SUFFIXES if suffixes else 0).collect()
-    out = Filter(rules, None, {r.suffix: ((r.blocked + (r.n - r.known + 4) * prior) / (r.n + 4), r.n / total[2]) for r in common}, prior)
+    # both verdicts weigh the same: how many URLs the rules happen to block says nothing about the others
+    w1, w0 = 0.5 / prior, 0.5 / (1 - prior)
+    share = lambda r: (r.blocked * w1 + (r.n - r.known + 4) * 0.5) / (r.blocked * w1 + (r.known - r.blocked) * w0 + r.n - r.known + 4)
+    out = Filter(rules, None, {r.suffix: share(r) for r in common}, 0.5)
     known = bounded_sample(urls.where(label.isNotNull()), "url", most)
     known = materialise(known.select(label.alias("label"), out.vector(F.col("url"), host_of(F.col("url")), path_of(F.col("url"))).alias("_vector")).coalesce(1), "url-train").coalesce(1)
     if known.agg(F.countDistinct("label")).first()[0] == 2:
-        out.model = GBTClassifier(featuresCol="_vector", labelCol="label", maxIter=15, maxDepth=4, stepSize=0.2, seed=11).fit(known)
+        known = known.withColumn("_weight", F.when(F.col("label") == 1, w1).otherwise(w0))
+        out.model = GBTClassifier(featuresCol="_vector", labelCol="label", weightCol="_weight", maxIter=15, maxDepth=4, stepSize=0.2, seed=11).fit(known)
     return out
 
 
-def held_out(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, *, url: str = "url", suffixes: bool = True) -> tuple[float, float]:
-    """Accuracy of the trees on the fifth of the labelled URLs (by hash) that they did not see, and the share of the commoner verdict there."""
+def held_out(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, *, url: str = "url", suffixes: bool = True) -> float:
+    """Mean of both verdicts' shares of right ones, by the trees, on the fifth of the labelled URLs (by hash) that they did not see; 0.5 is chance."""
     aside = F.pmod(F.xxhash64(url), F.lit(5)) == 0
     trained = fit(pages.where(~aside), rules, url=url, suffixes=suffixes)
     label = blocked(F.col(url), rules)
     rows = trained.score(pages.where(aside & label.isNotNull()).select(url, label.alias("_label")), url, "_score")
-    right, share = rows.agg(F.avg(((F.col("_score") >= 0.5).cast("int") == F.col("_label")).cast("double")), F.avg("_label")).first()
-    return right, max(share, 1 - share)
+    right = ((F.col("_score") >= 0.5).cast("int") == F.col("_label")).cast("double")
+    one, other = rows.agg(F.avg(F.when(F.col("_label") == 1, right)), F.avg(F.when(F.col("_label") == 0, right))).first()
+    return (one + other) / 2
 
 
 def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, *, url: str = "url", most: int = MAX_TRAIN_ROWS, into: str = "filtered") -> DataFrame:
