@@ -74,7 +74,9 @@ def test_stages_on_nulls_long_texts_ties_and_clashing_names(spark):
         for name, f in C.STAGES[:-1]:
             out = C.materialise(f(spark, docs, DATA), f"test-{name}")
             assert out.columns == docs.columns and out.where("toxicity <> 'mine' or quality_rules <> 'mine' or _row <> 'mine' or _spans <> 'mine' or component_id <> 'mine'").count() == 0
-            assert 0 < out.count() <= docs.count() and out.where("doc_id = 900003").count() == 1
+            assert 0 < out.count() <= docs.count()
+            # the base rules reject a text of repeated windows, whatever its length; the other stages keep it
+            assert out.where("doc_id = 900003").count() == int(name != "quality_rules")
             none = C.materialise(f(spark, docs.limit(0), DATA), f"test-{name}-none")
             assert none.count() == 0 and none.columns == docs.columns
         assert C.packed(spark, docs, DATA).where("start = 0").count() == docs.count()

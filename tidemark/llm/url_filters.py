@@ -140,8 +140,8 @@ def held_out(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, *, ur
     label = blocked(F.col(url), rules)
     rows = trained.score(pages.where(aside & label.isNotNull()).select(url, label.alias("_label")), url, "_score")
     right = ((F.col("_score") >= 0.5).cast("int") == F.col("_label")).cast("double")
-    one, other = rows.agg(F.avg(F.when(F.col("_label") == 1, right)), F.avg(F.when(F.col("_label") == 0, right))).first()
-    return (one + other) / 2
+    shares = [x for x in rows.agg(*(F.avg(F.when(F.col("_label") == k, right)) for k in (0, 1))).first() if x is not None]
+    return sum(shares) / len(shares) if shares else 0.5
 
 
 def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, *, url: str = "url", most: int = MAX_TRAIN_ROWS, into: str = "filtered") -> DataFrame:
