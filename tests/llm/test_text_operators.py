@@ -56,6 +56,26 @@ def test_coding_equals_tiktoken_and_round_trips(spark):
         assert bytes(r.back) == (texts[r.doc_id] or "").encode()
 
 
+@pytest.mark.parametrize("path,pattern", [(BPE, None), (MULTI, public.PATTERN)])
+def test_runs_of_any_white_space_are_coded_as_by_the_library(path, pattern):
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    if pattern:
+        enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=B.read_ranks(path), special_tokens={})
+        want = enc.encode_ordinary
+    else:
+        tok = Tokenizer.from_file(path)
+        want = lambda t: tok.encode(t, add_special_tokens=False).ids
+        assert want("word \u00a0 \u00a0 word") == [4775, 11504, 1573]
+    rng, blanks = random.Random(11), [c for c in map(chr, range(0x3001)) if c.isspace()]
+    bits = [*blanks, " ", " ", " ", "\u00a0", "\u00a0", "\n", "a", "word", ".", "1", "é", "<|endoftext|>", "<"]
+    texts = ["".join(rng.choice(bits if rng.random() < 0.5 else [" ", "\u00a0", "\n", "x"]) for _ in range(rng.randint(0, 14))) for _ in range(20_000)]
+    ids, at = B.Encoder(path, pattern).encode(pa.array(texts, pa.large_string()))
+    for i, text in enumerate(texts):
+        assert ids[at[i] : at[i + 1]].tolist() == want(text), text
+
+
 def test_offsets_cover_the_text(spark):
     texts = ["héllo wörld", "日本語 \U0001f600!", "", None]
     for r in docs(spark, texts).withColumn("t", B.encode_with_offsets("text", MULTI, public.PATTERN)).collect():

@@ -28,6 +28,9 @@ from tidemark.llm._common import binaries, plain, read, released, slices, spread
 REMEMBERED = 500_000
 #: Stands between parts.
 MARK = "\0"
+#: White space to the patterns; a blank between two of these, or between one and the text's end or an added token, may join both.
+SPACE = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+RUN = rf"{SPACE} (?:{SPACE}|<|$)"
 
 
 def byte_characters() -> list[str]:
@@ -81,9 +84,9 @@ def load(path: str, pattern: str | None = None) -> tuple[object, np.ndarray, np.
 class Encoder:
     """Encodes texts by the distinct parts of their words.
 
-    The pattern never joins what stands before a space and another character than a space to what follows, nor a letter to a point or
-    comma, nor a single line break to its neighbours; so each distinct part is encoded once for all its places. Texts with two
-    spaces in a row go to the library whole.
+    A blank begins a match unless it stands within or at the end of a run of white space, so texts with such runs (two blanks, or other
+    white space, a blank, and white space again, the end or an added token) go to the library whole. Elsewhere words are cut before blanks. The pattern
+    never joins a letter to a point or comma, nor a single line break to its neighbours; so each distinct part is encoded once for all its places.
     """
 
     def __init__(self, path: str, pattern: str | None = None, remembered: int = REMEMBERED):
@@ -117,7 +120,7 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the texts' offsets into them."""
-        whole = np.flatnonzero(pc.match_substring(texts, "  ").to_numpy(zero_copy_only=False))
+        whole = np.flatnonzero(pc.or_(pc.match_substring(texts, "  "), pc.match_substring_regex(texts, RUN)).to_numpy(zero_copy_only=False))
         if len(whole):
             mask = np.ones(len(texts), bool)
             mask[whole] = False
