@@ -262,7 +262,7 @@ def test_cropped_and_edited_copies_are_found(spark):
     crop = [(i, np.ascontiguousarray(p[8:88, 5:93] * 0.7).astype(np.uint8).tobytes(), 80, 88) for i, p in enumerate(pictures[:6])]
     got = D.find_copies(spark.createDataFrame([(a, bytearray(b) if b is not None else None, c, d) for a, b, c, d in rows], kind), spark.createDataFrame([(a, bytearray(b), c, d) for a, b, c, d in crop], kind)).collect()
     assert {(r.query_id, r.media_id) for r in got} == {(i, i) for i in range(6)} | {(3, 100)}
-    assert {(r.scale, r.dy, r.dx) for r in got} == {(1.0, 8, 4)}
+    assert all(abs(r.scale - 1) <= 0.03 and abs(r.angle) <= 2 and abs(r.dy - 8) <= 1 and abs(r.dx - 5) <= 1 for r in got), got
     none = spark.createDataFrame([], kind)
     assert D.find_copies(none, none).count() == 0
     assert D.strongest(D.find_copies(none, none)).count() == 0

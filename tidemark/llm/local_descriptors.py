@@ -39,8 +39,8 @@ APART = 6
 TABLES, WORD_BITS = 16, 24
 #: Bits by which descriptors of the same corner may differ.
 NEAR_BITS = 25
-#: Corners that must agree, as a number and as a share of the corners of the image with fewer, and within how many pixels; the grid of the shifts.
-VOTES, SHARE, CELL, GRID = 4, 0.1, 2, 4
+#: Corners that must agree, as a number and as a share of the corners of the image with fewer, and within how many pixels.
+VOTES, SHARE, CELL = 4, 0.1, 2
 #: How far the matches that fit one proposal may be off it: in angle, log of the scale, and place (as a part of the distance).
 TURN, STRETCH, SLACK = 0.12, 0.2, 0.12
 SEED = 99
@@ -167,11 +167,12 @@ def distinct(ok: np.ndarray, of: np.ndarray) -> np.ndarray:
     return np.logical_or.reduceat(ok[:, order], starts, axis=1).sum(1)
 
 
-def agree(qi: np.ndarray, gi: np.ndarray, q: np.ndarray, g: np.ndarray, votes: int) -> tuple[int, float, float, float, float] | None:
-    """(votes, scale, angle, dy, dx) of the turn, scale and shift on which most matched corners of two images agree; None: fewer than votes.
+def agree(qi: np.ndarray, gi: np.ndarray, q: np.ndarray, g: np.ndarray, votes: int) -> tuple[int, float, float, float, float, float, float] | None:
+    """(votes, scale, angle, y, x, dy, dx) of the turn, scale and shift on which most matched corners of two images agree; None: fewer than votes.
 
     qi, gi: the matches' corners; q, g: their rows, columns, scales and angles. Every match proposes what its own corners say; those that roughly
-    agree fit it by least squares, and those within CELL of the fit count.
+    agree fit it by least squares, and those within CELL of the fit count. The last fit weighs matches by the sharpness of their corners (a corner's
+    place is as sure as a pixel of its scale); (y, x) is the matches' centre in the query, where the fit is surest, and (dy, dx) how far it moves.
     """
     p, r = q[:, 1] + 1j * q[:, 0], g[:, 1] + 1j * g[:, 0]
     ratio, turn = g[:, 2] / q[:, 2], g[:, 3] - q[:, 3]
@@ -197,15 +198,23 @@ def agree(qi: np.ndarray, gi: np.ndarray, q: np.ndarray, g: np.ndarray, votes: i
             n = np.minimum(distinct(ok, qi), distinct(ok, gi))
             k = int(n.argmax())
             if n[k] >= votes and (best is None or n[k] > best[0]):
-                best = int(n[k]), float(abs(a[k])), float(np.degrees(np.angle(a[k]))), float(b[k].imag), float(b[k].real)
-    return best
+                best = int(n[k]), ok[k]
+    if best is None:
+        return None
+    n, ok = best
+    p, r, weight = p[ok], r[ok], 1 / q[ok, 2] ** 2
+    weight /= weight.sum()
+    middle, there = weight @ p, weight @ r
+    a = (weight @ ((p - middle).conj() * (r - there))) / (weight @ abs(p - middle) ** 2)
+    shift = there - middle
+    return n, float(abs(a)), float(np.degrees(np.angle(a))), float(middle.imag), float(middle.real), float(shift.imag), float(shift.real)
 
 
 def agreements(matched: Column | str, q: Column | str, g: Column | str, need: Column | str) -> Column:
-    """Column of struct(votes, scale, angle, dy, dx), or null, of the matches (places in q << 32 | places in g) of the corners of two images."""
-    kind = pa.struct([("votes", pa.int64()), *((c, pa.float64()) for c in ("scale", "angle", "dy", "dx"))])
+    """Column of struct(votes, scale, angle, y, x, dy, dx), or null, of the matches (places in q << 32 | places in g) of the corners of two images."""
+    kind = pa.struct([("votes", pa.int64()), *((c, pa.float64()) for c in ("scale", "angle", "y", "x", "dy", "dx"))])
 
-    @F.arrow_udf("struct<votes:bigint,scale:double,angle:double,dy:double,dx:double>")
+    @F.arrow_udf("struct<votes:bigint,scale:double,angle:double,y:double,x:double,dy:double,dx:double>")
     def agreed(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         for matches, *corners, needs in released(batches):
             flat = matches.flatten().to_numpy(zero_copy_only=False)
@@ -264,11 +273,11 @@ def matches(gallery: DataFrame, asked: DataFrame, bits: int = NEAR_BITS) -> Data
 
 
 def search(images: DataFrame, queries: DataFrame, *, key: str = "media_id", votes: int = VOTES, bits: int = NEAR_BITS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The hits between different images, (q, g, query_id, media_id, votes, scale, angle, dy, dx), and (id, no) of all images and of all queries.
+    """The hits between different images, (q, g, query_id, media_id, votes, scale, angle, y, x, dy, dx), and (id, no) of all images and of all queries.
 
     images, queries: (key, image binary, height, width). bits: how far descriptors that match may be apart; hard-edged pictures that are turned
-    need more than others, at the price of more matches. A corner of a query at p is expected at p * scale, turned by angle, + shift. Rows with
-    the same bytes are one image and one query; q and g are their numbers, query_id and media_id their smallest ids.
+    need more than others, at the price of more matches. The query's point (y, x), the centre of the matches, is at (y + dy, x + dx) in the image; what
+    lies around it there is scaled and turned. Rows with the same bytes are one image and one query; q and g are their numbers, query_id and media_id their smallest ids.
     """
     members, gallery = places(images, "media-members", key)
     asking, asked = places(queries, "media-queries", key)
@@ -278,15 +287,15 @@ def search(images: DataFrame, queries: DataFrame, *, key: str = "media_id", vote
     need = F.greatest(F.lit(votes), F.ceil(SHARE * F.least(F.size("qc"), F.size("gc")))).cast("int")
     pairs = met.join(q, "q_no").join(g, "g_no").where(F.size("m") >= need)
     found = pairs.select(F.col("q_no").alias("q"), F.col("g_no").alias("g"), "query_id", "media_id", agreements("m", "qc", "gc", need).alias("a")).where("a is not null").select("q", "g", "query_id", "media_id", "a.*")
-    rounded = [F.round("scale", 1).alias("scale"), F.round("angle").alias("angle"), *((F.round(F.col(c) / GRID) * GRID).cast("long").alias(c) for c in ("dy", "dx"))]
+    rounded = [F.round("scale", 2).alias("scale"), F.round("angle").alias("angle"), *(F.round(c, 1).alias(c) for c in ("y", "x", "dy", "dx"))]
     return materialise(found.select("q", "g", "query_id", "media_id", "votes", *rounded), "media-hits"), members, asking
 
 
-HITS = ["query_id", "media_id", "votes", "scale", "angle", "dy", "dx"]
+HITS = ["query_id", "media_id", "votes", "scale", "angle", "y", "x", "dy", "dx"]
 
 
 def find_copies(images: DataFrame, queries: DataFrame, *, key: str = "media_id", votes: int = VOTES, bits: int = NEAR_BITS) -> DataFrame:
-    """query_id, media_id, votes, scale, angle, dy, dx: the images in which a query's corners are found again, and where; one row per pair."""
+    """query_id, media_id, votes, scale, angle, y, x, dy, dx: the images in which a query's corners are found again, and where; one row per pair."""
     hits, members, asking = search(images, queries, key=key, votes=votes, bits=bits)
     one = hits.drop("query_id", "media_id")
     every = one.join(asking.select(F.col("id").alias("query_id"), F.col("no").alias("q")), "q")
