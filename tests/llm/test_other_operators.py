@@ -278,9 +278,14 @@ CONTRACT = {
     "op7_packing": "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
     "op8_language_id": "doc_id bigint, held_out boolean, lang_pred string, score double",
     "op9_ngram_jaccard": "doc_id bigint, n_shingles bigint, component_id bigint",
+    "op11_importance_resampling": "doc_id bigint, n_features bigint, weight bigint, score bigint, rank bigint",
+    "op12_quality_classifier": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op13_spelling_variants": "word string, form string, root string, n bigint, n_near bigint, form_n bigint",
 }
 #: Queries with a row for each row of their table.
-EACH = {"op1_url_filters": "pages", "op2_toxicity": "documents", "op3_byte_bpe": "documents", "op4_pii": "documents", "op6_quality_rules": "documents", "op8_language_id": "documents", "op9_ngram_jaccard": "documents"}
+EACH = {"op1_url_filters": "pages", "op2_toxicity": "documents", "op3_byte_bpe": "documents", "op4_pii": "documents", "op6_quality_rules": "documents", "op8_language_id": "documents", "op9_ngram_jaccard": "documents", "op11_importance_resampling": "documents", "op12_quality_classifier": "documents"}
+#: From which score label 1 is predicted.
+CUT = {"op2_toxicity": 0.5, "op12_quality_classifier": 0.3}
 
 
 @pytest.mark.parametrize("name", sorted(registry.queries()))
@@ -299,7 +304,7 @@ def test_queries_return_what_they_are_bound_to(spark, name):
             if "held_out" in kinds:
                 assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1
             if "predicted" in kinds:
-                assert r.predicted == int(r.score >= 0.5)
+                assert r.predicted == int(r.score >= CUT[name])
 
 
 def test_scratch_tables_are_dropped(spark):

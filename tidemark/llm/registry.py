@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("byte_bpe", "packing", "quality_rules", "jaccard_rtree", "toxicity", "language_id", "pii", "url_filters", "licenses", "local_descriptors")
+MODULES = ("byte_bpe", "packing", "quality_rules", "jaccard_rtree", "toxicity", "language_id", "pii", "url_filters", "licenses", "local_descriptors", "importance", "spelling", "nb_svm")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
