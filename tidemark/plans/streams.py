@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.sources.tables import shared_folder
+from tidemark.streaming import progress as P
 from tidemark.streaming import sessions as S
 
 
@@ -36,12 +37,26 @@ def stream_first_seen(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("event_id", "user_id", "value")
 
 
-QUERIES = {f.__name__: f for f in (stream_gap_sessions, stream_sliding_scores, stream_first_seen)}
+def stream_review_progress(spark: SparkSession, sf: str) -> DataFrame:
+    """Clicks, views and signups are reviews, purchases retrain: the reviews at which a user's count since the last purchase reaches a multiple of 3."""
+    key, value = P.STATE_STORE
+    had = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        due = ended(spark, sf, lambda e: P.review_progress(e, 3, review="event_type in ('click', 'view', 'signup')", retrained="event_type = 'purchase'"), P.DUE)
+    finally:
+        spark.conf.set(key, had)
+    return due.select(F.col("track").alias("user_id"), "event_id", "n", "n_retrained")
+
+
+QUERIES = {f.__name__: f for f in (stream_gap_sessions, stream_sliding_scores, stream_first_seen, stream_review_progress)}
 MARK = "mark AS (SELECT max(epoch_us(ts)) // 1000 * 1000 - 86400000000 AS m FROM events)"
 ORACLE = {
     "stream_gap_sessions": f"""WITH {MARK}, x AS (SELECT user_id, epoch_us(ts) AS t, value, event_id, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) > 43200000000 THEN 1 ELSE 0 END AS c FROM events), s AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS s FROM x),
         g AS (SELECT user_id, min(t) AS start, max(t) + 43200000000 AS end, count(*)::BIGINT AS n, round(sum(value), 6) AS total FROM s GROUP BY user_id, s) SELECT g.* FROM g, mark WHERE g.end <= m""",
     "stream_sliding_scores": f"""WITH {MARK}, w AS (SELECT (epoch_us(ts) // 3600000000 - k) * 3600000000 AS start, event_type, value FROM events, (SELECT unnest(range(6)) AS k))
         SELECT start, event_type, count(*)::BIGINT AS n, round(avg(value), 6) AS mean FROM w, mark WHERE start + 21600000000 <= m GROUP BY 1, 2""",
+    "stream_review_progress": f"""WITH {MARK}, e AS (SELECT *, epoch_us(ts) AS t FROM events WHERE event_type <> 'error'), r AS (SELECT *, count(*) FILTER (event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS n_retrained FROM e),
+        k AS (SELECT *, row_number() OVER (PARTITION BY user_id, n_retrained ORDER BY t, event_id) AS n FROM r WHERE event_type <> 'purchase') SELECT user_id, event_id, n, n_retrained::BIGINT AS n_retrained FROM k, mark WHERE n % 3 = 0 AND t // 1000 < m // 1000""",
     "stream_first_seen": "SELECT event_id, user_id, value FROM events",
 }
