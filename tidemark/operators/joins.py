@@ -64,3 +64,28 @@ def coverage(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     both = l.join(r, key, "full")
     side = F.when(F.col("r").isNull(), "missing").when(F.col("l").isNull(), "extra").when(F.col("r") > 1, "repeated")
     return both.select(side.alias("side"), key, F.coalesce("r", "l").alias("n")).where("side is not null")
+
+
+def marker_lookup(rows: DataFrame, markers: DataFrame, order: str, value: str, bpm: str, tolerance: float = 0.5) -> DataFrame:
+    """rows with tier and found: the last marker of the row's path, else of its exact key, else of its slug; null without one.
+
+    rows, markers: path, exact, slug (null or empty: none) and `bpm`; markers also `order` (the load order, unique) and `value`. Of a slug's markers each
+    exact key has its last one. Those within `tolerance` of the row's bpm go before the others, and the last of them counts if all agree to three
+    decimals, so a slug with several values finds nothing. Slugs are settled once for each bpm that rows have, not once for each row.
+    """
+
+    def last(key: str, *keys: str) -> DataFrame:
+        return markers.where(F.col(key) != "").groupBy(key, *keys).agg(F.max_by(F.struct(value, bpm, order), order).alias("m"))
+
+    bucket = last("slug", "exact").select("slug", F.col(f"m.{value}").alias("v"), F.col(f"m.{bpm}").alias("b"), F.col(f"m.{order}").alias("o"))
+    asked = rows.where(F.col("slug") != "").select("slug", F.col(bpm).alias("asked")).distinct()
+    near = F.coalesce(F.abs(F.col("b") - F.col("asked")) <= tolerance, F.lit(False))
+    met = asked.join(bucket, "slug").groupBy("slug", "asked", near.alias("near")).agg(F.countDistinct(F.round("v", 3)).alias("values"), F.max_by("v", "o").alias("v"))
+    settled = met.groupBy("slug", "asked").agg(F.max_by(F.struct("values", "v"), "near").alias("s")).where("s.values = 1").select("slug", "asked", F.col("s.v").alias("_v2"))
+    out = rows
+    for i, key in enumerate(("path", "exact")):
+        out = out.join(last(key).select(key, F.col(f"m.{value}").alias(f"_v{i}")), key, "left")
+    slugs = settled.withColumnRenamed("slug", "_slug")
+    out = out.join(slugs, (F.col("slug") == F.col("_slug")) & F.col(bpm).eqNullSafe(F.col("asked")), "left").drop("_slug", "asked")
+    tier = F.coalesce(*(F.when(F.col(f"_v{i}").isNotNull(), i + 1) for i in range(3)))
+    return out.withColumn("tier", tier.cast("long")).withColumn("found", F.coalesce("_v0", "_v1", "_v2")).drop("_v0", "_v1", "_v2")
