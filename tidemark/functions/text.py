@@ -85,3 +85,15 @@ def key_neighbours(number: Column, letter: Column) -> Column:
     """The key, one step up and down round the circle, and its relative of the other letter."""
     text = lambda n, l: F.concat(n.cast("int").cast("string"), l)
     return F.array(text(number, letter), text(wrap12(number + 1), letter), text(wrap12(number - 1), letter), text(number, F.when(letter == "A", "B").otherwise("A")))
+
+
+#: Steps along the circle of keys, and whether the letter changes, from the nicest on; a mode has them up to its own ones.
+KEY_STEPS = {"safe": [(0, False), (0, True), (1, False), (-1, False)], "energy": [(2, False), (-2, False)], "pro": [(1, True), (-1, True), (7, False), (-7, False)], "open": [(6, False)]}
+
+
+def allowed_keys(number: Column, letter: Column, mode: str = "pro") -> Column:
+    """The keys that may follow a key in a mode, from the nicest on."""
+    modes = list(KEY_STEPS)
+    steps = [x for m in modes[: modes.index(mode) + 1] for x in KEY_STEPS[m]]
+    other = F.when(letter == "A", "B").otherwise("A")
+    return F.array(*(F.concat(wrap12(number + d + 12).cast("int").cast("string"), other if swap else letter) for d, swap in steps))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.sources.tables import shared_folder
+from tidemark.streaming import learning as L
 from tidemark.streaming import progress as P
 from tidemark.streaming import sessions as S
 
@@ -49,7 +50,20 @@ def stream_review_progress(spark: SparkSession, sf: str) -> DataFrame:
     return due.select(F.col("track").alias("user_id"), "event_id", "n", "n_retrained")
 
 
-QUERIES = {f.__name__: f for f in (stream_gap_sessions, stream_sliding_scores, stream_first_seen, stream_review_progress)}
+FEATURES, TARGET = ["hour", "share"], "delta"
+
+
+def stream_self_learning(spark: SparkSession, sf: str) -> DataFrame:
+    """A regression of value on the hour and on a share of the number, learned from the stream of events: mean, deviation and weight of each column."""
+    base = f"{shared_folder(spark)}/learning-{uuid.uuid4().hex}"
+    source = spark.readStream.schema(S.EVENTS).option("pathGlobFilter", "events*.parquet").option("maxFilesPerTrigger", 1).parquet(sf)
+    rows = source.select(F.hour(F.col("ts")).alias("hour"), (F.col("event_id") % 17 / 16.0).alias("share"), F.col("value").alias("delta"))
+    S.to_batches(rows, lambda batch, number: L.learn_on(batch, number, f"{base}/sums", FEATURES, TARGET), f"{base}/state").awaitTermination()
+    model = L.weights(L.learned(spark, f"{base}/sums"), FEATURES, TARGET)
+    return spark.createDataFrame([(c, round(m, 8), round(d, 6), round(w, 6)) for c, (m, d, w) in model.items()], "name string, mean double, deviation double, weight double")
+
+
+QUERIES = {f.__name__: f for f in (stream_gap_sessions, stream_sliding_scores, stream_first_seen, stream_review_progress, stream_self_learning)}
 MARK = "mark AS (SELECT max(epoch_us(ts)) // 1000 * 1000 - 86400000000 AS m FROM events)"
 ORACLE = {
     "stream_gap_sessions": f"""WITH {MARK}, x AS (SELECT user_id, epoch_us(ts) AS t, value, event_id, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) > 43200000000 THEN 1 ELSE 0 END AS c FROM events), s AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS s FROM x),
@@ -58,5 +72,9 @@ ORACLE = {
         SELECT start, event_type, count(*)::BIGINT AS n, round(avg(value), 6) AS mean FROM w, mark WHERE start + 21600000000 <= m GROUP BY 1, 2""",
     "stream_review_progress": f"""WITH {MARK}, e AS (SELECT *, epoch_us(ts) AS t FROM events WHERE event_type <> 'error'), r AS (SELECT *, count(*) FILTER (event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS n_retrained FROM e),
         k AS (SELECT *, row_number() OVER (PARTITION BY user_id, n_retrained ORDER BY t, event_id) AS n FROM r WHERE event_type <> 'purchase') SELECT user_id, event_id, n, n_retrained::BIGINT AS n_retrained FROM k, mark WHERE n % 3 = 0 AND t // 1000 < m // 1000""",
+    "stream_self_learning": """WITH r AS (SELECT hour(ts)::DOUBLE AS hour, round((event_id % 17)::DOUBLE / 16.0::DOUBLE, 4) AS share, round(value, 4) AS delta FROM events),
+        m AS (SELECT count(*) AS n, avg(hour) AS ma, avg(share) AS mb, avg(delta) AS my, stddev_pop(hour) AS sa, stddev_pop(share) AS sb, stddev_pop(delta) AS sy, covar_pop(hour, share) AS ab, covar_pop(hour, delta) AS ay, covar_pop(share, delta) AS sy2 FROM r),
+        z AS (SELECT *, n * ab / (sa * sb) AS q, n * ay / sa AS ca, n * sy2 / sb AS cb, n + 1 AS p FROM m)
+        SELECT unnest(['hour', 'share', 'delta']) AS name, unnest([round(ma, 8), round(mb, 8), round(my, 8)]) AS mean, unnest([round(sa, 6), round(sb, 6), round(sy, 6)]) AS deviation, unnest([round((p * ca - q * cb) / (p * p - q * q), 6), round((p * cb - q * ca) / (p * p - q * q), 6), 0]) AS weight FROM z""",
     "stream_first_seen": "SELECT event_id, user_id, value FROM events",
 }
