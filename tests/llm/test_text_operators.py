@@ -384,3 +384,44 @@ def test_digests_are_of_the_ids(spark):
     text = "hello wörld"
     r = B.encode_documents(docs(spark, [text]), MULTI, public.PATTERN).first()
     assert hashlib.sha256(bytes(r.bpe.ids)).hexdigest() == hashlib.sha256(np.frombuffer(r.bpe.ids, "<u4").astype("<u4").tobytes()).hexdigest()
+
+
+def test_lines_change_state_within_a_document(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9)))
+    good = lambda: " ".join(word() for _ in range(rng.randint(6, 14))).capitalize() + "."
+    bad = lambda: " | ".join(word() for _ in range(rng.randint(2, 9))) + rng.choice([" !!", " $$$", " ###"])
+    rows = ["\n".join([good() for _ in range(rng.randint(5, 12))] if i % 2 == 0 else [good()] + [bad() for _ in range(rng.randint(5, 12))]) for i in range(160)]
+    labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(160)], "doc_id long, quality int, toxic int")
+    model = Q.fit(docs(spark, rows), labels)
+    for a, b, c in ((6, 9, 6), (3, 5, 4), (1, 8, 1)):
+        text = "\n".join([bad() for _ in range(a)] + [good() for _ in range(b)] + [bad() for _ in range(c)])
+        _, codes, _, at = Q.measure(pa.array([text], pa.large_string()))
+        assert Q.viterbi(model, codes, at).tolist() == [1] * a + [0] * b + [1] * c
+    # the good first line of a bad document is content, though the document's label is bad
+    _, codes, _, at = Q.measure(pa.array(rows[1::2], pa.large_string()))
+    states = Q.viterbi(model, codes, at)
+    assert (states[at[:-1]] == 0).mean() > 0.9
+
+
+def test_viterbi_of_a_very_long_text_is_that_of_a_walk():
+    rng = np.random.default_rng(4)
+    model = Q.Crf(rng.normal(size=(len(Q.BUCKETS), Q.WIDTH, 2)) * 0.3, rng.normal(size=(2, 2)), rng.normal(size=2))
+    at = np.array([0, 0, 3, 200_003, 200_004, 200_004])
+    codes = rng.integers(0, 2, (at[-1], len(Q.BUCKETS)))
+    emit, want = model.scores(codes), []
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        best, back = None, []
+        for e in emit[a:b]:
+            if best is None:
+                best = model.first + e
+            else:
+                into = best[:, None] + model.step
+                back.append(into.argmax(0))
+                best = into.max(0) + e
+        if best is not None:
+            walk = [int(best.argmax())]
+            for f in reversed(back):
+                walk.append(int(f[walk[-1]]))
+            want += walk[::-1]
+    assert Q.viterbi(model, codes, at).tolist() == want

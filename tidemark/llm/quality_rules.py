@@ -1,8 +1,10 @@
 """Quality rules: a linear-chain conditional random field marks every line as content or boilerplate.
 
-Each line with a word gets a bucket for each of a few surface features. Training maximises the likelihood of line labels taken
-from the documents' quality label (lines of good documents are content, of bad ones boilerplate) on at most `MAX_TRAIN_DOCS` documents,
-picked by hash; Viterbi decoding marks the lines of all documents, whole. A document stays if the words of content
+Each line with a word gets a bucket for each of a few surface features. The labels say which documents are good, not which lines, so lines are
+hidden states that are learned in rounds: at first a document's lines have its label; then they are decoded by the field, and keep the
+decoded states where the document as a whole still comes out as labelled. In every round the field's likelihood is maximised on sequences
+made of runs of lines of several documents of both labels, so that it sees changes between content and boilerplate. It learns from at most `MAX_TRAIN_DOCS` documents, picked by hash, and of each from at most
+`TRAIN_LINES` lines in a row, from a place that the id's hash picks; Viterbi decoding marks the lines of all documents, whole. A document stays if the words of content
 lines are at least `MIN_SHARE` of its words and no base rule fails (fewer than 50 words, or more than half of them in repeated
 3-word windows).
 
@@ -23,8 +25,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm._common import bounded_sample, mix, plain, read, released, slices, words_of
 
-MAX_TRAIN_DOCS = 3000
+MAX_TRAIN_DOCS, TRAIN_LINES = 3000, 64
 MIN_SHARE = 0.5
+#: Rounds in which lines are decoded and learned anew; lines of a run and runs of a training sequence at most.
+DECODED, PIECE, JOINED, SEED = 2, 12, 6, 6
 #: Upper bounds of the features' buckets; a share above the last falls in one more.
 BUCKETS = {
     "words": (1, 3, 7, 15, 40),
@@ -131,22 +135,39 @@ def steps(offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield t, order[:n], offsets[order[:n]] + t
 
 
+def scanned(parts: np.ndarray, join) -> np.ndarray:
+    """All joins of the first 1, 2, … parts, by doubling: in log n steps over whole arrays, however long the longest text is."""
+    out, k = parts.copy(), 1
+    while k < len(out):
+        out[k:] = join(out[:-k].copy(), out[k:])
+        k *= 2
+    return out
+
+
 def viterbi(model: Crf, codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The likeliest states of all sequences' lines; content on a tie."""
-    emit, back, n = model.scores(codes), np.zeros((len(codes), 2), np.int8), len(offsets) - 1
-    best, walk = np.zeros((n, 2)), list(steps(offsets))
-    for t, seq, at in walk:
-        if t == 0:
-            best[seq] = model.first + emit[at]
-            continue
-        into = best[seq][:, :, None] + model.step  # from, to
-        back[at] = into.argmax(1)
-        best[seq] = into.max(1) + emit[at]
-    states, now = np.zeros(len(codes), np.int8), best.argmax(1).astype(np.int8)
-    for t, seq, at in reversed(walk):
-        states[at] = now[seq]
-        now[seq] = back[at, now[seq]]
-    return states
+    """The likeliest states of all sequences' lines; content on a tie.
+
+    A line is a 2 x 2 matrix of what its state adds after each state before it; at a sequence's start the state before doesn't matter. The best sums up to
+    each line are running products of these in which + takes the place of times and max that of +; the way back is a running composition of maps.
+    """
+    n = len(codes)
+    if not n:
+        return np.zeros(0, np.int8)
+    emit, has = model.scores(codes), np.diff(offsets) > 0
+    first, last = offsets[:-1][has], offsets[1:][has] - 1
+    into = model.step[None] + emit[:, None, :]
+    into[first] = (model.first + emit[first])[:, None, :]
+    # after each line only the difference of the two states matters, so sums are taken from the larger one
+    level = lambda m: m - m.max((1, 2))[:, None, None]
+    best = scanned(into, lambda x, y: level(np.maximum(x[:, :, :1] + y[:, :1], x[:, :, 1:] + y[:, 1:]))).max(1)
+    back = np.zeros((n, 2), np.int8)
+    back[1:] = (best[:-1, :, None] + model.step).argmax(1)
+    # ahead[i]: the state of line i by the state of line i + 1
+    ahead = np.zeros((n, 2), np.int8)
+    ahead[:-1] = back[1:]
+    ahead[last] = best[last].argmax(1)[:, None]
+    walked = scanned(ahead[::-1], lambda x, y: np.take_along_axis(y, x.astype(np.int64), 1))
+    return walked[::-1, 0].copy()
 
 
 def expected(model: Crf, codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -169,7 +190,7 @@ def expected(model: Crf, codes: np.ndarray, offsets: np.ndarray) -> tuple[np.nda
     return post, pair, post[offsets[:-1][has]].sum(0)
 
 
-def fit_sequences(codes: np.ndarray, offsets: np.ndarray, states: np.ndarray, rounds: int = 80, rate: float = 0.15, decay: float = 1e-3) -> Crf:
+def fit_sequences(codes: np.ndarray, offsets: np.ndarray, states: np.ndarray, rounds: int = 300, rate: float = 0.15, decay: float = 1e-3) -> Crf:
     """Maximum likelihood with L2 decay, by Adam over all sequences."""
     model, one = Crf.blank(), np.eye(2)[states]
     n, has = max(len(codes), 1), np.diff(offsets) > 0
@@ -198,29 +219,64 @@ def fit_sequences(codes: np.ndarray, offsets: np.ndarray, states: np.ndarray, ro
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN_DOCS) -> Crf:
-    """The field trained on at most `most` labelled documents."""
+def joined(codes: list[np.ndarray], states: list[np.ndarray], rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All lines and states, cut into runs of 1 to PIECE lines; 1 to JOINED runs in a random order make one sequence. And the sequences' offsets."""
+    pieces = []
+    for k, c in enumerate(codes):
+        ends = np.cumsum(rng.integers(1, PIECE + 1, len(c)))
+        pieces += [(k, a, b) for a, b in zip([0, *ends], np.minimum(ends, len(c)), strict=False) if a < b]
+    pieces = [pieces[i] for i in rng.permutation(len(pieces))]
+    ends = np.cumsum(rng.integers(1, JOINED + 1, len(pieces)))
+    ends = np.append(ends[ends < len(pieces)], len(pieces))
+    sizes = np.cumsum([b - a for _, a, b in pieces])
+    return np.concatenate([codes[k][a:b] for k, a, b in pieces]), np.concatenate([states[k][a:b] for k, a, b in pieces]), np.concatenate([[0], sizes[ends - 1]])
+
+
+def fit_documents(codes: list[np.ndarray], words: list[np.ndarray], quality: list[int], decoded: int = DECODED) -> Crf:
+    """The field learned from documents' lines, their words and the documents' labels; the lines' states are hidden."""
+    rng = np.random.default_rng(SEED)
+    states = [np.full(len(c), 1 - q, np.int8) for c, q in zip(codes, quality, strict=True)]
+    model = fit_sequences(*_in_order(joined(codes, states, rng)))
+    offsets = np.concatenate([[0], np.cumsum([len(c) for c in codes])])
+    for _ in range(decoded):
+        found = np.split(viterbi(model, np.concatenate(codes), offsets), offsets[1:-1])
+        good = [(w * (s == 0)).sum() >= MIN_SHARE * w.sum() for w, s in zip(words, found, strict=True)]
+        states = [s if g == bool(q) else np.full(len(s), 1 - q, np.int8) for s, g, q in zip(found, good, quality, strict=True)]
+        model = fit_sequences(*_in_order(joined(codes, states, rng)))
+    return model
+
+
+def _in_order(parts: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    codes, states, offsets = parts
+    return codes, offsets, states
+
+
+def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN_DOCS, lines: int = TRAIN_LINES) -> Crf:
+    """The field trained on at most `most` labelled documents and `lines` lines in a row of each."""
     # no document comes in twice if a label is repeated
     known = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = F.broadcast(bounded_sample(known, "doc_id", most).withColumnRenamed("doc_id", "of"))
 
-    @F.arrow_udf("binary")
-    def codes_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in released(batches):
-            out = []
-            for part in slices(plain(batch)):
-                _, codes, _, offsets = measure(part)
-                out += [codes[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            yield pa.array(out, pa.binary())
-
-    rows = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("of")).select("doc_id", "quality", codes_of("text").alias("codes")).collect()
+    @F.arrow_udf("struct<codes:binary,words:binary>")
+    def lines_of(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, starts in released(batches):
+            codes_out, words_out, start = [], [], iter(starts.to_numpy(zero_copy_only=False))
+            for part in slices(plain(texts)):
+                _, codes, words, offsets = measure(part)
+                for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                    a += int(next(start) * max(b - a - lines + 1, 1))
+                    codes_out.append(codes[a : min(b, a + lines)].tobytes())
+                    words_out.append(words[a : min(b, a + lines)].astype(np.int64).tobytes())
+            yield pa.StructArray.from_arrays([pa.array(codes_out, pa.binary()), pa.array(words_out, pa.binary())], ["codes", "words"])
+
+    share = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53)
+    rows = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("of")).select("doc_id", "quality", lines_of("text", share).alias("x")).select("doc_id", "quality", "x.*").collect()
     rows.sort(key=lambda r: (r.doc_id, r.codes))
+    rows = [r for r in rows if r.codes]
     if len({r.quality for r in rows}) < 2:
         return Crf.blank()
     codes = [np.frombuffer(r.codes, np.int8).reshape(-1, len(BUCKETS)) for r in rows]
-    sizes = [len(c) for c in codes]
-    states = np.repeat([1 - r.quality for r in rows], sizes)
-    return fit_sequences(np.concatenate(codes), np.concatenate([[0], np.cumsum(sizes)]), states)
+    return fit_documents(codes, [np.frombuffer(r.words, np.int64) for r in rows], [r.quality for r in rows])
 
 
 FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
