@@ -28,7 +28,7 @@ from tidemark.llm._common import bounded_sample, mix, plain, read, released, sli
 MAX_TRAIN_DOCS, TRAIN_LINES = 3000, 64
 MIN_SHARE = 0.5
 #: Rounds in which lines are decoded and learned anew; lines of a run and runs of a training sequence at most.
-DECODED, PIECE, JOINED, SEED = 2, 12, 6, 6
+DECODED, PIECE, JOINED, SEED = 1, 12, 6, 6
 #: Upper bounds of the features' buckets; a share above the last falls in one more.
 BUCKETS = {
     "words": (1, 3, 7, 15, 40),
@@ -190,7 +190,7 @@ def expected(model: Crf, codes: np.ndarray, offsets: np.ndarray) -> tuple[np.nda
     return post, pair, post[offsets[:-1][has]].sum(0)
 
 
-def fit_sequences(codes: np.ndarray, offsets: np.ndarray, states: np.ndarray, rounds: int = 300, rate: float = 0.15, decay: float = 1e-3) -> Crf:
+def fit_sequences(codes: np.ndarray, offsets: np.ndarray, states: np.ndarray, rounds: int = 80, rate: float = 0.15, decay: float = 1e-3) -> Crf:
     """Maximum likelihood with L2 decay, by Adam over all sequences."""
     model, one = Crf.blank(), np.eye(2)[states]
     n, has = max(len(codes), 1), np.diff(offsets) > 0
@@ -236,13 +236,13 @@ def fit_documents(codes: list[np.ndarray], words: list[np.ndarray], quality: lis
     """The field learned from documents' lines, their words and the documents' labels; the lines' states are hidden."""
     rng = np.random.default_rng(SEED)
     states = [np.full(len(c), 1 - q, np.int8) for c, q in zip(codes, quality, strict=True)]
-    model = fit_sequences(*_in_order(joined(codes, states, rng)))
+    model = fit_sequences(*_in_order(joined(codes, states, rng)), rounds=150)
     offsets = np.concatenate([[0], np.cumsum([len(c) for c in codes])])
-    for _ in range(decoded):
+    for k in range(decoded):
         found = np.split(viterbi(model, np.concatenate(codes), offsets), offsets[1:-1])
         good = [(w * (s == 0)).sum() >= MIN_SHARE * w.sum() for w, s in zip(words, found, strict=True)]
         states = [s if g == bool(q) else np.full(len(s), 1 - q, np.int8) for s, g, q in zip(found, good, quality, strict=True)]
-        model = fit_sequences(*_in_order(joined(codes, states, rng)))
+        model = fit_sequences(*_in_order(joined(codes, states, rng)), rounds=300 if k == decoded - 1 else 150)
     return model
 
 
