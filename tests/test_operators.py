@@ -163,6 +163,6 @@ def test_places_as_a_sort(spark):
     rng = random.Random(16)
     rows = [(i, rng.choice([None, 1, 2, 3]), rng.random()) for i in range(300)]
     df = spark.createDataFrame(rows, "id long, a int, v double")
-    got = {r.id: r.place for r in R.places(df, [F.col("a"), -F.floor(F.col("v") * 4)], [F.desc("v"), F.col("id")]).collect()}
+    got = {r.id: r.place for r in R.places(df, [F.col("a"), F.desc(F.floor(F.col("v") * 4)), F.desc("v"), F.col("id")]).collect()}
     order = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, -r[2], r[0]))
     assert got == {r[0]: k for k, r in enumerate(order, 1)}

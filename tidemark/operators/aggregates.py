@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranking import places
+
 
 def pct(x: Column | str, q: float) -> Column:
     """Percentile with linear interpolation."""
@@ -91,4 +93,4 @@ def circular_mean(x: Column, period: float) -> Column:
 def first_most_common(rows: DataFrame, key: str, order: str) -> DataFrame:
     """Counts of a key with its place: count descending, then first seen."""
     counted = rows.groupBy(key).agg(F.count("*").alias("n"), F.min(order).alias("_first"))
-    return counted.withColumn("place", F.row_number().over(W.orderBy(F.desc("n"), "_first")).cast("long")).drop("_first")
+    return places(counted, [F.desc("n"), F.col("_first")]).drop("_first")

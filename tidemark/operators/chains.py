@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import allowed_keys
-from tidemark.sources.tables import shared_folder
+from tidemark.sources.tables import staged
 
 #: A track is chosen among so many best ones.
 TOP = 5
@@ -49,17 +47,10 @@ def build_sets(tracks: DataFrame, starts: DataFrame, length: int, *, bpm_step: i
     A round joins all chains' ends with the useful tracks by tempo and key; chains carry their tracks and artists in the row, and rounds are written, so no
     chain is walked anywhere and no plan grows.
     """
-    spark = tracks.sparkSession
-    base = f"{shared_folder(spark)}/sets-{uuid.uuid4().hex}"
     keyed = tracks.withColumn("key", F.concat(F.col("number").cast("string"), "letter"))
-
-    def stage(rows: DataFrame, name: str) -> DataFrame:
-        rows.write.parquet(f"{base}/{name}")
-        return spark.read.schema(rows.schema).parquet(f"{base}/{name}")
-
-    useful = stage(useful_tracks(keyed, length).select("src", "name", "artist", "bpm", "key", "number", "letter", "energy"), "useful")
+    useful = staged(useful_tracks(keyed, length).select("src", "name", "artist", "bpm", "key", "number", "letter", "energy"), "sets-useful")
     ends = keyed.join(starts.select("src").distinct(), "src", "left_semi").select(F.col("src").alias("start"), "src", "artist", "bpm", "number", "letter", "energy", F.array("src").alias("used"), F.array("artist").alias("artists"))
-    ends = stage(ends, "1")
+    ends = staged(ends, "sets-1")
     out = ends.select("start", F.lit(1).alias("place"), "src")
     there = useful.select(*(F.col(c).alias(f"n_{c}") for c in useful.columns))
     for place in range(2, length + 1):
@@ -77,6 +68,6 @@ def build_sets(tracks: DataFrame, starts: DataFrame, length: int, *, bpm_step: i
         chance = F.sha1(F.concat_ws("|", F.col("start").cast("string"), F.lit(str(place)), F.col("n_src").cast("string")).cast("binary"))
         taken = best.withColumn("_c", F.row_number().over(chain.orderBy(chance, "n_src"))).where("_c = 1")
         ends = taken.select("start", *(F.col(f"n_{c}").alias(c) for c in ("src", "artist", "bpm", "number", "letter", "energy")), F.array_append("used", F.col("n_src")).alias("used"), F.array_append("artists", F.col("n_artist")).alias("artists"))
-        ends = stage(ends, str(place))
+        ends = staged(ends, f"sets-{place}")
         out = out.unionByName(ends.select("start", F.lit(place).alias("place"), "src"))
     return out

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.sources.tables import staged
+
 
 def reasons(*rules: tuple[Column, str]) -> Column:
     """Names of the rules that hold, in the order given."""
@@ -66,17 +68,23 @@ def wide_array_union(*arrays: Column) -> Column:
     return F.array_distinct(out)
 
 
-def places(rows: DataFrame, coarse: list[Column], order: list[Column], name: str = "place") -> DataFrame:
-    """The rows with their place, from 1, in the order of `coarse` and then `order`, without sorting them in one task.
+#: Places in a partition are the low bits of monotonically_increasing_id.
+PLACE_BITS = 33
+
+
+def places(rows: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """The rows with their place, from 1, in the order, without sorting them in one task.
 
-    coarse: columns (descending ones negated) that cut the rows into groups, which follow each other; only the groups' counts, as many as there are
-    distinct values of them, are summed in one place, and rows are ranked within their group.
+    The rows are dealt by ranges of the order, whose bounds Spark samples, and sorted within; a place is a row's own in its partition plus the counts of the partitions
+    before. Any order will do, and ranges are as even as the order's columns tell rows apart. The ranged rows are written once, so that counts and places are of the same ranges.
     """
-    names = [f"_g{i}" for i in range(len(coarse))]
-    put = rows.withColumns(dict(zip(names, coarse, strict=True)))
-    before = W.orderBy(*names).rowsBetween(W.unboundedPreceding, -1)
-    starts = put.groupBy(*names).agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    own = F.row_number().over(W.partitionBy(*names).orderBy(*order))
-    same = [F.col(f"_a.{n}").eqNullSafe(F.col(f"_b.{n}")) for n in names]
-    ranked = put.withColumn("_k", own).alias("_a").join(starts.alias("_b"), same)
-    return ranked.select(*(F.col(f"_a.{c}") for c in rows.columns), (F.col("_b._start") + F.col("_a._k")).cast("long").alias(name))
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    ranged = staged(ranged, "places")
+    part = F.shiftrightunsigned("_at", PLACE_BITS)
+    sizes = {r.part: r["count"] for r in ranged.groupBy(part.alias("part")).count().collect()}  # as many as there are partitions
+    before, total = [], 0
+    for k in range(max(sizes, default=0) + 1):
+        before.append(total)
+        total += sizes.get(k, 0)
+    place = F.element_at(F.lit(before).cast("array<bigint>"), part.cast("int") + 1) + F.col("_at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)) + 1
+    return ranged.select(*rows.columns, place.alias(name))

@@ -153,12 +153,13 @@ def split_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
 
 def pair_auc(spark: SparkSession, sf: str) -> DataFrame:
     """Area under the ROC curve by ranks (ties share), and log loss, by language; no pairs are made."""
-    s = scored_docs(spark, sf)
-    w = W.partitionBy("lang").orderBy("score")
-    r = s.withColumn("r", F.rank().over(w) + (F.count(F.lit(1)).over(W.partitionBy("lang", "score")) - 1) / 2.0)
+    # rows of a language and score are counted before they are put in order: as many as there are scores (3,000 at most)
+    s = scored_docs(spark, sf).groupBy("lang", "score").agg(F.count("*").alias("k"), F.sum(F.col("positive").cast("long")).alias("k1"))
+    w = W.partitionBy("lang").orderBy("score").rowsBetween(W.unboundedPreceding, -1)
+    r = s.withColumn("r", F.coalesce(F.sum("k").over(w), F.lit(0)) + (F.col("k") + 1) / 2.0)
     p = F.least(F.greatest(F.col("score"), F.lit(1e-6)), F.lit(1 - 1e-6))
-    loss = -F.when(F.col("positive") == 1, F.log(p)).otherwise(F.log(1 - p))
-    g = r.groupBy("lang").agg(F.sum(F.when(F.col("positive") == 1, F.col("r"))).alias("s"), F.sum(F.col("positive").cast("long")).alias("n1"), F.sum((1 - F.col("positive")).cast("long")).alias("n0"), F.avg(loss).alias("l"))
+    loss = -(F.col("k1") * F.log(p) + (F.col("k") - F.col("k1")) * F.log(1 - p))
+    g = r.groupBy("lang").agg(F.sum(F.col("k1") * F.col("r")).alias("s"), F.sum("k1").alias("n1"), F.sum(F.col("k") - F.col("k1")).alias("n0"), (F.sum(loss) / F.sum("k")).alias("l"))
     return g.select("lang", r6(F.try_divide(F.col("s") - F.col("n1") * (F.col("n1") + 1) / 2, F.col("n1") * F.col("n0")), "auc"), r6(F.col("l"), "log_loss"))
 
 

@@ -51,7 +51,7 @@ def coverage_trim(spark: SparkSession, sf: str) -> DataFrame:
 def catalogue_order(spark: SparkSession, sf: str) -> DataFrame:
     """Parts ordered by size, brand number, brand letter, price (missing last), name, with their place."""
     p = table(spark, sf, "part").select("p_partkey", "p_size", F.regexp_extract("p_brand", r"(\d+)", 1).cast("int").alias("k"), "p_name", F.when(F.col("p_size") % 7 > 0, F.col("p_retailprice")).alias("energy"))
-    return R.places(p, [F.col("p_size"), F.col("k")], [F.col("energy").asc_nulls_last(), F.col("p_name"), F.col("p_partkey")]).select("p_partkey", "place")
+    return R.places(p, [F.col("p_size"), F.col("k"), F.col("energy").asc_nulls_last(), F.col("p_name"), F.col("p_partkey")]).select("p_partkey", "place")
 
 
 def key_neighbours(spark: SparkSession, sf: str) -> DataFrame:

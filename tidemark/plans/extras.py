@@ -119,14 +119,14 @@ def queue_order(spark: SparkSession, sf: str) -> DataFrame:
     risk = F.when(F.col("o_orderpriority").startswith("1"), 1.0).when(F.col("o_orderpriority").startswith("2"), 0.8).otherwise(0.3)
     rows = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "O", 0).when(F.col("o_orderstatus") == "P", 1).otherwise(2).alias("s"), F.round(F.col("o_totalprice") * risk, 2).alias("v"))
     reason = F.concat(F.element_at(F.array(F.lit("open"), F.lit("partial"), F.lit("done")), F.col("s") + 1), F.lit(":"), F.when(F.col("v") >= 200000, "high").otherwise("normal")).alias("reason")
-    return R.places(rows, [F.col("s"), -F.floor(F.col("v") / 5000)], [F.desc("v"), F.col("o_orderkey")]).select("o_orderkey", "place", reason)
+    return R.places(rows, [F.col("s"), F.desc("v"), F.col("o_orderkey")]).select("o_orderkey", "place", reason)
 
 
 def artist_caps(spark: SparkSession, sf: str) -> DataFrame:
     """Parts in order of price with at most three of a brand, numbered."""
     p = table(spark, sf, "part").select("p_partkey", "p_brand", "p_retailprice")
     kept = J.ranked(p, ["p_brand"], F.desc("p_retailprice"), F.col("p_partkey")).where("rank <= 3")
-    return kept.select("p_partkey", F.row_number().over(W.orderBy(F.desc("p_retailprice"), "p_partkey")).cast("long").alias("place"))
+    return R.places(kept, [F.desc("p_retailprice"), F.col("p_partkey")]).select("p_partkey", "place")
 
 
 def next_track(spark: SparkSession, sf: str) -> DataFrame:
@@ -149,7 +149,7 @@ def next_track(spark: SparkSession, sf: str) -> DataFrame:
 
 def number_formats(spark: SparkSession, sf: str) -> DataFrame:
     """Six digits without zeros at the end, hash ids of three columns, buckets."""
-    li = table(spark, sf, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_partkey", "l_suppkey", "l_discount")
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_discount")
     key = F.concat_ws("|", "l_orderkey", "l_partkey", "l_suppkey")
     return li.select("l_orderkey", "l_partkey", "l_suppkey", T.number_text(F.col("l_discount")).alias("discount"), T.sha_prefix(key, 10).alias("row_id"), r6(T.stable_bucket(key), "bucket")).distinct()
 
@@ -247,7 +247,7 @@ ORACLE = {
     "artist_caps": "WITH k AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS k FROM part) SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS place FROM k WHERE k <= 3",
     "next_track": """WITH b AS (SELECT a.p_partkey, b.p_partkey AS next, round(abs(a.p_retailprice - b.p_retailprice), 2) AS d FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey AND b.p_size BETWEEN a.p_size AND a.p_size + 4),
         r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY d, sha1(next::VARCHAR)) AS k FROM b) SELECT p_partkey, next, d FROM r WHERE k = 1""",
-    "number_formats": r"""WITH l AS (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey, l_discount, l_orderkey || '|' || l_partkey || '|' || l_suppkey AS k FROM lineitem WHERE l_linenumber = 1)
+    "number_formats": r"""WITH l AS (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey, l_discount, l_orderkey || '|' || l_partkey || '|' || l_suppkey AS k FROM lineitem)
         SELECT DISTINCT l_orderkey, l_partkey, l_suppkey, regexp_replace(regexp_replace(printf('%.6f', l_discount), '0+$', ''), '\.$', '') AS discount, substr(sha1(k), 1, 10) AS row_id, round(('0x' || substr(sha1(k), 1, 8))::BIGINT::DOUBLE / 4294967295.0::DOUBLE, 6) AS bucket FROM l""",
     "split_names": r"""WITH s AS (SELECT p_partkey, split_part(p_name, ' ', 1) AS a, regexp_replace(p_name, '^\S+\s*', '') AS b, p_partkey % 3 > 0 AS d FROM part)
         SELECT p_partkey, CASE WHEN d THEN trim(a) ELSE '' END AS artist, CASE WHEN d THEN trim(b) ELSE a || ' ' || b END AS title, CASE WHEN d AND trim(a) <> '' THEN trim(b) || ' - ' || trim(a) WHEN d THEN a || ' - ' || b ELSE a || ' ' || b END AS swapped FROM s""",

@@ -60,7 +60,7 @@ def active_queue(spark: SparkSession, sf: str) -> DataFrame:
     score = F.when(F.col("quality").isNull(), 1.0).otherwise(0.0) + F.when(F.col("toxic") == 1, 0.5).otherwise(0.0) + F.least(F.col("n_chars") / 10000.0, F.lit(1.0))
     reason = F.when(F.col("quality").isNull(), "unlabelled").when(F.col("toxic") == 1, "toxic").otherwise("low_quality")
     out = rows.select("doc_id", reason.alias("reason"), F.round(score, 6).alias("score"))
-    return R.places(out, [-F.floor(F.col("score") * 100)], [F.desc("score"), F.col("doc_id")])
+    return R.places(out, [F.desc("score"), F.col("doc_id")])
 
 
 def three_tier_lookup(spark: SparkSession, sf: str) -> DataFrame:
@@ -109,8 +109,8 @@ def pair_fanout(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pairwise_diff(spark: SparkSession, sf: str) -> DataFrame:
-    """Ordered pairs within a user's five best candidates: difference of score and time. All pairs of a group would be quadratic; the five are the operator's parameter."""
-    top = candidates(spark, sf).where("rank <= 5")
+    """All ordered pairs of a user's candidates: difference of score and time. A skewed user's side of the join is split by adaptive execution."""
+    top = candidates(spark, sf)
     other = top.select("user_id", F.col("rank").alias("rank2"), F.col("value").alias("value2"), F.col("t").alias("t2"))
     return top.join(other, "user_id").where("rank <> rank2").select("user_id", "rank", "rank2", F.round(F.col("value") - F.col("value2"), 6).alias("d_value"), (F.col("t") - F.col("t2")).alias("d_t"))
 
@@ -209,7 +209,7 @@ ORACLE = {
         SELECT event_id, section FROM r WHERE k = 1""",
     "pair_fanout": f"""WITH {EV}, r AS (SELECT a.event_id, b.event_id AS other_id, row_number() OVER (PARTITION BY a.event_id ORDER BY b.value DESC, b.t, b.event_id) AS rank FROM ev a JOIN ev b ON a.user_id = b.user_id AND b.t - a.t BETWEEN {H} AND 24 * {H})
         SELECT event_id, other_id, rank FROM r WHERE rank <= 3""",
-    "pairwise_diff": f"WITH {CAND} SELECT a.user_id, a.rank, b.rank AS rank2, round(a.value - b.value, 6) AS d_value, a.t - b.t AS d_t FROM cand a JOIN cand b ON a.user_id = b.user_id AND a.rank <> b.rank WHERE a.rank <= 5 AND b.rank <= 5",
+    "pairwise_diff": f"WITH {CAND} SELECT a.user_id, a.rank, b.rank AS rank2, round(a.value - b.value, 6) AS d_value, a.t - b.t AS d_t FROM cand a JOIN cand b ON a.user_id = b.user_id AND a.rank <> b.rank",
     "oracle_pairs_weighted": f"""WITH {CAND} SELECT a.user_id, a.rank, s.sign, round((b.value - a.value) * s.sign, 6) AS diff, round(least(2.0::DOUBLE, 0.5::DOUBLE + (b.value - a.value) / 100.0::DOUBLE), 6) AS weight
         FROM cand a JOIN cand b ON a.user_id = b.user_id AND b.rank = 1, (SELECT unnest([1, -1])::BIGINT AS sign) s WHERE a.rank >= 2 AND abs(a.t - b.t) >= {H}""",
     "ab_compare": """WITH d AS (SELECT o_orderpriority, round(abs(o_totalprice - 100000.0::DOUBLE) - abs(o_totalprice * 0.9::DOUBLE - 100000.0::DOUBLE), 4) AS d FROM orders)

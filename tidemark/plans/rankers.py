@@ -21,8 +21,6 @@ from tidemark.sources.tables import events, table
 HOUR = 3_600_000_000
 TOLERANCE = 6.0
 MAX_TRAIN_ROWS, TREES = 20_000, 40
-#: Candidates of a user that rankers look at: the best by value.
-MOST = 20
 
 
 def candidates(spark: SparkSession, sf: str) -> DataFrame:
@@ -46,7 +44,7 @@ def candidates(spark: SparkSession, sf: str) -> DataFrame:
         F.cos(hour * 0.2617993878),
         *((F.col("event_type") == k).cast("double") for k in ("click", "view", "signup")),
     ]
-    rows = ranked.withColumn("x", F.array(*(F.coalesce(c.cast("double"), F.lit(0.0)) for c in x))).where(F.col("rank") <= MOST)
+    rows = ranked.withColumn("x", F.array(*(F.coalesce(c.cast("double"), F.lit(0.0)) for c in x)))
     errors = J.asof_nearest(rows, events(spark, sf).where("event_type = 'purchase'"), "user_id", "t", "event_id")
     return errors.select("user_id", "event_id", "rank", "value", (F.abs("error") / HOUR).alias("error"), (stable_bucket(F.col("user_id").cast("string")) < 0.7).alias("training"), "x")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,3 +26,10 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.gettempdir() + "/tidemark-checkpoints"
     return base.rstrip("/")
+
+
+def staged(rows: DataFrame, name: str) -> DataFrame:
+    """The rows written as Parquet in the shared folder and read again: what is drawn from them later is drawn from the same rows, and lineage ends here."""
+    path = f"{shared_folder(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
