@@ -2,10 +2,12 @@
 
 A rule (verdict, host/path) fits its host and all subdomains where the URL's path starts with the rule's; the longest fitting rule wins.
 The URLs that rules decide are the labelled URLs from which MLlib's boosted trees learn: lengths, depth, shares of digits and hyphens,
-character entropy, parameters, and suffix statistics: the length of the host's suffix, and its share of blocked URLs, where URLs that no rule
-decides count as half blocked, so that a suffix of a few rules does not decide by itself. Both verdicts have the same weight. The suffix statistics are counted over all URLs, and kept for
-the MOST_SUFFIXES commonest ones; the trees see at most MAX_TRAIN_ROWS distinct labelled URLs, picked by hash. Every URL is judged. All work is done by
-Spark SQL and MLlib in the JVM; only counts by suffix are shuffled. `held_out` measures the trees on labelled URLs that they did not see.
+character entropy, parameters, and suffix statistics: the lengths of the host's last label and of its last two, and the shares of blocked URLs among those
+with the same ending, where URLs that no rule decides count as half blocked, so that an ending of a few rules does not decide by itself. All endings
+are counted, in a table that is joined to the URLs (broadcast if it is small). A labelled URL sees the shares of the other FOLDS - 1 parts of the labelled URLs only,
+so no share holds the label that it helps to tell. Both verdicts have the same weight. The trees see at most MAX_TRAIN_ROWS distinct labelled URLs, picked by
+hash. Every URL is judged. All work is done by Spark SQL and MLlib in the JVM; only counts by ending are shuffled, and URLs where the table of endings is
+large. `held_out` measures the trees on labelled URLs that they did not see.
 
 Defined results: a null URL or one without `://` has an empty host and path and fits no rule; without labelled URLs of both verdicts the
 method allows; repeated rows each get their verdict; URLs of any length are read whole; other columns are kept, but one with the result's own name is replaced.
@@ -23,7 +25,10 @@ from pyspark.sql import functions as F
 from tidemark.llm._common import MAX_TRAIN_ROWS, bounded_sample, materialise, read, unused
 
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-MOST_SUFFIXES = 100
+#: Parts of the labelled URLs, by hash, whose own labels are left out of the shares that they see.
+FOLDS = 5
+#: Rows of the table of endings (some 100 bytes each) up to which it is broadcast.
+BROADCAST_ENDINGS = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -80,18 +85,46 @@ def lexical(url: Column, host: Column, path: Column) -> list[Column]:
     ]
 
 
+def endings(host: Column) -> Column:
+    """The host's last label and its last two, told apart by a mark."""
+    return F.array(F.concat(F.lit("1:"), F.substring_index(host, ".", -1)), F.concat(F.lit("2:"), F.substring_index(host, ".", -2)))
+
+
+def part_of(url: Column) -> Column:
+    return F.pmod(F.xxhash64(url), F.lit(FOLDS)).cast("int")
+
+
 @dataclass
 class Filter:
-    """The rules, the trees (None: no labelled URLs of both kinds), and by suffix the share of blocked URLs."""
+    """The rules, the trees (None: no labelled URLs of both kinds), and by ending the counts of URLs, labelled and blocked ones of each part."""
 
     rules: tuple[tuple[str, str], ...]
     model: GBTClassificationModel | None
-    shares: dict[str, float]
-    prior: float
-
-    def vector(self, url: Column, host: Column, path: Column) -> Column:
-        suffix, known = F.substring_index(host, ".", -1), F.create_map(*(F.lit(x) for kv in self.shares.items() for x in kv))
-        return array_to_vector(F.concat(F.array(*lexical(url, host, path)), F.array(F.length(suffix).cast("double"), F.coalesce(known[suffix], F.lit(self.prior)) if self.shares else F.lit(self.prior))))
+    counts: DataFrame | None = None
+    weights: tuple[float, float] = (0.5, 0.5)
+
+    def vectors(self, rows: DataFrame, url: str, into: str) -> DataFrame:
+        """The rows with `into`, their vectors."""
+        names = [unused(rows, f"_url_{c}") for c in ("e1", "e2", "s1", "s2")]
+        host, path, label = host_of(F.col(url)), path_of(F.col(url)), blocked(F.col(url), self.rules)
+        out = rows.withColumns({names[i]: endings(host)[i] for i in (0, 1)})
+        for i in (0, 1):
+            if self.counts is not None:
+                c = self.counts.select(F.col("ending").alias(f"{names[i]}_of"), F.struct("n", "known", "blocked").alias(names[2 + i]))
+                out = out.join(c, F.col(names[i]) == F.col(f"{names[i]}_of"), "left").drop(f"{names[i]}_of")
+            else:
+                out = out.withColumn(names[2 + i], F.lit(None).cast("struct<n:bigint,known:array<bigint>,blocked:array<bigint>>"))
+        own = F.when(label.isNotNull(), part_of(F.col(url)))
+
+        def share(c: str) -> Column:
+            """Blocked URLs of the ending, without the URL's own part if it is labelled."""
+            others = lambda x: F.aggregate(F.transform(F.col(f"{c}.{x}"), lambda v, i: F.when(i == own, 0).otherwise(v)), F.lit(0).cast("long"), lambda t, v: t + v)
+            known, block, open_ = others("known"), others("blocked"), F.col(f"{c}.n") - F.aggregate(F.col(f"{c}.known"), F.lit(0).cast("long"), lambda t, v: t + v) + 4
+            w1, w0 = self.weights
+            return F.coalesce((block * w1 + open_ * 0.5) / (block * w1 + (known - block) * w0 + open_), F.lit(0.5))
+
+        statistics = F.array(*(F.length(names[i]).cast("double") for i in (0, 1)), *(share(c) for c in names[2:]))
+        return out.withColumn(into, array_to_vector(F.concat(F.array(*lexical(F.col(url), host, path)), statistics))).drop(*names)
 
     def score(self, rows: DataFrame, url: str, into: str) -> DataFrame:
         """The rows with `into`, the trees' probability of a block."""
@@ -101,7 +134,7 @@ class Filter:
         model = self.model.copy()
         model.setFeaturesCol(names[0]).setPredictionCol(names[3])
         model.setRawPredictionCol(names[1]).setProbabilityCol(names[2])
-        rows = model.transform(rows.withColumn(names[0], self.vector(F.col(url), host_of(F.col(url)), path_of(F.col(url)))))
+        rows = model.transform(self.vectors(rows, url, names[0]))
         return rows.withColumn(into, vector_to_array(names[2])[1]).drop(*names)
 
 
@@ -115,20 +148,22 @@ def fit(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, *, url: st
     """The trees, learned from the URLs that the rules decide; suffixes: whether they see suffix statistics."""
     urls = pages.select(F.col(url).alias("url"))
     label = blocked(F.col("url"), rules)
-    counts = urls.groupBy(F.substring_index(host_of(F.col("url")), ".", -1).alias("suffix")).agg(F.coalesce(F.sum(label), F.lit(0)).alias("blocked"), F.count(label).alias("known"), F.count("*").alias("n"))
-    total = counts.agg(F.sum("blocked"), F.sum("known")).first()
+    total = urls.agg(F.coalesce(F.sum(label), F.lit(0)), F.count(label)).first()
     if not total[1] or total[0] in (0, total[1]):
-        return Filter(rules, None, {}, 0.0)
+        return Filter(rules, None)
     prior = total[0] / total[1]
-    common = counts.orderBy(F.desc("n"), "suffix").limit(MOST_SUFFIXES if suffixes else 0).collect()
     # both verdicts weigh the same: how many URLs the rules happen to block says nothing about the others
-    w1, w0 = 0.5 / prior, 0.5 / (1 - prior)
-    share = lambda r: (r.blocked * w1 + (r.n - r.known + 4) * 0.5) / (r.blocked * w1 + (r.known - r.blocked) * w0 + r.n - r.known + 4)
-    out = Filter(rules, None, {r.suffix: share(r) for r in common}, 0.5)
+    out = Filter(rules, None, weights=(0.5 / prior, 0.5 / (1 - prior)))
+    if suffixes:
+        each = urls.select(F.explode(endings(host_of(F.col("url")))).alias("ending"), label.alias("label"), part_of(F.col("url")).alias("part"))
+        of_part = lambda f: F.array(*(f(F.col("part") == k) for k in range(FOLDS)))
+        counts = each.groupBy("ending").agg(F.count("*").alias("n"), of_part(lambda p: F.count(F.when(p, F.col("label")))).alias("known"), of_part(lambda p: F.coalesce(F.sum(F.when(p, F.col("label")).cast("long")), F.lit(0).cast("long"))).alias("blocked"))
+        counts = materialise(counts, "url-endings")
+        out.counts = F.broadcast(counts) if counts.count() <= BROADCAST_ENDINGS else counts
     known = bounded_sample(urls.where(label.isNotNull()), "url", most)
-    known = materialise(known.select(label.alias("label"), out.vector(F.col("url"), host_of(F.col("url")), path_of(F.col("url"))).alias("_vector")).coalesce(1), "url-train").coalesce(1)
+    known = materialise(out.vectors(known, "url", "_vector").select(label.alias("label"), "_vector").coalesce(1), "url-train").coalesce(1)
     if known.agg(F.countDistinct("label")).first()[0] == 2:
-        known = known.withColumn("_weight", F.when(F.col("label") == 1, w1).otherwise(w0))
+        known = known.withColumn("_weight", F.when(F.col("label") == 1, out.weights[0]).otherwise(out.weights[1]))
         out.model = GBTClassifier(featuresCol="_vector", labelCol="label", weightCol="_weight", maxIter=15, maxDepth=4, stepSize=0.2, seed=11).fit(known)
     return out
 
