@@ -236,7 +236,7 @@ def test_licenses_as_plain_version(spark):
     for doc, text in enumerate(texts):
         found, wraps = text.split("\n"), []
         for i, line in enumerate(found):
-            if wraps and (last := found[i - 1]).strip() and len(last.rstrip(" \t\r")) <= LI.WRAP and not last.rstrip()[-1] in ".!?:;" and line.strip():
+            if wraps and (last := found[i - 1]).strip() and not last.rstrip()[-1] in ".!?:;" and line.strip():
                 wraps[-1].append(line)
             else:
                 wraps.append([line])
@@ -317,3 +317,14 @@ def test_scratch_tables_are_dropped(spark):
     assert rows.count() == 3 and os.path.isdir(path)
     _common.drop_scratch(spark)
     assert not os.path.isdir(path) and not _common._scratch
+
+
+def test_long_wrapped_lines_and_the_mark_of_breaks_in_texts(spark):
+    filler = "words that come before and are many " * 5
+    texts = [f"{filler}{NOTICE.split(chr(10))[0]}\n{' '.join(NOTICE.split(chr(10))[1:])}", "one  twob three\nfour", f"icon  here.\n{NOTICE}\nicon b there"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    units = {(r.doc_id, r.paragraph, r.unit): r.line for r in LI.paragraphs(df, "text", "doc_id").collect()}
+    assert units[1, 0, 0] == texts[1] and units[1, 0, 1] == "one  twob three" and units[1, 0, 2] == "four" and len(units) == 3 + 3 + 1 + 5
+    assert units[2, 0, 0] == "icon  here." and units[2, 1, 4] == "icon b there"
+    got = {(r.doc_id, r.family) for r in LI.scan(df).collect() if r.confirmed}
+    assert got == {(0, "MIT"), (2, "MIT")}

@@ -1,6 +1,6 @@
 """License scans: sparse word n-gram logistic regression names each paragraph's licence family; templates confirm it.
 
-A paragraph is a line, with the lines that it is wrapped into: a line of at most WRAP characters that doesn't end a sentence goes on in the next one, if
+A paragraph is a line, with the lines that it is wrapped into: a line of any length that doesn't end a sentence goes on in the next one, if
 that isn't blank. Every paragraph of every document is scored, and where a paragraph has several lines each of them too, as short lines need not be
 wrapped ones. Words and word pairs of the templates below and of OTHER_LINES are the vocabulary of a sparse vector; MLlib's multinomial logistic
 regression is trained on the templates, whole, in part and amid other words, and on what is no notice: OTHER_LINES, and paragraphs
@@ -30,10 +30,8 @@ from tidemark.llm._common import bounded_sample, materialise, read
 
 SIMILAR = 0.7
 UNKNOWN_DOCS, UNKNOWN_LINES = 1000, 4000
-#: Characters of a line that may be wrapped.
-WRAP = 120
-#: Stands for a line break within a paragraph.
-BREAK = "\ue000"
+#: Stand for a line break within a paragraph, and for the first of these characters where a text has it.
+BREAK, ESCAPED = "\ue000b", "\ue000a"
 #: Words by which training paragraphs of documents are taken for possible notices, and left out.
 CUES = ("licen", "copyright", "warrant", "redistribut", "permission", "public domain", "creative commons", "spdx", "all rights reserved", "cc by", "cc-by", "gpl", "lizenz")
 TEMPERATURES = (0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0)
@@ -125,12 +123,14 @@ def has_cue(text: Column) -> Column:
 
 def paragraphs(docs: DataFrame, text: str, key: str) -> DataFrame:
     """doc_id, row (a number of the document's row), paragraph (from 0), unit (0: the whole paragraph, else its line from 1), line (its text)."""
-    wrapped = rf"\n(?<=(?:^|\n)[^\n]{{0,{WRAP - 1}}}[^\n\s.!?:;][ \t\r]{{0,3}}\n)(?=[ \t]*\S)"
-    rows = docs.select(F.col(key).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.regexp_replace(F.col(text), wrapped, BREAK).alias("text"))
+    wrapped = r"([^\s.!?:;][ \t\r]*)\n(?=[ \t\r]*[^\s])"
+    escaped = F.replace(F.col(text), F.lit(BREAK[0]), F.lit(ESCAPED))
+    rows = docs.select(F.col(key).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.regexp_replace(escaped, wrapped, f"$1{BREAK}").alias("text"))
     each = rows.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("paragraph", "whole")).where("trim(whole) <> ''")
     lines = F.split("whole", BREAK)
-    whole = F.array(F.struct(F.lit(0).alias("unit"), F.col("whole").alias("line")))
-    parts = F.when(F.size(lines) > 1, F.transform(lines, lambda x, i: F.struct((i + 1).alias("unit"), x.alias("line")))).otherwise(F.array())
+    shown = lambda x: F.replace(x, F.lit(ESCAPED), F.lit(BREAK[0]))
+    whole = F.array(F.struct(F.lit(0).alias("unit"), shown(F.replace("whole", F.lit(BREAK), F.lit("\n"))).alias("line")))
+    parts = F.when(F.size(lines) > 1, F.transform(lines, lambda x, i: F.struct((i + 1).alias("unit"), shown(x).alias("line")))).otherwise(F.array())
     return each.select("doc_id", "row", "paragraph", F.explode(F.concat(whole, parts)).alias("u")).select("doc_id", "row", "paragraph", "u.*")
 
 
