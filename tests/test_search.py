@@ -153,3 +153,48 @@ def test_review_progress_equals_the_batch_query(spark, tmp_path):
         assert sorted(tuple(r) for r in got.drop("t").collect()) == sorted(tuple(r) for r in want.select("event_id", "user_id", "n").collect())
     finally:
         spark.conf.set(key, had)
+
+
+def reports(spark, grids):
+    from tidemark.operators import evaluation as E
+
+    kind = "u string, t double"
+    ref = spark.createDataFrame([(u, t) for u, (a, _) in grids.items() for t in a], kind)
+    est = spark.createDataFrame([(u, t) for u, (_, b) in grids.items() for t in b], kind)
+    out = E.evaluate_grids(ref, est, "u", "t", 0.001).withColumns({"strict": E.strict_score(), "score": E.report_score()})
+    return {r.u: r for r in out.collect()}
+
+
+def test_reports_of_grids(spark):
+    got = reports(spark, {"near": ([1.0, 1.5, 2.0, 2.5], [1.003, 1.492, 2.018, 2.560]), "twice": ([1.0, 2.0], [1.003, 1.004]), "none": ([1.0], []), "extra": ([], [1.0]), "same": ([1.0, 2.0, 3.0], [3.0, 1.0, 2.0, -1.0])})
+    r = got["near"]
+    assert (r.reference_count, r.estimated_count, round(r.median_error, 3), round(r.mean_error, 3), round(r.median_abs_error, 3)) == (4, 4, 10.5, 18.25, 13.0)
+    assert (r.hit_rate_5, r.hit_rate_10, r.hit_rate_20, r.hit_rate_70, r.precision_70, r.recall_70, r.f1_70, r.continuity_20) == (0.25, 0.5, 0.75, 1.0, 1.0, 1.0, 1.0, 0.75)
+    r = got["twice"]
+    assert (r.matched_count, r.precision_20, r.recall_20, r.false_positive_count, r.missed_count) == (1, 0.5, 0.5, 1, 1)
+    r = got["none"]
+    assert (r.estimated_count, r.median_error, r.max_abs_error, r.hit_rate_70, r.f1_20, r.missed_count, r.score) == (0, float("inf"), float("inf"), 0.0, 0.0, 1, None) and r.strict == 0.0
+    r = got["extra"]
+    assert (r.reference_count, r.estimated_count, r.median_error, r.precision_70, r.false_positive_count) == (0, 1, 0.0, 0.0, 1)
+    r = got["same"]
+    assert r.estimated_count == 3 and abs(r.strict - 1.0) < 1e-9 and abs(r.score - 1.0) < 1e-9
+    assert got["near"].score < 1.0 and got["twice"].score < got["near"].score
+
+
+def test_logistic_regression_converges(spark):
+    import numpy as np
+
+    from tidemark.operators import learning as L
+
+    rng = np.random.default_rng(1)
+    x = np.c_[rng.normal(5, 2, 400), rng.normal(0, 0.1, 400), np.ones(400)]
+    y = (x[:, 0] - 5 + 10 * x[:, 1] + rng.normal(size=400) > 1.5).astype(int)
+    df = spark.createDataFrame([(*map(float, r), int(v)) for r, v in zip(x, y, strict=True)] + [(None, 1.0, 1.0, 1)], "a double, b double, c double, y int")
+    got = L.logistic_fit(df, ["a", "b", "c"], "y")
+    z = np.c_[(x[:, :2] - x[:, :2].mean(0)) / x[:, :2].std(0), np.ones(400)]
+    w = np.array([got["a"][2], got["b"][2], got["bias"][2]])
+    weight = np.where(y == 1, 200 / y.sum(), 200 / (400 - y.sum()))
+    slope = z.T @ (weight * (1 / (1 + np.exp(-z @ w)) - y)) + np.array([1.0, 1.0, 0.0]) * w
+    assert abs(slope).max() < 1e-6 and got["c"][2] == 0.0 and w[0] > 1
+    one = L.logistic_fit(df.where("y = 1"), ["a"], "y")
+    assert one["a"][2] == 0.0 and L.logistic_fit(df.limit(0), ["a"], "y")["bias"] == (0.0, 0.0, 0.0)

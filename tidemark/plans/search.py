@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators import bags as B
+from tidemark.operators import evaluation as E
+from tidemark.operators import learning as L
 from tidemark.operators.gates import Axis, Goal, gate_search
 from tidemark.sources.tables import events, table
 
@@ -74,7 +76,27 @@ def flank_novelty(spark: SparkSession, sf: str) -> DataFrame:
     return B.flank_novelty(bags, lengths, "user_id", "seg", "item", "n", 2 * BAR).withColumn("novelty", F.round("novelty", 6))
 
 
-QUERIES = {f.__name__: f for f in (gate_search_six, gate_pick, later_match, flank_novelty)}
+HOUR = 3_600_000_000
+
+
+def grid_evaluation(spark: SparkSession, sf: str) -> DataFrame:
+    """Each user's views as estimates of the user's clicks, in hours: the full report and both scores."""
+    ev = events(spark, sf).select("user_id", "t", "event_type")
+    hours = {"hits": (1, 3, 6, 24), "matched": (3, 12), "kept": (3, 6, 24)}
+    out = E.evaluate_grids(ev.where("event_type = 'click'"), ev.where("event_type = 'view'"), "user_id", "t", float(HOUR), **hours)
+    out = out.withColumns({"strict": E.strict_score("hit_rate_3", "f1_3", "f1_12", "continuity_6"), "score": E.report_score("hit_rate_6", "f1_3", "12", "continuity_6")})
+    return out.select("user_id", *(F.round(c, 6).alias(c) if k == "double" else c for c, k in out.dtypes if c != "user_id"))
+
+
+def logistic_fit(spark: SparkSession, sf: str) -> DataFrame:
+    """Class-balanced logistic regression of a document's quality on its length, symbols and language, to convergence."""
+    docs = table(spark, sf, "documents").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
+    x = docs.select(F.log(F.length("text") + 1.0).alias("length"), (F.regexp_count("text", F.lit("[|#*$%&!]")) / (F.length("text") + 1.0)).alias("symbols"), (F.col("lang") == "en").cast("double").alias("english"), "quality")
+    model = L.logistic_fit(x, ["length", "symbols", "english"], "quality")
+    return spark.createDataFrame([(c, *(round(v, 6) for v in m)) for c, m in model.items()], "name string, mean double, deviation double, weight double")
+
+
+QUERIES = {f.__name__: f for f in (gate_search_six, gate_pick, later_match, flank_novelty, grid_evaluation, logistic_fit)}
 
 CHOSEN = """line AS (SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate, round(1 - 2 * l_discount + l_partkey % 7 * 0.001::DOUBLE, 3) AS probability, l_quantity AS predicted, round(1 - 2.5::DOUBLE * l_tax, 3) AS confidence,
     (l_suppkey * 7 % 230)::DOUBLE AS snap, (l_partkey * 3 % 101)::DOUBLE / 100.0::DOUBLE AS fake FROM lineitem),
@@ -126,6 +148,21 @@ ORACLE = {
   s AS (SELECT l.user_id, l.start, l.later, low::DOUBLE / (a.t + c.t - low)::DOUBLE AS similarity FROM low l JOIN wt a ON a.user_id = l.user_id AND a.start = l.start JOIN wt c ON c.user_id = l.user_id AND c.start = l.later),
   best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY user_id, start ORDER BY similarity DESC, later) = 1)
   SELECT user_id, start, round(coalesce(similarity, 0), 6)::DOUBLE AS similarity, later FROM q LEFT JOIN best USING (user_id, start)""",
+    "grid_evaluation": f"""WITH RECURSIVE g AS (SELECT user_id, coalesce(list(epoch_us(ts) ORDER BY ts) FILTER (event_type = 'click'), []) AS a, coalesce(list(epoch_us(ts) ORDER BY ts) FILTER (event_type = 'view'), []) AS b FROM events WHERE event_type IN ('click', 'view') GROUP BY 1),
+  tl AS (SELECT unnest([3, 12]) AS m), walk AS (SELECT user_id, m, a, b, 1 AS i, 1 AS j, 0 AS met FROM g, tl UNION ALL SELECT user_id, m, a, b, CASE WHEN b[j] - a[i] >= -m * {HOUR} THEN i + 1 ELSE i END, CASE WHEN b[j] - a[i] <= m * {HOUR} THEN j + 1 ELSE j END, met + (abs(b[j] - a[i]) <= m * {HOUR})::INT FROM walk WHERE i <= len(a) AND j <= len(b)),
+  mt AS (SELECT user_id, max(met) FILTER (m = 3) AS m3, max(met) FILTER (m = 12) AS m12 FROM walk GROUP BY 1),
+  r AS (SELECT user_id, unnest(a) AS t, unnest(range(1, len(a) + 1)) AS i, b FROM g),
+  e AS (SELECT user_id, i, (list_min(list_transform(b, lambda x: (abs(x - t), x)))[2] - t)::DOUBLE / {HOUR} AS e FROM r), x AS (SELECT *, coalesce(abs(e), 'inf'::DOUBLE) AS a FROM e),
+  kp AS (SELECT user_id, k, max(c) AS run FROM (SELECT user_id, k, i - o AS gg, count(*) AS c FROM (SELECT user_id, k, i, row_number() OVER (PARTITION BY user_id, k ORDER BY i) AS o FROM x, (SELECT unnest([3, 6, 24]) AS k) WHERE a <= k) GROUP BY ALL) GROUP BY ALL),
+  kr AS (SELECT user_id, max(run) FILTER (k = 3) AS r3, max(run) FILTER (k = 6) AS r6, max(run) FILTER (k = 24) AS r24 FROM kp GROUP BY 1),
+  st AS (SELECT user_id, quantile_cont(e, 0.5::DOUBLE) AS q, avg(e) AS mean, quantile_cont(abs(e), 0.5::DOUBLE) AS q5, avg(abs(e)) AS ma, quantile_cont(abs(e), 0.9::DOUBLE) AS q9, quantile_cont(abs(e), 0.95::DOUBLE) AS q95, max(abs(e)) AS mx, {', '.join(f'avg((a <= {h})::INT::DOUBLE) AS h{h}' for h in (1, 3, 6, 24))} FROM x GROUP BY 1),
+  f AS (SELECT user_id, len(a) AS n, len(b) AS k, coalesce(m3, 0) AS m3, coalesce(m12, 0) AS m12, CASE WHEN len(a) > 0 THEN 'inf'::DOUBLE ELSE 0 END AS none, {', '.join(f'coalesce({c}, 0)::DOUBLE AS {c}' for c in ('h1', 'h3', 'h6', 'h24', 'r3', 'r6', 'r24'))}, q, mean, q5, ma, q9, q95, mx FROM g LEFT JOIN mt USING (user_id) LEFT JOIN kr USING (user_id) LEFT JOIN st USING (user_id)),
+  p AS (SELECT *, {', '.join(f'm{m}::DOUBLE / greatest(k, 1) AS p{m}, m{m}::DOUBLE / greatest(n, 1) AS c{m}' for m in (3, 12))} FROM f), o AS (SELECT *, {', '.join(f'CASE WHEN p{m} + c{m} > 0 THEN 2 * p{m} * c{m} / (p{m} + c{m}) ELSE 0 END AS f{m}' for m in (3, 12))}, {', '.join(f'r{k} / greatest(n, 1) AS k{k}' for k in (3, 6, 24))}, coalesce(q5, none) AS md, coalesce(q95, none) AS tail FROM p),
+  w AS (SELECT *, CASE WHEN isinf(md) THEN 0 ELSE 1 / (1 + md / 12) END AS wm, CASE WHEN isinf(tail) THEN 0 ELSE 1 / (1 + tail / 45) END AS wt FROM o)
+  SELECT user_id, n AS reference_count, k AS estimated_count, m12::BIGINT AS matched_count, {', '.join(f'round(coalesce({c}, none), 6) AS {a}' for c, a in (('q', 'median_error'), ('mean', 'mean_error'), ('q5', 'median_abs_error'), ('ma', 'mean_abs_error'), ('q9', 'p90_abs_error'), ('q95', 'p95_abs_error'), ('mx', 'max_abs_error')))},
+    {', '.join(f'round(h{h}, 6) AS hit_rate_{h}' for h in (1, 3, 6, 24))}, {', '.join(f'round({c}{m}, 6) AS {a}_{m}' for m in (3, 12) for c, a in (('p', 'precision'), ('c', 'recall'), ('f', 'f1')))}, (k - m12)::BIGINT AS false_positive_count, (n - m12)::BIGINT AS missed_count, {', '.join(f'round(k{x}, 6) AS continuity_{x}' for x in (3, 6, 24))},
+    round(least(greatest(0.24::DOUBLE * wm + 0.24::DOUBLE * h3 + 0.3::DOUBLE * f3 + 0.12::DOUBLE * k6 + 0.1::DOUBLE * f12, 0), 1), 6) AS strict,
+    CASE WHEN NOT isinf(md) AND NOT isinf(tail) THEN round(least(greatest(0.24::DOUBLE * wm + 0.18::DOUBLE * h6 + 0.2::DOUBLE * f3 + 0.12::DOUBLE * f12 + 0.08::DOUBLE * p12 + 0.08::DOUBLE * c12 + 0.06::DOUBLE * k6 + 0.04::DOUBLE * wt - least(0.22::DOUBLE, 0.12::DOUBLE * (k - m12) / greatest(k, 1) + 0.14::DOUBLE * (n - m12) / greatest(n, 1)), 0), 1), 6) END AS score FROM w""",
     "flank_novelty": f"""WITH {_SEGS}, e AS (SELECT user_id, unnest(range(segments)) AS seg FROM len),
   f AS (SELECT e.user_id, e.seg, item, coalesce(sum(n) FILTER (b.seg < e.seg), 0) AS a, coalesce(sum(n) FILTER (b.seg >= e.seg), 0) AS c FROM e JOIN b ON b.user_id = e.user_id AND b.seg >= e.seg - {2 * BAR} AND b.seg < e.seg + {2 * BAR} GROUP BY ALL),
   g AS (SELECT user_id, seg, CASE WHEN sum(a) = 0 OR sum(c) = 0 THEN 0 ELSE 1 - sum(least(a, c))::DOUBLE / sum(greatest(a, c)) END AS novelty FROM f GROUP BY ALL)
