@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import curves as C
 from tidemark.operators import generators as G
+from tidemark.operators.repair import repair_grids
 from tidemark.sources.tables import events
 
 #: Microseconds of the events' time that are one second of a track: in `SLOW` a day is about half a second, in `FAST` a quarter of that.
@@ -82,7 +83,22 @@ def generated_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return G.or_else(mixed, fallback, "user_id").select("user_id", F.round("t", 6).alias("t"), "source", F.round("score", 6).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (estimate_scores, context_windows, clock_candidates, structural_candidates, fallback_candidates, generated_candidates)}
+DAY = 86_400_000_000
+
+
+def grid_repair(spark: SparkSession, sf: str) -> DataFrame:
+    """Each user's first event of a day as a beat every half second, off by the time of day; repaired up to the day of all last events. Days that begin with a purchase vote for downbeats."""
+    ev = events(spark, sf)
+    first, last = ev.agg(F.min("t"), F.max("t")).first()
+    day = F.floor((F.col("t") - (first or 0)) / DAY)
+    days = ev.groupBy("user_id", day.alias("day")).agg(F.min(F.struct("t", "event_id", "event_type")).alias("e"))
+    beats = days.select("user_id", (F.col("day") * 0.5 + (F.col("e.t") - (first or 0) - F.col("day") * DAY) / float(DAY) * 0.05).alias("t"), F.col("e.event_type").alias("kind"))
+    end = ((last or 0) - (first or 0)) // DAY * 0.5 + 1.2
+    rows, _ = repair_grids(beats, beats.where("kind = 'purchase'"), beats.groupBy("user_id").agg(F.lit(end).alias("duration")), "user_id", "t")
+    return rows.select("user_id", "i", F.round("t", 6).alias("t"), "downbeat")
+
+
+QUERIES = {f.__name__: f for f in (grid_repair, estimate_scores, context_windows, clock_candidates, structural_candidates, fallback_candidates, generated_candidates)}
 
 
 def _frames_sql(scale: int) -> str:
@@ -176,7 +192,23 @@ def _estimates_sql() -> str:
     {', '.join(f'round(CASE WHEN ok THEN {c} ELSE 0 END, 6)::DOUBLE AS {n}' for c, n in (('beat_s', 'beat_support'), ('rate', 'beat_hit_rate'), ('contrast', 'offbeat_contrast'), ('stability', 'tempo_stability'), ('cover', 'coverage'), ('down', 'downbeat_support')))}, nb AS n_beats, nd AS n_downbeats FROM z"""
 
 
+_TURN = "atan2(s, c) / (2 * pi())"
 ORACLE = {
+    "grid_repair": f"""WITH x AS (SELECT min(epoch_us(ts)) AS f, max(epoch_us(ts)) AS l FROM events), e AS (SELECT user_id, (epoch_us(ts) - x.f) // {DAY} AS day, min((epoch_us(ts), event_id, event_type)) AS e, any_value(x.f) AS f0, any_value((x.l - x.f) // {DAY}) * 0.5::DOUBLE + 1.2::DOUBLE AS duration FROM events, x GROUP BY ALL),
+  b AS (SELECT user_id, day * 0.5::DOUBLE + (e[1] - f0 - day * {DAY})::DOUBLE / {DAY}.0::DOUBLE * 0.05::DOUBLE AS t, e[3] AS kind, duration FROM e),
+  g AS (SELECT *, t - lag(t) OVER (PARTITION BY user_id ORDER BY t) AS g0 FROM b), gg AS (SELECT *, CASE WHEN g0 > 0.08 AND g0 < 4 THEN g0 END AS g FROM g), pp AS (SELECT *, quantile_cont(g, 0.5::DOUBLE) OVER (PARTITION BY user_id) AS p FROM gg),
+  tp AS (SELECT user_id, max(duration) AS duration, count(*) AS n, count(g) AS k, max(p) AS p, quantile_cont(abs(g - p), 0.5::DOUBLE) AS mad FROM pp GROUP BY 1),
+  st AS (SELECT *, CASE WHEN n >= 4 AND k >= 3 THEN greatest(0, least(1, 1 - mad / greatest(1e-6, 0.08::DOUBLE * p))) ELSE 0 END AS stability FROM tp),
+  cm AS (SELECT b.user_id, p, any_value(st.duration) AS duration, count(*) AS n, avg(cos(2 * pi() * (t - floor(t / p) * p) / p)) AS c, avg(sin(2 * pi() * (t - floor(t / p) * p) / p)) AS s, min(t) AS f FROM b JOIN st USING (user_id) WHERE stability >= 0.72 GROUP BY ALL),
+  o0 AS (SELECT *, (CASE WHEN {_TURN} < 0 THEN {_TURN} + 1 ELSE {_TURN} END) * p AS base FROM cm WHERE n >= 3 AND sqrt(c * c + s * s) >= 0.3), o AS (SELECT user_id, p, duration, least(0.01::DOUBLE, greatest(0.001::DOUBLE, 0.02::DOUBLE * p)) AS edge, greatest(base + round_even((f - base) / p, 0) * p, 0) AS origin FROM o0),
+  sl AS (SELECT o.*, round_even((t - origin) / p, 0)::BIGINT AS slot, t FROM b JOIN o USING (user_id)), sn AS (SELECT DISTINCT user_id, p, duration, edge, slot, greatest(origin + slot * p, 0) AS t2 FROM sl WHERE abs(t - greatest(origin + slot * p, 0)) <= greatest(0.02::DOUBLE, 0.28::DOUBLE * p)),
+  ln AS (SELECT *, lead(t2) OVER (PARTITION BY user_id ORDER BY slot) AS nx FROM sn), mi AS (SELECT *, CASE WHEN nx - t2 > 1.55::DOUBLE * p THEN round_even((nx - t2) / p, 0)::BIGINT - 1 ELSE 0 END AS m FROM ln),
+  fi AS (SELECT user_id, p, duration, edge, unnest(list_concat([t2], list_filter(list_transform(range(1, m + 1), lambda k: t2 + k * p), lambda x: x < nx - 0.35::DOUBLE * p))) AS t FROM mi), ins AS (SELECT * FROM fi WHERE t <= duration + edge),
+  la AS (SELECT user_id, p, max(t) AS l, floor((any_value(duration) + any_value(edge) - max(t)) / p)::BIGINT AS m FROM ins GROUP BY user_id, p), al AS (SELECT user_id, t FROM ins UNION ALL SELECT user_id, l + unnest(range(1, m + 1)) * p FROM la),
+  pl AS (SELECT user_id, t, row_number() OVER (PARTITION BY user_id ORDER BY t) - 1 AS i FROM al), v AS (SELECT b.user_id, b.t, arg_min(i, (abs(pl.t - b.t), pl.t)) AS i FROM b JOIN pl USING (user_id) WHERE kind = 'purchase' GROUP BY ALL),
+  vc AS (SELECT user_id, i % 4 AS phase, count(*) AS n FROM v GROUP BY ALL), ph AS (SELECT user_id, phase FROM vc QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, phase) = 1)
+  SELECT user_id, i, round(t, 6) AS t, i >= coalesce(phase, 0) AND (i - coalesce(phase, 0)) % 4 = 0 AS downbeat FROM pl LEFT JOIN ph USING (user_id)
+  UNION ALL SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY t) - 1, round(t, 6), false FROM b WHERE user_id NOT IN (SELECT user_id FROM o)""",
     "estimate_scores": _estimates_sql(),
     "context_windows": f"""{_frames_sql(SLOW)}, c AS (SELECT user_id, event_id, t AS c FROM f WHERE event_type = 'purchase'), g AS (SELECT user_id, event_id, k AS frame, c - 2.0::DOUBLE + k * 0.5::DOUBLE AS t FROM c, (SELECT unnest(range(9)) AS k)),
   one AS (SELECT user_id, t, min((rms, onset)) AS x FROM f GROUP BY ALL), a AS (SELECT g.user_id, g.event_id, g.frame, g.t, max((one.t, one.x)) FILTER (one.t < g.t) AS a, min((one.t, one.x)) FILTER (one.t >= g.t) AS b FROM g JOIN one USING (user_id) GROUP BY ALL),
