@@ -85,3 +85,13 @@ def test_no_hit_is_lost_where_queries_share_an_image(spark):
     hits = {(r.query_id, r.media_id) for r in rows if r.kind == "hit"}
     assert {(q, m) for q, a in of["query"] for m, b in of["image"] if (a, b) in hits} == pairs and len(hits) == 3
     assert D.grouped_copies(images.limit(0), queries).count() == 0
+
+
+def test_drawn_vectors_with_nulls_and_columns_of_clashing_names(spark):
+    rows = [(1, [float("nan")] * 64), (2, [None] * 64), (3, None), (4, [0.5] * 64), (5, [float(i % 7) for i in range(64)])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for c in ("no", "first", "corners", "q", "g", "word", "image_id"):
+        vectors = vectors.withColumn(c, vectors.vec_id)
+    drawn = D.rendered(vectors.where("vec_id <> 1"))
+    assert {r.media_id for r in drawn.where("image is null").collect()} == {2, 3}
+    assert {(r.query_id, r.media_id) for r in D.find_copies(drawn, drawn).collect()} <= {(4, 4), (5, 5)}

@@ -421,3 +421,20 @@ def test_viterbi_of_a_very_long_text_is_that_of_a_walk():
                 walk.append(int(f[walk[-1]]))
             want += walk[::-1]
     assert Q.viterbi(model, codes, at).tolist() == want
+
+
+def test_coding_an_empty_table_gives_no_rows(spark):
+    none = docs(spark, [])
+    assert B.encode_documents(none, MULTI, public.PATTERN).count() == 0
+    assert none.withColumn("t", B.encode_with_offsets("text", MULTI, public.PATTERN)).count() == 0
+
+
+def test_language_of_a_text_of_megabytes(spark):
+    rng = random.Random(5)
+    words = {"en": ["the", "and", "thing", "with", "shore"], "de": ["und", "nicht", "schon", "über", "zwei"]}
+    text = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    langs = ["en", "de"] * 60
+    texts = [text(x, 40) for x in langs] + [text("de", 600_000), text("en", 600_000)]
+    df = docs(spark, texts, lang=[*langs, None, None])
+    got = {r.doc_id: r.language for r in L.identify(df).where("doc_id >= 120").select("doc_id", "language").collect()}
+    assert (got[120].lang, got[121].lang) == ("de", "en") and all(0 <= x.score <= 1 for x in got.values())
