@@ -198,3 +198,19 @@ def test_logistic_regression_converges(spark):
     assert abs(slope).max() < 1e-6 and got["c"][2] == 0.0 and w[0] > 1
     one = L.logistic_fit(df.where("y = 1"), ["a"], "y")
     assert one["a"][2] == 0.0 and L.logistic_fit(df.limit(0), ["a"], "y")["bias"] == (0.0, 0.0, 0.0)
+
+
+def test_measures_come_from_the_first_place_that_has_a_number(spark):
+    from tidemark.functions.candidates import metric_of, score_components
+
+    rows = spark.createDataFrame(
+        [(0.5, (None, 0.2), (0.9, 0.9), 1), (None, (0.7, None), (float("nan"), 0.4), 3), (float("inf"), None, None, None)],
+        "confidence_score double, features struct<micro_confidence: double, transient_strength: double>, microalign struct<micro_confidence: double, transient_strength: double>, size int",
+    )
+    metric = metric_of(rows)
+    got = [tuple(r) for r in rows.select(metric("confidence_score"), metric("micro_confidence"), metric("transient_strength"), metric("missing")).collect()]
+    assert got == [(0.5, 0.9, 0.2, 0.0), (0.0, 0.7, 0.4, 0.0), (0.0, 0.0, 0.0, 0.0)]
+    c = [r.components for r in score_components(rows.na.fill(1, ["size"]), cluster_size="size").collect()]
+    assert abs(c[0].final - (0.18 * 0.5 + 0.18 * 0.9 + 0.13 * 0.2)) < 1e-12 and abs(c[1].final - (0.18 * 0.7 + 0.13 * 0.4 + 0.05 * 0.36)) < 1e-12 and c[2].final == 0.0
+    roles = score_components(rows.withColumn("roles", F.array(F.lit("drums"), F.lit("saved"), F.lit("drums"), F.lit("bass"))), roles="roles").first().components
+    assert abs(roles.agreement - 2 / 3) < 1e-12 and abs(roles.cluster - 0.36) < 1e-12

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions.candidates import score_components
 from tidemark.operators import bags as B
 from tidemark.operators import evaluation as E
 from tidemark.operators import learning as L
@@ -96,7 +97,19 @@ def logistic_fit(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(c, *(round(v, 6) for v in m)) for c, m in model.items()], "name string, mean double, deviation double, weight double")
 
 
-QUERIES = {f.__name__: f for f in (gate_search_six, gate_pick, later_match, flank_novelty, grid_evaluation, logistic_fit)}
+def component_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines as candidates with measures of their own and in two structs: the parts of their scores; a line stands for its order's lines, whose flags are roles."""
+    li = table(spark, sf, "lineitem")
+    share = lambda k, m: (F.col("l_partkey") * k % m / float(m - 1))
+    features = F.struct((F.col("l_tax") * 12.5).alias("micro_confidence"), share(3, 11).alias("transient_strength"), share(5, 13).alias("low_end_jump"), share(7, 17).alias("vocal_dropout_score"), F.when(F.col("l_linenumber") % 2 == 0, share(11, 19)).alias("drop_impact_score"), share(2, 7).alias("fake_hit_penalty"))
+    micro = F.struct(F.lit(0.9).alias("micro_confidence"), share(13, 23).alias("ableton_asd_quality"), (F.col("l_partkey") % 2).alias("ableton_asd_used"), (F.col("l_suppkey") % 500 - 250.0).alias("snap_offset_ms"))
+    of = li.groupBy("l_orderkey").agg(F.count("*").alias("size"), F.collect_set(F.when(F.col("l_returnflag") == "N", "unknown").otherwise(F.col("l_returnflag"))).alias("roles"))
+    rows = li.select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_discount") * 10).alias("confidence_score"), F.when(F.col("l_quantity") > 25, F.col("l_quantity") / 40).alias("energy_contrast"), features.alias("features"), micro.alias("microalign")).join(of, "l_orderkey")
+    out = score_components(rows, cluster_size="size", roles="roles")
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", *(F.round(F.col("components")[c], 6).alias(c) for c in ("drums", "groove", "boundary", "agreement", "cluster", "negative", "final")))
+
+
+QUERIES = {f.__name__: f for f in (component_scores, gate_search_six, gate_pick, later_match, flank_novelty, grid_evaluation, logistic_fit)}
 
 CHOSEN = """line AS (SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate, round(1 - 2 * l_discount + l_partkey % 7 * 0.001::DOUBLE, 3) AS probability, l_quantity AS predicted, round(1 - 2.5::DOUBLE * l_tax, 3) AS confidence,
     (l_suppkey * 7 % 230)::DOUBLE AS snap, (l_partkey * 3 % 101)::DOUBLE / 100.0::DOUBLE AS fake FROM lineitem),
@@ -163,6 +176,13 @@ ORACLE = {
     {', '.join(f'round(h{h}, 6) AS hit_rate_{h}' for h in (1, 3, 6, 24))}, {', '.join(f'round({c}{m}, 6) AS {a}_{m}' for m in (3, 12) for c, a in (('p', 'precision'), ('c', 'recall'), ('f', 'f1')))}, (k - m12)::BIGINT AS false_positive_count, (n - m12)::BIGINT AS missed_count, {', '.join(f'round(k{x}, 6) AS continuity_{x}' for x in (3, 6, 24))},
     round(least(greatest(0.24::DOUBLE * wm + 0.24::DOUBLE * h3 + 0.3::DOUBLE * f3 + 0.12::DOUBLE * k6 + 0.1::DOUBLE * f12, 0), 1), 6) AS strict,
     CASE WHEN NOT isinf(md) AND NOT isinf(tail) THEN round(least(greatest(0.24::DOUBLE * wm + 0.18::DOUBLE * h6 + 0.2::DOUBLE * f3 + 0.12::DOUBLE * f12 + 0.08::DOUBLE * p12 + 0.08::DOUBLE * c12 + 0.06::DOUBLE * k6 + 0.04::DOUBLE * wt - least(0.22::DOUBLE, 0.12::DOUBLE * (k - m12) / greatest(k, 1) + 0.14::DOUBLE * (n - m12) / greatest(n, 1)), 0), 1), 6) END AS score FROM w""",
+    "component_scores": """WITH o AS (SELECT l_orderkey, count(*) AS size, count(DISTINCT l_returnflag) FILTER (l_returnflag <> 'N') AS roles FROM lineitem GROUP BY 1),
+  x AS (SELECT l_orderkey, l_linenumber, l_partkey, size, roles, least(l_discount * 10, 1) AS original, least(l_tax * 12.5::DOUBLE, 1) AS micro, (l_partkey * 3 % 11)::DOUBLE / 10.0::DOUBLE AS drums, least(CASE WHEN l_quantity > 25 THEN l_quantity / 40.0::DOUBLE ELSE 0 END, 1) AS inst, (l_partkey * 5 % 13)::DOUBLE / 12.0::DOUBLE AS bass,
+    0.85::DOUBLE * ((l_partkey * 7 % 17)::DOUBLE / 16.0::DOUBLE) AS vocal, CASE WHEN l_linenumber % 2 = 0 THEN (l_partkey * 11 % 19)::DOUBLE / 18.0::DOUBLE ELSE 0 END AS groove, (l_partkey * 13 % 23)::DOUBLE / 22.0::DOUBLE * CASE WHEN l_partkey % 2 > 0 THEN 1 ELSE 0.45 END::DOUBLE AS boundary,
+    (l_partkey * 2 % 7)::DOUBLE / 6.0::DOUBLE AS fake, least(abs(l_suppkey % 500 - 250.0::DOUBLE) / 220.0::DOUBLE, 1) AS off FROM lineitem JOIN o USING (l_orderkey)),
+  y AS (SELECT *, least(1, roles / 3.0::DOUBLE) AS agreement, least(0.18::DOUBLE * (size - 1) + 0.18::DOUBLE * roles, 1) AS cluster, 0.1::DOUBLE * fake + 0.06::DOUBLE * off AS negative FROM x)
+  SELECT l_orderkey, l_linenumber, l_partkey, round(drums, 6) AS drums, round(groove, 6) AS groove, round(boundary, 6) AS boundary, round(agreement, 6)::DOUBLE AS agreement, round(cluster, 6)::DOUBLE AS cluster, round(negative, 6) AS negative,
+    round(least(greatest(0.18::DOUBLE * original + 0.18::DOUBLE * micro + 0.13::DOUBLE * drums + 0.11::DOUBLE * inst + 0.1::DOUBLE * bass + 0.08::DOUBLE * vocal + 0.08::DOUBLE * groove + 0.07::DOUBLE * agreement + 0.05::DOUBLE * boundary + 0.05::DOUBLE * cluster - negative, 0), 1), 6) AS final FROM y""",
     "flank_novelty": f"""WITH {_SEGS}, e AS (SELECT user_id, unnest(range(segments)) AS seg FROM len),
   f AS (SELECT e.user_id, e.seg, item, coalesce(sum(n) FILTER (b.seg < e.seg), 0) AS a, coalesce(sum(n) FILTER (b.seg >= e.seg), 0) AS c FROM e JOIN b ON b.user_id = e.user_id AND b.seg >= e.seg - {2 * BAR} AND b.seg < e.seg + {2 * BAR} GROUP BY ALL),
   g AS (SELECT user_id, seg, CASE WHEN sum(a) = 0 OR sum(c) = 0 THEN 0 ELSE 1 - sum(least(a, c))::DOUBLE / sum(greatest(a, c)) END AS novelty FROM f GROUP BY ALL)
