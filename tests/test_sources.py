@@ -79,3 +79,21 @@ def test_streams_end_as_the_batch_does(spark, tmp_path):
     once = []
     sessions.to_batches(sessions.first_seen(sessions.event_stream(spark, str(tmp_path / "in"))), lambda df, i: once.extend(df.collect()), str(tmp_path / "cp2")).awaitTermination()
     assert len(once) == rows.select("event_id").distinct().count()
+
+
+def test_snapshots_tell_what_moved(spark):
+    paths = lambda *p: spark.createDataFrame([(x,) for x in p], "path string")
+    before = files.track_snapshot(paths("/m/120/8A/one/drums.wav", "/m/120/8A/one/bass.wav", "/m/121/9A/two/x.wav", "/m/abc/9A/no/x.wav", "/m/130/1B/gone/x.wav"))
+    assert sorted(tuple(r) for r in before.collect()) == [(120, "8A", "one", "/m/120/8A/one"), (121, "9A", "two", "/m/121/9A/two"), (130, "1B", "gone", "/m/130/1B/gone")]
+    after = files.track_snapshot(paths("/m/122/8A/one/drums.wav", "/m/121/9A/two/x.wav", "/m/100/1A/new/x.wav"))
+    got = sorted(tuple(r) for r in files.snapshot_changes(before, after).collect())
+    assert got == [("gone", "removed", "/m/130/1B/gone", None), ("new", "added", None, "/m/100/1A/new"), ("one", "moved", "/m/120/8A/one", "/m/122/8A/one")]
+
+
+def test_queue_artifacts_are_written_in_parts(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "accept", 0.9), (2, "hold", 0.2), (3, "hold", 0.8), (4, None, None)], "id int, gate string, score double")
+    counts = sinks.queue_artifacts(rows, str(tmp_path), {"holds": F.col("gate") == "hold", "sure": F.col("score") >= 0.5, "none": F.col("id") > 9}, ["id", "score", "missing"])
+    assert counts == {"holds": 2, "sure": 2, "none": 0}
+    sure = spark.read.option("header", True).csv(f"{tmp_path}/parts/_part=sure")
+    assert sorted(r.id for r in sure.collect()) == ["1", "3"] and sure.columns == ["id", "score", "missing"]
+    assert {(r.part, r.n) for r in spark.read.json(f"{tmp_path}/summary").collect()} == {("holds", 2), ("sure", 2), ("none", 0)}

@@ -164,3 +164,23 @@ def cues(rows: DataFrame, column: str) -> DataFrame:
     schema = "struct<cues:array<struct<name:string,time:double>>>"
     text = F.try_to_binary(F.regexp_replace(column, r"\s", ""), F.lit("base64")).cast("string")
     return rows.withColumn("cues", F.coalesce(F.transform(F.from_json(text, schema)["cues"], lambda c: F.struct(c["name"].alias("name"), (c["time"] / 1000).alias("time"))), F.array().cast("array<struct<name:string,time:double>>")))
+
+
+def track_snapshot(paths: DataFrame, column: str = "path") -> DataFrame:
+    """bpm, key, track and folder of every track folder `…/<BPM>/<KEY>/<track>/…` under which files lie; folders of other names than digits, and empty ones, are not in it."""
+    part = lambda i: F.regexp_extract(column, r"^(.*/([0-9]+)/([^/]+)/([^/]+))/[^/]+$", i)
+    rows = paths.select(part(2).cast("int").alias("bpm"), part(3).alias("key"), part(4).alias("track"), part(1).alias("folder"))
+    return rows.where("folder <> ''").distinct()
+
+
+def snapshot_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """track, change (added, removed or moved), was and now (folders): a track that lies in one folder before and in one other after has moved."""
+    left = before.groupBy("track").agg(F.array_sort(F.collect_set("folder")).alias("a"))
+    both = left.join(after.groupBy("track").agg(F.array_sort(F.collect_set("folder")).alias("b")), "track", "full")
+    none = F.array().cast("array<string>")
+    gone, new = F.array_except(F.coalesce("a", none), F.coalesce("b", none)), F.array_except(F.coalesce("b", none), F.coalesce("a", none))
+    told = both.select("track", gone.alias("gone"), new.alias("new")).withColumn("moved", (F.size("gone") == 1) & (F.size("new") == 1))
+    moved = F.array(F.struct(F.lit("moved").alias("change"), F.get("gone", F.lit(0)).alias("was"), F.get("new", F.lit(0)).alias("now")))
+    nothing = F.lit(None).cast("string")
+    apart = F.concat(F.transform("gone", lambda f: F.struct(F.lit("removed").alias("change"), f.alias("was"), nothing.alias("now"))), F.transform("new", lambda f: F.struct(F.lit("added").alias("change"), nothing.alias("was"), f.alias("now"))))
+    return told.select("track", F.inline(F.when(F.col("moved"), moved).otherwise(apart)))

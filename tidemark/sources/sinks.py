@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -87,3 +87,20 @@ def read_whole(spark: SparkSession, path: str, schema: str | StructType) -> Data
     """The table's present version; no rows before the first one."""
     version = current_version(spark, path)
     return spark.read.schema(schema).parquet(f"{path}/{version}") if version else spark.createDataFrame([], schema)
+
+
+def queue_artifacts(rows: DataFrame, folder: str, parts: dict[str, Column], columns: list[str]) -> dict[str, int]:
+    """One CSV folder for each part with the rows that its condition holds for, and `summary` (JSON lines) with each part's count; returns the counts.
+
+    A row may be in several parts. Every row gets the list of its parts once, so conditions are judged in one pass and counts agree with what is written.
+    """
+    named = F.array_compact(F.array(*(F.when(c, F.lit(name)) for name, c in parts.items())))
+    put = rows.withColumn("_part", F.explode(named))
+    shown = [F.col(c).cast("string").alias(c) if c in rows.columns else F.lit("").alias(c) for c in columns]
+    put.select("_part", *shown).write.mode("overwrite").partitionBy("_part").option("header", True).csv(f"{folder}/parts")
+    spark = rows.sparkSession
+    kinds = ", ".join(f"`{c}` string" for c in columns)
+    counted = spark.read.schema(f"{kinds}, _part string").option("header", True).csv(f"{folder}/parts").groupBy("_part").count().collect()
+    counts = dict.fromkeys(parts, 0) | {r["_part"]: r["count"] for r in counted}
+    jsonl(spark.createDataFrame(list(counts.items()), "part string, n long"), f"{folder}/summary")
+    return counts
