@@ -10,6 +10,7 @@ from pyspark.sql.types import StructType
 
 from tidemark.functions.num import clip01, finite
 
+# Fixed values, as candidates in files have them: names of measures, and what they count for.
 #: Structs of a candidate that may hold a measure, in the order in which they are asked.
 NESTED = ("features", "feature_summary", "microalign", "metrics", "debug")
 #: What a candidate's parts count for, and what its penalties cost.

@@ -87,7 +87,7 @@ def key_neighbours(number: Column, letter: Column) -> Column:
     return F.array(text(number, letter), text(wrap12(number + 1), letter), text(wrap12(number - 1), letter), text(number, F.when(letter == "A", "B").otherwise("A")))
 
 
-#: Steps along the circle of keys, and whether the letter changes, from the nicest on; a mode has them up to its own ones.
+#: Steps along the circle of keys, and whether the letter changes, from the nicest on; a mode has them up to its own ones.
 KEY_STEPS = {"safe": [(0, False), (0, True), (1, False), (-1, False)], "energy": [(2, False), (-2, False)], "pro": [(1, True), (-1, True), (7, False), (-7, False)], "open": [(6, False)]}
 
 

@@ -14,6 +14,7 @@ from tidemark.operators.curves import span_means, span_peaks
 from tidemark.operators.joins import ranked
 from tidemark.operators.windows import percentile_normalised
 
+# The roles, and in the functions below the weights and spans of evidence.
 ROLES = ("drums", "bass", "instrumental", "vocals")
 #: Slowest tempo there is; tolerances and spans are bounded by its beat.
 SLOWEST = 60.0

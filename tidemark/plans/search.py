@@ -13,7 +13,7 @@ from tidemark.operators import learning as L
 from tidemark.operators.gates import Axis, Goal, gate_search
 from tidemark.sources.tables import events, table
 
-#: Thresholds of the gate, strictest first.
+#: Thresholds of the gates, strictest first.
 GATE = [
     Axis("probability", tuple(round(0.995 - 0.005 * i, 3) for i in range(40))),
     Axis("predicted", (5.0, 8.0, 10.0, 15.0, 20.0, 25.0, 35.0, 50.0), at_least=False),
