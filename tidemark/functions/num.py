@@ -21,6 +21,11 @@ def clip01(x: Column) -> Column:
     return F.least(F.greatest(F.coalesce(finite(x), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
 
 
+def half_up(x: Column, digits: int) -> Column:
+    """Rounded as SQL engines round doubles: the product with the power of ten to a whole number, halves away from 0. Spark's own `round` goes by the shortest text of x."""
+    return F.round(x * 10.0**digits) / 10.0**digits
+
+
 def norm(x: Column, low: Column, high: Column) -> Column:
     """Position between two bounds, clipped; 0 where they coincide."""
     return F.when(high > low, clip01((x - low) / (high - low))).otherwise(0.0)

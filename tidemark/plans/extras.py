@@ -117,7 +117,7 @@ def later_stronger(spark: SparkSession, sf: str) -> DataFrame:
 def queue_order(spark: SparkSession, sf: str) -> DataFrame:
     """Review queue of orders: status first, then expected value (price by risk), then key, with their place and reason."""
     risk = F.when(F.col("o_orderpriority").startswith("1"), 1.0).when(F.col("o_orderpriority").startswith("2"), 0.8).otherwise(0.3)
-    rows = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "O", 0).when(F.col("o_orderstatus") == "P", 1).otherwise(2).alias("s"), F.round(F.col("o_totalprice") * risk, 2).alias("v"))
+    rows = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "O", 0).when(F.col("o_orderstatus") == "P", 1).otherwise(2).alias("s"), N.half_up(F.col("o_totalprice") * risk, 2).alias("v"))
     reason = F.concat(F.element_at(F.array(F.lit("open"), F.lit("partial"), F.lit("done")), F.col("s") + 1), F.lit(":"), F.when(F.col("v") >= 200000, "high").otherwise("normal")).alias("reason")
     return R.places(rows, [F.col("s"), F.desc("v"), F.col("o_orderkey")]).select("o_orderkey", "place", reason)
 
