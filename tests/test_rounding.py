@@ -1,9 +1,13 @@
 """Values that meet a threshold or a half are rounded as in the queries' SQL."""
 
+import math
+import random
+
 import duckdb
 from pyspark.sql import functions as F
 
-from tidemark.plans import extras
+from tidemark.functions import num as N
+from tidemark.plans import extras, generated
 
 
 def test_queue_order_of_values_that_end_in_a_half(spark, tmp_path):
@@ -15,3 +19,25 @@ def test_queue_order_of_values_that_end_in_a_half(spark, tmp_path):
     want = sorted(con.execute(extras.ORACLE["queue_order"]).fetchall())
     got = extras.queue_order(spark, str(tmp_path)).select("o_orderkey", "place", "reason").collect()
     assert sorted(map(tuple, got)) == want
+
+
+def test_between_is_rounded_once(spark):
+    pick = random.Random(3)
+    rows = [(pick.random(), pick.random(), pick.choice([7.1e-15, pick.random(), 1 - 7e-15])) for _ in range(5_000)]
+    got = spark.createDataFrame(rows, "l double, h double, d double").select("l", "h", "d", N.between(F.col("l"), F.col("h"), F.col("d")).alias("x")).collect()
+    assert all(r.x == math.fma(r.l, 1 - r.d, r.h * r.d) for r in got)
+
+
+def test_beats_at_the_floor_of_76_frames_count_as_in_sql(spark, tmp_path):
+    # 0.68 of 75 is 51 but for its rounding, so that the floor is a frame's own value
+    pick = random.Random(11)
+    month = 30 * 86_400_000_000
+    rows = [(u * 76 + k, u, 1_704_067_200_000_000 + pick.randrange(month), pick.choice(["click", "view", "signup", "purchase"]), round(pick.expovariate(0.02), 2)) for u in range(150) for k in range(76)]
+    path = f"{tmp_path}/events.parquet"
+    df = spark.createDataFrame(rows, "event_id long, user_id long, us long, event_type string, value double")
+    df.select("event_id", F.timestamp_micros("us").cast("timestamp_ntz").alias("ts"), "user_id", "event_type", "value").coalesce(1).write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{path}/*.parquet'")
+    want = con.execute(f"select user_id, provider, beat_hit_rate from ({generated.ORACLE['estimate_scores']})").fetchall()
+    got = generated.estimate_scores(spark, str(tmp_path)).select("user_id", "provider", "beat_hit_rate").collect()
+    assert sorted(map(tuple, got)) == sorted(want)

@@ -26,6 +26,27 @@ def half_up(x: Column, digits: int) -> Column:
     return F.round(x * 10.0**digits) / 10.0**digits
 
 
+def _halves(x: Column) -> tuple[Column, Column]:
+    """x as a sum of two numbers of at most 26 bits."""
+    c = x * 134_217_729.0
+    high = c - (c - x)
+    return high, x - high
+
+
+def multiply_add(a: Column, b: Column, c: Column) -> Column:
+    """a * b + c, rounded once: the product's own rounding error is worked out from halves of a and b, and added last."""
+    p, (a1, a2), (b1, b2) = a * b, _halves(a), _halves(b)
+    lost = ((a1 * b1 - p) + a1 * b2 + a2 * b1) + a2 * b2
+    s = p + c
+    back = s - p
+    return s + ((p - (s - back)) + (c - back) + lost)
+
+
+def between(low: Column, high: Column, share: Column) -> Column:
+    """What lies at the share of the way from low to high, never off by more than the rounding of high * share."""
+    return F.when(low == high, low).otherwise(multiply_add(low, 1 - share, high * share))
+
+
 def norm(x: Column, low: Column, high: Column) -> Column:
     """Position between two bounds, clipped; 0 where they coincide."""
     return F.when(high > low, clip01((x - low) / (high - low))).otherwise(0.0)

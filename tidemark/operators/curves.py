@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.num import clip01
 from tidemark.operators.joins import within
-from tidemark.operators.windows import percentile_normalised
+from tidemark.operators.windows import percentile_normalised, quantiles
 
 #: Widest tolerance, in seconds, around a beat.
 WIDEST = 0.085
@@ -79,7 +79,7 @@ def score_estimates(frames: DataFrame, estimates: DataFrame, by: str, provider:
     three beats, or a track without three frames: every part is 0.
     """
     curves = normalised_curves(frames, by)
-    per_track = curves.groupBy(by).agg(F.count("*").alias("_frames"), F.greatest(F.percentile("beat_curve", F.lit(0.68)), F.lit(0.18)).alias("_floor"))
+    per_track = quantiles(curves, [by], "beat_curve", {"q": 0.68}).select(by, F.col("n").alias("_frames"), F.greatest(F.col("q"), F.lit(0.18)).alias("_floor"))
     e = estimates.select(by, provider, F.col("confidence"), F.col("duration"), _times("beats", "duration").alias("b"), _times("downbeats", "duration").alias("d"))
     gaps = F.when(F.size("b") > 1, F.transform(F.slice("b", 2, F.greatest(F.size("b") - 1, F.lit(0))), lambda x, i: x - F.get("b", i))).otherwise(F.array().cast("array<double>"))
     e = e.withColumn("gaps", gaps).withColumn("good", F.array_sort(F.filter("gaps", lambda g: (g > 0.08) & (g < 4.0))))

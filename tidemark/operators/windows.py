@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.num import norm
+from tidemark.functions.num import between, norm
 
 
 def ordered(by: list[str], *order: str) -> WindowSpec:
@@ -46,6 +46,32 @@ def percentile_normalised(x: str, part: WindowSpec, low: float, high: float) ->
     return norm(F.col(x), F.percentile(x, F.lit(low)).over(part), F.percentile(x, F.lit(high)).over(part))
 
 
+def quantile_ends(x: Column | str, place: Column | str, n: Column | str, p: float) -> tuple[Column, Column, Column]:
+    """What to aggregate for a group's interpolated quantile: the values at the places (from 0, of `n`) around it, and its share of the way between them."""
+    x, place, at = (F.col(c) if isinstance(c, str) else c for c in (x, place, ((F.col(n) if isinstance(n, str) else n) - 1) * F.lit(float(p))))
+    end = lambda k: F.max(F.when(place == k, x))
+    return end(F.floor(at)), end(F.ceil(at)), at - F.floor(at)
+
+
+def quantiles(rows: DataFrame, by: list[str], x: str, ps: dict[str, float]) -> DataFrame:
+    """by, n, and the interpolated quantiles by name of the group's values (no nulls), by their places in a sorted window and rounded once.
+
+    So they compare with the values themselves as they do in SQL engines that fuse the interpolation.
+    """
+    placed = rows.select(*by, x, (F.row_number().over(ordered(by, x)) - 1).alias("_k"), F.count(F.lit(1)).over(W.partitionBy(*by)).alias("_n"))
+    ends = {name: quantile_ends(x, "_k", "_n", p) for name, p in ps.items()}
+    found = placed.groupBy(*by, "_n").agg(*(c.alias(f"_{side}_{name}") for name, e in ends.items() for side, c in zip(("low", "high"), e, strict=False)))
+    return found.select(*by, F.col("_n").alias("n"), *(between(F.col(f"_low_{name}"), F.col(f"_high_{name}"), share).alias(name) for name, (_, _, share) in ends.items()))
+
+
+def frame_quantile(rows: DataFrame, x: str, frame: WindowSpec, p: float, name: str) -> DataFrame:
+    """The rows with the interpolated quantile of x in a frame of few rows, rounded once; null in an empty frame."""
+    at = (F.size("_x") - 1) * F.lit(float(p))
+    get = lambda k: F.get("_x", k.cast("int"))
+    held = rows.withColumn("_x", F.array_sort(F.collect_list(x).over(frame))).withColumns({"_low": get(F.floor(at)), "_high": get(F.ceil(at)), "_share": at - F.floor(at)})
+    return held.withColumn(name, between(F.col("_low"), F.col("_high"), F.col("_share"))).drop("_x", "_low", "_high", "_share")
+
+
 def runs(rows: DataFrame, by: list[str], order: list[str], flag: str) -> DataFrame:
     """Runs of rows with the flag: group, first place, place after the last, length (places from 0)."""
     w = ordered(by, *order)
