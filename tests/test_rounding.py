@@ -50,3 +50,16 @@ def test_a_quantile_ahead_that_is_the_tracks_own(spark):
     cents += [3769, 218, 5941, 0, 0, 0, 12318, 0, 16939, 8302, 1694, 12428, 7726, 5774, 16657, 0, 15486, 6780, 6609, 0, 3012, 0, 13490, 0, 0, 3087, 1559, 1218, 3096]
     bins = spark.createDataFrame([(1, i, c / 100 / 600) for i, c in enumerate(cents)], "u long, i long, rms double")
     assert not M.body_masks(bins, "u", 0.05).where("i = 36").first().placeable
+
+
+def test_times_of_a_grid_that_end_in_a_half(spark, tmp_path):
+    # two days make no tempo, so the times stay: whole numbers of 1,728,000 microseconds and a half, which are millionths and a half
+    first = 1_704_067_200_000_000
+    rows = [(2 * u + d, u, first + d * 86_400_000_000 + (864_000 + 1_728_000 * (u * 37 + 11 * d) if u else 0), "click", 1.0) for u in range(400) for d in range(2)]
+    path = f"{tmp_path}/events.parquet"
+    df = spark.createDataFrame(rows, "event_id long, user_id long, us long, event_type string, value double")
+    df.select("event_id", F.timestamp_micros("us").cast("timestamp_ntz").alias("ts"), "user_id", "event_type", "value").coalesce(1).write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{path}/*.parquet'")
+    want = con.execute(f"select user_id, i, t from ({generated.ORACLE['grid_repair']})").fetchall()
+    assert sorted(map(tuple, generated.grid_repair(spark, str(tmp_path)).select("user_id", "i", "t").collect())) == sorted(want)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.num import half_up
 from tidemark.operators import curves as C
 from tidemark.operators import generators as G
 from tidemark.operators.repair import repair_grids
@@ -55,13 +56,13 @@ def context_windows(spark: SparkSession, sf: str) -> DataFrame:
 def clock_candidates(spark: SparkSession, sf: str) -> DataFrame:
     rows = frames(spark, sf, SLOW)
     out = G.clock_bars(rows, tracks(rows), "user_id")
-    return out.select("user_id", "bar", F.round("t", 6).alias("t"), "source", F.round("score", 6).alias("score"))
+    return out.select("user_id", "bar", half_up(F.col("t"), 6).alias("t"), "source", F.round("score", 6).alias("score"))
 
 
 def structural_candidates(spark: SparkSession, sf: str) -> DataFrame:
     rows = frames(spark, sf, SLOW)
     out = G.structural_times(rows, tracks(rows).withColumns({"low_t": F.lit(2.0), "high_t": 0.6 * F.col("duration")}), "user_id", most=6)
-    return out.select("user_id", F.round("t", 6).alias("t"), F.round("score", 6).alias("score"))
+    return out.select("user_id", half_up(F.col("t"), 6).alias("t"), F.round("score", 6).alias("score"))
 
 
 def fallback_candidates(spark: SparkSession, sf: str) -> DataFrame:
@@ -69,7 +70,7 @@ def fallback_candidates(spark: SparkSession, sf: str) -> DataFrame:
     rows = frames(spark, sf, SLOW)
     regions = tracks(rows).select("user_id", "duration", F.lit(4.0).alias("low_t"), F.when(F.col("user_id") % 10 == 0, 4.001).otherwise(0.8 * F.col("duration")).alias("high_t"))
     out = G.fallback_time(rows, rows.where("role = 'vocals'").select("user_id", "t", F.col("rms").alias("confidence")), regions, "user_id")
-    return out.select("user_id", F.round("t", 6).alias("t"), F.round("score", 6).alias("score"))
+    return out.select("user_id", half_up(F.col("t"), 6).alias("t"), F.round("score", 6).alias("score"))
 
 
 def generated_candidates(spark: SparkSession, sf: str) -> DataFrame:
@@ -80,7 +81,7 @@ def generated_candidates(spark: SparkSession, sf: str) -> DataFrame:
     mixed = G.with_quotas(clock.unionByName(G.structural_times(rows, region, "user_id", most=6)), "user_id", {"clock_bar": 2, "clock_phrase_bar": 3, "structure": 4})
     regions = tracks(rows).select("user_id", "duration", F.lit(4.0).alias("low_t"), (0.8 * F.col("duration")).alias("high_t"))
     fallback = G.fallback_time(rows, rows.where("role = 'vocals'").select("user_id", "t", F.col("rms").alias("confidence")), regions, "user_id")
-    return G.or_else(mixed, fallback, "user_id").select("user_id", F.round("t", 6).alias("t"), "source", F.round("score", 6).alias("score"))
+    return G.or_else(mixed, fallback, "user_id").select("user_id", half_up(F.col("t"), 6).alias("t"), "source", F.round("score", 6).alias("score"))
 
 
 DAY = 86_400_000_000
@@ -95,7 +96,7 @@ def grid_repair(spark: SparkSession, sf: str) -> DataFrame:
     beats = days.select("user_id", (F.col("day") * 0.5 + (F.col("e.t") - (first or 0) - F.col("day") * DAY) / float(DAY) * 0.05).alias("t"), F.col("e.event_type").alias("kind"))
     end = ((last or 0) - (first or 0)) // DAY * 0.5 + 1.2
     rows, _ = repair_grids(beats, beats.where("kind = 'purchase'"), beats.groupBy("user_id").agg(F.lit(end).alias("duration")), "user_id", "t")
-    return rows.select("user_id", "i", F.round("t", 6).alias("t"), "downbeat")
+    return rows.select("user_id", "i", half_up(F.col("t"), 6).alias("t"), "downbeat")
 
 
 QUERIES = {f.__name__: f for f in (grid_repair, estimate_scores, context_windows, clock_candidates, structural_candidates, fallback_candidates, generated_candidates)}
