@@ -133,15 +133,17 @@ def most_common_reasons(spark: SparkSession, sf: str) -> DataFrame:
 
 def upper_median_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     """Per part: prices grouped by gaps over 500, the largest group (then the tightest, then the lowest), its upper median."""
-    w = W.partitionBy("l_partkey").orderBy("l_extendedprice", "l_orderkey", "l_linenumber")
-    li = table(spark, sf, "lineitem").select("l_partkey", "l_extendedprice", "l_orderkey", "l_linenumber")
-    cut = (F.col("l_extendedprice") - F.lag("l_extendedprice").over(w) > 500).cast("int")
-    put = li.withColumn("c", F.coalesce(cut, F.lit(0))).withColumn("g", F.sum("c").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    inner = W.partitionBy("l_partkey", "g")
-    put = put.withColumn("n", F.count(F.lit(1)).over(inner)).withColumn("spread", F.max("l_extendedprice").over(inner) - F.min("l_extendedprice").over(inner))
-    put = put.withColumn("k", F.row_number().over(inner.orderBy("l_extendedprice", "l_orderkey", "l_linenumber")) - 1).where("k = n div 2")
-    best = F.row_number().over(W.partitionBy("l_partkey").orderBy(F.desc("n"), F.round("spread", 4), "g"))
-    return put.withColumn("b", best).where("b = 1").select("l_partkey", "n", F.col("l_extendedprice").alias("target"))
+    # one sort by part and price serves all windows: a group's last line knows where it began, and lines of one price need no order
+    x, part = F.col("l_extendedprice"), W.partitionBy("l_partkey")
+    w = part.orderBy("l_extendedprice")
+    so_far = w.rowsBetween(W.unboundedPreceding, 0)
+    put = table(spark, sf, "lineitem").select("l_partkey", "l_extendedprice").withColumns({"c": F.coalesce((x - F.lag(x).over(w) > 500).cast("int"), F.lit(0)), "k": F.row_number().over(w)})
+    first = lambda c: F.last(F.when((F.col("c") == 1) | (F.col("k") == 1), c), True).over(so_far)
+    put = put.withColumns({"begin": first(F.col("k")), "low": F.coalesce(first(x), F.min(x).over(so_far)), "ends": F.lead("c", 1, 1).over(w) == 1})
+    n = F.col("k") - F.col("begin") + 1
+    group = F.when(F.col("ends"), F.struct((-n).alias("less"), F.round(x - F.col("low"), 4).alias("spread"), F.col("begin")))
+    put = put.withColumn("best", F.min(group).over(part))
+    return put.where("k = best.begin + (-best.less) div 2").select("l_partkey", (-F.col("best.less")).cast("long").alias("n"), x.alias("target"))
 
 
 def split_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
