@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.sources.tables import staged
+
 
 @dataclass(frozen=True)
 class Axis:
@@ -43,11 +45,12 @@ class Goal:
 
 
 def gate_cells(rows: DataFrame, axes: list[Axis], error: str, limits: list[float]) -> DataFrame:
-    """Counts by level on every axis: l0 …, n, over0 … (errors above each limit), most, total (of errors, to six decimals)."""
-    found = rows.select(*(a.level().alias(f"l{k}") for k, a in enumerate(axes)), F.col(error).cast("double").alias("error"))
-    passing = reduce(Column.__and__, (F.col(f"l{k}") < len(a.steps) for k, a in enumerate(axes)))
+    """Counts by level on every axis: l0 …, n, over0 … (errors above each limit), most, total (of errors, to six decimals); null levels: rows that fail on some axis."""
+    names = [f"l{k}" for k in range(len(axes))]
+    found = rows.select(*(a.level().alias(n) for n, a in zip(names, axes, strict=True)), F.col(error).cast("double").alias("error"))
+    passing = reduce(Column.__and__, (F.col(n) < len(a.steps) for n, a in zip(names, axes, strict=True)))
     over = [F.count_if(F.col("error") > x).alias(f"over{i}") for i, x in enumerate(limits)]
-    return found.where(passing).groupBy(*(f"l{k}" for k in range(len(axes)))).agg(F.count("*").alias("n"), *over, F.max("error").alias("most"), F.sum(F.col("error").cast("decimal(18,6)")).alias("total"))
+    return found.groupBy(*(F.when(passing, F.col(n)).alias(n) for n in names)).agg(F.count("*").alias("n"), *over, F.max("error").alias("most"), F.sum(F.col("error").cast("decimal(18,6)")).alias("total"))
 
 
 def dominated(cells: DataFrame, axes: list[Axis], n_limits: int) -> DataFrame:
@@ -74,7 +77,10 @@ def gate_search(rows: DataFrame, axes: list[Axis], goals: list[Goal], error: str
     Without a gate that meets a goal nothing is accepted, at the strictest thresholds.
     """
     limits = sorted({g.limit for g in goals} | {g.never for g in goals if g.never is not None})
-    cells = dominated(gate_cells(rows, axes, error, limits), axes, len(limits))
+    # the rows are read once: all that follows rests on their cells, no more than the grid has
+    found = staged(gate_cells(rows, axes, error, limits), "gate-cells")
+    n_all = found.agg(F.sum("n")).first()[0] or 0
+    cells = dominated(found.where("l0 is not null"), axes, len(limits))
     places = 1
     at = F.lit(0).cast("long")
     for k, a in reversed(list(enumerate(axes))):
@@ -94,7 +100,6 @@ def gate_search(rows: DataFrame, axes: list[Axis], goals: list[Goal], error: str
         choices.append(F.min(F.when(good, ends)).alias(f"g{i}"))
     named = F.array(*(F.struct(F.lit(g.name).alias("goal"), F.col(f"g{i}").alias("g")) for i, g in enumerate(goals)))
     one = cells.agg(*choices).select(F.inline(named))
-    n_all = rows.count()
     step = lambda k, a: F.element_at(F.lit([float(s) for s in a.steps]), F.coalesce(F.col(f"g.l{k}"), F.lit(0)) + 1).alias(a.column)
     n = F.coalesce(-F.col("g.n"), F.lit(0))
     return one.select(
