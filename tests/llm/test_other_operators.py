@@ -166,6 +166,31 @@ def test_pii_adds_reformatted_spans_and_keeps_base(spark):
     assert not alone.base and not alone.spans
 
 
+def test_pii_learns_from_all_spans(spark):
+    """More base spans than 20,000, some of them in two documents, and proposals beside them: all count in what is held back."""
+    texts = [f"mail me at user{i}@host{i % 7}.com or 12/{i % 28 + 1:02}/20{i % 90 + 10} {'ab' if i % 2 else 'cd'}" for i in range(21_000)]
+    texts += texts[:500]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    found = pii.candidates(df, "doc_id", "text").persist()
+    spans = found.where("base").selectExpr("kind", "around", "at", "end - start AS size", "1L AS n").toPandas()
+    assert len(spans) == len(texts)
+    plain = pii.lessons(spans)
+    report = pii.fit(found).report
+    found.unpersist()
+    assert {name: n for name, _, _, n in report} == {name: int(((plain.kind == k) & (plain.label == 1) & plain.back).sum()) for k, name in enumerate(pii.KINDS)}
+
+
+def test_pii_marks_proposals_that_touch_no_base_span(spark):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["a@b.com", "a at b dot com", "10.0.0.1", "1-2-3-4", "+1 (555) 123-4567", "555-123-4567", "4111111111111111", "x"]) for _ in range(30)) for _ in range(50)]
+    rows = pii.candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text").collect()
+    base = [r for r in rows if r.base]
+    for r in rows:
+        free = r.base is False and not any(b.doc_id == r.doc_id and b.start < r.end and r.start < b.end for b in base)
+        assert free == (r.back is not None)
+    assert any(r.base is False and r.back is None for r in rows) and {r.back for r in rows} == {None, True, False}
+
+
 def test_added_spans_are_chosen_as_by_a_plain_walk():
     rng = np.random.default_rng(5)
     for _ in range(300):

@@ -8,8 +8,8 @@ rule takes (`rewritten`: `user (at) host dot com`, `10-2-3-4`, `4111.1111...`, a
 are the same spans broken (a wrong check digit, a part over 255, too few or too many digits), dates, sums, versions and ranges in
 the same surroundings, and what the generators propose elsewhere in the corpus outside of base spans: nearly all of it is no personal data.
 Proposals that first trees take for personal data all the same may be variants that nobody labelled; they are left out, and the trees trained
-again. At most MAX_TRAIN_ROWS base spans and as many proposals, picked by hash, are used. A quarter of them is held back; a kind's
-threshold is the lowest score, from 0.5 on, with at least PRECISION on these, and `Fitted.report` has the precision and recall there. Chosen spans that touch a base span or an earlier chosen one are dropped; of
+again. All base spans and all proposals of the corpus teach: equal ones are written anew once, and equal vectors of features are one row that weighs as much as it occurs.
+A quarter of them, by the surroundings, is held back; a kind's threshold is the lowest score, from 0.5 on, with at least PRECISION on these, and `Fitted.report` has the precision and recall there. Chosen spans that touch a base span or an earlier chosen one are dropped; of
 several kinds for one span the best scored one stays.
 
 Defined results: null and empty texts have no spans; a text of any length is read whole (all patterns take linear time) and proposals are handed on in
@@ -22,8 +22,10 @@ from __future__ import annotations
 import random
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -35,7 +37,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import MAX_TRAIN_ROWS, bounded_sample, materialise, plain, read, released, slices
+from tidemark.llm._common import materialise, plain, read, released, slices
 
 KINDS = ("email", "ip", "card", "phone")
 PRECISION = 0.98
@@ -58,6 +60,8 @@ ENDS = frozenset("com org net edu gov int info biz io co uk de fr es it nl eu ch
 FEATURES = 24
 #: Candidates handed on at once.
 BLOCK = 4096
+#: Different vectors that one task has at most when trees are trained, and bins of a feature: more than its values, so that trees may cut between any two.
+VECTORS, BINS = 50_000, 256
 #: Letters before and after a span that `describe` looks at.
 BEFORE, AFTER = 24, 2
 
@@ -139,10 +143,23 @@ def describe(kind: str, text: str, start: int, end: int) -> list[float]:
     ]
 
 
+def untouched(base: list[tuple[str, int, int]]) -> Callable[[int, int], bool]:
+    """Whether a span from start to end touches none of the base spans."""
+    ordered = sorted((a, b) for _, a, b in base)
+    starts, reach = [a for a, _ in ordered], [-1, *accumulate((b for _, b in ordered), max)]
+    return lambda start, end: reach[bisect_left(starts, end)] <= start
+
+
+def held_back(seen: str) -> bool:
+    """Whether what teaches with these surroundings is in the quarter that is held back."""
+    return zlib.crc32(seen.encode()) % 4 == 0
+
+
 def candidates(docs: DataFrame, key: str, text: str) -> DataFrame:
     """A head row for each row of docs (row, doc_id; kind null) and a row for each of its base spans and further candidates.
 
-    row numbers the rows of docs; start and end are code points; around: a base span with what `describe` sees of its surroundings, and at: its place there.
+    row numbers the rows of docs; start and end are code points; around: a base span with what `describe` sees of its surroundings, and at: its place there;
+    back: of a candidate that touches no base span, whether it is held back.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,35 +176,36 @@ def candidates(docs: DataFrame, key: str, text: str) -> DataFrame:
                     for kind, a, b in base:
                         left = max(0, a - BEFORE)
                         yield from kept.add(row, doc, KINDS.index(kind), a, b, True, text[left : b + AFTER], a - left)
-                    known = set(base)
+                    known, free = set(base), untouched(base)
                     for kind, a, b in wide_spans(text):
                         if (kind, a, b) not in known:
-                            yield from kept.add(row, doc, KINDS.index(kind), a, b, False, features=describe(kind, text, a, b))
+                            back = held_back(f"{KINDS.index(kind)}{text[max(0, a - BEFORE) : b + AFTER]}") if free(a, b) else None
+                            yield from kept.add(row, doc, KINDS.index(kind), a, b, False, back=back, features=describe(kind, text, a, b))
                     row += 1
                 done += len(texts)
         yield from kept.rest()
 
     of = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"row long, doc_id {of}, kind int, start int, end int, base boolean, around string, at int, features array<float>")
+    return docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"row long, doc_id {of}, kind int, start int, end int, base boolean, around string, at int, back boolean, features array<float>")
 
 
 class Kept:
     """Rows of `candidates` on their way out, BLOCK at a time."""
 
-    NAMES = ["row", "doc_id", "kind", "start", "end", "base", "around", "at", "features"]
+    NAMES = ["row", "doc_id", "kind", "start", "end", "base", "around", "at", "back", "features"]
 
     def __init__(self):
         self.of, self.rows, self.features = pa.int64(), [], []
 
-    def add(self, row: int, doc, kind=None, start=None, end=None, base=None, around=None, at=None, features=()) -> Iterator[pa.RecordBatch]:
-        self.rows.append((row, doc, kind, start, end, base, around, at))
+    def add(self, row: int, doc, kind=None, start=None, end=None, base=None, around=None, at=None, back=None, features=()) -> Iterator[pa.RecordBatch]:
+        self.rows.append((row, doc, kind, start, end, base, around, at, back))
         self.features.append(features)
         if len(self.rows) >= BLOCK:
             yield from self.rest()
 
     def rest(self) -> Iterator[pa.RecordBatch]:
         if self.rows:
-            types = [pa.int64(), self.of, *[pa.int32()] * 3, pa.bool_(), pa.string(), pa.int32()]
+            types = [pa.int64(), self.of, *[pa.int32()] * 3, pa.bool_(), pa.string(), pa.int32(), pa.bool_()]
             sizes = np.concatenate([[0], np.cumsum([len(f) for f in self.features])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.array([x for f in self.features for x in f], np.float32)))
             yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*self.rows, strict=True), types, strict=True)), lists], names=self.NAMES)
@@ -231,17 +249,17 @@ def rewritten(kind: str, value: str, pick: random.Random) -> Iterator[tuple[str,
 
 
 def lessons(spans: pd.DataFrame) -> pd.DataFrame:
-    """Labelled candidates (kind, label, back, features) made of base spans in their surroundings."""
+    """Labelled candidates (kind, label, back, features, n) made of base spans in their surroundings, which occur n times."""
     out = []
-    for k, around, at, size in spans.itertuples(index=False):
-        kind, seed = KINDS[k], zlib.crc32(f"{k}{around}".encode())
+    for k, around, at, size, n in spans.itertuples(index=False):
+        kind, seed, back = KINDS[k], zlib.crc32(f"{k}{around}".encode()), held_back(f"{k}{around}")
         for value, good in rewritten(kind, around[at : at + size], random.Random(seed)):
             text = around[:at] + value + around[at + size :]
             for other, a, b in wide_spans(text):
                 if a < at + len(value) and at < b:
                     label = int(good and other == kind and (a, b) == (at, at + len(value)))
-                    out.append((KINDS.index(other), label, seed % 4 == 0, describe(other, text, a, b)))
-    return pd.DataFrame(out, columns=["kind", "label", "back", "features"])
+                    out.append((KINDS.index(other), label, back, describe(other, text, a, b), n))
+    return pd.DataFrame(out, columns=["kind", "label", "back", "features", "n"])
 
 
 @dataclass
@@ -253,25 +271,23 @@ class Fitted:
     report: list[tuple[str, float, float, int]]
 
 
-def fit(found: DataFrame, most: int = MAX_TRAIN_ROWS) -> Fitted | None:
-    """The trees and thresholds, learned from `candidates`; None: no base spans to learn from."""
-    base = found.where("base").select("kind", "around", "at", (F.col("end") - F.col("start")).alias("size"))
-    base = bounded_sample(base.withColumn("key", F.xxhash64("kind", "around")), "key", most).drop("key")
-    made = base.repartition(max(1, found.sparkSession.sparkContext.defaultParallelism), "around").mapInPandas(lambda parts: map(lessons, parts), "kind int, label int, back boolean, features array<float>")
-    seen = found.where("not base").select(F.concat_ws(":", "row", "start", "end", "kind").alias("key"), "row", "kind", "features", "start", "end")
-    seen = bounded_sample(seen, "key", most)
-    spans = found.where("base").select("row", F.col("start").alias("a"), F.col("end").alias("b"))
-    seen = seen.join(spans, (seen.row == spans.row) & (F.col("a") < F.col("end")) & (F.col("start") < F.col("b")), "left_anti")
-    seen = seen.select("kind", F.lit(None).cast("int").alias("label"), (F.pmod(F.xxhash64("key"), F.lit(4)) == 0).alias("back"), "features")
-    # written by all tasks, then put in order: always the same bounded table, whatever the partitions
-    table = materialise(materialise(made.union(seen), "pii-lessons").coalesce(1).sortWithinPartitions("kind", "label", F.xxhash64("features")), "pii-train")
+def fit(found: DataFrame) -> Fitted | None:
+    """The trees and thresholds, learned from all `candidates`; None: no base spans to learn from."""
+    spark = found.sparkSession
+    base = found.where("base").groupBy("kind", "around", "at", (F.col("end") - F.col("start")).alias("size")).agg(F.count("*").alias("n"))
+    base = base.repartition(max(1, spark.sparkContext.defaultParallelism), "kind", "around", "at", "size")
+    made = base.mapInPandas(lambda parts: map(lessons, parts), "kind int, label int, back boolean, features array<float>, n long")
+    seen = found.where("back is not null").select("kind", F.lit(None).cast("int").alias("label"), "back", "features", F.lit(1).cast("long").alias("n"))
+    table = materialise(made.union(seen).groupBy("kind", "label", "back", "features").agg(F.sum("n").alias("n")), "pii-lessons")
+    # always the same table, whatever the partitions of the texts
+    table = materialise(table.repartition(1 + table.count() // VECTORS, "features").sortWithinPartitions("kind", "label", "back", "features"), "pii-train")
     label = F.coalesce("label", F.lit(0)).alias("label")
 
     def trained(rows: DataFrame) -> Callable[[DataFrame], DataFrame] | None:
-        rows = rows.where("not back").select(label, array_to_vector("features").alias("vector")).coalesce(1)
+        rows = rows.where("not back").select(label, array_to_vector("features").alias("vector"), F.col("n").cast("double").alias("weight"))
         if rows.agg(F.countDistinct("label")).first()[0] < 2:
             return None
-        trees = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=12, maxDepth=4, stepSize=0.3, seed=7).fit(rows)
+        trees = GBTClassifier(featuresCol="vector", labelCol="label", weightCol="weight", maxBins=BINS, maxIter=12, maxDepth=4, stepSize=0.3, seed=7).fit(rows)
         return lambda rows: trees.transform(rows.withColumn("vector", array_to_vector("features"))).withColumn("score", vector_to_array("probability")[1])
 
     if not (first := trained(table)):
@@ -279,7 +295,7 @@ def fit(found: DataFrame, most: int = MAX_TRAIN_ROWS) -> Fitted | None:
     # proposals of the corpus that look like variants all the same may be such, so they teach nothing
     table = materialise(first(table).where("label is not null or score < 0.5").select(table.columns), "pii-train")
     scored = trained(table)
-    held = scored(table.where("back")).select("kind", label, F.floor(F.col("score") * 100).alias("bin")).groupBy("kind", "bin").agg(F.sum("label").alias("good"), F.count("*").alias("n")).collect()
+    held = scored(table.where("back")).select("kind", label, F.floor(F.col("score") * 100).alias("bin"), "n").groupBy("kind", "bin").agg(F.sum(F.col("label") * F.col("n")).alias("good"), F.sum("n").alias("n")).collect()
     thresholds, report = {}, []
     for k, name in enumerate(KINDS):
         good = n = 0
@@ -294,11 +310,11 @@ def fit(found: DataFrame, most: int = MAX_TRAIN_ROWS) -> Fitted | None:
     return Fitted(scored, thresholds, report)
 
 
-def find(docs: DataFrame, *, key: str = "doc_id", text: str = "text", most: int = MAX_TRAIN_ROWS) -> DataFrame:
+def find(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, base and spans: arrays of struct(start, kind, end), by start and kind; one row per row of docs."""
     rows = materialise(candidates(docs, key, text), "pii-candidates")
     kept = rows.where("kind is null or base").withColumn("score", F.lit(1.0))
-    if fitted := fit(rows, most):
+    if fitted := fit(rows):
         least = F.element_at(F.create_map(*(F.lit(x) for kv in fitted.thresholds.items() for x in kv)), F.col("kind"))
         kept = kept.unionByName(fitted.scored(rows.where("not base")).where(F.col("score") >= least).select(kept.columns))
     ranked = F.struct("start", (-F.col("score")).alias("worth"), "kind", "end")
