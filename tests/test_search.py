@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import bags as B
 from tidemark.operators.gates import Axis, Goal, gate_search
+from tidemark.plans import extras
 from tidemark.streaming import progress as P
 
 AXES = [Axis("p", (0.9, 0.7, 0.4, 0.0)), Axis("e", (5.0, 20.0, 50.0), at_least=False), Axis("c", (0.8, 0.2)), Axis("s", (10.0, 30.0), at_least=False), Axis("f", (0.3, 1.0), at_least=False), Axis("m", (0.5, 0.1, 0.0))]
@@ -84,6 +85,34 @@ def test_novelty_is_that_of_merged_flanks(spark, flank):
     assert got == sorted(want)
 
 
+@pytest.mark.parametrize("often,buckets,size", [(1, 64, 20), (3, 64, 20), (1, 1, 20), (1024, 1 << 20, 20), (2, 1 << 20, 400), (1, 4, 0)])
+def test_commonest_pairs_are_those_of_a_plain_count(spark, often, buckets, size):
+    rng = random.Random(size + often)
+    words = ["a", "b", "c", "d", *(f"w{i}" for i in range(30))]
+    lists = [rng.choices(words, [40, 20, 9, 9, *[1] * 30], k=rng.randint(0, 12)) for _ in range(size)] + [[], None, ["", "a", "b", ""], ["x"], ["a", None, "a"]]
+    want = Counter(p for ws in lists for p in itertools.pairwise(ws or []) if all(p))
+    got = B.commonest_pairs(spark.createDataFrame([(ws,) for ws in lists], "w array<string>"), "w", 7, often, buckets)
+    assert [tuple(r) for r in got.collect()] == sorted(((" ".join(p), n) for p, n in want.items()), key=lambda r: (-r[1], r[0]))[:7]
+    assert B.commonest_pairs(spark.createDataFrame([], "w array<string>"), "w", 7, often, buckets).count() == 0
+
+
+def test_rare_pairs_are_not_shuffled(spark, tmp_path):
+    """The commonest pairs of 120,000 words in one row group, nearly all pairs of which are different: few rows are handed on."""
+    name = lambda i: "".join("abcdefghij"[int(c)] for c in f"{i:04}")
+    rng = random.Random(3)
+    texts = [" ".join([f"{c}{c} yes" for c in "klmnopqrstu" for _ in range(rng.randint(0, 1))] + [name(rng.randrange(6000)) for _ in range(300)]) for _ in range(400)]
+    spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.sparkContext.setJobGroup("bags", "")
+    got = extras.top_bags(spark, str(tmp_path)).collect()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    want = Counter(" ".join(p) for t in texts for p in itertools.pairwise(t.split()))
+    assert [tuple(r) for r in got] == sorted(want.items(), key=lambda r: (-r[1], r[0]))[:10]
+    track, store, rows = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore(), 0
+    for stage in {s for j in track.getJobIdsForGroup("bags") for s in track.getJobInfo(j).stageIds if track.getStageInfo(s)}:
+        rows += store.lastStageAttempt(stage).shuffleWriteRecords()
+    assert 0 < rows < len(want) / 2
+
+
 def test_a_windows_bag_is_made_once(spark):
     bags = spark.createDataFrame([(1, 0, "a", 2), (1, 1, "a", 1), (1, 5, "b", 1)], "u long, seg long, item string, n long")
     rows = sorted(tuple(r) for r in B.window_bags(bags, "u", "seg", "item", "n", 3).collect())

@@ -4,6 +4,8 @@ Bags are rows (track, segment, item, n): n of an item in a segment. A window is
 with the item comes in or goes out, so it is kept as steps of a running sum, one per change, and every window's bag is made once, for all that compare
 with it. Two windows' similarity is the sum of their items' smaller counts over that of the larger ones, and the larger ones' sum is both totals less
 the smaller ones', so only items that both hold are joined.
+
+The commonest pairs of neighbours are found by what bounds them: no pair is commoner than either of its words, nor than the bucket that a word's hash falls into.
 """
 
 from __future__ import annotations
@@ -12,6 +14,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.sources.tables import staged
+
+#: Buckets of words' hashes, and how many of the fullest are looked at first.
+BUCKETS, OFTEN = 1 << 20, 1024
+
+
+def commonest_pairs(lists: DataFrame, words: str, most: int, often: int = OFTEN, buckets: int = BUCKETS) -> DataFrame:
+    """pair, n: the `most` commonest pairs of neighbouring words, joined by a blank, of all lists; ties by the pair. Pairs with a null or empty word don't count.
+
+    Buckets of words are counted first, then the pairs of words from the `often` fullest ones. If another bucket is at least as full as the last of these pairs is common,
+    pairs are counted once more, of words from all such buckets: so the answer is exact, and rare words, nearly all different pairs, are never grouped.
+    """
+    bucket = lambda word: F.pmod(F.xxhash64(word), F.lit(buckets))
+    # outer: else the lists are made once more, for a filter on their size
+    sizes = lists.select(F.explode_outer(words).alias("word")).where("word <> ''").groupBy(bucket("word").alias("bucket")).agg(F.count("*").alias("n"))
+    fullest = sizes.orderBy(F.desc("n"), "bucket").limit(often + 1).collect()
+    pairs = lists.select(F.inline(F.arrays_zip(F.col(words).alias("a"), F.slice(words, 2, F.size(words)).alias("b")))).toDF("a", "b").where("a <> '' AND b <> ''")
+
+    def counted(kept: DataFrame) -> DataFrame:
+        """Kept are at most `buckets` numbers, so they are broadcast."""
+        met = pairs
+        for word in ("a", "b"):
+            met = met.join(F.broadcast(kept.select(F.col("bucket").alias(f"of_{word}"))), bucket(word) == F.col(f"of_{word}"), "left_semi")
+        return met.groupBy("a", "b").agg(F.count("*").alias("n")).select(F.concat_ws(" ", "a", "b").alias("pair"), "n").orderBy(F.desc("n"), "pair").limit(most)
+
+    top = staged(counted(lists.sparkSession.createDataFrame([(r.bucket,) for r in fullest[:often]], "bucket long")), "pairs").orderBy(F.desc("n"), "pair")
+    found = top.agg(F.count("*").alias("rows"), F.min("n").alias("least")).first()
+    least = found.least if found.rows == most else 0
+    if len(fullest) <= often or fullest[often].n < least:
+        return top
+    return counted(sizes.where(F.col("n") >= least))
+
 
 def window_bags(bags: DataFrame, by: str, seg: str, item: str, n: str, width: int, first: int = 0) -> DataFrame:
     """by, start, item, c: what the windows from start `first` on hold; c > 0."""

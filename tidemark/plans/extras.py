@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import num as N
 from tidemark.functions import text as T
+from tidemark.operators import bags as B
 from tidemark.operators import joins as J
 from tidemark.operators import ranking as R
 from tidemark.operators import windows as V
@@ -211,10 +212,10 @@ def detector_tiers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def top_bags(spark: SparkSession, sf: str) -> DataFrame:
-    """The ten commonest pairs of neighbouring words of the documents' whole texts, ties by the pair; counted in each task before the shuffle."""
-    w = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda x: x != "")
-    pairs = table(spark, sf, "documents").select(w.alias("w")).where("size(w) > 1").select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1)))).alias("pair"))
-    return pairs.groupBy("pair").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "pair").limit(10)
+    """The ten commonest pairs of neighbouring words of the documents' whole texts, ties by the pair. Texts are dealt out first, as a file may be one row group."""
+    texts = table(spark, sf, "documents").select("text", F.monotonically_increasing_id().alias("deal")).repartition("deal")
+    # empty words are at the ends only
+    return B.commonest_pairs(texts.select(F.split(F.lower("text"), r"\P{L}+").alias("w")), "w", 10)
 
 
 QUERIES = {f.__name__: f for f in (multi_key_lookup, best_hypothesis, earlier_filter, bar_stability, bag_merge, bag_novelty, repeat_stability, energy_jump, robust_normalise, logistic_step, boom_thresholds, later_stronger, queue_order, artist_caps, next_track, number_formats, split_names, interpolated_values, nested_provider_weight, source_sets, split_overlap, action_recommendations, detector_tiers, top_bags)}
