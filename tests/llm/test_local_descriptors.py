@@ -95,3 +95,26 @@ def test_drawn_vectors_with_nulls_and_columns_of_clashing_names(spark):
     drawn = D.rendered(vectors.where("vec_id <> 1"))
     assert {r.media_id for r in drawn.where("image is null").collect()} == {2, 3}
     assert {(r.query_id, r.media_id) for r in D.find_copies(drawn, drawn).collect()} <= {(4, 4), (5, 5)}
+
+
+def test_pairs_of_corners_are_those_that_meet_in_a_table(spark):
+    """Each pair once, against all pairs; the distance is tested before the tables."""
+    rng = np.random.default_rng(8)
+    seeds = rng.integers(0, 2, (6, D.BITS)).astype(np.uint8)
+    sides = {}
+    for side in "gq":
+        bits = seeds[rng.integers(0, 6, 60)] ^ (rng.random((60, D.BITS)) < 0.04)
+        sides[side] = np.packbits(bits.astype(np.uint8), axis=1).view("<i8")
+    corner = lambda ws: (0.0, 0.0, 1.0, 0.0, *map(int, ws))
+    frame = lambda ws: spark.createDataFrame([(no, [corner(w) for w in ws[no * 10 : no * 10 + 10]]) for no in range(6)], f"no long, corners array<struct<{D.CORNER}>>")
+    masks = np.array(D.masks())
+    want = []
+    for i, q in enumerate(sides["q"]):
+        for j, g in enumerate(sides["g"]):
+            x = q ^ g
+            if int(np.bitwise_count(x.view(np.uint64)).sum()) <= D.NEAR_BITS and ((x & masks) == 0).all(1).any():
+                want.append((i // 10, i % 10, j // 10, j % 10))
+    found = D.matches(frame(sides["g"]), frame(sides["q"]))
+    assert len(want) > 100 and sorted(tuple(r) for r in found.select("q_no", "qk", "g_no", "gk").collect()) == sorted(want)
+    join = next(x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x)
+    assert 0 < join.index("bit_count") < join.index("exists(") and "CASE" not in join

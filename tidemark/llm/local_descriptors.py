@@ -266,10 +266,12 @@ def matches(gallery: DataFrame, asked: DataFrame, bits: int = NEAR_BITS) -> Data
     q = F.broadcast(q) if q.count() <= BROADCAST_POSTINGS else q
     met = postings(gallery, "g").join(q, "word")
     apart = [F.col(f"q{k}").bitwiseXOR(F.col(f"g{k}")) for k in range(WORDS)]
-    differ = [reduce(Column.bitwiseOR, (x.bitwiseAND(F.lit(m[k])) for k, x in enumerate(apart))) for m in masks()]
-    first = F.coalesce(*(F.when(x == 0, t) for t, x in enumerate(differ)))
     far = sum((F.bit_count(x) for x in apart[1:]), F.bit_count(apart[0]))
-    return met.where((first == F.col("gt")) & (F.col("gt") == F.col("qt")) & (far <= bits))
+    tables = F.array(*(F.array(*map(F.lit, m)) for m in masks()))
+    alike = lambda m: reduce(Column.bitwiseOR, (x.bitwiseAND(m[k]) for k, x in enumerate(apart))) == 0
+    # the distance first, as most pairs fail it, and the tables by a loop: written out, they are more code than the JVM compiles
+    here = alike(F.element_at(tables, F.col("gt") + 1)) & (F.col("gt") == F.col("qt"))
+    return met.where((far <= bits) & here & ~F.exists(F.slice(tables, 1, F.col("gt")), alike))
 
 
 def search(images: DataFrame, queries: DataFrame, *, key: str = "media_id", votes: int = VOTES, bits: int = NEAR_BITS) -> tuple[DataFrame, DataFrame, DataFrame]:
