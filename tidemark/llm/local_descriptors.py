@@ -6,13 +6,14 @@ binary comparisons of smoothed points, turned by that angle, its descriptor. The
 that the bits say more than the patch's slope, and images are told apart.
 
 Hamming tables: each of TABLES tables picks WORD_BITS of a descriptor's bits, and the descriptor stands there under their values. Queries' and images'
-descriptors that meet in a table (an equi-join on table and word; a pair counts in its first table only) are compared as a whole, by exclusive or and
+descriptors that meet in a table (a pair counts in its first table only) are compared as a whole, by exclusive or and
 bit counts, and match if at most NEAR_BITS bits apart. Two descriptors d bits apart meet with a chance of 1 - (1 - (1 - d / BITS) ** WORD_BITS) ** TABLES: 0.99 at
 12 bits, 0.92 at 20, 0.77 at 25; an image's search needs a few of its corners only. A query finds an image if at least VOTES of their corners, and SHARE of the corners of the image with fewer, agree on one turn, scale and shift.
 
-Rows with the same bytes are one image, and one query; their rows all come back by membership. The queries' side of the join is broadcast
-while it has at most BROADCAST_POSTINGS rows, counted beforehand; beyond, both sides are shuffled by word, and adaptive execution splits hot words.
-No word, image or query is left out.
+Rows with the same bytes are one image, and one query; their rows all come back by membership. Most corners that match do so by chance, alone in their two images, and their number grows with queries times images.
+So tables are not joined by word: images are dealt to blocks of whole images, each block meets each block of queries, and a task builds the tables of its two blocks. All matches of two images are there, and only the hits leave it.
+What it holds is bounded by the blocks and COMPARED; comparing still grows with queries times images. The queries' blocks are broadcast while their tables have at most BROADCAST_POSTINGS rows, counted beforehand; beyond, Spark
+pairs the partitions of both sides. No word, image or query is left out.
 
 Defined results: null, empty or too small images, images whose bytes don't fill height x width, and images without corners have no
 descriptors and are found by nothing; repeated rows are all found; an id with several images has the hits of each; an empty table gives no
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import materialise, read, released
+from tidemark.llm._common import materialise, read, released, spread
 
 CORNERS, BITS, WORDS = 24, 256, 4
 RADIUS, SCALES = 8, (1.4, 2, 2.8, 4)
@@ -51,6 +52,10 @@ PIXELS = 216
 PROPOSALS = 1 << 20
 #: Rows of the queries' tables (some 80 bytes each) up to which they are broadcast.
 BROADCAST_POSTINGS = 500_000
+#: Corners in a block of images, and in one of queries, about.
+IMAGES_BLOCK, QUERIES_BLOCK = 8192, 16384
+#: Pairs of corners that meet in a table which are compared at once, and corners of a block's images whose matches are held at once.
+COMPARED, HELD = 1 << 19, 512
 
 
 def pattern() -> np.ndarray:
@@ -210,26 +215,6 @@ def agree(qi: np.ndarray, gi: np.ndarray, q: np.ndarray, g: np.ndarray, votes: i
     return n, float(abs(a)), float(np.degrees(np.angle(a))), float(middle.imag), float(middle.real), float(shift.imag), float(shift.real)
 
 
-def agreements(matched: Column | str, q: Column | str, g: Column | str, need: Column | str) -> Column:
-    """Column of struct(votes, scale, angle, y, x, dy, dx), or null, of the matches (places in q << 32 | places in g) of the corners of two images."""
-    kind = pa.struct([("votes", pa.int64()), *((c, pa.float64()) for c in ("scale", "angle", "y", "x", "dy", "dx"))])
-
-    @F.arrow_udf("struct<votes:bigint,scale:double,angle:double,y:double,x:double,dy:double,dx:double>")
-    def agreed(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        for matches, *corners, needs in released(batches):
-            flat = matches.flatten().to_numpy(zero_copy_only=False)
-            ends, out = np.cumsum([len(x) for x in matches]), []
-            places = [np.stack([x.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("y", "x", "scale", "angle")], 1).astype(float) for x in corners]
-            starts = [np.cumsum([0, *(len(x) for x in c)]) for c in corners]
-            for i, (a, b, n) in enumerate(zip([0, *ends[:-1]], ends, needs.to_pylist(), strict=True)):
-                m = np.sort(flat[a:b])
-                qk, gk = m >> 32, m & 0xFFFFFFFF
-                out.append(agree(qk, gk, places[0][starts[0][i] + qk], places[1][starts[1][i] + gk], n))
-            yield pa.array([x and dict(zip(kind.names, x, strict=True)) for x in out], kind)
-
-    return agreed.asNondeterministic()(matched, q, g, need)
-
-
 def places(images: DataFrame, name: str, key: str) -> tuple[DataFrame, DataFrame]:
     """(id, no) of every row with an image, and (no, first, corners) of each image with corners; no: its number, first: its smallest id."""
     rows = images.select(F.col(key).alias("id"), F.sha2("image", 256).alias("bytes"), "image", "height", "width").where("image is not null")
@@ -261,7 +246,10 @@ def postings(images: DataFrame, side: str) -> DataFrame:
 
 
 def matches(gallery: DataFrame, asked: DataFrame, bits: int = NEAR_BITS) -> DataFrame:
-    """Pairs of corners that meet in a table and are at most `bits` bits apart, each once."""
+    """Pairs of corners that meet in a table and are at most `bits` bits apart, each once: those that a search counts within blocks, as rows of a join.
+
+    Their number grows with queries times images; this is for measuring and tests.
+    """
     q = postings(asked, "q")
     q = F.broadcast(q) if q.count() <= BROADCAST_POSTINGS else q
     met = postings(gallery, "g").join(q, "word")
@@ -274,6 +262,76 @@ def matches(gallery: DataFrame, asked: DataFrame, bits: int = NEAR_BITS) -> Data
     return met.where((far <= bits) & here & ~F.exists(F.slice(tables, 1, F.col("gt")), alike))
 
 
+def words(bits: np.ndarray) -> np.ndarray:
+    """The words of descriptors in all tables: (table, descriptor)."""
+    picked = np.unpackbits(np.array(masks(), "<i8").view(np.uint8).reshape(TABLES, -1), axis=1)
+    worth = np.where(picked, 2.0 ** picked.cumsum(1) / 2, 0).astype(np.float32)
+    return worth @ np.unpackbits(bits.view(np.uint8).reshape(len(bits), -1), axis=1).astype(np.float32).T
+
+
+def near(q: np.ndarray, g: np.ndarray, tables: list[tuple[np.ndarray, np.ndarray]], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in q and in g of the descriptors that meet in a table and are at most `bits` bits apart, each pair once. tables: q's words in each, sorted, and their places."""
+    picked, out = np.array(masks(), "<i8").view("<u8"), [np.zeros((2, 0), np.int32)]
+    for t, (mine, (theirs, at)) in enumerate(zip(words(g), tables, strict=True)):
+        first = np.searchsorted(theirs, mine)
+        n = np.searchsorted(theirs, mine, "right") - first
+        ends = n.cumsum()
+        i = 0
+        while i < len(g):
+            stop = max(i + 1, int(np.searchsorted(ends, ends[i] - n[i] + COMPARED, "right")))
+            gi, qi = np.repeat(np.arange(i, stop, dtype=np.int32), n[i:stop]), at[spread(first[i:stop], n[i:stop])]
+            apart = q[qi] ^ g[gi]
+            ok = np.flatnonzero(np.bitwise_count(apart).sum(1, dtype=np.int16) <= bits)
+            ok = ok[~((apart[ok, None] & picked[:t]) == 0).all(2).any(1)]
+            out.append(np.stack([qi[ok], gi[ok]]))
+            i = stop
+    return tuple(np.concatenate(out, 1))
+
+
+def unpacked(block: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The numbers of a block's images, where their corners begin (and the end), and the corners' places and descriptors."""
+    corners = block.field("corners")
+    columns = [corners.flatten().field(c.split(":")[0]).to_numpy(zero_copy_only=False) for c in CORNER.split(",")]
+    starts = np.concatenate([[0], corners.value_lengths().to_numpy(zero_copy_only=False).cumsum()])
+    return block.field("no").to_numpy(zero_copy_only=False), starts, np.stack(columns[:4], 1).astype(float), np.stack(columns[4:], 1).view("<u8")
+
+
+HIT = "q long, g long, votes long, scale double, angle double, y double, x double, dy double, dx double"
+
+
+def agreements(batches: Iterator[pa.RecordBatch], votes: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """The hits of each row's two blocks, as in HIT."""
+    kind = pa.schema([(c.split()[0], pa.int64() if "long" in c else pa.float64()) for c in HIT.split(", ")])
+    for batch in released(batches):
+        for images, queries in zip(batch.column("images"), batch.column("queries"), strict=True):
+            (qno, qs, qat, q), (gno, gs, gat, g) = unpacked(queries.values), unpacked(images.values)
+            tables = [(w[o], o) for w in words(q) for o in [np.argsort(w, kind="stable").astype(np.int32)]]
+            i, out = 0, []
+            while i < len(gno):
+                stop = max(i + 1, int(np.searchsorted(gs, gs[i] + HELD, "right")) - 1)
+                qi, gi = near(q, g[gs[i] : gs[stop]], tables, bits)
+                gi += gs[i]
+                two = (np.searchsorted(qs, qi, "right") - 1) * len(gno) + np.searchsorted(gs, gi, "right") - 1
+                pairs, of, n = np.unique(two, return_inverse=True, return_counts=True)
+                a, b = pairs // len(gno), pairs % len(gno)
+                need = np.maximum(votes, np.ceil(SHARE * np.minimum(np.diff(qs)[a], np.diff(gs)[b]))).astype(int)
+                m = np.flatnonzero((n >= need)[of])
+                m = m[np.lexsort((gi[m], qi[m], of[m]))]
+                at = 0
+                for k in np.flatnonzero(n >= need):
+                    these = m[at : (at := at + n[k])]
+                    if found := agree(qi[these] - qs[a[k]], gi[these] - gs[b[k]], qat[qi[these]], gat[gi[these]], int(need[k])):
+                        out.append((int(qno[a[k]]), int(gno[b[k]]), *found))
+                i = stop
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True) if out else [()] * len(kind), kind, strict=True)], schema=kind)
+
+
+def blocks(images: DataFrame, corners: int, most: int, name: str) -> DataFrame:
+    """Rows of some `most` of all the corners: arrays of whole images with their numbers."""
+    of = F.pmod(F.xxhash64("no"), F.lit(max(1, -(-corners // most))))
+    return images.groupBy(of.alias("block")).agg(F.collect_list(F.struct("no", "corners")).alias(name)).select(name)
+
+
 def search(images: DataFrame, queries: DataFrame, *, key: str = "media_id", votes: int = VOTES, bits: int = NEAR_BITS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The hits between different images, (q, g, query_id, media_id, votes, scale, angle, y, x, dy, dx), and (id, no) of all images and of all queries.
 
@@ -283,12 +341,12 @@ def search(images: DataFrame, queries: DataFrame, *, key: str = "media_id", vote
     """
     members, gallery = places(images, "media-members", key)
     asking, asked = places(queries, "media-queries", key)
-    place = F.shiftleft(F.col("qk").cast("long"), 32).bitwiseOR(F.col("gk").cast("long"))
-    met = matches(gallery, asked, bits).groupBy("q_no", "g_no").agg(F.collect_list(place).alias("m")).where(F.size("m") >= votes)
-    q, g = (x.select(F.col("no").alias(f"{s}_no"), F.col("corners").alias(f"{s}c"), F.col("first").alias(c)) for x, s, c in ((asked, "q", "query_id"), (gallery, "g", "media_id")))
-    need = F.greatest(F.lit(votes), F.ceil(SHARE * F.least(F.size("qc"), F.size("gc")))).cast("int")
-    pairs = met.join(q, "q_no").join(g, "g_no").where(F.size("m") >= need)
-    found = pairs.select(F.col("q_no").alias("q"), F.col("g_no").alias("g"), "query_id", "media_id", agreements("m", "qc", "gc", need).alias("a")).where("a is not null").select("q", "g", "query_id", "media_id", "a.*")
+    of_g, of_q = (x.agg(F.sum(F.size("corners"))).first()[0] or 0 for x in (gallery, asked))
+    those = blocks(asked, of_q, QUERIES_BLOCK, "queries")
+    those = F.broadcast(those) if of_q * TABLES <= BROADCAST_POSTINGS else those
+    met = blocks(gallery, of_g, IMAGES_BLOCK, "images").crossJoin(those).mapInArrow(lambda batches: agreements(batches, votes, bits), HIT)
+    first = lambda x, n, c: x.select(F.col("no").alias(n), F.col("first").alias(c))
+    found = met.join(first(asked, "q", "query_id"), "q").join(first(gallery, "g", "media_id"), "g")
     rounded = [F.round("scale", 2).alias("scale"), F.round("angle").alias("angle"), *(F.round(c, 1).alias(c) for c in ("y", "x", "dy", "dx"))]
     return materialise(found.select("q", "g", "query_id", "media_id", "votes", *rounded), "media-hits"), members, asking
 
