@@ -55,7 +55,7 @@ BROADCAST_POSTINGS = 500_000
 #: Corners in a block of images, and in one of queries, about.
 IMAGES_BLOCK, QUERIES_BLOCK = 8192, 16384
 #: Pairs of corners that meet in a table which are compared at once, and corners of a block's images whose matches are held at once.
-COMPARED, HELD = 1 << 19, 512
+COMPARED, HELD = 1 << 19, 256
 
 
 def pattern() -> np.ndarray:
@@ -269,21 +269,23 @@ def words(bits: np.ndarray) -> np.ndarray:
     return worth @ np.unpackbits(bits.view(np.uint8).reshape(len(bits), -1), axis=1).astype(np.float32).T
 
 
-def near(q: np.ndarray, g: np.ndarray, tables: list[tuple[np.ndarray, np.ndarray]], bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places in q and in g of the descriptors that meet in a table and are at most `bits` bits apart, each pair once. tables: q's words in each, sorted, and their places."""
-    picked, out = np.array(masks(), "<i8").view("<u8"), [np.zeros((2, 0), np.int32)]
-    for t, (mine, (theirs, at)) in enumerate(zip(words(g), tables, strict=True)):
-        first = np.searchsorted(theirs, mine)
-        n = np.searchsorted(theirs, mine, "right") - first
+def near(q: np.ndarray, g: np.ndarray, asked: np.ndarray, tables: list[tuple[np.ndarray, np.ndarray]], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in q and in g of the descriptors that meet in a table and are at most `bits` bits apart, each pair once. asked: q's words; tables: those of each, sorted, and their places."""
+    mine, out = words(g), [np.zeros((2, 0), np.int32)]
+    for t, (theirs, at) in enumerate(tables):
+        first = np.searchsorted(theirs, mine[t])
+        n = np.searchsorted(theirs, mine[t], "right") - first
         ends = n.cumsum()
         i = 0
         while i < len(g):
             stop = max(i + 1, int(np.searchsorted(ends, ends[i] - n[i] + COMPARED, "right")))
             gi, qi = np.repeat(np.arange(i, stop, dtype=np.int32), n[i:stop]), at[spread(first[i:stop], n[i:stop])]
-            apart = q[qi] ^ g[gi]
-            ok = np.flatnonzero(np.bitwise_count(apart).sum(1, dtype=np.int16) <= bits)
-            ok = ok[~((apart[ok, None] & picked[:t]) == 0).all(2).any(1)]
-            out.append(np.stack([qi[ok], gi[ok]]))
+            ok = np.flatnonzero(np.bitwise_count(q[qi] ^ g[gi]).sum(1, dtype=np.int16) <= bits)
+            qi, gi = qi[ok], gi[ok]
+            for k in range(t):
+                new = asked[k, qi] != mine[k, gi]
+                qi, gi = qi[new], gi[new]
+            out.append(np.stack([qi, gi]))
             i = stop
     return tuple(np.concatenate(out, 1))
 
@@ -305,11 +307,12 @@ def agreements(batches: Iterator[pa.RecordBatch], votes: int, bits: int) -> Iter
     for batch in released(batches):
         for images, queries in zip(batch.column("images"), batch.column("queries"), strict=True):
             (qno, qs, qat, q), (gno, gs, gat, g) = unpacked(queries.values), unpacked(images.values)
-            tables = [(w[o], o) for w in words(q) for o in [np.argsort(w, kind="stable").astype(np.int32)]]
+            asked = words(q)
+            tables = [(w[o], o) for w in asked for o in [np.argsort(w, kind="stable").astype(np.int32)]]
             i, out = 0, []
             while i < len(gno):
                 stop = max(i + 1, int(np.searchsorted(gs, gs[i] + HELD, "right")) - 1)
-                qi, gi = near(q, g[gs[i] : gs[stop]], tables, bits)
+                qi, gi = near(q, g[gs[i] : gs[stop]], asked, tables, bits)
                 gi += gs[i]
                 two = (np.searchsorted(qs, qi, "right") - 1) * len(gno) + np.searchsorted(gs, gi, "right") - 1
                 pairs, of, n = np.unique(two, return_inverse=True, return_counts=True)
