@@ -5,6 +5,8 @@ import math
 import random
 import statistics
 
+import numpy as np
+
 from tidemark.operators.repair import repair_grids
 
 CASES = {  # beats, downbeats, duration
@@ -88,3 +90,24 @@ def test_random_grids_as_a_plain_version(spark):
         assert [round(r.t, 6) for r in out.get(u, [])] == [round(t, 6) for t in times], (u, c)
         assert [round(r.t, 6) for r in out.get(u, []) if r.downbeat] == [round(t, 6) for t in downs]
     assert {"ok", "unstable"} <= seen
+
+
+def test_downbeats_don_t_depend_on_the_order_of_rows(spark):
+    # rows come in another order at each evaluation, as blocks of a shuffle do on a cluster
+    rng = random.Random(21)
+    cases = {f"c{k}": (sorted(0.03 + i * 0.12 + rng.uniform(-0.002, 0.002) for i in range(40)), [0.03 + 0.12 * (1 + k % 3)], 5.0) for k in range(80)}
+    kind = "u string, t double"
+    beats = spark.createDataFrame([(u, t) for u, c in cases.items() for t in c[0]], kind).coalesce(1).mapInPandas(lambda parts: (p.sample(frac=1, random_state=np.random.default_rng()) for p in parts), kind)
+    downs = spark.createDataFrame([(u, t) for u, c in cases.items() for t in c[1]], kind)
+    tracks = spark.createDataFrame([(u, c[2]) for u, c in cases.items()], "u string, duration double")
+    reuse = spark.conf.get("spark.sql.exchange.reuse")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        rows, _ = repair_grids(beats, downs, tracks, "u", "t")
+        out = {}
+        for r in rows.collect():
+            out.setdefault(r.u, []).append(r)
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", reuse)
+    for u, c in cases.items():
+        assert [round(r.t, 6) for r in sorted(out[u], key=lambda r: r.i) if r.downbeat] == [round(t, 6) for t in plain(*c)[2]]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators.joins import asof_nearest, ranked
+from tidemark.operators.joins import ranked
 
 #: Intervals that tell a tempo, in seconds; how sure the phase must be; gaps that are filled, and how near the next time a filled one may come, in periods.
 SHORTEST, LONGEST, SURE, GAP, ROOM = 0.08, 4.0, 0.30, 1.55, 0.35
@@ -26,9 +26,13 @@ def tempos(beats: DataFrame, by: str, t: str) -> DataFrame:
 
 
 def origins(beats: DataFrame, periods: DataFrame, by: str, t: str) -> DataFrame:
-    """by, origin: where the lattice of the period begins, by the circular mean of phases; null where the phases point nowhere or there are fewer than three times."""
-    angle = 2 * math.pi * F.pmod(F.col(t), F.col("period")) / F.col("period")
-    mean = beats.join(periods.where("period > 0"), by).groupBy(by, "period").agg(F.count("*").alias("n"), F.avg(F.cos(angle)).alias("c"), F.avg(F.sin(angle)).alias("s"), F.min(t).alias("first"))
+    """by, origin: where the lattice of the period begins, by the circular mean of phases; null where the phases point nowhere or there are fewer than three times.
+
+    Sines and cosines are summed as decimals: sums of doubles depend on the order of rows, which differs from one evaluation to the next.
+    """
+    angle = 2 * math.pi * (F.col(t) - F.floor(F.col(t) / F.col("period")) * F.col("period")) / F.col("period")
+    exact = lambda x: F.sum(x.cast("decimal(20,18)")).cast("double") / F.count("*")
+    mean = beats.join(periods.where("period > 0"), by).groupBy(by, "period").agg(F.count("*").alias("n"), exact(F.cos(angle)).alias("c"), exact(F.sin(angle)).alias("s"), F.min(t).alias("first"))
     turn = F.atan2("s", "c") / (2 * math.pi)
     base = F.when(turn < 0, turn + 1).otherwise(turn) * F.col("period")
     origin = base + F.rint((F.col("first") - base) / F.col("period")) * F.col("period")
@@ -40,7 +44,7 @@ def repair_grids(beats: DataFrame, downbeats: DataFrame, tracks: DataFrame, by:
 
     beats, downbeats: by, t in seconds, from 0 on; tracks: by, duration (null: unknown). Tracks whose tempo isn't steady, or whose phases point nowhere, keep
     their times (status `unstable` or `no_phase`), without downbeats. Each step is one window or aggregate over a track's times: slots of the lattice keep their nearest time, the
-    earlier on a tie, a gap knows its two ends only, and downbeats vote by an as-of match.
+    earlier on a tie, a gap knows its two ends only, and downbeats vote for the nearest of the times around them.
     """
     beats = beats.where(F.col(t) >= 0).select(by, t)
     told = tempos(beats, by, t)
@@ -61,17 +65,21 @@ def repair_grids(beats: DataFrame, downbeats: DataFrame, tracks: DataFrame, by:
     filled = linked.select(by, "period", "duration", "edge", F.explode(F.concat(F.array(F.struct(F.col("to").alias("t"), F.lit(0).alias("new"))), F.transform(inner, lambda x: F.struct(x.alias("t"), F.lit(1).alias("new"))))).alias("b")).select(by, "period", "duration", "edge", "b.t", "b.new")
     cut = F.col("duration").isNull() | (F.col("t") <= F.col("duration") + F.col("edge"))
     trimmed = filled.groupBy(by).agg(F.count_if(~cut).alias("trimmed"))
-    inside = filled.where(cut)
-    last = inside.groupBy(by, "period", "duration", "edge").agg(F.max("t").alias("last")).where("duration is not null")
-    more = F.floor((F.col("duration") + F.col("edge") - F.col("last")) / F.col("period")).cast("int")
-    tail = last.where(more >= 1).select(by, F.explode(F.transform(F.sequence(F.lit(1), more), lambda k: F.col("last") + k * F.col("period"))).alias("t"), F.lit(1).alias("new"))
-    whole = inside.select(by, "t", "new").unionByName(tail)
-    new = filled.groupBy(by).agg(F.sum("new").alias("inner_new")).join(tail.groupBy(by).agg(F.count("*").alias("tail_new")), by, "left")
-    placed = ranked(whole, [by], F.col("t"), name="i").withColumn("i", F.col("i") - 1)
-    votes = asof_nearest(downbeats.select(by, F.col(t).alias("t")).withColumn("_k", F.monotonically_increasing_id()), placed.select(by, "t"), by, "t", "_k")
-    voted = votes.where("near_t is not null").join(placed.select(by, F.col("t").alias("near_t"), "i"), [by, "near_t"]).groupBy(by, (F.col("i") % per_bar).alias("phase")).agg(F.count("*").alias("n"))
-    phase = voted.groupBy(by).agg(F.min(F.struct((-F.col("n")).alias("n"), "phase")).alias("p")).select(by, F.col("p.phase").alias("phase"))
-    marked = placed.join(phase, by, "left").withColumn("downbeat", (F.col("i") >= F.coalesce("phase", F.lit(0))) & ((F.col("i") - F.coalesce("phase", F.lit(0))) % per_bar == 0))
+    order = W.partitionBy(by).orderBy("t")
+    inside = filled.where(cut).withColumn("more", F.when(F.lead("t").over(order).isNull(), F.floor((F.col("duration") + F.col("edge") - F.col("t")) / F.col("period")).cast("int")))
+    steps = F.when(F.col("more") >= 1, F.sequence(F.lit(1), F.greatest("more", F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    whole = inside.select(by, F.explode(F.concat(F.array(F.struct("t", F.lit(0).alias("tail"))), F.transform(steps, lambda k: F.struct((F.col("t") + k * F.col("period")).alias("t"), F.lit(1).alias("tail"))))).alias("b")).select(by, "b.t", "b.tail")
+    new = filled.groupBy(by).agg(F.sum("new").alias("inner_new")).join(whole.groupBy(by).agg(F.sum("tail").alias("tail_new")), by, "left")
+    # downbeats among the times, in one pass: times worked out twice might not be equal
+    placed = ranked(whole.select(by, "t"), [by], F.col("t"), name="i").withColumn("i", F.col("i") - 1).withColumn("_at", F.col("t"))
+    both = placed.unionByName(downbeats.select(by, F.col(t).alias("t")), allowMissingColumns=True)
+    before, after = (w.rangeBetween(W.unboundedPreceding, 0) for w in (order, W.partitionBy(by).orderBy(F.desc("t"))))
+    seen = both.withColumns({"_a": F.max("_at").over(before), "_ai": F.max("i").over(before), "_b": F.min("_at").over(after), "_bi": F.min("i").over(after)})
+    early = F.col("_b").isNull() | (F.col("t") - F.col("_a") <= F.col("_b") - F.col("t"))
+    voted = F.when(F.col("i").isNull(), F.when(F.col("_a").isNotNull() & early, F.col("_ai")).otherwise(F.col("_bi")) % per_bar)
+    votes = F.array(*(F.count_if(voted == k).over(W.partitionBy(by)) for k in range(per_bar)))
+    phased = seen.withColumn("votes", votes).where("i is not null").withColumn("phase", F.array_position("votes", F.array_max("votes")) - 1)
+    marked = phased.withColumn("downbeat", (F.col("i") >= F.col("phase")) & ((F.col("i") - F.col("phase")) % per_bar == 0))
     same = ranked(beats.join(known.where("status <> 'ok'").select(by), by), [by], F.col(t), name="i").select(by, (F.col("i") - 1).alias("i"), F.col(t).alias("t"), F.lit(False).alias("downbeat"))
     z = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     sums = known.join(snapped, by, "left").join(kept, by, "left").join(trimmed, by, "left").join(new, by, "left")
