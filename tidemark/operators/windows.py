@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -64,12 +66,11 @@ def quantiles(rows: DataFrame, by: list[str], x: str, ps: dict[str, float]) -> D
     return found.select(*by, F.col("_n").alias("n"), *(between(F.col(f"_low_{name}"), F.col(f"_high_{name}"), share).alias(name) for name, (_, _, share) in ends.items()))
 
 
-def frame_quantile(rows: DataFrame, x: str, frame: WindowSpec, p: float, name: str) -> DataFrame:
-    """The rows with the interpolated quantile of x in a frame of few rows, rounded once; null in an empty frame."""
-    at = (F.size("_x") - 1) * F.lit(float(p))
-    get = lambda k: F.get("_x", k.cast("int"))
-    held = rows.withColumn("_x", F.array_sort(F.collect_list(x).over(frame))).withColumns({"_low": get(F.floor(at)), "_high": get(F.ceil(at)), "_share": at - F.floor(at)})
-    return held.withColumn(name, between(F.col("_low"), F.col("_high"), F.col("_share"))).drop("_x", "_low", "_high", "_share")
+def listed_quantile(rows: DataFrame, xs: str, n: int, p: float, name: str) -> DataFrame:
+    """The rows with the interpolated quantile of a list of n values, rounded once."""
+    at = (n - 1) * float(p)
+    held = rows.withColumn("_x", F.sort_array(xs)).withColumns({"_low": F.get("_x", F.lit(math.floor(at))), "_high": F.get("_x", F.lit(math.ceil(at)))})
+    return held.withColumn(name, between(F.col("_low"), F.col("_high"), F.lit(at - math.floor(at)))).drop("_x", "_low", "_high")
 
 
 def runs(rows: DataFrame, by: list[str], order: list[str], flag: str) -> DataFrame:

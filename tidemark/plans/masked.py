@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators import masks as M
@@ -17,8 +18,11 @@ def bins(spark: SparkSession, sf: str) -> DataFrame:
     ev = events(spark, sf)
     first = ev.agg(F.min("t")).first()[0] or 0
     sums = ev.groupBy("user_id", F.floor((F.col("t") - first) / WIDTH).alias("i")).agg((F.round(F.sum("value"), 4) / 600).alias("x"))
-    every = sums.groupBy("user_id").agg(F.max("i").alias("last")).select("user_id", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("i"))
-    return every.join(sums, ["user_id", "i"], "left").select("user_id", "i", F.coalesce("x", F.lit(0.0)).alias("rms"))
+    # each sum with the silent bins before it
+    gaps = sums.where("i is not null").withColumn("from", F.coalesce(F.lag("i").over(W.partitionBy("user_id").orderBy("i")) + 1, F.lit(0).cast("long")))
+    every = gaps.select("user_id", F.col("i").alias("to"), "x", F.explode(F.sequence("from", "i")).alias("i"))
+    here = F.when(F.col("i") == F.col("to"), F.col("x"))
+    return every.select("user_id", "i", F.coalesce(here, F.lit(0.0)).alias("rms"))
 
 
 def body_masks(spark: SparkSession, sf: str) -> DataFrame:
