@@ -62,6 +62,22 @@ def test_the_right_phase_of_downbeats_scores_higher(spark):
     assert got["right"].downbeat_support > got["wrong"].downbeat_support and got["right"].final > got["wrong"].final
 
 
+def test_all_beats_away_from_downbeats_count(spark):
+    # 400 beats; those that aren't downbeats are strong from the 261st on only
+    times = np.linspace(0, 101, 5051)
+    beats = [0.5 + 0.25 * i for i in range(400)]
+    flux = 0.5 * pulses(times, beats[::4], 0.03) + pulses(times, [b for i, b in enumerate(beats) if i >= 260 and i % 4], 0.03)
+    zero = np.zeros(len(times))
+    frames = spark.createDataFrame([("t", *map(float, r)) for r in zip(times, zero, zero, zero, flux, strict=True)], "track string, t double, onset double, low_jump double, rms double, flux double")
+    rows = spark.createDataFrame([("t", "p", beats, beats[::4], 0.5, 101.0), ("t", "no downbeats", beats, [], 0.5, 101.0)], KIND)
+    got = {r.provider: r for r in C.score_estimates(frames, rows, "track").collect()}
+    curve = [(r.t, r.down_curve) for r in C.normalised_curves(frames, "track").collect()]
+    mean = lambda at: sum(max((v for t, v in curve if abs(t - x) <= 0.045), default=0.0) for x in at) / len(at)
+    down, others = mean(beats[::4]), mean([b for i, b in enumerate(beats) if i % 4])
+    assert 0 < down - others + 0.20 < 0.55 and abs(got["p"].downbeat_support - (down - others + 0.20) / 0.55) < 1e-9
+    assert got["no downbeats"].downbeat_support == 0.42
+
+
 def test_estimates_of_tracks_without_frames_are_zero(spark):
     frames = spark.createDataFrame([], "track string, t double, onset double, low_jump double, rms double, flux double")
     rows = spark.createDataFrame([("t", "p", [1.0, 1.5, 2.0, 2.5], [1.0], 0.5, 8.0)], KIND)

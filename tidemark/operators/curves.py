@@ -74,7 +74,7 @@ def score_estimates(frames: DataFrame, estimates: DataFrame, by: str, provider:
     """Scores of estimated beats against a track's curves: by, provider, final, and the parts of it.
 
     frames: by, t, onset, low_jump, rms, flux; estimates: by, provider, beats and downbeats (arrays of seconds), confidence, duration. Beats, the middles
-    between them, downbeats and other beats are points of one list; each takes the largest value of its curve within its tolerance, by one join on bins as wide as the
+    between them, downbeats and other beats (all that aren't near a downbeat) are points of one list; each takes the largest value of its curve within its tolerance, by one join on bins as wide as the
     widest tolerance. So a tempo of half or double the right one loses by what it leaves between its beats, or by what it hits between true ones. Fewer than
     three beats, or a track without three frames: every part is 0.
     """
@@ -87,16 +87,23 @@ def score_estimates(frames: DataFrame, estimates: DataFrame, by: str, provider:
     radius = F.greatest(F.lit(0.030), F.least(F.lit(WIDEST), 0.16 * F.col("beat")))
     e = e.withColumn("radius", radius).withColumn("wide", F.greatest(radius, F.lit(0.045))).join(per_track, by, "left")
     apart = F.greatest(F.lit(0.035), 1.5 * F.col("wide"))
-    other = F.filter(F.slice("b", 1, 256), lambda x: F.array_min(F.transform("d", lambda y: F.abs(y - x))) > apart)
     middles = F.transform("gaps", lambda g, i: F.get("b", i) + 0.5 * g)
-    kinds = {"beat": (F.col("b"), "radius"), "middle": (middles, "radius"), "down": (F.col("d"), "wide"), "other": (other, "wide")}
+    kinds = {"beat": (F.col("b"), "radius"), "middle": (middles, "radius"), "down": (F.col("d"), "wide")}
     lists = F.array(*(F.struct(F.lit(k).alias("kind"), x.alias("at"), F.col(r).alias("reach")) for k, (x, r) in kinds.items()))
-    points = e.select(by, provider, F.inline(lists)).select(by, provider, "kind", "reach", F.explode("at").alias("at"))
+    points = e.withColumn("apart", apart).select(by, provider, "wide", "apart", F.inline(lists)).select(by, provider, "wide", "apart", "kind", "reach", F.explode("at").alias("at"))
+    # other beats: those with no downbeat near, by the next ones on both sides
+    each, down_at = W.partitionBy(by, provider), F.when(F.col("kind") == "down", F.col("at"))
+    sides = [f(down_at).over(each.orderBy(o("at")).rangeBetween(W.unboundedPreceding, 0)) for f, o in ((F.max, F.asc), (F.min, F.desc))]
+    points = points.withColumns({"_a": sides[0], "_b": sides[1]}).withColumn("_far", (F.col("kind") == "beat") & (F.least(F.col("at") - F.col("_a"), F.col("_b") - F.col("at")) > F.col("apart")))
+    points = points.withColumn("n_other", F.count_if("_far").over(each))
+    both = F.array(F.struct("kind", "reach"), F.when(F.col("_far"), F.struct(F.lit("other").alias("kind"), F.col("wide").alias("reach"))))
+    points = points.select(by, provider, "at", "n_other", F.inline(F.array_compact(both)))
     near = within(points.distinct(), curves, by, "at", "t", WIDEST).where(F.abs(F.col("at") - F.col("t")) <= F.col("reach"))
-    top = near.groupBy(by, provider, "kind", "at").agg(F.max(F.when(F.col("kind").isin("beat", "middle"), F.col("beat_curve")).otherwise(F.col("down_curve"))).alias("v"))
+    top = near.groupBy(by, provider, "kind", "at", "n_other").agg(F.max(F.when(F.col("kind").isin("beat", "middle"), F.col("beat_curve")).otherwise(F.col("down_curve"))).alias("v"))
     floors = e.select(by, provider, "_floor")
-    sums = top.join(floors, [by, provider]).groupBy(by, provider).agg(*(F.sum(F.when(F.col("kind") == k, F.col("v"))).alias(f"_{k}") for k in kinds), F.count_if((F.col("kind") == "beat") & (F.col("v") >= F.col("_floor"))).alias("_hits"))
-    x = e.withColumn("n_other", F.size(other)).join(sums, [by, provider], "left")
+    sums = top.join(floors, [by, provider]).groupBy(by, provider).agg(*(F.sum(F.when(F.col("kind") == k, F.col("v"))).alias(f"_{k}") for k in (*kinds, "other")), F.max("n_other").alias("n_other"), F.count_if((F.col("kind") == "beat") & (F.col("v") >= F.col("_floor"))).alias("_hits"))
+    # without a frame near any point every mean is 0, however many others there are
+    x = e.join(sums, [by, provider], "left")
     mean = lambda k, n: F.when(n > 0, F.coalesce(F.col(f"_{k}"), F.lit(0.0)) / n).otherwise(0.0)
     n_b, n_d = F.size("b"), F.size("d")
     # a floor of 0.18 or more: beats without a frame near them are no hits
